@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, substrings, suffixes
+from . import decontaminate, jaccard, packing, substrings, suffixes, toxicity
 from .scratch import read
 
 
@@ -18,6 +18,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def tokenizer_path() -> str:
     """The vocabulary of the packing queries; operators take its path as a parameter."""
     import public_tokenizers
