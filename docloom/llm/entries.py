@@ -5,9 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, substrings, suffixes, toxicity
-from .scratch import read
+from . import chat, decontaminate, jaccard, lines, neighbours, packing, substrings, suffixes, toxicity, warc
+from .scratch import fresh_path, read
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trial = "</s>[INST] ok [/INST]"
+    more = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.inline(F.array(
+        F.struct(F.lit(0).cast("bigint").alias("turn"), F.lit("user").alias("role"), F.lit(trial).alias("text")),
+        F.struct(F.lit(1).cast("bigint").alias("turn"), F.lit("assistant").alias("role"), F.lit(trial).alias("text")))))
+    return chat.report(turns.unionByName(more))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +37,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.report(spark, path)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The vocabulary of the packing queries; operators take its path as a parameter."""
     import public_tokenizers
