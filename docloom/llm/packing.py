@@ -15,8 +15,10 @@ documents of their own, told apart by nothing but their place. No piece is dropp
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,28 +44,67 @@ _PLAIN = re.compile(r"[\x20-\x7e\n\tÀ-ÖØ-öø-ɏ]*")
 
 
 class Encoder:
-    """Ids of texts, as little-endian 32-bit bytes. Words met before are looked up; new ones go to the tokenizer."""
+    """Ids of texts, as little-endian 32-bit bytes, by a byte-level vocabulary in tokenizers' JSON.
+
+    Texts of plain characters are split into words; words met before are looked up, new ones merged
+    by tiktoken with the ranks of the same file. Other texts go to tokenizers whole."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        import tiktoken
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        printed = {c: b for b, c in zip(_byte_order(), _byte_letters())}
+        assert set(printed) == set(ByteLevel.alphabet())
+        ranks = {bytes(printed[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in printed for c in token)}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {token: i for token, i in ranks.items() if token.decode("utf-8", "replace") not in special}
+        self.words = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, words: set[str]) -> None:
+        encode = self.words.encode_ordinary
+        self.known.update((w, array("I", encode(w)).tobytes()) for w in words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_PRETOKEN.findall(t) if _PLAIN.fullmatch(t) else None for t in texts]
-        new = list({w for words in split if words for w in words}.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({w for words in split if words for w in words})
-        self.known.update(zip(new, self._ids(new)))
-        whole = iter(self._ids([t for t, words in zip(texts, split) if words is None]))
-        get = self.known.__getitem__
-        return [next(whole) if words is None else b"".join(map(get, words)) for words in split]
+        out = []
+        for text in texts:
+            if not _PLAIN.fullmatch(text):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            words = _PRETOKEN.findall(text)
+            try:
+                out.append(b"".join(map(self.known.__getitem__, words)))
+            except KeyError:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                self._learn(set(words).difference(self.known))
+                out.append(b"".join(map(self.known.__getitem__, words)))
+        return out
+
+
+def _byte_order() -> list[int]:
+    """Bytes in the order of the byte-level alphabet: those printed as themselves, then the others."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return own + [b for b in range(256) if b not in own]
+
+
+def _byte_letters() -> list[str]:
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return [chr(b) for b in own] + [chr(256 + k) for k in range(256 - len(own))]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker, so that its memory of words outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 _PIECE = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
@@ -81,17 +122,17 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     kinds = _PIECE if with_ids else {k: v for k, v in _PIECE.items() if k != "ids"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 n, size, texts = 0, 0, []
-                while at + n < batch.num_rows and (not n or size < 1 << 20):
+                while at + n < batch.num_rows and (not n or size < 1 << 18):
                     texts.append(batch.column("text")[at + n].as_py() or "")
                     size += len(texts[-1])
                     n += 1
                 out: list[list] = [[] for _ in kinds]
-                for doc, ids in zip(batch.column("doc_id").slice(at, n).to_pylist(), encoder.encode(texts)):
+                for doc, ids in zip(batch.column("doc_id").slice(at, n).to_pylist(), encode(texts)):
                     ids += tail
                     for k, (s, m) in enumerate(cut(len(ids) // 4, capacity)):
                         part = ids[4 * s : 4 * (s + m)]
