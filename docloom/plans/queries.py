@@ -635,3 +635,112 @@ def catalogue_delete(spark, sf_dir):
     ids, _ = catalog.deletable(docs, docs.where("o_orderstatus = 'F'").select(c("document_id").alias("target_id"), "document_id"))
     left = catalog.delete_cascade({"documents": docs, "versions": versions, "chunks": chunks, "embeddings": chunks.select("chunk_id")}, ids)
     return catalog.inventory(documents=left["documents"], versions=left["versions"], chunks=left["chunks"])
+
+
+def folders(spark, sf_dir) -> DataFrame:
+    """Regions as folders, their nations as folders in them."""
+    none = F.lit(None).cast("timestamp").alias("deleted_at")
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("folder_id"), F.lit(None).cast("string").alias("parent_folder_id"), F.concat(F.lit("/"), "r_name").alias("path"), F.lit(0).alias("depth"), c("r_name").alias("name"), none)
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"))
+    return r.unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("folder_id"), F.concat(F.lit("r"), "r_regionkey").alias("parent_folder_id"), F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name").alias("path"), F.lit(1).alias("depth"), c("n_name").alias("name"), none))
+
+
+def filed(spark, sf_dir) -> DataFrame:
+    """Customers as documents in the folder of their nation."""
+    return table(spark, sf_dir, "customer").select(c("c_custkey").alias("document_id"), F.concat(F.lit("n"), "c_nationkey").alias("folder_id"), c("c_name").alias("title"), F.lit(None).cast("timestamp").alias("deleted_at"))
+
+
+@query("""SELECT 'r' || r_regionkey AS folder_id, '/' || r_name AS path, 0 AS documents FROM region UNION ALL
+SELECT 'n' || n_nationkey, '/' || r_name || '/' || n_name, count(c_custkey) FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+def catalogue_tree(spark, sf_dir):
+    """B05"""
+    return catalog.tree(folders(spark, sf_dir), filed(spark, sf_dir), 1).select("folder_id", "path", "documents")
+
+
+@query("""SELECT 'r' || r_regionkey AS root_id, count(n_nationkey) + 1 AS folders FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")
+def catalogue_subtrees(spark, sf_dir):
+    """B06"""
+    f = folders(spark, sf_dir)
+    return catalog.subtree(f, f.where("depth = 0")).groupBy("root_id").agg(F.count("*").alias("folders"))
+
+
+@query("""SELECT 'document' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer WHERE c_nationkey = 3""")
+def catalogue_folder(spark, sf_dir):
+    """B02"""
+    f = filed(spark, sf_dir).withColumn("document_id", c("document_id").cast("string"))
+    return catalog.folder_contents(folders(spark, sf_dir), f, "n3")
+
+
+@query("""SELECT CASE WHEN page_id % 7 = 0 THEN 'unsupported_format' WHEN page_id % 5 = 0 THEN 'size_mismatch' WHEN page_id % 3 = 0 THEN 'checksum_mismatch' END AS error_code, count(*) AS n FROM pages GROUP BY 1""")
+def upload_admission(spark, sf_dir):
+    """Pages as uploads, some with a wrong suffix, size or checksum."""
+    p = table(spark, sf_dir, "pages")
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    content = F.encode("html", "UTF-8")
+    rows = p.select(F.when(c("page_id") % 7 == 0, "a.exe").otherwise("a.HTML").alias("file_name"), F.length(content).alias("size_bytes"), (F.length(content) + F.when(c("page_id") % 5 == 0, 1).otherwise(0)).alias("declared_size"), F.when(c("page_id") % 3 == 0, "00").otherwise(F.sha2(content, 256)).alias("checksum"), content.alias("content"), now.alias("created_at"))
+    return catalog.admit(rows, now).groupBy("error_code").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id AS document_id, 'invalid_title' AS errors FROM documents WHERE length(trim(text)) > 500 OR length(trim(text)) < 1""")
+def metadata_errors(spark, sf_dir):
+    """Whole texts as titles."""
+    rows = table(spark, sf_dir, "documents").select(c("doc_id").alias("document_id"), c("lang").alias("declared_language"), c("text").alias("title"), F.array("source").alias("tags"), F.create_map("source", "lang").alias("metadata"))
+    return catalog.metadata_errors(rows).select("document_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""SELECT CASE o_orderstatus WHEN 'F' THEN 'indexing' WHEN 'O' THEN 'already_indexed' END AS next, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'version_not_indexable' END AS error_code, count(*) AS n FROM orders GROUP BY 1, 2""")
+def index_transitions(spark, sf_dir):
+    """Orders as versions of three states, all asked to be indexed."""
+    v = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("document_version_id"), F.when(c("o_orderstatus") == "F", "chunked").when(c("o_orderstatus") == "O", "indexed").otherwise("uploaded").alias("processing_status"))
+    asked_ = v.select("document_version_id", F.lit("index").alias("request"))
+    return indexing.transitions(v, asked_).groupBy("next", "error_code").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id AS document_version_id, count(*) FILTER (event_type IN ('signup', 'view')) AS created, count(*) FILTER (event_type IN ('click', 'purchase')) AS skipped, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1""")
+def index_summary(spark, sf_dir):
+    """X09"""
+    kind = F.when(c("event_type") == "error", "failed").when(c("event_type").isin("click", "purchase"), "skipped").otherwise("created")
+    return indexing.summary(table(spark, sf_dir, "events").select(c("user_id").alias("document_version_id"), kind.alias("outcome")))
+
+
+@query("""SELECT doc_id, CASE WHEN trim(text, ' ' || chr(10) || chr(9) || chr(13)) = '' THEN 'failed' ELSE 'chunked' END AS processing_status FROM documents""")
+def chunk_status(spark, sf_dir):
+    """C10"""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.chunk_status(docs, chunking.pieces(docs)).select("doc_id", "processing_status")
+
+
+@query(f"WITH {_OUT} SELECT count(*) AS false_abstains, count(*) FILTER (len(list_intersect(e, r)) > 0) AS gold_was_retrieved, round(avg(value / 100), 6) AS mean_top_score FROM o WHERE abstained AND NOT expect_abstention")
+def false_abstains(spark, sf_dir):
+    """G09"""
+    o = outcomes(spark, sf_dir)
+    return diagnostics.false_abstains(o, o.select("question_id", (c("e2e_ms") / 100).alias("top_score"))).withColumn("mean_top_score", r6(c("mean_top_score")))
+
+
+@query(f"WITH {_BM25} SELECT chunk_id AS parent_id, count(*) AS variants, count(DISTINCT query_id % 3) AS tops FROM lex WHERE rank = 1 GROUP BY 1")
+def top_instability(spark, sf_dir):
+    """Documents that come first, as questions; their queries, in three kinds, as what came first."""
+    h = lexical_hits(spark, sf_dir, 1).select(c("chunk_id").alias("parent_id"), (c("query_id") % 3).alias("chunk_id"), "rank")
+    return diagnostics.instability(h)
+
+
+@query(f"""WITH {_OUT}, {_REPORT}, u AS (SELECT experiment_id, 'recall_at_k' AS metric, recall_at_k AS value, 0.3 AS least FROM m UNION ALL SELECT experiment_id, 'mrr', mrr, 0.2 FROM m)
+SELECT experiment_id, metric, round(value, 6) AS value, coalesce(value >= least, false) AS trusted FROM u""")
+def trust_rows(spark, sf_dir):
+    """G19"""
+    out = diagnostics.trust_rows(metrics.report(outcomes(spark, sf_dir)), {"recall_at_k": 0.3, "mrr": 0.2})
+    return out.select("experiment_id", "metric", r6(c("value")).alias("value"), "trusted")
+
+
+@query("""SELECT source AS document_id, round(avg(CASE WHEN lang = 'en' THEN CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END END), 6) AS en, round(avg(CASE WHEN lang = 'de' THEN CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END END), 6) AS de FROM documents GROUP BY 1""")
+def per_document_rates(spark, sf_dir):
+    """Sources as documents, languages as cohorts, long texts as hits."""
+    rows = table(spark, sf_dir, "documents").select(c("source").alias("document_id"), c("lang").alias("cohort"), (c("n_chars") > 1000).alias("hit"))
+    return diagnostics.per_document(rows, ["en", "de"]).select("document_id", r6(c("en")).alias("en"), r6(c("de")).alias("de"))
+
+
+@query(f"WITH {_BM25}, t AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score / (score + 10) END) AS top FROM lex WHERE rank <= 8 GROUP BY 1) SELECT query_id FROM t WHERE top >= 0.9")
+def sufficient_queries(spark, sf_dir):
+    """A01"""
+    h = lexical_hits(spark, sf_dir, 8).withColumn("score", c("score") / (c("score") + 10))
+    return context.sufficient(h, 0.9)
