@@ -37,6 +37,8 @@ from .scratch import settle
 FIT_ROWS = 20_000
 #: Learnt entries of the vocabulary, at most.
 ENTRIES = 2_000
+#: Labels that may be broadcast (12 bytes each); more are joined by a shuffle of the training texts.
+BROADCAST_LABELS = 1_000_000
 #: Entries of toxic texts that are counted in the others, at most.
 CANDIDATES = 50_000
 #: Different toxic texts that hold an entry, at least: copies of one text teach nothing.
@@ -181,8 +183,9 @@ def _vocabulary(labelled: DataFrame, totals: dict[int, int]) -> tuple[dict[str,
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learn from the labelled rows outside fold 0. Only texts and their labels are used."""
-    labelled = settle(docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0)
-                      .join(labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id"), "labelled")
+    known = labels.where("toxic in (0, 1)").where(fold(F.col("doc_id")) != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known.hint("merge")
+    labelled = settle(docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0).join(known, "doc_id"), "labelled")
     totals = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     model = Model()
     if not totals[0] or not totals[1]:
