@@ -2,12 +2,15 @@
 
 Two texts link when 100 * |intersection| >= 80 * |union| of their sets of distinct 5-word
 shingles. Texts with equal sets are one class, found by a digest of the set. Classes can link
-only if they share one of the first n - ceil(0.8 n) + 1 shingles in any one order of all
-shingles; the order used puts the most common ones last, counted over all documents.
-
-First, each class is compared with the smallest class of every shingle that they share there;
-what links becomes one component. Then only classes of different components that share such a
-shingle are compared. No link between components is lost, and within a group of copies the
+only if they share m shingles (or all that they must share, if fewer) of their first
+n - ceil(0.8 n) + m in any one order of all shingles, for any m; the order used puts the most
+common ones last, counted over all documents.
+
+First, each class is compared with the smallest class of the shingles that they share with
+m = 3; what links becomes one component. Then only classes of different components are
+compared. Those that share three shingles of few classes are found by a join. Those that share
+one of many classes meet, in blocks, with longer beginnings (m is an eighth of the set), and
+only those that share m are compared in full; such groups never give all their pairs. No link between components is lost, and within a group of copies the
 work is in proportion to its members, not to their pairs.
 
 The comparison is a T-occurrence search. A query set meets a block of sets: each of its
@@ -43,6 +46,13 @@ PERCENT = 80
 #: The most common shingles that the order knows by count, at most; a count below LEAST needs no place there.
 COMMON = 1 << 16
 LEAST = 50
+#: Shingles that linked sets must share among their first ones: coincidences of one or two are not looked at.
+SHARED = 3
+#: Classes that share a shingle and are paired by a join; of more, the beginnings are searched in blocks of GROUP.
+FEW = 16
+GROUP = 4000
+#: Ids that may be broadcast to pick documents (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Sets that one search compares with a query at once.
 BLOCK = 500
 
@@ -67,6 +77,11 @@ def _least_overlap(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def _shared(n):
+    """m for a set of n: what two linked sets share of their beginnings, at least, is m of the smaller."""
+    return np.maximum(SHARED, np.asarray(n) // 8)
+
+
 def common_shingles(docs: DataFrame, k: int, most: int = COMMON, least: int = LEAST) -> np.ndarray:
     """The most common shingles (the upper 32 bits of their hashes), the rarer first.
 
@@ -138,7 +153,7 @@ def fingerprints(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> D
             out: list[list] = [[], [], []]
             for s in sets(*R.utf8(batch.column("text")), k):
                 n = len(s)
-                first = _in_order(s, values, place, n - -(-percent * n // 100) + 1) if n else s
+                first = _in_order(s, values, place, n - -(-percent * n // 100) + _shared(n)) if n else s
                 for x, v in zip(out, (n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), first.astype(np.uint32).tobytes())):
                     x.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.binary(), pa.binary())))], names=["doc_id", "n", "digest", "prefix"])
@@ -146,17 +161,75 @@ def fingerprints(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> D
     return docs.mapInArrow(run, "doc_id bigint, n int, digest binary, prefix binary")
 
 
-def _tokens(classes: DataFrame) -> DataFrame:
+def _tokens(classes: DataFrame, percent: int) -> DataFrame:
+    """(token, doc_id): the shingles of each beginning for m = SHARED."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                prefixes = [np.frombuffer(x.as_py(), np.int32) for x in part.column("prefix")]
+                prefixes = [np.frombuffer(x.as_py(), np.int32)[: n - -(-percent * n // 100) + SHARED] for x, n in zip(part.column("prefix"), part.column("n").to_pylist())]
                 sizes = [len(x) for x in prefixes]
-                docs, ns = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(np.repeat(docs, sizes)), pa.array(np.repeat(ns, sizes))], names=["token", "doc_id", "n"])
+                docs = part.column("doc_id").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(np.repeat(docs, sizes))], names=["token", "doc_id"])
+
+    return classes.mapInArrow(run, "token int, doc_id bigint")
+
+
+def _found_in(ids: list, sizes: list, labels: list, sides: list, beginnings: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of different components that can still link; of two sides only across them.
+
+    Their beginnings share enough, and what they share there with all that is left behind the
+    last shared shingle reaches the overlap that their sizes require."""
+    n, label, side = np.array(sizes), np.array(labels), np.array(sides)
+    lengths = [len(b) for b in beginnings]
+    _, token, held = np.unique(np.concatenate(beginnings), return_inverse=True, return_counts=True)
+    common = held[token] > 1  # what one set alone holds here pairs nothing
+    token = np.unique(token[common], return_inverse=True)[1]
+    member = np.repeat(np.arange(len(ids)), lengths)[common]
+    place = np.concatenate([np.arange(k) for k in lengths])[common]
+    order = np.argsort(token, kind="stable")
+    ends = np.cumsum(np.bincount(token))[:-1]
+    lists, places = np.split(member[order], ends), np.split(place[order], ends)
+    ownership = np.split(np.arange(len(token)), np.searchsorted(member, np.arange(1, len(ids))))
+    several = side.min() != side.max()
+    last, other_last = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    for i in range(len(ids) - 1):
+        mine = ownership[i]
+        if len(mine) < min(SHARED, n[i]):
+            continue
+        own = token[mine]
+        met = np.concatenate([lists[t] for t in own])
+        last[met] = np.repeat(place[mine], [len(lists[t]) for t in own])  # the last of equal members stays
+        other_last[met] = np.concatenate([places[t] for t in own])
+        count = np.bincount(met, minlength=len(ids))[i + 1 :]
+        rest = n[i + 1 :]
+        m, large = np.minimum(n[i], rest), np.maximum(n[i], rest)
+        reach = count + np.minimum(n[i] - 1 - last[i + 1 :], rest - 1 - other_last[i + 1 :])
+        good = (count >= np.minimum(_shared(m), -(-percent * large // 100))) & (label[i + 1 :] != label[i]) & (100 * m >= percent * large) & (reach >= _least_overlap(n[i], rest, percent))
+        if several:
+            good &= side[i + 1 :] != side[i]
+        for j in np.flatnonzero(good).tolist():
+            yield ids[i], ids[i + 1 + j]
+
+
+def _crowded(rows: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
+    """(token, members, doc_id, component, n, prefix) of tokens of many classes to candidate pairs (q, d)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.ceil(F.col("members") / group).cast("int")
+    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "doc_id", "component", "n", "prefix")
+    met = met.repartition(parts, "token", "a", "b").sortWithinPartitions("token", "a", "b", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("token", "a", "b", "own", "doc_id", "component", "n", "prefix"))))
+        for _, members in groupby(each, key=lambda x: x[:3]):
+            members = list(members)  # two blocks at most
+            pairs = list(_found_in([x[4] for x in members], [x[6] for x in members], [x[5] for x in members], [x[3] for x in members], [np.frombuffer(x[7], np.int32) for x in members], percent))
+            if pairs:
+                yield _batch(list(map(list, zip(*pairs))), {"q": pa.int64(), "d": pa.int64()})
 
-    return classes.mapInArrow(run, "token int, doc_id bigint, n int")
+    return met.mapInArrow(run, "q bigint, d bigint").distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -177,7 +250,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     out, size = [[], [], []], 0
             yield _batch(out, {"doc_id": pa.int64(), "n": pa.int32(), "shingles": pa.binary()})
 
-    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, n int, shingles binary")
+    wanted = settle(wanted, "wanted")
+    picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return docs.join(picked, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, n int, shingles binary")
 
 
 def divide_skip(query: np.ndarray, block: list[np.ndarray], percent: int = PERCENT) -> list[int]:
@@ -215,8 +290,9 @@ def divide_skip(query: np.ndarray, block: list[np.ndarray], percent: int = PERCE
     return [m for m, c, x in zip(found, counts, more) if c + x >= need[m]]
 
 
-def linked(pairs: DataFrame, held: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """The pairs (q, d) whose sets link; a query of many pairs is searched in blocks."""
+def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """The pairs (q, d) of documents whose sets link; a query of many pairs is searched in blocks."""
+    held = settle(full_sets(docs, pairs.select(F.col("q").alias("doc_id")).union(pairs.select("d")).distinct(), k), "sets")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = pairs.groupBy("q").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
     salted = pairs.join(sizes, "q").select("q", "d", F.pmod(F.xxhash64("d"), F.col("salts")).alias("salt"))
@@ -259,23 +335,29 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     docs = docs.select("doc_id", "text")
     prints = settle(fingerprints(docs, common_shingles(docs, shingle), shingle, percent), "prints")
     some = prints.where("n > 0 and doc_id is not null")
+    sizes = some.groupBy("doc_id").agg(F.max("n").alias("n"))
     firsts = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("f")).select("f.*")
     token = W.partitionBy("token")
-    shared = _tokens(firsts).withColumn("members", F.count("*").over(token)).withColumn("first", F.min(F.struct("doc_id", "n")).over(token))
-    shared = settle(shared.where("members > 1").drop("members"), "shared")
-    near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    stars = shared.where((F.col("doc_id") != F.col("first.doc_id")) & near(F.col("n"), F.col("first.n")))
-    stars = settle(stars.select(F.col("first.doc_id").alias("q"), F.col("doc_id").alias("d")).distinct(), "pairs")
-    held = settle(full_sets(docs, shared.select("doc_id").distinct(), shingle), "sets")
-    found = settle(linked(stars, held, percent), "found")
+    shared = _tokens(firsts, percent).withColumn("members", F.count("*").over(token)).withColumn("first", F.min("doc_id").over(token))
+    shared = settle(shared.where("members > 1"), "shared")
+    large = F.greatest("n", "m")
+    near = (100 * F.least("n", "m") >= percent * large) & (F.col("c") >= F.least(F.lit(SHARED), F.ceil(percent * large / 100)))
+    stars = shared.where("doc_id <> first").groupBy(F.col("first").alias("q"), F.col("doc_id").alias("d")).agg(F.count("*").alias("c"))
+    stars = stars.join(sizes.select(F.col("doc_id").alias("q"), "n"), "q").join(sizes.select(F.col("doc_id").alias("d"), F.col("n").alias("m")), "d")
+    stars = settle(stars.where(near).select("q", "d"), "pairs")
+    found = settle(linked(stars, docs, shingle, percent), "found")
     joined = settle(components(found), "joined")
-    label = shared.select("token", "doc_id", "n").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    label = shared.select("token", "members", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_ = label.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-    label = settle(label.join(open_, "token", "left_semi"), "open")
-    x, y = label.alias("x"), label.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & near(F.col("x.n"), F.col("y.n")))
-    pairs = pairs.select(F.col("x.doc_id").alias("q"), F.col("y.doc_id").alias("d")).distinct().join(stars, ["q", "d"], "left_anti")
-    more = settle(linked(settle(pairs, "pairs"), held, percent), "found")
+    label = settle(label.join(open_, "token", "left_semi").join(sizes, "doc_id"), "open")
+    few, many = label.where(F.col("members") <= FEW), label.where(F.col("members") > FEW)
+    x = few.select("token", F.col("doc_id").alias("q"), "component", "n")
+    y = few.select("token", F.col("doc_id").alias("d"), F.col("component").alias("other"), F.col("n").alias("m"))
+    pairs = x.join(y, "token").where((F.col("q") < F.col("d")) & (F.col("component") != F.col("other")) & (100 * F.least("n", "m") >= percent * large))
+    pairs = pairs.groupBy("q", "d", "n", "m").agg(F.count("*").alias("c")).where(near).select("q", "d")
+    crowded = many.join(some.select("doc_id", "prefix").join(many.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    pairs = pairs.union(_crowded(crowded, percent)).distinct().join(stars, ["q", "d"], "left_anti")
+    more = settle(linked(settle(pairs, "pairs"), docs, shingle, percent), "found")
     final = components(found.unionByName(more))
     member = some.groupBy("digest").agg(F.min("doc_id").alias("id")).join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return (prints.join(member, "digest", "left")

@@ -50,8 +50,10 @@ def chains(seed):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_classes(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed,few,group", [(1, 16, 4000), (2, 2, 7), (3, 1, 4000)])
+def test_classes(spark, seed, few, group, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "_crowded", lambda rows, percent, f=jaccard._crowded: f(rows, percent, group))
     monkeypatch.setattr(jaccard, "common_shingles", lambda d, k, f=jaccard.common_shingles: f(d, k, most=500, least=3))
     rows = chains(seed) + [(k + 2000, t) for k, t in corpus(seed, 80)]
     assert {r[0]: tuple(r)[1:] for r in jaccard.classes(frame(spark, rows)).collect()} == brute([(k, lower(t)) for k, t in rows])
