@@ -1,13 +1,16 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A line's hash and its neighbour's make a rolling hash over the lines; where it falls on one of
-`DIVISOR` residues a chunk ends, so that a boundary depends on the two lines around it alone and
-an insertion moves no other boundary. Chunks of two lines or more (of `LEAST_CHARS` characters
-at least) are counted over all documents by hash. Those that come again are compared as bytes with the first chunk of
-their hash, and all but the first are removed, the first being that of the smallest doc_id, then
-of the smallest line.
-
-Results: null and empty texts have no lines to remove. Rows without doc_id take no part. Rows
+A chunk begins at every line and ends where the lines behind it first make two lines or more of
+`LEAST_CHARS` characters or more; another ends at every line in the same way. Ends depend on the
+lines inside alone, so that an insertion changes only the chunks it stands in, and every passage
+of two lines and `LEAST_CHARS` characters is covered by chunks that lie inside it. The chunks' hashes, rolled from
+the hashes of their lines, are counted over all documents; those that come again are
+compared as bytes, and the lines of all but the first are removed, the first being that of the
+smallest doc_id, then of the smallest line.
+
+Results: the lines removed are those of all passages that also begin earlier, whole, whatever stands
+around them. Chunks overlap: of one line that follows itself three times or more, one stays.
+Null and empty texts have no lines to remove. Rows without doc_id take no part. Rows
 that share a doc_id share what is removed from that id. The lines kept are joined as they were;
 a document that loses all its lines keeps an empty text.
 """
@@ -15,60 +18,76 @@ a document that loses all its lines keeps an empty text.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DIVISOR = 3
+from .scratch import settle
+
 LEAST_CHARS = 20
 
 
-def _chunks(text: str, divisor: int) -> tuple[Column, Column]:
-    """The lines of a text, and the places (from 1) where its chunks end."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    rolled = F.zip_with(hashes, F.slice(hashes, F.lit(2), F.size(hashes)), lambda a, b: F.xxhash64(a, b))  # the last is of a null
-    ends = F.filter(F.transform(rolled, lambda h, i: F.when((F.pmod(h, F.lit(divisor)) == 0) | (i == F.size(hashes) - 1), i + 1)), lambda x: x.isNotNull())
-    return lines, ends
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.split("text", "\n", -1).alias("lines")).select("doc_id", "lines", F.transform("lines", lambda x: F.length(x)).alias("sizes"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+
+
+def _spans(least_chars: int) -> Column:
+    """The chunks' first lines and ends (lo, hi) over the columns of _rows.
+
+    A chunk of `least_chars` + 1 lines is long enough by its line ends alone, so few ends are tried."""
+    n = F.size("sizes")
+    chars = lambda lo, hi: F.aggregate(F.slice("sizes", lo + 1, hi - lo), hi - lo - 1, lambda a, x: a + x)
+    short = lambda lo: F.get("sizes", lo) + F.get("sizes", lo + 1) + 1 < least_chars
+    span = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    lines = F.when(n > 1, F.sequence(F.lit(0), n - 2))
+    onward = F.transform(lines, lambda lo: span(lo, F.when(~short(lo), lo + 2).otherwise(
+        F.get(F.filter(F.sequence(lo + 2, F.least(n, lo + least_chars + 1)), lambda hi: chars(lo, hi) >= least_chars), F.lit(0)))))
+    back = F.transform(F.filter(lines, short), lambda at: span(
+        F.get(F.filter(F.sequence(at, F.greatest(F.lit(0), at + 1 - least_chars)), lambda lo: chars(lo, at + 2) >= least_chars), F.lit(0)), at + 2))
+    # those of back that do not end where the chunk from their first line does
+    more = F.filter(back, lambda s: chars(s["lo"], s["hi"] - 1) >= least_chars)
+    return F.concat(F.filter(onward, lambda s: s["hi"].isNotNull()), more)
 
 
-def chunks(docs: DataFrame, divisor: int = DIVISOR, least_chars: int = LEAST_CHARS) -> DataFrame:
+def chunks(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, lo, hi (lines lo..hi-1, from 0), chunk (text): the chunks of two lines at least."""
-    lines, ends = _chunks("text", divisor)
-    rows = docs.select("doc_id", lines.alias("lines"), ends.alias("ends"))
-    spans = F.zip_with(F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0)))), F.col("ends"), lambda a, b: F.struct(a.alias("lo"), b.alias("hi")))
-    held = rows.select("doc_id", F.inline(F.transform(F.filter(spans, lambda s: s["hi"] - s["lo"] > 1), lambda s: F.struct(
+    return _rows(docs).select("doc_id", F.inline(F.transform(_spans(least_chars), lambda s: F.struct(
         s["lo"].alias("lo"), s["hi"].alias("hi"), F.array_join(F.slice("lines", s["lo"] + 1, s["hi"] - s["lo"]), "\n").alias("chunk")))))
-    return held.where(F.length("chunk") >= least_chars)
 
 
-def removed(docs: DataFrame, divisor: int = DIVISOR, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, lo, hi of the chunks to remove: byte for byte a chunk that stands first elsewhere."""
+def removed(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """doc_id, lo, hi of the lines to remove, in runs that lie apart: byte for byte in chunks that stand first elsewhere."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    every = chunks(docs, divisor, least_chars)
-    keys = every.select("doc_id", "lo", F.xxhash64("chunk").alias("h"), F.length("chunk").alias("n"))
-    again = keys.groupBy("h", "n").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    marked = keys.join(again, ["h", "n"]).select("doc_id", F.struct("lo", "first").alias("m"))
-    wanted = marked.groupBy("doc_id").agg(F.collect_list("m").alias("marks"))  # at most a document's own chunks
+    keys = settle(_rows(docs).select("doc_id", F.inline(F.transform(_spans(least_chars), lambda s: F.struct(
+        s["lo"].alias("lo"), s["hi"].alias("hi"), F.xxhash64(F.slice("hashes", s["lo"] + 1, s["hi"] - s["lo"])).alias("h"))))), "lines")
+    again = keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    wanted = keys.join(again, "h", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))  # at most a document's own chunks
     # the texts of repeated chunks alone, cut out of their documents again
-    texts = chunks(docs.join(wanted, "doc_id"), divisor, least_chars)
-    named = texts.select("doc_id", "lo", "hi", "chunk", F.xxhash64("chunk").alias("h"), F.length("chunk").alias("n"))
-    repeated = named.join(again.select("h", "n", "first"), ["h", "n"])
+    texts = docs.join(wanted, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("lines"), "marks")
+    named = settle(texts.select("doc_id", F.inline(F.transform("marks", lambda m: F.struct(
+        m["lo"].alias("lo"), m["hi"].alias("hi"), F.array_join(F.slice("lines", m["lo"] + 1, m["hi"] - m["lo"]), "\n").alias("chunk"))))).withColumn("h", F.xxhash64("chunk")), "repeated")
     # equal bytes: grouping by the chunk itself compares them
-    firsts = repeated.groupBy("h", "n", "chunk").agg(F.min(F.struct("doc_id", "lo")).alias("kept"))
-    return repeated.join(firsts, ["h", "n", "chunk"]).where(F.struct("doc_id", "lo") != F.col("kept")).select("doc_id", "lo", "hi")
+    firsts = named.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "lo")).alias("kept"), F.count("*").alias("c")).where("c > 1").drop("c")
+    gone = named.join(firsts, ["h", "chunk"]).where(F.struct("doc_id", "lo") != F.col("kept")).select("doc_id", "lo", "hi")
+    order = W.partitionBy("doc_id").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
+    run = F.count(F.when(F.coalesce(F.col("lo") > F.col("reach"), F.lit(True)), 1)).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return gone.withColumn("reach", reach).withColumn("run", run).groupBy("doc_id", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
 
 
-def dedup(docs: DataFrame, divisor: int = DIVISOR, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The documents with their columns and _lines (all), _removed (number), and text without the lines removed."""
-    gone = removed(docs, divisor, least_chars).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_gone"))
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.exists("_gone", lambda g: (g["lo"] <= i) & (i < g["hi"])))
-    count = F.coalesce(F.aggregate("_gone", F.lit(0), lambda a, g: a + g["hi"] - g["lo"]), F.lit(0))
-    out = docs.join(gone, "doc_id", "left").withColumns({
-        "_lines": F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(lines)),
-        "_removed": count,
-        "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+    gone = removed(docs, least_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_gone"))
+    rows = docs.join(gone, "doc_id", "left").withColumn("_split", F.split("text", "\n", -1))
+    n = F.size("_split")
+    starts, ends = F.concat(F.col("_gone.lo"), F.array(n)), F.concat(F.array(F.lit(0)), F.col("_gone.hi"))
+    between = F.zip_with(ends, starts, lambda a, b: F.slice("_split", a + 1, F.greatest(b - a, F.lit(0))))
+    count = F.aggregate("_gone", F.lit(0), lambda a, g: a + F.greatest(F.least(g["hi"], n) - g["lo"], F.lit(0)))
+    out = rows.withColumns({
+        "_lines": F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(n),
+        "_removed": F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(count, F.lit(0))),
+        "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n")),
     })
-    return out.drop("_gone").select(*docs.columns, "_lines", "_removed")
+    return out.select(*docs.columns, "_lines", "_removed")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

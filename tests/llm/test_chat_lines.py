@@ -90,3 +90,30 @@ def test_lines_shift(spark):
     odd = lines.report(frame(spark, [(None, "\n".join(x)), (1, "\n".join(x)), (1, "\n".join(x))])).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in odd)[0] == (0, 0) and len(odd) == 3
     assert hashlib is not None
+
+
+def test_lines_planted(spark):
+    """Passages of 2 to 9 lines between different neighbours leave whole, and nothing else does."""
+    r = random.Random(7)
+    line = lambda: " ".join(r.choice("abcdefghij") * r.randint(2, 6) for _ in range(6))
+    passages = [[line() for _ in range(k)] for k in range(2, 10) for _ in range(4)]
+    passages += [["if (a) {", "b();", "}"] * 2 + [f"c{k}();", "", "end"] for k in range(3)] + [[f"x{k}", "y", "z" * 30, "", "}"] for k in range(3)]
+    own = [0, 3, 1, 2]
+    rows, want = [], {}
+    for k, p in enumerate(passages):
+        for copy in range(3):
+            before, after = [line() for _ in range(own[(k + copy) % 4])], [line() for _ in range(own[(k + copy + 1) % 4])]
+            rows.append((3 * k + copy, "\n".join([*before, *p, *after])))
+            want[3 * k + copy] = "\n".join([*before, *p, *after] if not copy else [*before, *after])
+    shared = range(3 * (len(passages) - 6), 3 * len(passages))  # these passages have lines in common with each other
+    got = {x["doc_id"]: x["text"] for x in lines.dedup(frame(spark, rows)).collect()}
+    assert all(got[d] == t for d, t in want.items() if d not in shared or d % 3)
+
+
+def test_lines_long(spark):
+    """Runs of short lines and of one line, and rows that share an id."""
+    x = ["a" * 30, "b", "c", "d" * 30]
+    df = frame(spark, [(1, "\n".join(x)), (2, "\n".join(["q", *x, "r"])), (3, "\n".join(["e" * 30] * 50)), (4, "\n" * 5000), (5, "b\nc"), (6, "b\nc"), (7, "\n".join(["f", *x])), (7, "f")])
+    got = {(r["doc_id"], r["_lines"]): (r["_removed"], r["text"]) for r in lines.dedup(df).collect()}
+    assert got[2, 6] == (4, "q\nr") and got[3, 50] == (49, "e" * 30) and got[5, 2] == got[6, 2] == (0, "b\nc")
+    assert got[7, 5] == (4, "f") and got[7, 1] == (0, "f")
