@@ -10,7 +10,7 @@ reported threat. A text scores by the weights of its matched clauses.
 
 The vocabulary starts from a small list and is completed from labelled texts: words, and beginnings
 of words for languages that inflect, that stand in toxic texts far more often than elsewhere,
-counted by Spark over all labelled training rows. The weights of the patterns and of the vocabulary
+counted by Spark over all labelled training rows and kept by their odds and the share of toxic texts that hold them. The weights of the patterns and of the vocabulary
 are fitted by logistic regression on at most `FIT_ROWS` labelled training rows, taken evenly by a hash of
 doc_id; a bound on model fitting only. Everything labelled is used for the vocabulary's counts.
 
@@ -35,14 +35,12 @@ from .scratch import settle
 
 #: Labelled rows that fit the weights, at most.
 FIT_ROWS = 20_000
-#: Learnt entries of the vocabulary, at most.
-ENTRIES = 2_000
 #: Labels that may be broadcast (12 bytes each); more are joined by a shuffle of the training texts.
 BROADCAST_LABELS = 1_000_000
-#: Entries of toxic texts that are counted in the others, at most.
-CANDIDATES = 50_000
-#: Different toxic texts that hold an entry, at least: copies of one text teach nothing.
+#: Different toxic texts that hold a learnt entry, at least: copies of one text teach nothing. From 12,000 toxic texts on
+#: it is a share of them, so that the texts' own length bounds the vocabulary, whatever the size of the corpus.
 LEAST_TEXTS = 12
+LEAST_SHARE = 0.001
 BEGINNINGS = (4, 5, 6)
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OPEN, CLOSE, STRONG = 1, 2, 3, 4, 5, 6, 7, 8
@@ -171,12 +169,12 @@ def _entries(labelled: DataFrame) -> DataFrame:
 def _vocabulary(labelled: DataFrame, totals: dict[int, int]) -> tuple[dict[str, float], dict[str, float]]:
     """Words and beginnings that toxic texts hold far more often, over all labelled training rows.
 
-    What toxic texts hold is counted first; only its most frequent entries are looked for in the others."""
-    toxic = _entries(labelled.where("toxic = 1")).groupBy("w", "kind").agg(F.count("*").alias("a"), F.count_distinct("text").alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
-    wanted = settle(toxic.orderBy(F.desc("a"), "kind", "w").limit(CANDIDATES), "entries")
-    clean = _entries(labelled.where("toxic = 0")).join(F.broadcast(wanted.select("w", "kind")), ["w", "kind"]).groupBy("w", "kind").agg(F.count("*").alias("b"))  # CANDIDATES rows at most
-    odds = F.log((F.col("a") + 0.5) / (totals[1] + 1)) - F.log((F.coalesce("b", F.lit(0)) + 0.5) / (totals[0] + 1))
-    rows = wanted.join(clean, ["w", "kind"], "left").withColumn("odds", odds).where("odds > 3").orderBy(F.desc("odds"), "kind", "w").limit(ENTRIES).collect()
+    All entries of both labels are counted together; toxic ones first by text, for the number of different texts."""
+    by_text = _entries(labelled).groupBy("w", "kind", F.when(F.col("toxic") == 1, F.col("text")).alias("text")).agg(F.count("*").alias("n"))
+    toxic = F.col("text").isNotNull()
+    counts = by_text.groupBy("w", "kind").agg(F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("b"), F.count("text").alias("texts"))
+    odds = F.log((F.col("a") + 0.5) / (totals[1] + 1)) - F.log((F.col("b") + 0.5) / (totals[0] + 1))
+    rows = counts.where(F.col("texts") >= max(LEAST_TEXTS, LEAST_SHARE * totals[1])).withColumn("odds", odds).where("odds > 3").collect()
     words = {r["w"]: r["odds"] for r in rows if r["kind"] == 0}
     return words, {r["w"]: r["odds"] for r in rows if r["kind"] == 1}
 

@@ -44,6 +44,16 @@ def test_learnt(spark):
     assert toxicity.keep_clean(docs, model).columns == docs.columns
 
 
+def test_vocabulary_whole(spark):
+    """No entry leaves because many others are more frequent or tell more."""
+    common = [f"{a}{b}{c}{d}q" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghij" for d in "abc"]
+    rows = [(k, " ".join([*common, *(["zorgle"] if k % 2 else [])])) for k in range(40)] + [(k, "plain words " + "x" * (k % 7 + 1)) for k in range(40, 400)]
+    rows = [(k, f"{t} {chr(97 + k % 26) * (k // 26 + 1)}") for k, t in rows]
+    labelled = spark.createDataFrame([(int(k < 40), t) for k, t in rows] + [(1, "copy")] * 20, "toxic int, text string")
+    words, _ = toxicity._vocabulary(labelled, {0: 360, 1: 60})
+    assert set(common) <= set(words) and "zorgle" in words and "copy" not in words and "plain" not in words
+
+
 def test_no_labels(spark):
     docs = frame(spark, [(1, "you idiot"), (2, "hello"), (None, None)])
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
