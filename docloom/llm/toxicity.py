@@ -6,7 +6,8 @@ composed of five: targets arm a following insult, threats take the target they a
 negation weakens the next insult within reach, and a reporting verb or a quotation turns what
 follows into reported speech. The transducer's outputs are the matched patterns of the clause:
 insult, aimed insult, negated insult, reported insult, threat, aimed threat, negated threat and
-reported threat. A text scores by the weights of its matched clauses.
+reported threat. A learnt word carries its weight (log-odds) through the transducer, which adds it to the patterns
+that it outputs for that word. A text scores by its matched clauses alone.
 
 The vocabulary starts from a small list and is completed from labelled texts: words, and beginnings
 of words for languages that inflect, that stand in toxic texts far more often than elsewhere,
@@ -56,6 +57,8 @@ TAGS = {w: tag for tag, words in WORDS.items() for w in words.split()}
 #: Patterns that a clause can output, and the weights used when nothing is learnt.
 PATTERNS = {"insult": 2.5, "aimed_insult": 3.5, "negated_insult": 0.5, "reported_insult": 0.8, "threat": 0.6, "aimed_threat": 1.5, "negated_threat": 0.1, "reported_threat": 0.2, "strong": 0.5}
 NAMES = list(PATTERNS)
+#: Patterns of insults, which learnt words can output: their weights are summed by pattern.
+LEARNT = [n for n in NAMES if n.endswith("insult")]
 INTERCEPT = -3.0
 REACH = 4
 
@@ -70,25 +73,25 @@ class Model:
 
     words: dict[str, float] = field(default_factory=dict)
     beginnings: dict[str, float] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.array([*PATTERNS.values(), 0.0]))
+    weights: np.ndarray = field(default_factory=lambda: np.array([*PATTERNS.values(), *(0.0 for _ in LEARNT)]))
     intercept: float = INTERCEPT
 
 
 class Transducer:
-    """Reads the tags of one clause, writes its patterns.
+    """Reads the tags of one clause, writes its patterns, each with the place of its word.
 
     The state is (target seen, negation in reach, reported, strong); each step is one composed move."""
 
     def __init__(self) -> None:
         self.quoted = False
 
-    def clause(self, tags: list[int]) -> list[str]:
+    def clause(self, tags: list[int]) -> list[tuple[str, int]]:
         target = negated = strong = -REACH - 1
         reported, out, waiting = self.quoted, [], []
         for at, tag in enumerate(tags):
             if tag == TARGET:
                 target = at
-                out += ["aimed_" + kind for kind, seen in waiting if at - seen <= REACH]
+                out += [("aimed_" + kind, seen) for kind, seen in waiting if at - seen <= REACH]
                 waiting = []
             elif tag == NEGATION:
                 negated = at
@@ -102,30 +105,35 @@ class Transducer:
             elif tag in (INSULT, THREAT):
                 kind = "insult" if tag == INSULT else "threat"
                 if at - negated <= REACH:
-                    out.append("negated_" + kind)
+                    out.append(("negated_" + kind, at))
                 elif reported:
-                    out.append("reported_" + kind)
+                    out.append(("reported_" + kind, at))
                 elif at - target <= REACH:
-                    out.append("aimed_" + kind)
+                    out.append(("aimed_" + kind, at))
                 else:
-                    out.append(kind)
+                    out.append((kind, at))
                     waiting.append((kind, at))
                 if at - strong <= 1:
-                    out.append("strong")
+                    out.append(("strong", at))
         return out
 
 
 def features(text: str | None, model: Model) -> np.ndarray:
-    """Square roots of the pattern counts, then the summed log-odds of learnt insults, each word once."""
+    """Square roots of the pattern counts, then for each pattern of insults the summed log-odds of its learnt words, each word once."""
     counts = dict.fromkeys(NAMES, 0)
-    machine, tags, learnt = Transducer(), [], {}
+    machine, tags, weighed = Transducer(), [], {}
+    learnt: dict[str, dict[str, float]] = {n: {} for n in LEARNT}
     words, beginnings = model.words, model.beginnings
 
     def close() -> None:
         if tags:
-            for pattern in machine.clause(tags):
+            for pattern, at in machine.clause(tags):
                 counts[pattern] += 1
+                if at in weighed and pattern in learnt:
+                    word, weight = weighed[at]
+                    learnt[pattern][word] = weight
             tags.clear()
+            weighed.clear()
 
     for token in _TOKEN.findall((text or "").lower()):
         if token[0] in ".!?;:\n":
@@ -138,10 +146,10 @@ def features(text: str | None, model: Model) -> np.ndarray:
                 weight = max(beginnings.get(token[:k], 0.0) for k in BEGINNINGS)
             if weight:
                 tag = INSULT
-                learnt[token] = weight
+                weighed[len(tags)] = (token, weight)
         tags.append(tag)
     close()
-    return np.array([*(math.sqrt(counts[n]) for n in NAMES), math.log1p(sum(learnt.values()))])
+    return np.array([*(math.sqrt(counts[n]) for n in NAMES), *(math.log1p(sum(x.values())) for x in learnt.values())])
 
 
 def scores(x: np.ndarray, model: Model) -> np.ndarray:
@@ -224,7 +232,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py(), model) for t in batch.column("text")]).reshape(-1, len(NAMES) + 1)
+            x = np.array([features(t.as_py(), model) for t in batch.column("text")]).reshape(-1, len(NAMES) + len(LEARNT))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(x, model))], names=["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -235,7 +243,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The documents, in their own columns, that score under the limit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py(), model) for t in batch.column("text")]).reshape(-1, len(NAMES) + 1)
+            x = np.array([features(t.as_py(), model) for t in batch.column("text")]).reshape(-1, len(NAMES) + len(LEARNT))
             yield batch.filter(pa.array(scores(x, model) < limit))
 
     return docs.mapInArrow(run, docs.schema)

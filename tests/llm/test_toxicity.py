@@ -23,6 +23,17 @@ def test_patterns():
     assert found("a blarg", model) == found("xx vequoi", model) == {"insult"}
 
 
+def test_learnt_by_clause():
+    """A learnt word counts under the pattern of its clause alone: aimed, negated and reported ones share no feature."""
+    model = toxicity.Model(words={"blarg": 5.0}, beginnings={"vequ": 4.0})
+    for word, odds in (("blarg", 5.0), ("vequoi", 4.0)):
+        x = [toxicity.features(t.format(word), model) for t in ("You are a {}.", "You are not a {}.", "She wrote that {} left.", "Plain. Such {}")]
+        assert all((a > 0).sum() >= 2 and not ((a > 0) & (b > 0)).any() for a in x for b in x if a is not b)
+        assert all(np.isclose(a[len(toxicity.NAMES):].sum(), np.log1p(odds)) for a in x)
+    many = toxicity.features("You blarg. You blarg, not blarg. A blarg for you", model)
+    assert [round(float(v), 6) for v in many[len(toxicity.NAMES):]] == [round(float(np.log1p(5.0)), 6)] * 3 + [0.0]
+
+
 def test_learnt(spark):
     r = np.random.default_rng(1)
     words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(300)]
