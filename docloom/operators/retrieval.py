@@ -6,11 +6,17 @@ and, for dense search, vector. Hits: query_id, chunk_id, rank, score.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions import constants as K
 from docloom.functions import text as T
@@ -92,11 +98,72 @@ def dense_approximate(queries: DataFrame, corpus: DataFrame, k: int, bucket: flo
     return ranked(scored, F.desc("score"), F.asc("document_id"), F.asc("chunk_index"), limit=k)
 
 
-def nearest_pairs(vectors: DataFrame, k: int = 10, sample: int = 500) -> DataFrame:
-    """The k most alike pairs of a bounded sample of vectors (a report)."""
-    part = vectors.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample)
-    a, b = part.select(F.col("chunk_id").alias("left_id"), F.col("vector").alias("a")), part.select(F.col("chunk_id").alias("right_id"), F.col("vector").alias("b"))
-    return a.join(b, F.col("left_id") < F.col("right_id")).select("left_id", "right_id", cosine(F.col("a"), F.col("b")).alias("score")).orderBy(F.desc("score"), "left_id", "right_id").limit(k)
+#: Vectors in a block of nearest_pairs, about, and those of it that are multiplied at a time.
+PAIR_BLOCK, PAIR_ROWS = 8192, 512
+
+
+def nearest_pairs(vectors: DataFrame, k: int = 10, block: int = PAIR_BLOCK) -> DataFrame:
+    """The k most alike pairs of all vectors (a report), by products of blocks with the k best of a task.
+
+    Products choose the pairs; the scores are then summed in the order of cosine()."""
+    rows = vectors.where("chunk_id is not null").select("chunk_id", "vector")
+    blocks = max(1, -(-rows.count() // block))
+    of = rows.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("chunk_id", "vector")).alias("rows"))
+    left = of.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"), F.col("rows").alias("a"))
+    right = of.select(F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("rows").alias("b"))
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+
+    def side(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, vectors filled up with zeros, norms (0 where there is none), lengths."""
+        ids, lists = rows.values.field("chunk_id").to_numpy(zero_copy_only=False), rows.values.field("vector")
+        sizes = np.array(pc.fill_null(pc.list_value_length(lists), -1))
+        x = np.zeros((len(ids), max(1, sizes.max(initial=0))))
+        for n, v in enumerate(lists):
+            if sizes[n] > 0:
+                x[n, : sizes[n]] = [np.nan if y is None else y for y in v.as_py()] if v.values.null_count else v.values.to_numpy()
+        lacks = np.array([bool(v.is_valid and v.values.null_count) for v in lists], bool)
+        x[lacks] = 0.0
+        return ids, x, np.sqrt(_in_order(x, x)), sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple] = []  # (-score, left, right), k at most
+        for batch in batches:
+            for i, j, p, q in zip(*(batch.column(n) for n in ("i", "j", "a", "b"))):
+                (all_ids, all_x, all_xn, all_xs), (jds, y, yn, ys) = side(p), side(q)
+                width = max(all_x.shape[1], y.shape[1])
+                all_x, y = (np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in (all_x, y))
+                for first in range(0, len(all_ids), PAIR_ROWS):
+                    ids, x, xn, xs = (v[first : first + PAIR_ROWS] for v in (all_ids, all_x, all_xn, all_xs))
+                    fits = (xs[:, None] == ys[None, :]) & ~(xn == 0)[:, None] & ~(yn == 0)[None, :]
+                    with np.errstate(all="ignore"):
+                        about = np.where(fits, np.clip(np.nan_to_num(x @ y.T / (xn[:, None] * yn[None, :]), nan=1.0), 0, 1), 0.0)
+                    apart = ids[:, None] < jds[None, :] if i.as_py() == j.as_py() else ids[:, None] != jds[None, :]
+                    about = np.where(apart, about, -1.0)
+                    least = np.partition(about.ravel(), -k)[-k] if about.size > k else -1.0
+                    least = max(least, -best[-1][0] if len(best) == k else -1.0)
+                    rows, cols = np.nonzero((about >= least - 1e-9) & apart)
+                    for at in range(0, len(rows), 1 << 16):
+                        r, c = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)]
+                        with np.errstate(all="ignore"):
+                            score = np.where(fits[r, c], np.clip(np.nan_to_num(_in_order(x[r], y[c]) / (xn[r] * yn[c]), nan=1.0), 0, 1), 0.0)
+                        low, high = np.where(ids[r] < jds[c], ids[r], jds[c]), np.where(ids[r] < jds[c], jds[c], ids[r])
+                        take = np.lexsort((high, low, -score))[:k]
+                        best = sorted([*best, *zip((-score[take]).tolist(), low[take].tolist(), high[take].tolist())])[:k]
+        if best:
+            scores, low, high = zip(*best)
+            yield pa.RecordBatch.from_pydict({"left_id": low, "right_id": high, "score": [-s for s in scores]}, schema=pa.schema([("left_id", id_type), ("right_id", id_type), ("score", pa.float64())]))
+
+    id_type = to_arrow_type(rows.schema["chunk_id"].dataType)
+    found = left.join(right, ["i", "j"]).mapInArrow(run, f"left_id {kind}, right_id {kind}, score double")
+    return found.orderBy(F.desc("score"), "left_id", "right_id").limit(k)
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of rows, summed from the first place to the last."""
+    out = np.zeros(len(x))
+    for n in range(x.shape[1]):
+        out += x[:, n] * y[:, n]
+    return out
 
 
 def cosine_backfill(fused: DataFrame, dense: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -278,7 +278,7 @@ def dense_lsh(spark, sf_dir):
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(greatest(0, least(1, list_cosine_similarity(a.e, b.e))), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, 1, 2 LIMIT 10""")
 def nearest_pairs(spark, sf_dir):
     """A top-k report."""
-    return R.nearest_pairs(vectors(spark, sf_dir), 10, sample=5000).withColumn("score", r6(c("score")))
+    return R.nearest_pairs(vectors(spark, sf_dir), 10).withColumn("score", r6(c("score")))
 
 
 _RRF = """both_ AS (SELECT query_id, chunk_id, rank FROM lex WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, rank FROM den WHERE rank <= 30), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM both_ GROUP BY 1, 2),

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -122,3 +123,17 @@ def test_outcomes(spark):
     got = {r["query_id"]: (r["status"], r["reason"], r["final_answer"], r["cited_ids"]) for r in context.outcomes(a, more, m, more).collect()}
     assert got[0] == ("completed", None, "a good answer [1]", ["a"]) and got[1] == ("abstained", "insufficient_evidence", None, None)
     assert got[2] == ("completed", None, "a good answer [1]", ["a"]) and got[3][:2] == ("failed", "timeout")
+
+
+def test_nearest_pairs_whole(spark):
+    """All vectors are compared, in blocks of any size; ties go by id."""
+    r = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in r.normal(size=6)]) for k in range(590)] + [(600 + k, [1.0, 2.0, 3.0, 0.0, 0.0, 0.0]) for k in range(5)] + [(700, None), (701, [0.0] * 6), (702, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "chunk_id bigint, vector array<float>")
+    a, b = df.selectExpr("chunk_id as left_id", "vector as a"), df.selectExpr("chunk_id as right_id", "vector as b")
+    want = a.join(b, F.col("left_id") < F.col("right_id")).select("left_id", "right_id", R.cosine(F.col("a"), F.col("b")).alias("score")).orderBy(F.desc("score"), "left_id", "right_id").limit(30).collect()
+    for got in (R.nearest_pairs(df, 30, block=50), R.nearest_pairs(df, 30)):
+        assert got.collect() == want
+    few = df.where("chunk_id >= 700")
+    assert [tuple(x) for x in R.nearest_pairs(few, 5).collect()] == [(700, 701, 0.0), (700, 702, 0.0), (701, 702, 0.0)]
+    assert R.nearest_pairs(df.where("false")).count() == 0
