@@ -72,11 +72,13 @@ def strip_markdown(c: ColumnOrName) -> Column:
         (r"`([^`]+)`", "$1"), (r"(\*\*|__|\*|_)(.*?)\1", "$2"), (r"(?md)^#{1,6}\s+", "")]))
 
 
-def language(c: ColumnOrName, share: float = 0.6) -> Column:
-    """Fa, en or unknown by the share of Arabic or Latin letters among the first 10,000 characters.
+def language(c: ColumnOrName, share: float = 0.6, first: int | None = 10_000) -> Column:
+    """Fa, en or unknown by the share of Arabic or Latin letters among the `first` characters, None for the whole text.
+    The default is the reference's rule.
 
     The thresholds are our own: under 20 characters, or without a share of `share`, unknown."""
-    s = F.substring(F.trim(_col(c)), 1, 10_000)
+    s = F.trim(_col(c))
+    s = F.substring(s, 1, first) if first is not None else s
     arabic, latin = F.regexp_count(s, F.lit(r"[\x{0600}-\x{06FF}]")), F.regexp_count(s, F.lit("[A-Za-z]"))
     every = F.greatest(F.regexp_count(s, F.lit(r"\p{L}")), F.lit(1))
     return F.when(F.length(s) < 20, "unknown").when(arabic / every >= share, "fa").when(latin / every >= share, "en").otherwise("unknown")

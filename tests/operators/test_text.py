@@ -67,3 +67,9 @@ def test_margins(spark):
     got = {(r["doc_id"], r["page"]): r["text"] for r in files.without_margins(spark.createDataFrame(pages, "doc_id int, page int, text string")).collect()}
     assert got[(1, 2)] == "more"
     assert got[(2, 1)] == "Header\nx"
+
+
+def test_language_whole(spark):
+    """The reference's prefix is a parameter; without it the whole text counts."""
+    df = spark.range(1).selectExpr("concat(repeat('a', 10000), repeat('س', 30000)) as t")
+    assert tuple(df.select(T.language("t"), T.language("t", first=None)).first()) == ("en", "fa")
