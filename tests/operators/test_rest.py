@@ -13,18 +13,33 @@ DOCS = ["", "   ", "کوتاه", "# Title\nbody text here.\n\n- a\n- b\n\n- c\n\
 @pytest.mark.parametrize("text", DOCS)
 def test_splitter(text):
     p = chunking.split_document(text)
-    assert p == chunking.split_document(text) and bool(p) == bool(text.strip())
-    assert all(text[a:b] == t and 0 < b - a <= 1200 for a, b, t, *_ in p)
-    assert "".join(sorted(set("".join(t for _, _, t, *_ in p)) - set(" \n\t"))) == "".join(sorted(set(text) - set(" \n\t")))
+    assert bool(p) == bool(text.strip())
+    assert all(text[x["start"] : x["end"]] == x["text"] and 0 < len(x["text"]) <= 1200 for x in p)
+    seen = {i for x in p for i in range(x["start"], x["end"])}
+    assert all(i in seen for i, ch in enumerate(text) if not ch.isspace())
 
 
 def test_splitter_structure():
     p = chunking.split_document(DOCS[3])
-    assert p[0][3] == "Title" and p[0][4] == "heading"
+    assert p[0]["heading"] == "Title" and p[0]["strategy"] == "heading"
     long = chunking.split_document(DOCS[4])
-    assert len(long) > 3 and [x[5] for x in long[:3]] == [0, 0, 125] and all(x[2].endswith(".") for x in long[:-1])
-    assert [u[2] for u in chunking._coalesced(chunking._units(DOCS[3]))] == ["heading", "prose", "list", "faq", "table"]
-    assert not chunking._ends_sentence("3.14", 1) and not chunking._ends_sentence("Dr. x", 2) and chunking._ends_sentence("good. x", 4)
+    assert len(long) > 3 and [x["overlap"] for x in long[:3]] == [0, 0, 125] and all(x["text"].endswith(".") for x in long[:-1])
+    assert [u.kind for u in chunking.coalesced(chunking.units(DOCS[3]))] == ["heading", "prose", "list", "faq", "table"]
+
+
+def test_breaks():
+    """A break stands behind each line and sentence, not behind decimals, abbreviations and single letters."""
+    assert chunking.break_offsets("3.14 is pie. x") == [13] and chunking.break_offsets("Dr. A. x e.g. y") == []
+    assert chunking.break_offsets("One! Two\nthree etc.\nend.") == [5, 9, 20, 24]
+    assert list(chunking.cuts("aaaa bbbb cccc", most=6, overlap=2)) == [(0, 5, 0), (3, 5, 2), (4, 10, 1), (8, 14, 2)]
+    assert [x[:2] for x in chunking.cuts("x" * 10, most=4, overlap=1)] == [(0, 4), (3, 7), (6, 10)]
+
+
+def test_spans():
+    unit = chunking.Unit
+    plain = [unit(0, 600, "prose"), unit(602, 1100, "prose"), unit(1102, 1190, "list")]
+    assert list(chunking.spans(plain, 1200, 50, 1000)) == [(0, 1100), (1102, 1190)]  # something structured behind the target
+    assert list(chunking.spans([unit(0, 30, "prose"), unit(32, 2000, "prose"), unit(2002, 2010, "prose")], 1200, 50, 1000)) == [(0, 30), (32, 2000), (2000, 2010)]
 
 
 def test_chunk_rows(spark):
@@ -32,7 +47,7 @@ def test_chunk_rows(spark):
     rows = chunking.chunk_rows(docs)
     status = {r["doc_id"]: r["failure_reason"] for r in chunking.chunk_status(docs, rows).collect()}
     assert status[0] == status[1] == "empty_chunk_list" and status[3] is None
-    kinds = [chunking._kind(x) for x in ("a|b|c", "- a\n- b", "why?", "## H", "ماده 1: x\ny", "plain")]
+    kinds = [chunking.kind_of(x.split("\n")) for x in ("a|b|c", "- a\n- b", "why?", "## H", "ماده 1: x\ny", "plain")]
     df = spark.createDataFrame(list(enumerate(["a|b|c", "- a\n- b", "why?", "## H", "ماده 1: x\ny", "plain"])), "i int, t string")
     assert kinds == ["table", "list", "faq", "heading", "clause", "prose"] == [r["k"] for r in df.orderBy("i").select(chunking.block_kind(F.col("t")).alias("k")).collect()]
     assert chunking.replace_chunks(rows, rows.where("doc_id = 3")).count() == rows.count()
