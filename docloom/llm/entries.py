@@ -102,6 +102,14 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(r.b) AS compo
     "op6_warc_archive": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), k AS (SELECT h, max(page_id) AS kept FROM p WHERE octet_length(encode(h)) >= 1000 GROUP BY 1)
 SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN kept IS NOT NULL AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
 FROM p LEFT JOIN k USING (h)""",
+    "op7_line_dedup": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: trim(l[i], ' ' || chr(9) || chr(13)) <> '') AS own FROM d),
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(own)), lambda k: {'a': own[k], 'b': own[k + 1], 's': array_to_string(l[own[k]:own[k + 1]], chr(10))}), recursive := true) FROM x),
+r AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY s ORDER BY doc_id, a) > 1 AS gone FROM p),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i, true AS gone FROM r WHERE gone),
+t AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
+k AS (SELECT doc_id, count(gone) AS n_removed, string_agg(CASE WHEN gone IS NULL THEN line END, chr(10) ORDER BY i) AS kept FROM t LEFT JOIN g USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(l) END AS n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN k USING (doc_id)""",
     "op9_substring_dedup": rf"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS l FROM documents),
 w AS (SELECT doc_id, unnest(range(1, len(l) - 18)) AS i, unnest(list_transform(range(1, len(l) - 18), lambda x: array_to_string(l[x:x + 19], ' '))) AS s FROM d WHERE len(l) >= 20),
 f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS gone FROM w),

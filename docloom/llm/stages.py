@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, lines, packing, toxicity
 from .entries import tokenizer_path
@@ -16,9 +15,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that stand earlier too leave the texts; n_chars follows the text."""
-    size = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return lines.dedup(docs).withColumn("n_chars", size).select(docs.columns)
+    """Passages of lines that stand earlier too leave the texts; n_chars, where docs has it, follows the text.
+
+    No document goes: one that loses all its lines keeps an empty text. Nulls and empty texts pass as they are."""
+    return lines.dedup(docs, size="n_chars")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,3 @@
-import hashlib
 import random
 
 from hypothesis import given, settings
@@ -57,63 +56,85 @@ def blocks(seed, n=60):
     return out
 
 
+def pairs_removed(rows):
+    """Plain version: each pair of neighbouring lines that are not blank, with the blank ones between, after its first occurrence."""
+    seen, out = set(), []
+    for d, text in sorted(rows, key=lambda x: x[0]):
+        x = text.split("\n") if text else []
+        own = [i for i, y in enumerate(x) if y.strip(" \t\r")]
+        gone = set()
+        for a, b in zip(own, own[1:]):
+            p = "\n".join(x[a : b + 1])
+            if p in seen:
+                gone.update(range(a, b + 1))
+            seen.add(p)
+        out.append((d, len(x), len(gone), sha("\n".join(y for i, y in enumerate(x) if i not in gone))))
+    return out
+
+
 def test_lines(spark):
     rows = blocks(1) + [(100, None), (101, ""), (102, "\n\n\n"), (103, "\n".join(["x" * 30, "y" * 30] * 40)), (104, blocks(1)[3][1])]
-    df = frame(spark, rows)
-    cut = {}
-    for r in lines.chunks(df, least_chars=0).collect():
-        cut.setdefault(r["doc_id"], []).append((r["lo"], r["hi"], r["chunk"]))
-    seen, want = set(), {}
-    for d, text in rows:
-        x = (text or "").split("\n") if text else []
-        gone = set()
-        for lo, hi, chunk in sorted(cut.get(d, [])):
-            assert "\n".join(x[lo:hi] if x else [""]) == chunk and hi - lo > 1
-            if len(chunk) >= lines.LEAST_CHARS:
-                if chunk in seen:
-                    gone.update(range(lo, hi))
-                seen.add(chunk)
-        want[d] = (len(x), len(gone), sha("\n".join(y for i, y in enumerate(x) if i not in gone)))
-    got = {r[0]: tuple(r)[1:] for r in lines.report(df).collect()}
-    assert got == want and sum(v[1] for v in want.values()) > 100
-    out = lines.dedup(df)
-    assert out.columns == [*df.columns, "_lines", "_removed"] and out.where("doc_id = 100 and text is null").count() == 1
+    rows += [(105, "\n".join(["e"] * 50)), (106, "\n".join(["e"] * 49)), (107, "\n" * 5000), (108, "one line"), (109, "one line"), (110, "a\n\nb\n \nc"), (111, "q\na\n\nb"), (112, "w" * 300_000 + "\nz"), (113, "w" * 300_000 + "\nz\nlast")]
+    got = sorted(map(tuple, lines.report(frame(spark, rows)).collect()))
+    want = pairs_removed(rows)
+    assert got == want and sum(v[2] for v in want) > 200
+    assert got == sorted(map(tuple, lines.report(frame(spark, rows), mask=0, greatest=2).collect()))  # whatever the chunks
+
+
+def test_line_chunks(spark):
+    """Boundaries by an independent roll over the line hashes; chunks of two lines to the greatest size."""
+    df = frame(spark, blocks(2) + [(200, "\n".join(f"line {k}" for k in range(3000))), (201, "\n".join(["same"] * 90))])
+    rows = lines.hashed(df)
+    texts = {r["doc_id"]: r["h"] for r in rows.collect()}
+    found = {}
+    for r in lines.chunks(rows).collect():
+        found.setdefault(r["doc_id"], []).append((r["lo"], r["hi"]))
+    for d, h in texts.items():
+        h = [x % 2**64 for x in h]
+        hit = [False] + [((a << 1 | a >> 63) ^ b) & 3 == 0 for a, b in zip(h, h[1:])]
+        ends = [i + 1 for i in range(1, len(h) - 2) if hit[i] and not hit[i - 1]]
+        want = []
+        for a, b in zip([0, *ends], [*ends, len(h)]):
+            while b - a > 17:
+                want.append((a, a + 16))
+                a += 16
+            want.append((a, b))
+        assert sorted(found[d]) == want and all(2 <= b - a <= 17 for a, b in want)
 
 
 def test_lines_shift(spark):
-    """An insertion changes the chunks around it alone."""
+    """An insertion moves no other boundary, so that most of a copied text goes as chunks."""
     x = [f"line number {k} of the text" for k in range(200)]
     y = ["new", *x[:90], "another", *x[90:]]
     df = frame(spark, [(1, "\n".join(x)), (2, "\n".join(y))])
-    assert {r["doc_id"]: r["n_removed"] for r in lines.report(df).collect()}[2] > 120
+    cut = lines.chunks(lines.hashed(df)).groupBy("hash").count()
+    assert cut.where("count = 2").count() > 0.8 * cut.count()
+    assert {r["doc_id"]: r["n_removed"] for r in lines.report(df).collect()}[2] == 200
     assert lines.report(df.where("false")).count() == 0
-    odd = lines.report(frame(spark, [(None, "\n".join(x)), (1, "\n".join(x)), (1, "\n".join(x))])).collect()
-    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in odd)[0] == (0, 0) and len(odd) == 3
-    assert hashlib is not None
 
 
 def test_lines_planted(spark):
     """Passages of 2 to 9 lines between different neighbours leave whole, and nothing else does."""
     r = random.Random(7)
     line = lambda: " ".join(r.choice("abcdefghij") * r.randint(2, 6) for _ in range(6))
-    passages = [[line() for _ in range(k)] for k in range(2, 10) for _ in range(4)]
-    passages += [["if (a) {", "b();", "}"] * 2 + [f"c{k}();", "", "end"] for k in range(3)] + [[f"x{k}", "y", "z" * 30, "", "}"] for k in range(3)]
-    own = [0, 3, 1, 2]
+    passages = [[line() for _ in range(k)] for k in range(2, 10) for _ in range(25)]
     rows, want = [], {}
     for k, p in enumerate(passages):
-        for copy in range(3):
-            before, after = [line() for _ in range(own[(k + copy) % 4])], [line() for _ in range(own[(k + copy + 1) % 4])]
-            rows.append((3 * k + copy, "\n".join([*before, *p, *after])))
-            want[3 * k + copy] = "\n".join([*before, *p, *after] if not copy else [*before, *after])
-    shared = range(3 * (len(passages) - 6), 3 * len(passages))  # these passages have lines in common with each other
+        for copy in range(2):
+            before, after = [line() for _ in range((k + copy) % 4)], [line() for _ in range((k + copy + 1) % 4)]
+            rows.append((2 * k + copy, "\n".join([*before, *p, *after])))
+            want[2 * k + copy] = "\n".join([*before, *after] if copy else [*before, *p, *after])
     got = {x["doc_id"]: x["text"] for x in lines.dedup(frame(spark, rows)).collect()}
-    assert all(got[d] == t for d, t in want.items() if d not in shared or d % 3)
-
-
-def test_lines_long(spark):
-    """Runs of short lines and of one line, and rows that share an id."""
-    x = ["a" * 30, "b", "c", "d" * 30]
-    df = frame(spark, [(1, "\n".join(x)), (2, "\n".join(["q", *x, "r"])), (3, "\n".join(["e" * 30] * 50)), (4, "\n" * 5000), (5, "b\nc"), (6, "b\nc"), (7, "\n".join(["f", *x])), (7, "f")])
-    got = {(r["doc_id"], r["_lines"]): (r["_removed"], r["text"]) for r in lines.dedup(df).collect()}
-    assert got[2, 6] == (4, "q\nr") and got[3, 50] == (49, "e" * 30) and got[5, 2] == got[6, 2] == (0, "b\nc")
-    assert got[7, 5] == (4, "f") and got[7, 1] == (0, "f")
+    assert got == want
+
+
+def test_lines_rows(spark):
+    """Rows without id, rows of one id, and columns with the operator's own names."""
+    x = "\n".join(["a", "b", "c", "d"])
+    df = frame(spark, [(None, x), (1, x), (1, x), (2, "q\n" + x), (3, "a\nb"), (3, "zz\na\nb\nyy"), (4, None)])
+    names = ["_key", "_gone", "_split", "_before", "_less", "t", "h", "at", "_Key_", "n_chars"]
+    wide = df.selectExpr("*", *(f"1000 + {i} as `{c}`" for i, c in enumerate(names)))
+    out = lines.dedup(wide, size="n_chars")
+    assert out.columns == wide.columns and out.dtypes == wide.dtypes
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["n_chars"]) for r in out.collect())
+    assert got == sorted([(0, x, 1009), (1, x, 1009), (1, x, 1009), (2, "q", 1), (3, "", 0), (3, "zz\nyy", 5), (4, "", 1009)])
