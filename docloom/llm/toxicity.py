@@ -1,23 +1,29 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become tags: insult, threat, target (a person spoken to or about), negation, reporting
-verb, open or close of a quotation, intensifier. Each clause passes through one transducer,
-composed of five: targets arm a following insult, threats take the target they are aimed at,
-negation weakens the next insult within reach, and a reporting verb or a quotation turns what
-follows into reported speech. The transducer's outputs are the matched patterns of the clause:
-insult, aimed insult, negated insult, reported insult, threat, aimed threat, negated threat and
-reported threat. A learnt word carries its weight (log-odds) through the transducer, which adds it to the patterns
-that it outputs for that word. A text scores by its matched clauses alone.
-
-The vocabulary starts from a small list and is completed from labelled texts: words, and beginnings
-of words for languages that inflect, that stand in toxic texts far more often than elsewhere,
-counted by Spark over all labelled training rows and kept by their odds and the share of toxic texts that hold them. The weights of the patterns and of the vocabulary
-are fitted by logistic regression on at most `FIT_ROWS` labelled training rows, taken evenly by a hash of
-doc_id; a bound on model fitting only. Everything labelled is used for the vocabulary's counts.
+Five weighted transducers are written down as states and arcs and composed into one:
+
+  insult    words of the vocabulary (given or learnt) become insults, each arc with its word's log-odds
+  threat    words of violence become threats, aimed if a person is spoken to or about soon after
+  negation  an insult or threat within reach behind a negation becomes a negated one
+  report    behind a reporting verb or within quotation marks it becomes a reported one, to the clause's end
+  target    within reach behind a word for a person it becomes an aimed one
+
+The weight of a match is the product of its arcs' weights: a word's log-odds, little of it where the
+word is denied or reported, more where it is aimed. A text scores by the weights of its matches alone, each word
+once at its heaviest: by their sum, and by that sum over the root of the text's length. The two
+coefficients and the intercept come from a logistic regression on labelled rows.
+
+The vocabulary is learnt from all labelled training texts that differ, counted by Spark: words,
+and beginnings of words for languages that inflect, whose log-odds of standing in a toxic
+text stay above `LEAST_ODDS` when `ERRORS` standard errors are taken off. This test needs no limit
+on the vocabulary's size; with `LEAST_SHARE` of the toxic texts as the least support, the length of texts
+bounds it, whatever the size of the corpus. The regression alone is fitted on at most `FIT_ROWS`
+labelled rows, taken evenly by a hash of doc_id.
 
 Results: null and empty texts match nothing and get the score of an empty text. Each row is
-scored alone, so repeated rows get equal scores. Without labelled rows of both kinds the
-built-in list and weights are used.
+scored alone and whole, however long, so repeated rows get equal scores and rows without doc_id are scored too.
+A doc_id that is labelled more than once counts as toxic if any of its labels says so. Without labelled rows of both kinds the
+given words and coefficients are used. Other columns pass `keep_clean` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,122 +40,202 @@ from pyspark.sql import functions as F
 
 from .scratch import settle
 
-#: Labelled rows that fit the weights, at most.
+#: Labelled rows that fit the coefficients, at most.
 FIT_ROWS = 20_000
-#: Labels that may be broadcast (12 bytes each); more are joined by a shuffle of the training texts.
+#: Labels, or learnt entries, that may be broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
-#: Different toxic texts that hold a learnt entry, at least: copies of one text teach nothing. From 12,000 toxic texts on
-#: it is a share of them, so that the texts' own length bounds the vocabulary, whatever the size of the corpus.
-LEAST_TEXTS = 12
-LEAST_SHARE = 0.001
+LEAST_ODDS, ERRORS, LEAST_SHARE = 0.5, 3.0, 0.002
 BEGINNINGS = (4, 5, 6)
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OPEN, CLOSE, STRONG = 1, 2, 3, 4, 5, 6, 7, 8
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END, LINE = SYMBOLS = range(9)
+#: What comes out for a match; the weights of the arcs that write them follow.
+AIMED_INSULT, NEGATED_INSULT, REPORTED_INSULT, AIMED_THREAT, NEGATED_THREAT, REPORTED_THREAT = range(9, 15)
+EVERY = range(15)
+AIMED, NEGATED, REPORTED = 1.25, 0.05, 0.1
+REACH = 4
 WORDS = {
     INSULT: "idiot idiots moron morons stupid dumb loser losers trash garbage scum clown clowns worthless pathetic disgusting fool fools dumm dummkopf stupide imbécile estúpido",
     THREAT: "kill hurt destroy beat stab shoot punch burn töten tuer matar",
-    TARGET: "you your yours u he she they him her them his their these those people everyone du dich ihr vous tu toi usted tú ellos",
+    TARGET: "you your yours u he she they him you're her them his their these those people everyone du dich ihr vous tu toi usted tú ellos",
     NEGATION: "not no never neither nor isn't aren't wasn't don't won't can't nicht kein keine nie pas jamais nunca",
     REPORT: "said says wrote claims claimed reported quoted called tweeted according sagte schrieb dit écrit dijo escribió",
-    STRONG: "very so such really total totally complete utterly absolute sehr très muy",
 }
 TAGS = {w: tag for tag, words in WORDS.items() for w in words.split()}
-#: Patterns that a clause can output, and the weights used when nothing is learnt.
-PATTERNS = {"insult": 2.5, "aimed_insult": 3.5, "negated_insult": 0.5, "reported_insult": 0.8, "threat": 0.6, "aimed_threat": 1.5, "negated_threat": 0.1, "reported_threat": 0.2, "strong": 0.5}
-NAMES = list(PATTERNS)
-#: Patterns of insults, which learnt words can output: their weights are summed by pattern.
-LEARNT = [n for n in NAMES if n.endswith("insult")]
-INTERCEPT = -3.0
-REACH = 4
+#: Log-odds of given words that no labels speak for.
+GIVEN = {INSULT: 5.0, THREAT: 1.0}
+PAIRED = {INSULT: (AIMED_INSULT, NEGATED_INSULT, REPORTED_INSULT), THREAT: (AIMED_THREAT, NEGATED_THREAT, REPORTED_THREAT)}
+MATCHES = {INSULT, AIMED_INSULT, NEGATED_INSULT, REPORTED_INSULT, THREAT, AIMED_THREAT, NEGATED_THREAT, REPORTED_THREAT}
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]+|[\"“”„«»]", re.UNICODE)
-_CLAUSE = re.compile(r"[.!?;:\n]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\n|[.!?;:]+|[\"“”„«»]", re.UNICODE)
+_MARKS = {"\n": LINE, **dict.fromkeys("\"“”„«»", QUOTE)}
 _WORD = r"[\p{L}]+(?:['’][\p{L}]+)?"
+#: Words whose symbol one worker remembers.
+REMEMBERED = 200_000
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """arcs[state][symbol] = (next state, symbol written, weight)."""
+
+    start: object
+    arcs: dict
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this one writes, the other reads; weights multiply."""
+        start = (self.start, other.start)
+        arcs, todo = {}, [start]
+        while todo:
+            state = todo.pop()
+            if state in arcs:
+                continue
+            arcs[state] = {}
+            for symbol in EVERY:
+                mine, between, w = self.arcs[state[0]][symbol]
+                theirs, out, v = other.arcs[state[1]][between]
+                arcs[state][symbol] = ((mine, theirs), out, w * v)
+                todo.append((mine, theirs))
+        return Transducer(start, arcs)
+
+
+def _machine(start, states, arc) -> Transducer:
+    """arc(state, symbol) gives the arcs that differ from passing the symbol on in the same state."""
+    return Transducer(start, {s: {a: arc(s, a) or (s, a, 1.0) for a in EVERY} for s in states})
+
+
+def insult_transducer() -> Transducer:
+    """Its arcs read words: each word of the vocabulary is one arc that writes INSULT at the word's log-odds (see Model.symbol);
+    over symbols it passes everything on."""
+    return _machine(0, [0], lambda s, a: None)
+
+
+def threat_transducer() -> Transducer:
+    """A target within reach behind a threat closes an aimed one. The state counts the reach left."""
+    def arc(left, a):
+        if a in (END, LINE):
+            return 0, a, 1.0
+        if a == THREAT:
+            return REACH, a, 1.0
+        return (0, AIMED_THREAT, AIMED * GIVEN[THREAT] * 2) if a == TARGET and left else (max(left - 1, 0), a, 1.0)
+
+    return _machine(0, range(REACH + 1), arc)
+
+
+def negation_transducer() -> Transducer:
+    def arc(left, a):
+        if a in (END, LINE):
+            return 0, a, 1.0
+        if a == NEGATION:
+            return REACH, a, 1.0
+        after = max(left - 1, 0)
+        if left and a in PAIRED:
+            return after, PAIRED[a][1], NEGATED
+        return (after, NEGATED_THREAT, NEGATED) if left and a == AIMED_THREAT else (after, a, 1.0)
+
+    return _machine(0, range(REACH + 1), arc)
+
+
+def report_transducer() -> Transducer:
+    """A verb reports to the end of its clause, a quotation to its closing mark or the end of its line."""
+    def arc(state, a):
+        if a == LINE or (a == END and state == "reported"):
+            return "plain", a, 1.0
+        if a == QUOTE:
+            return ("quoted" if state != "quoted" else "plain"), a, 1.0
+        if a == REPORT and state == "plain":
+            return "reported", a, 1.0
+        if state != "plain" and a in PAIRED:
+            return state, PAIRED[a][2], REPORTED
+        return (state, REPORTED_THREAT, REPORTED) if state != "plain" and a == AIMED_THREAT else None
+
+    return _machine("plain", ("plain", "reported", "quoted"), arc)
+
+
+def target_transducer() -> Transducer:
+    def arc(left, a):
+        if a in (END, LINE):
+            return 0, a, 1.0
+        if a == TARGET:
+            return REACH, a, 1.0
+        return (max(left - 1, 0), PAIRED[a][0], AIMED) if left and a in PAIRED else (max(left - 1, 0), a, 1.0)
+
+    return _machine(0, range(REACH + 1), arc)
+
+
+def grammar() -> Transducer:
+    return insult_transducer().then(threat_transducer()).then(negation_transducer()).then(report_transducer()).then(target_transducer())
+
+
+def _table(machine: Transducer) -> tuple[list[list[tuple[int, int, float]]], int]:
+    """The composition with its states as numbers."""
+    number = {s: i for i, s in enumerate(machine.arcs)}
+    return [[(number[t], out, w) for t, out, w in (arcs[a] for a in EVERY)] for arcs in machine.arcs.values()], number[machine.start]
+
+
+_ARCS, _START = _table(grammar())
 
 
 @dataclass
 class Model:
-    """Weights of the learnt words and beginnings (log-odds), of the patterns, and the intercept."""
+    """Log-odds of the learnt words and beginnings, coefficients of the two features, the intercept."""
 
     words: dict[str, float] = field(default_factory=dict)
     beginnings: dict[str, float] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.array([*PATTERNS.values(), *(0.0 for _ in LEARNT)]))
-    intercept: float = INTERCEPT
-
-
-class Transducer:
-    """Reads the tags of one clause, writes its patterns, each with the place of its word.
-
-    The state is (target seen, negation in reach, reported, strong); each step is one composed move."""
-
-    def __init__(self) -> None:
-        self.quoted = False
-
-    def clause(self, tags: list[int]) -> list[tuple[str, int]]:
-        target = negated = strong = -REACH - 1
-        reported, out, waiting = self.quoted, [], []
-        for at, tag in enumerate(tags):
-            if tag == TARGET:
-                target = at
-                out += [("aimed_" + kind, seen) for kind, seen in waiting if at - seen <= REACH]
-                waiting = []
-            elif tag == NEGATION:
-                negated = at
-            elif tag == REPORT:
-                reported = True
-            elif tag == OPEN:
-                self.quoted = not self.quoted
-                reported = self.quoted or reported
-            elif tag == STRONG:
-                strong = at
-            elif tag in (INSULT, THREAT):
-                kind = "insult" if tag == INSULT else "threat"
-                if at - negated <= REACH:
-                    out.append(("negated_" + kind, at))
-                elif reported:
-                    out.append(("reported_" + kind, at))
-                elif at - target <= REACH:
-                    out.append(("aimed_" + kind, at))
-                else:
-                    out.append((kind, at))
-                    waiting.append((kind, at))
-                if at - strong <= 1:
-                    out.append(("strong", at))
-        return out
-
-
-def features(text: str | None, model: Model) -> np.ndarray:
-    """Square roots of the pattern counts, then for each pattern of insults the summed log-odds of its learnt words, each word once."""
-    counts = dict.fromkeys(NAMES, 0)
-    machine, tags, weighed = Transducer(), [], {}
-    learnt: dict[str, dict[str, float]] = {n: {} for n in LEARNT}
-    words, beginnings = model.words, model.beginnings
-
-    def close() -> None:
-        if tags:
-            for pattern, at in machine.clause(tags):
-                counts[pattern] += 1
-                if at in weighed and pattern in learnt:
-                    word, weight = weighed[at]
-                    learnt[pattern][word] = weight
-            tags.clear()
-            weighed.clear()
-
-    for token in _TOKEN.findall((text or "").lower()):
-        if token[0] in ".!?;:\n":
-            close()
-            continue
-        tag = OPEN if token[0] in "\"“”„«»" else TAGS.get(token, 0)
-        if not tag or tag == INSULT:
-            weight = words.get(token, 0.0)
-            if not weight and beginnings:
-                weight = max(beginnings.get(token[:k], 0.0) for k in BEGINNINGS)
-            if weight:
-                tag = INSULT
-                weighed[len(tags)] = (token, weight)
-        tags.append(tag)
-    close()
-    return np.array([*(math.sqrt(counts[n]) for n in NAMES), *(math.log1p(sum(x.values())) for x in learnt.values())])
+    weights: np.ndarray = field(default_factory=lambda: np.array([0.25, 3.2]))
+    intercept: float = -5.8
+    known: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def symbol(self, token: str) -> tuple[int, float]:
+        """The symbol of a token, and for insults and threats the weight of its arc."""
+        if token in _MARKS:
+            return _MARKS[token], 0.0
+        if not token[0].isalpha():
+            return END, 0.0
+        tag = TAGS.get(token, OTHER)
+        weight = self.words.get(token, 0.0)
+        if not weight and tag == OTHER and self.beginnings:
+            weight = max(self.beginnings.get(token[:k], 0.0) for k in BEGINNINGS)
+        if weight and tag in (OTHER, INSULT):
+            return INSULT, weight
+        return tag, GIVEN.get(tag, 0.0)
+
+    def symbols(self, tokens: list[str]) -> list[tuple[int, float]]:
+        known = self.known
+        try:
+            return [known[t] for t in tokens]
+        except KeyError:
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.update((t, self.symbol(t)) for t in set(tokens).difference(known))
+            return [known[t] for t in tokens]
+
+
+def matches(text: str | None, model: Model) -> tuple[list[tuple[int, str, float]], int]:
+    """What the grammar writes for a text: (symbol, word, weight) of each match; and the number of tokens."""
+    tokens = _TOKEN.findall((text or "").lower())
+    read = model.symbols(tokens)
+    if not any(w for _, w in read):
+        return [], len(tokens)
+    out, state, arcs = [], _START, _ARCS
+    for token, (symbol, weight) in zip(tokens, read):
+        state, written, factor = arcs[state][symbol]
+        if written in MATCHES:
+            out.append((written, token, factor * (weight or 1.0)))
+    return out, len(tokens)
+
+
+def features(text: str | None, model: Model) -> tuple[float, float]:
+    """The weights of the matches, each word once, summed; and over the root of the text's length."""
+    found, size = matches(text, model)
+    if not found:
+        return 0.0, 0.0
+    best: dict[str, float] = {}
+    for _, word, weight in found:
+        best[word] = max(best.get(word, 0.0), weight)
+    total = sum(best.values())
+    return math.log1p(total), math.log1p(10 * total / math.sqrt(size))
 
 
 def scores(x: np.ndarray, model: Model) -> np.ndarray:
@@ -162,52 +248,62 @@ def fold(doc_id: Column) -> Column:
 
 
 def _begins(words: str, k: int) -> Column:
-    return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.substring(w, 1, k))
+    return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
 
+def _entries(texts: DataFrame) -> DataFrame:
+    """w: each word, and each beginning with a star behind it, of each text, once a text."""
+    rows = texts.select(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("words"))
+    return rows.select(F.explode(F.concat("words", F.array_distinct(F.flatten(F.array(*(_begins("words", k) for k in BEGINNINGS)))))).alias("w"))
 
-def _entries(labelled: DataFrame) -> DataFrame:
-    """toxic, text (its hash), w, kind: each word (kind 0) and beginning (kind 1) of each text, once a text."""
-    word = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    rows = labelled.select("toxic", F.xxhash64("text").alias("text"), word.alias("words"))
-    begins = F.flatten(F.array(*(_begins("words", k) for k in BEGINNINGS)))
-    both = F.concat(F.transform("words", lambda w: F.struct(w.alias("w"), F.lit(0).alias("kind"))), F.transform(F.array_distinct(begins), lambda w: F.struct(w.alias("w"), F.lit(1).alias("kind"))))
-    return rows.select("toxic", "text", F.explode(both).alias("t")).select("toxic", "text", "t.*")
 
+def odds(a, b, toxic: int, clean: int, errors: float = ERRORS):
+    """Log-odds of an entry in a toxic and b clean texts, and the same less its standard errors."""
+    log, root = (F.log, F.sqrt) if isinstance(a, Column) else (math.log, math.sqrt)
+    value = log((a + 0.5) / (toxic + 1.0)) - log((b + 0.5) / (clean + 1.0))
+    return value, value - errors * root(1 / (a + 0.5) + 1 / (b + 0.5))
 
-def _vocabulary(labelled: DataFrame, totals: dict[int, int]) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and beginnings that toxic texts hold far more often, over all labelled training rows.
 
-    All entries of both labels are counted together; toxic ones first by text, for the number of different texts."""
-    by_text = _entries(labelled).groupBy("w", "kind", F.when(F.col("toxic") == 1, F.col("text")).alias("text")).agg(F.count("*").alias("n"))
-    toxic = F.col("text").isNotNull()
-    counts = by_text.groupBy("w", "kind").agg(F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("b"), F.count("text").alias("texts"))
-    odds = F.log((F.col("a") + 0.5) / (totals[1] + 1)) - F.log((F.col("b") + 0.5) / (totals[0] + 1))
-    rows = counts.where(F.col("texts") >= max(LEAST_TEXTS, LEAST_SHARE * totals[1])).withColumn("odds", odds).where("odds > 3").collect()
-    words = {r["w"]: r["odds"] for r in rows if r["kind"] == 0}
-    return words, {r["w"]: r["odds"] for r in rows if r["kind"] == 1}
+def vocabulary(labelled: DataFrame, least_odds: float = LEAST_ODDS, errors: float = ERRORS, least_share: float = LEAST_SHARE) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and beginnings with their log-odds, from (toxic, text) of which equal ones count once."""
+    distinct = settle(labelled.groupBy("text").agg(F.max("toxic").alias("toxic")), "texts")
+    n = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = n.get(1, 0), n.get(0, 0)
+    if not toxic or not clean:
+        return {}, {}
+    # no entry of fewer toxic texts can pass, even if no clean one holds it
+    least = next((a for a in range(1, toxic + 1) if odds(a, 0, toxic, clean, errors)[1] > least_odds), toxic + 1)
+    in_toxic = settle(_entries(distinct.where("toxic = 1")).groupBy("w").agg(F.count("*").alias("a")).where(F.col("a") >= max(least, least_share * toxic)), "entries")
+    few = in_toxic.count() <= BROADCAST_LABELS
+    wanted = F.broadcast(in_toxic.select("w")) if few else in_toxic.select("w").hint("merge")
+    in_clean = _entries(distinct.where("toxic = 0")).join(wanted, "w", "left_semi").groupBy("w").agg(F.count("*").alias("b"))
+    value, lower = odds(F.col("a"), F.coalesce(F.col("b"), F.lit(0)), toxic, clean, errors)
+    rows = in_toxic.join(in_clean, "w", "left").select("w", value.alias("odds"), lower.alias("lower")).where(F.col("lower") > least_odds).collect()  # bounded by least_share
+    return {r["w"]: r["odds"] for r in rows if r["w"][-1] != "*"}, {r["w"][:-1]: r["odds"] for r in rows if r["w"][-1] == "*"}
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **options) -> Model:
     """Learn from the labelled rows outside fold 0. Only texts and their labels are used."""
-    known = labels.where("toxic in (0, 1)").where(fold(F.col("doc_id")) != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known.hint("merge")
     labelled = settle(docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0).join(known, "doc_id"), "labelled")
     totals = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     model = Model()
     if not totals[0] or not totals[1]:
         return model
-    model.words, model.beginnings = _vocabulary(labelled, totals)
+    model.words, model.beginnings = vocabulary(labelled.select("toxic", "text"), **options)
     step = max(1, -(-sum(totals.values()) // (fit_rows // 2)))
     part = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.as_py(), model).tolist() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+            x = np.array([features(t.as_py(), model) for t in batch.column("text")]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "total", "dense"])
 
-    rows = part.select("toxic", "text").mapInArrow(run, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count("*").alias("n")).orderBy("toxic", "x").limit(fit_rows).collect()
-    x, y, n = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float), np.array([r["n"] for r in rows], float)
-    model.weights, model.intercept = _logistic(x, y, n)
+    rows = part.select("toxic", "text").mapInArrow(run, "toxic int, total double, dense double").groupBy("toxic", "total", "dense").agg(F.count("*").alias("n")).orderBy("toxic", "total", "dense").limit(fit_rows).collect()
+    x, y, n = np.array([[r["total"], r["dense"]] for r in rows]).reshape(-1, 2), np.array([r["toxic"] for r in rows], float), np.array([r["n"] for r in rows], float)
+    if 0 < y.sum() < len(y):
+        model.weights, model.intercept = _logistic(x, y, n)
     return model
 
 
@@ -228,12 +324,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -
     return w[:-1], float(w[-1])
 
 
+def _scored(batch: pa.RecordBatch, model: Model) -> np.ndarray:
+    return scores(np.array([features(t.as_py(), model) for t in batch.column("text")]).reshape(-1, 2), model)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py(), model) for t in batch.column("text")]).reshape(-1, len(NAMES) + len(LEARNT))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(x, model))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scored(batch, model))], names=["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -243,7 +342,6 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The documents, in their own columns, that score under the limit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py(), model) for t in batch.column("text")]).reshape(-1, len(NAMES) + len(LEARNT))
-            yield batch.filter(pa.array(scores(x, model) < limit))
+            yield batch.filter(pa.array(_scored(batch, model) < limit))
 
     return docs.mapInArrow(run, docs.schema)
