@@ -3,14 +3,16 @@
 Documents become token ids and an end id; longer ones are cut into pieces of the capacity,
 the first piece taking what is left over. Only the number of pieces of each length matters for
 the plan, so the plan is made from that table of at most `capacity` rows: sums of one, two and
-three lengths are indexed by their value, and for the longest open piece the combination that
+three lengths are indexed by their value, and for the longest open piece each combination that
 fills its gap exactly is consumed as often as the counts allow. What finds no exact complement
-is packed by best fit, again on counts. A plan step says "these lengths, so many times"; pieces
+is packed by best fit, again on counts; never in more sequences than best fit alone needs. A plan step says "these lengths, so many times"; pieces
 take their places by their rank among pieces of their length, which Spark computes in salted
 groups.
 
 Results: a null text is empty and gives the end id alone. Rows that share a doc_id are
-documents of their own, told apart by nothing but their place. No piece is dropped.
+documents of their own, told apart by nothing but their place; rows without doc_id are packed too. Texts are
+encoded whole, whatever their length, and no piece is dropped. Ties between pieces of one length go by doc_id and
+piece. An empty table gives no pieces. Other columns are left behind, so that no name clashes.
 """
 
 from __future__ import annotations
@@ -44,35 +46,29 @@ _PLAIN = re.compile(r"[\x20-\x7e\n\tÀ-ÖØ-öø-ɏ]*")
 
 
 class Encoder:
-    """Ids of texts, as little-endian 32-bit bytes, by a byte-level vocabulary in tokenizers' JSON.
+    """Ids of texts, as little-endian 32-bit bytes, as the tokenizers file gives them (special tokens in a text included).
 
-    Texts of plain characters are split into words; words met before are looked up, new ones merged
-    by tiktoken with the ranks of the same file. Other texts go to tokenizers whole."""
+    Texts of plain characters are split into words; words met before are looked up, new ones are merged by the
+    file's own model. Other texts, and those that hold a special token, go through the file's whole pipeline."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        import tiktoken
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        printed = {c: b for b, c in zip(_byte_order(), _byte_letters())}
-        assert set(printed) == set(ByteLevel.alphabet())
-        ranks = {bytes(printed[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in printed for c in token)}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {token: i for token, i in ranks.items() if token.decode("utf-8", "replace") not in special}
-        self.words = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
-        encode = self.words.encode_ordinary
-        self.known.update((w, array("I", encode(w)).tobytes()) for w in words)
+        merge = self.tokenizer.model.tokenize
+        for w in words:
+            letters = w.encode("utf-8").decode("latin-1").translate(_LETTERS)
+            self.known[w] = array("I", [x.id for x in merge(letters)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if not _PLAIN.fullmatch(text):
+            if not _PLAIN.fullmatch(text) or any(x in text for x in self.special):
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
                 continue
             words = _PRETOKEN.findall(text)
@@ -86,15 +82,14 @@ class Encoder:
         return out
 
 
-def _byte_order() -> list[int]:
-    """Bytes in the order of the byte-level alphabet: those printed as themselves, then the others."""
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printed bytes stand for themselves, the others for the characters from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return own + [b for b in range(256) if b not in own]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def _byte_letters() -> list[str]:
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return [chr(b) for b in own] + [chr(256 + k) for k in range(256 - len(own))]
+_LETTERS = _byte_letters()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -144,12 +139,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, number of such sequences), using every piece once."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] += n
-    steps: list[tuple[tuple[int, ...], int]] = []
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def exact_complements(left: np.ndarray, capacity: int) -> Plan:
+    """Sequences filled exactly, from the longest piece down: by one, two, then three complements, as often as their
+    counts allow. Takes what it uses from left, the number of pieces of each length."""
+    steps: Plan = []
 
     def use(parts: tuple[int, ...]) -> None:
         need = np.bincount(parts, minlength=capacity + 1)
@@ -158,51 +154,48 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             left[:] -= n * need
             steps.append((tuple(sorted(parts, reverse=True)), n))
 
-    def pairs(total: int) -> list[tuple[int, int]]:
-        """Available lengths a >= b of sum `total`, largest a first."""
-        a = np.arange(min(total - 1, capacity), (total + 1) // 2 - 1, -1)
+    def pairs(total: int, least: int = 1) -> list[tuple[int, int]]:
+        """Available lengths a >= b >= least of sum `total`, largest a first."""
+        a = np.arange(min(total - least, capacity), (total + 1) // 2 - 1, -1)
         b = total - a
-        ok = (left[a] > 0) & (left[b] > 0) & ((a != b) | (left[a] > 1)) if total > 1 else np.zeros(len(a), bool)
+        ok = (left[a] > 0) & (left[b] > 0) & ((a != b) | (left[a] > 1)) if len(a) else np.zeros(0, bool)
         return list(zip(a[ok].tolist(), b[ok].tolist()))
 
     use((capacity,))
     for length in range(capacity - 1, 0, -1):
         gap = capacity - length
-        while left[length] and left[gap] and (gap != length or left[length] > 1):  # one complement
+        if left[length] and left[gap]:
             use((length, gap))
-        while left[length]:  # two, then three, as long as any fits exactly
-            before = left[length]
-            for a, b in pairs(gap):
-                if left[length]:
-                    use((length, a, b))
-            if left[length] == before:
-                break
-        while left[length]:
-            before = left[length]
-            for c in range(1, gap // 3 + 1):
-                if left[c] and left[length]:
-                    for a, b in pairs(gap - c)[:8]:
-                        if b >= c and left[length]:
-                            use((length, a, b, c))
-            if left[length] == before:
+        for a, b in pairs(gap) if left[length] else ():
+            if left[length]:
+                use((length, a, b))
+        for c in range(1, gap // 3 + 1):
+            if not left[length]:
                 break
-    # best fit of what is left: open sequences by their gap, on counts
+            for a, b in pairs(gap - c, c) if left[c] else ():
+                if left[length]:
+                    use((length, a, b, c))
+    return steps
+
+
+def best_fit(left: np.ndarray, capacity: int) -> Plan:
+    """All pieces, from the longest down, each into the open sequence with the smallest gap that takes it; on counts."""
     opened: dict[tuple[int, ...], int] = {}
     gaps: list[dict[tuple[int, ...], None]] = [{} for _ in range(capacity + 1)]
     for length in range(capacity, 0, -1):
         n = int(left[length])
-        left[length] = 0
         for gap in range(length, capacity):
             while n and gaps[gap]:
                 parts = next(iter(gaps[gap]))
-                m = min(n, opened[parts])
-                n -= m
+                k = min(n, gap // length)  # what is left of this gap is again the smallest one
+                m = min(n // k, opened[parts])
+                n -= k * m
                 opened[parts] -= m
                 if not opened[parts]:
                     del opened[parts], gaps[gap][parts]
-                grown = (*parts, length)
+                grown = (*parts, *(length,) * k)
                 opened[grown] = opened.get(grown, 0) + m
-                gaps[gap - length][grown] = None
+                gaps[gap - k * length][grown] = None
         if n:
             fit = capacity // length
             for k, m in ((fit, n // fit), (n % fit, 1)):
@@ -210,7 +203,27 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
                     parts = (length,) * k
                     opened[parts] = opened.get(parts, 0) + m
                     gaps[capacity - k * length][parts] = None
-    return steps + [(parts, n) for parts, n in opened.items() if n]
+    return [(parts, n) for parts, n in opened.items() if n]
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """(lengths of one sequence, number of such sequences), using every piece once.
+
+    Exact complements are consumed down to some length of the longest piece, the residuals go by best fit. Below that
+    length small pieces are worth more as fillers of the residuals, so several are tried, and the fewest sequences win."""
+    pieces = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        pieces[length] += n
+    left = pieces.copy()
+    exact = exact_complements(left, capacity)
+    tried = []
+    for down_to in (1, capacity // 4, capacity // 2, 3 * capacity // 4, capacity + 1):
+        used = [(parts, n) for parts, n in exact if parts[0] >= down_to]
+        rest = pieces.copy()
+        for parts, n in used:
+            np.subtract.at(rest, list(parts), n)
+        tried.append(used + best_fit(rest, capacity))
+    return min(tried, key=lambda steps: sum(n for _, n in steps))
 
 
 def _places(steps: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[int, int, int]]]:

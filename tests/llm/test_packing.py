@@ -35,9 +35,41 @@ def test_plan_no_worse_than_best_fit_on_large_pieces():
     assert n == 13  # 12,888 ids
 
 
+def test_plan_never_worse(spark):
+    """Than plain best fit, piece by piece, on the given tables and on made counts."""
+    def plain(lengths):
+        gaps, used = [0] * 1025, 0
+        for n in sorted(lengths, reverse=True):
+            gap = next((g for g in range(n, 1025) if gaps[g]), None)
+            if gap is None:
+                used, gap = used + 1, 1024
+            else:
+                gaps[gap] -= 1
+            gaps[gap - n] += 1
+        return used
+
+    r = random.Random(4)
+    made = [[r.randint(1, 1024) for _ in range(2000)], [r.randint(1, 300) for _ in range(2000)], [600] * 10 + [424] * 4 + [212] * 6 + [100] * 9]
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        made.append([x["length"] for x in packing.pieces(docs, PATH).select("length").collect()])
+    for lengths in made:
+        assert sum(n for _, n in packing.plan(dict(Counter(lengths)))) <= plain(lengths)
+
+
+def test_exact_complements():
+    """Singles, pairs and triples fill exactly, under the counts there are."""
+    left = np.zeros(1025, np.int64)
+    for length, n in {1000: 3, 24: 1, 10: 2, 14: 1, 7: 3, 800: 1, 500: 2}.items():
+        left[length] = n
+    steps = packing.exact_complements(left, 1024)
+    assert all(sum(parts) == 1024 for parts, _ in steps)
+    assert sorted(steps) == [((1000, 10, 7, 7), 1), ((1000, 14, 10), 1), ((1000, 24), 1)]
+    assert left[7] == 1 and left[800] == 1 and left[500] == 2
+
+
 def test_encoder():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     texts = ["Hello  world's\n\n  it'll x_y 12 3.5 <|endoftext|> é ü ß", "², ½ x", "", "日本語 中文", "áb", "tab\tx\r\ny  z", "٠١", "__a_ -- b'c 's", "   ", "ª º µ × ÷ Ǆ"]
     r = random.Random(2)
     texts += ["".join(chr(r.choice([r.randint(32, 126), r.randint(160, 600), r.randint(0x600, 0x700), 32, 10, 9, 0x200C])) for _ in range(80)) for _ in range(400)]
@@ -51,7 +83,6 @@ def test_encoder():
 def test_pack(spark):
     rows = corpus(3, 100)
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     got = packing.place(packing.pieces(frame(spark, rows), PATH, with_ids=True), ranked=50).collect()
     by_doc, by_sequence = {}, {}
     for r in got:
