@@ -27,7 +27,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete tables of `settle` that nothing reads any more."""
+    for df in settled:
+        drop_path(df.sparkSession, df._settled_at)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

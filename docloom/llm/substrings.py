@@ -2,9 +2,9 @@
 
 Each document keeps the fingerprints of some of its 6-word windows: of every 15 neighbours the
 one of the smallest hash, so that each 20-word window holds one that depends on its own words
-alone. The index is a log of immutable runs, tables sorted by fingerprint and bucketed alike.
+alone. The index is a log of immutable runs, tables sorted by fingerprint and bucketed alike, in the shared folder.
 A new batch becomes a run, is merge-joined with the runs before it, and full runs are compacted
-into one. Only windows around fingerprints that come again are looked at: they are verified by
+into one; a log kept from earlier jobs takes further batches (`dedup(new, log=..., old=...)`). Only windows around fingerprints that come again are looked at: they are verified by
 a 128-bit digest of all their words, and every window that is not the first of its words is
 removed. Copies of a whole text are answered from the text's digest and are not indexed.
 
@@ -21,56 +21,98 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .scratch import settle
+from .scratch import drop_path, fresh_path, settle
 
 WINDOW = 20
 GRAM = 6
 BATCHES = 3
 FANOUT = 2
-#: Occurrences of a fingerprint that one task compares; more are salted by document.
-GROUP = 5000
+#: Occurrences of a fingerprint that one group compares; more are salted by document and place.
+GROUP = 500
+
+
+_RUN = "fp BIGINT, doc_id BIGINT, n INT"
 
 
 class RunLog:
-    """Immutable sorted runs (fp, doc_id, n) as bucketed tables: merge joins between them need no shuffle."""
+    """Immutable sorted runs (fp, doc_id, n) in a folder: bucketed tables, whose merge joins need no shuffle.
+
+    The folder is in spark.checkpoint.dir or wherever `at` says. It outlives the job: a later one opens it by its path and
+    adds batches. A run counts from the moment a manifest names it; a job that fails leaves the manifest before as it was."""
+
+    def __init__(self, spark: SparkSession, at: str | None = None, buckets: int | None = None, fanout: int = FANOUT):
+        self.spark, self.at, self.fanout = spark, at or fresh_path(spark, "runs"), fanout
+        self.buckets, self.runs, self.version = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), [], 0
+        try:
+            manifest = spark.read.parquet(f"{self.at}/manifest")
+        except AnalysisException:
+            return  # a new log
+        self.version = manifest.agg(F.max("version")).first()[0]
+        for r in manifest.where(F.col("version") == self.version).orderBy("place").collect():
+            self.buckets = r["buckets"]
+            self.runs.append((r["run"], self._table(r["run"])))
+
+    def _table(self, run: str) -> str:
+        name = f"docloom_{run}_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({_RUN}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.at}/{run}'")
+        return name
 
-    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT):
-        self.spark, self.buckets, self.fanout, self.runs = spark, buckets, fanout, []
+    def _write(self, rows: DataFrame) -> tuple[str, str]:
+        run = f"run_{uuid.uuid4().hex}"
+        name = f"docloom_{run}"
+        (rows.select("fp", "doc_id", "n").repartition(self.buckets, "fp").write.format("parquet").option("compression", "zstd").option("path", f"{self.at}/{run}")
+         .bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name))
+        return run, name
+
+    def _commit(self, runs: list[tuple[str, str]]) -> None:
+        rows = [(i, run, self.buckets) for i, (run, _) in enumerate(runs)]
+        self.spark.createDataFrame(rows, "place int, run string, buckets int").coalesce(1).write.parquet(f"{self.at}/manifest/version={self.version + 1}")
+        old = [x for x in self.runs if x not in runs]
+        self.version, self.runs = self.version + 1, runs
+        for run, name in old:
+            self.spark.sql(f"DROP TABLE {name}")
+            drop_path(self.spark, f"{self.at}/{run}")
 
     def append(self, rows: DataFrame) -> DataFrame:
+        """Write the rows as a run; returns it."""
         run = self._write(rows)
-        self.runs.append(run)
-        return self.spark.table(run)
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"docloom_run_{uuid.uuid4().hex}"
-        (rows.repartition(self.buckets, "fp").write.format("parquet").option("compression", "zstd")
-         .bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name))
-        return name
+        self._commit([*self.runs, run])
+        return self.spark.table(run[1])
 
     def compact(self) -> None:
         """Merge all runs into one once there are more than `fanout`."""
         if len(self.runs) > self.fanout:
-            rows = self.history()
-            old, self.runs = self.runs, [self._write(rows)]
-            for name in old:
-                self.spark.sql(f"DROP TABLE {name}")
+            self._commit([self._write(self.history())])
 
     def history(self) -> DataFrame | None:
         out = None
-        for name in self.runs:
+        for _, name in self.runs:
             run = self.spark.table(name)
             out = run if out is None else out.unionByName(run)
         return out
 
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Index a batch (doc_id, fps); returns (fp, n), the fingerprints of the batch that stand twice at least in all, with their count."""
+        history = self.history()
+        run = self.append(spread(batch))
+        again = settle(repeated(run, history), "again")
+        self.compact()
+        return again
+
+    def close(self) -> None:
+        """Forget the tables; the folder stays."""
+        for _, name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def drop(self) -> None:
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
+        self.close()
         self.runs = []
+        drop_path(self.spark, self.at)
 
 
 def _marks(data, offsets, window, gram):
@@ -128,30 +170,20 @@ def repeated(batch: DataFrame, history: DataFrame | None) -> DataFrame:
     return own.join(past.hint("merge"), "fp", "left").select("fp", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")).where("n > 1")
 
 
-def candidates(unique: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Index the documents batch by batch; per document the fingerprints that come again, with their counts."""
-    spark = unique.sparkSession
-    log = RunLog(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def candidates(unique: DataFrame, log: RunLog, batches: int = BATCHES) -> DataFrame:
+    """Index the documents batch by batch; per document of the log the fingerprints that came again, with their counts."""
     cuts = sorted(set(unique.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     edges = [None, *map(int, cuts), None]
-    found = []
+    again = None
     for low, high in zip(edges, edges[1:]):
         part = unique
         part = part.where(F.col("doc_id") > low) if low is not None else part
         part = part.where(F.col("doc_id") <= high) if high is not None else part
-        history = log.history()
-        run = log.append(spread(part))
-        again = settle(repeated(run, history), "again")
-        found.append(again)
-        log.compact()
-    again = found[0]
-    for x in found[1:]:
-        again = again.unionByName(x)
+        found = log.add(part)
+        again = found if again is None else again.unionByName(found)
     again = again.groupBy("fp").agg(F.max("n").alias("n"))
     pairs = log.history().select("fp", "doc_id").join(again.hint("merge"), "fp")
-    out = settle(pairs.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list("n").alias("ns")), "candidates")
-    log.drop()
-    return out
+    return settle(pairs.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list("n").alias("ns")), "candidates")
 
 
 def _windows(marked: DataFrame, window: int, gram: int, group: int) -> DataFrame:
@@ -187,7 +219,7 @@ def _windows(marked: DataFrame, window: int, gram: int, group: int) -> DataFrame
                     a, b = int(edge[k]), int(upto[k])
                     n = int(ns[at[k]])
                     keys = b"".join([hashlib.blake2b(text[cut[s] : cut[s + window] - 1], digest_size=16).digest() for s in range(a, b)])
-                    for x, v in zip(out, (int(mine[k]), n > group, ids[i] % -(-n // group), ids[i], a, keys)):
+                    for x, v in zip(out, (int(mine[k]), n > group, (ids[i] * 1_000_003 + a) % -(-n // group), ids[i], a, keys)):
                         x.append(v)
                     size += 16 * (b - a)
                 if size > 4 << 20:
@@ -242,22 +274,35 @@ def _later(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, lo int, hi int, key binary")
 
 
-def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
-    """doc_id, lo, hi: the starts lo..hi-1 of windows whose words start earlier too."""
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, group: int = GROUP, log: RunLog | None = None, old: DataFrame | None = None) -> DataFrame:
+    """doc_id, lo, hi: the starts lo..hi-1 of windows whose words start earlier too.
+
+    With a log kept from earlier jobs, docs are one more batch, and `old` are the documents indexed before, of smaller
+    ids, of which only those that share a fingerprint are read for words. Ranges are given for docs alone."""
     docs = docs.select("doc_id", "text")
+    spark = docs.sparkSession
     firsts = settle(fingerprints(docs.where("doc_id is not null"), window, gram).groupBy("whole").agg(F.min(F.struct("doc_id", "fps")).alias("first")).select("whole", "first.*"), "firsts")
     unique = firsts.where(F.length("fps") > 0).select("doc_id", "fps")
     whole = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     copies = (docs.where(F.length("text") >= 2 * window - 1).select("doc_id", whole.alias("whole"))
               .join(firsts.select("whole", F.col("doc_id").alias("first")), "whole")
               .where("doc_id > first").select("doc_id", F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi")))
-    marked = docs.join(candidates(unique, batches), "doc_id", "left")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = log or RunLog(spark)
+    try:
+        found = candidates(unique, own, batches)
+    finally:
+        own.close() if log else own.drop()
+    every = docs if old is None else docs.unionByName(old.select("doc_id", "text").join(found.select("doc_id"), "doc_id", "left_semi"))
+    marked = every.join(found, "doc_id", "left")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _windows(marked, window, gram, group).repartition(n, "fp", "salt").sortWithinPartitions("fp", "salt", "doc_id", "start")
     later = _later(rows)
     between = (later.where("key is not null").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lo"))).alias("at"))  # one of each salt
                .select(F.explode(F.slice("at", F.lit(2), F.size("at"))).alias("at")).select("at.doc_id", "at.lo", (F.col("at.lo") + 1).alias("hi")))
-    return later.where("key is null").select("doc_id", "lo", "hi").unionByName(between).unionByName(copies)
+    ranges = later.where("key is null").select("doc_id", "lo", "hi").unionByName(between)
+    if old is not None:
+        ranges = ranges.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return ranges.unionByName(copies)
 
 
 def _kept(found: list[bytes], ranges, window: int) -> list[bytes]:

@@ -36,13 +36,27 @@ def frame(spark, rows, **extra):
     return df
 
 
-@pytest.mark.parametrize("group", [3, 5000])
+@pytest.mark.parametrize("group", [3, 500])
 def test_substrings(spark, group):
     rows = corpus(1)
     got = {r[0]: tuple(r)[1:] for r in substrings.report(frame(spark, rows), group=group).collect()}
     assert got == brute.substrings(rows)
 
 
+def test_substrings_two_jobs(spark):
+    """A log kept in a folder takes a second job's batch, with the words of the first read where they are needed."""
+    rows = corpus(4)
+    old, new = frame(spark, rows[:60]), frame(spark, rows[60:])
+    log = substrings.RunLog(spark)
+    first = {r["doc_id"]: r["kept"] for r in substrings.dedup(old, log=log).collect()}
+    again = substrings.RunLog(spark, log.at)
+    assert again.version == log.version > 2 and [x[0] for x in again.runs] == [x[0] for x in log.runs] and len(again.runs) <= substrings.FANOUT + 1
+    second = {r["doc_id"]: r["kept"] for r in substrings.dedup(new, log=again, old=old, batches=1).collect()}
+    want = brute.substrings(rows)
+    assert {d: brute.sha(t) for d, t in (first | second).items()} == {d: v[2] for d, v in want.items()}
+    assert sum(v[1] for d, v in want.items() if d >= 60) > 500
+
+
 def test_substrings_empty(spark):
     assert substrings.report(frame(spark, [])).count() == 0
 
