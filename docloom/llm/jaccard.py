@@ -33,12 +33,11 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import rolling as R
 from .components import components
-from .scratch import settle
+from .scratch import discard, settle
 from .substrings import _batch
 
 SHINGLE = 5
@@ -337,9 +336,10 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     some = prints.where("n > 0 and doc_id is not null")
     sizes = some.groupBy("doc_id").agg(F.max("n").alias("n"))
     firsts = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("f")).select("f.*")
-    token = W.partitionBy("token")
-    shared = _tokens(firsts, percent).withColumn("members", F.count("*").over(token)).withColumn("first", F.min("doc_id").over(token))
-    shared = settle(shared.where("members > 1"), "shared")
+    tokens = settle(_tokens(firsts, percent), "tokens")
+    held = settle(tokens.groupBy("token").agg(F.count("*").alias("members"), F.min("doc_id").alias("first")).where("members > 1"), "held")
+    shared = settle(tokens.join(held, "token"), "shared")  # two written tables: Spark can split the join at a common token
+    discard(tokens, held)
     large = F.greatest("n", "m")
     near = (100 * F.least("n", "m") >= percent * large) & (F.col("c") >= F.least(F.lit(SHARED), F.ceil(percent * large / 100)))
     stars = shared.where("doc_id <> first").groupBy(F.col("first").alias("q"), F.col("doc_id").alias("d")).agg(F.count("*").alias("c"))
