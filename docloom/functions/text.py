@@ -37,19 +37,30 @@ def _replace_all(c: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, c)
 
 
+#: Characters that only some steps of the normaliser, or NFC, can change: soft hyphens, controls and spaces beyond ASCII, and all from U+0300 on.
+_BEYOND = r"[\x{0080}-\x{00A0}\x{00AD}\x{0300}-\x{10FFFF}]"
+
+
 def normalize(c: ColumnOrName) -> Column:
-    """The normaliser of Persian text, in its fixed order of thirteen steps; idempotent."""
-    x = F.regexp_replace(nfc(_col(c)), r"[\p{Cf}&&[^\x{200C}]]", "")
+    """The normaliser of Persian text, in its fixed order of thirteen steps; idempotent.
+
+    Texts of ASCII and precomposed Latin letters take only the steps that can change them, and no way through Python."""
+    x = _col(c)
+    plain = ~x.rlike(_BEYOND)
+    short = _replace_all(x, [(r"([!?,;:])\1+", "$1"), (r"\.{4,}", "..."), (r"\r\n?", "\n"), (r"[\x00-\x08\x0B-\x1F\x7F]+", ""), (r"[ \t]{2,}|\t", " "), (r" ?\n ?", "\n")])
+    short = F.trim(short)
+    x = F.regexp_replace(nfc(F.when(~plain, x)), r"[\p{Cf}&&[^\x{200C}]]", "")
     x = F.regexp_replace(x, r"[\x{0640}\x{0610}-\x{061A}\x{064B}-\x{0652}\x{0655}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]", "")
     x = F.translate(x, "يىك" + K.PERSIAN_DIGITS + K.ARABIC_DIGITS, "ییک" + K.LATIN_DIGITS * 2)
     x = F.translate(x, "“”„‟″‘’‚‛′？，；", "\"\"\"\"\"'''''؟،؛")
     x = F.replace(x, F.lit("…"), F.lit("..."))
-    return _replace_all(x, [
+    full = _replace_all(x, [
         (r"([؟!?,،؛;:])\1+", "$1"), (r"\.{4,}", "..."),
         (r"\x{200C}+", K.ZWNJ), (r"(?<!\p{L})\x{200C}|\x{200C}(?!\p{L})", ""),
         (r"\r\n|\r", "\n"), (r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]", " "),
         (r"[\p{Cc}&&[^\n\t]]", ""), (r"[ \t]+", " "), (r"(?md)^[ \x{2028}\x{2029}]+|[ \x{2028}\x{2029}]+$", ""),
     ])
+    return F.when(plain, short).otherwise(full)
 
 
 def casefold(c: ColumnOrName) -> Column:
@@ -165,10 +176,12 @@ def looks_like_table(c: ColumnOrName) -> Column:
 
 
 def lexical_tokens(c: ColumnOrName, normal: bool = False) -> Column:
-    """Tokens for lexical search; half-spaces join, question marks fall off. `normal`: c is normalised already."""
+    """Tokens for lexical search; half-spaces join, question marks fall off. `normal`: c is normalised already.
+
+    Where no token can begin or end in a question mark, and lower case keeps the letters, the text is folded as a whole."""
     x = _col(c) if normal else normalize(c)
     found = F.transform(find_all(x, K.LEXICAL_TOKEN), lambda t: F.regexp_replace(casefold(without_half_spaces(t)), r"^[؟?]+|[؟?]+$", ""))
-    return F.filter(found, lambda t: t != "")
+    return F.when(x.rlike("[؟\u0130]"), F.filter(found, lambda t: t != "")).otherwise(find_all(casefold(without_half_spaces(x)), K.TOKEN))
 
 
 def all_tokens(c: ColumnOrName) -> Column:

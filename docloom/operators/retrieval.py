@@ -20,6 +20,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions import constants as K
 from docloom.functions import text as T
+from docloom.sources.shared import settle
+
+#: Query tokens, and query vectors, that are sent to the tasks at once; more take a shuffle, or further passes.
+MANY, QUERY_BLOCK = 50_000, 4096
 
 
 def ranked(hits: DataFrame, *order: Column, by: str = "query_id", rank: str = "rank", limit: int | None = None) -> DataFrame:
@@ -75,16 +79,52 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), F.least(F.greatest(dot(a, b) / norm, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
 
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Exact. Norms are taken once a side, and only k rows of a query leave a task (window group limit)."""
-    unit = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    left = queries.select("query_id", F.col("vector").alias("q"), F.sqrt(unit("vector")).alias("qn"))
-    right = corpus.select("chunk_id", "document_id", "chunk_index", F.col("vector").alias("v"), F.sqrt(unit("vector")).alias("vn"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    fits = (F.size("q") == F.size("v")) & (F.col("qn") > 0) & (F.col("vn") > 0)
-    score = F.when(fits, F.least(F.greatest(dot / (F.col("qn") * F.col("vn")), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    scored = right.join(left).withColumn("score", score).drop("q", "v", "qn", "vn")
-    return ranked(scored, F.desc("score"), F.asc("document_id"), F.asc("chunk_index"), limit=k)
+def _matrix(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors filled up with zeros, their norms (0 where there is none to use), their lengths."""
+    sizes = np.array(pc.fill_null(pc.list_value_length(lists), -1))
+    x = np.zeros((len(sizes), max(1, sizes.max(initial=0))))
+    for n, v in enumerate(lists):
+        if sizes[n] > 0 and not v.values.null_count:
+            x[n, : sizes[n]] = v.values.to_numpy(zero_copy_only=False)
+    with np.errstate(all="ignore"):
+        norms = np.sqrt(_in_order(x, x))
+    return x, np.where(np.isfinite(norms), norms, 0.0), sizes
+
+
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact. A block of at most `block` queries is sent to the tasks, each of which scans its part of the corpus once
+    by matrix products and gives k hits of a query for a batch; further queries take further scans.
+
+    Products choose the hits (with a margin for rounding); their scores are then summed in the order of cosine()."""
+    left = queries.where("query_id is not null").select("query_id", "vector")
+    blocks = max(1, -(-left.count() // block))
+    kinds = {c: corpus.schema[c].dataType.simpleString() for c in ("chunk_id", "document_id", "chunk_index")}
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {', '.join(f'{c} {t}' for c, t in kinds.items())}, score double"
+    every = None
+    for n in range(blocks):
+        part = left.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toArrow()  # about `block` rows
+        sent = queries.sparkSession.sparkContext.broadcast((part.column("query_id").combine_chunks(), *_matrix(part.column("vector").combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q, qn, qs = sent.value
+            for batch in batches:
+                x, xn, xs = _matrix(batch.column("vector"))
+                width = max(q.shape[1], x.shape[1])
+                mine, asked = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
+                for at in range(0, len(ids), 256):
+                    fits = (qs[at : at + 256, None] == xs[None, :]) & (qn[at : at + 256, None] > 0) & (xn[None, :] > 0)
+                    with np.errstate(all="ignore"):
+                        about = np.where(fits, np.clip(asked[at : at + 256] @ mine.T / (qn[at : at + 256, None] * xn[None, :]), 0, 1), 0.0)
+                    least = np.partition(about, -k, axis=1)[:, -k] if about.shape[1] > k else np.full(len(about), -1.0)
+                    rows, cols = np.nonzero(about >= least[:, None] - 1e-9)
+                    with np.errstate(all="ignore"):
+                        exact = _in_order(asked[at + rows], mine[cols]) / (qn[at + rows] * xn[cols])
+                    score = np.where(fits[rows, cols], np.clip(np.nan_to_num(exact), 0, 1), 0.0)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + rows)), *(batch.column(c).take(pa.array(cols)) for c in kinds), pa.array(score)], names=["query_id", *kinds, "score"])
+
+        found = corpus.select(*kinds, "vector").mapInArrow(run, schema)
+        every = found if every is None else every.unionByName(found)
+    return ranked(every, F.desc("score"), F.asc("document_id"), F.asc("chunk_index"), limit=k)
 
 
 def dense_approximate(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 1.0, tables: int = 6) -> DataFrame:
@@ -213,15 +253,18 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(found: DataFrame, queries: DataFrame, limit: int | None = K.POOL, k1: float = K.BM25_K1, b: float = K.BM25_B) -> DataFrame:
     """Hits by the best segment of each chunk. Repeated query tokens count repeatedly.
 
-    Tokens that no query holds leave before anything is counted."""
+    Texts are tokenised once: what is kept of a segment is its length and its tokens that a query holds. Up to MANY
+    query tokens the table of (query, token, weight) is broadcast, so that no common token meets in one task."""
     asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    size = found.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("average"))
-    rows = found.select("chunk_id", "segment", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    rows = rows.join(asked.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "segment", "length", "token").agg(F.count("*").alias("tf"))
-    weighed = rows.join(document_frequency(rows), "token").join(F.broadcast(size))
+    few = asked.count() <= MANY
+    own = F.filter("tokens", lambda t: t.isin([r["token"] for r in asked.select("token").distinct().collect()])) if few else F.col("tokens")  # MANY at most
+    held = settle(found.select("chunk_id", "segment", F.size("tokens").alias("length"), own.alias("tokens")), "segments")
+    size = held.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+    rows = held.select("chunk_id", "segment", "length", F.explode("tokens").alias("token")).groupBy("chunk_id", "segment", "length", "token").agg(F.count("*").alias("tf"))
+    wanted = asked.join(document_frequency(rows), "token").join(F.broadcast(size))
+    weighed = rows.join(F.broadcast(wanted) if few else wanted, "token")
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest("average", F.lit(1e-9))))
-    scored = weighed.withColumn("part", part).join(asked, "token")
-    best = scored.groupBy("query_id", "chunk_id", "segment").agg(F.sum(F.col("part") * F.col("times")).alias("score")).where("score > 0")
+    best = weighed.groupBy("query_id", "chunk_id", "segment").agg(F.sum(part * F.col("times")).alias("score")).where("score > 0")
     best = best.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return ranked(best, F.desc(F.round("score", 9)), F.asc("chunk_id"), limit=limit)
 

@@ -12,6 +12,7 @@ from docloom.functions import text as T
 from docloom.operators import catalog, chunking, context, diagnostics, evidence, indexing, metrics, questions, ranking
 from docloom.operators import retrieval as R
 from docloom.sources import files
+from docloom.sources.shared import table
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +29,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def r6(x):
     return F.round(x, 6)
 
@@ -296,7 +293,8 @@ def rrf_fused(spark, sf_dir):
     return out.select("query_id", "chunk_id", "rank", r6(c("rrf")).alias("rrf"), r6(c("max_rrf")).alias("max_rrf"))
 
 
-@query(f"""WITH {_BM25}, {_DENSE}, {_RRF} SELECT fr.query_id, fr.chunk_id, round(greatest(0, least(1, 0.72 * coalesce(dn.score, 0) + 0.28 * rrf / m)), 6) AS blended FROM fr LEFT JOIN dn USING (query_id, chunk_id) WHERE fr.rank <= 24""")
+@query(f"""WITH {_BM25}, {_DENSE}, {_RRF} SELECT fr.query_id, fr.chunk_id, round(greatest(0, least(1, 0.72 * greatest(0, least(1, coalesce(list_cosine_similarity(q.e, v2.e), 0))) + 0.28 * rrf / m)), 6) AS blended
+FROM (SELECT * FROM fr WHERE rank <= 24) fr LEFT JOIN v q ON q.vec_id = fr.query_id LEFT JOIN v v2 ON v2.vec_id = fr.chunk_id""")
 def rrf_blended(spark, sf_dir):
     """R03, J07"""
     dense, lexical = _lists(spark, sf_dir)
