@@ -281,13 +281,20 @@ def reflow(c: ColumnOrName) -> Column:
     return F.aggregate(lines, F.lit(""), step)
 
 
-def quality(c: ColumnOrName) -> dict[str, Column]:
-    """Counters of what extraction left behind."""
+def quality(c: ColumnOrName, reference: ColumnOrName | None = None, artifacts: list[str] | None = None) -> dict[str, Column]:
+    """Counters of what extraction left behind. With a reference text, `number_mismatches`: places at which the two
+    sequences of numbers differ; with patterns of glyph artifacts, `artifacts`: how often they stand between no letters."""
     x = _col(c)
     lines = F.split(x, "\n")
     n = lambda p: F.regexp_count(x, F.lit(p))
-    return {
+    out = {
         "lines": F.size(lines), "blank_lines": F.size(F.filter(lines, lambda s: F.trim(s) == "")), "question_lines": F.size(F.filter(lines, lambda s: ends_in_question(F.trim(s)))),
         "numbers": F.size(number_runs(x)), "replacement_chars": n(r"\x{FFFD}"), "presentation_forms": n(r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"),
         "letter_variants": n("[يىك]"), "spacing_anomalies": n(r" {2,}| [،؛؟.,]"),
     }
+    if reference is not None:
+        mine, other = (F.transform(number_runs(t), to_latin_digits) for t in (x, _col(reference)))
+        out["number_mismatches"] = F.size(F.filter(F.zip_with(mine, other, lambda a, b: ~a.eqNullSafe(b)), lambda d: d))
+    if artifacts:
+        out["artifacts"] = n("|".join(rf"(?<!\p{{L}}){a}(?!\p{{L}})" for a in artifacts))
+    return out

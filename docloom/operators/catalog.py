@@ -99,17 +99,40 @@ def restore(bases: DataFrame, ids: DataFrame) -> DataFrame:
     return set_status(bases, ids, "knowledge_base_id", "active", "archived")
 
 
+def delete_targets(documents: DataFrame, folders: DataFrame, targets: DataFrame) -> DataFrame:
+    """target_id, document_id of the documents below each target. Targets: target_id, kind (knowledge_base, folder, document), id."""
+    of = lambda kind: targets.where(c("kind") == kind).select("target_id", "id")
+    bases = of("knowledge_base").join(documents.select("document_id", c("knowledge_base_id").alias("id")), "id")
+    roots = of("folder").join(folders.select(c("folder_id").alias("id"), "path"), "id")
+    inner = subtree(folders, roots.select(c("id").alias("folder_id"), "path")).join(of("folder").select("target_id", c("id").alias("root_id")), "root_id")
+    below = inner.join(documents.select("document_id", "folder_id"), "folder_id")
+    own = of("document").select("target_id", c("id").alias("document_id")).join(documents.select("document_id"), "document_id", "left_semi")
+    return bases.select("target_id", "document_id").unionByName(below.select("target_id", "document_id")).unionByName(own).distinct()
+
+
 def deletable(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(document ids of the targets, targets that a legal hold blocks). Targets: target_id, document_id."""
     held = targets.join(documents.where("legal_hold").select("document_id"), "document_id", "left_semi").select("target_id").distinct()
     return targets.join(held, "target_id", "left_anti").select("document_id").distinct(), held
 
 
-def delete_cascade(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """Documents and all that hangs on them: versions, chunks, embeddings, uploads."""
+def delete_cascade(tables: dict[str, DataFrame], ids: DataFrame, targets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Documents and all that hangs on them: versions, chunks, embeddings, uploads; with unblocked targets (kind, id)
+    also folders with what lies below them, and a knowledge base's folders, conversations and their messages."""
     versions = tables["versions"].join(ids, "document_id", "left_semi").select("document_version_id", "upload_session_id")
     chunks = tables["chunks"].join(versions, "document_version_id", "left_semi").select("chunk_id")
     gone = {"documents": (ids, "document_id"), "versions": (ids, "document_id"), "chunks": (versions, "document_version_id"), "embeddings": (chunks, "chunk_id"), "uploads": (versions, "upload_session_id")}
+    if targets is not None:
+        bases = targets.where("kind = 'knowledge_base'").select(c("id").alias("knowledge_base_id"))
+        gone["knowledge_bases"] = (bases, "knowledge_base_id")
+        if "folders" in tables:
+            f = tables["folders"]
+            roots = f.join(targets.where("kind = 'folder'").select(c("id").alias("folder_id")), "folder_id", "left_semi").select("folder_id", "path")
+            dead = subtree(f, roots).select("folder_id")
+            gone["folders"] = (dead.unionByName(f.join(bases, "knowledge_base_id", "left_semi").select("folder_id")) if "knowledge_base_id" in f.columns else dead, "folder_id")
+        if "conversations" in tables:
+            talks = tables["conversations"].join(bases, "knowledge_base_id", "left_semi").select("conversation_id")
+            gone |= {"conversations": (talks, "conversation_id"), "messages": (talks, "conversation_id")}
     return {name: rows.join(gone[name][0].select(gone[name][1]), gone[name][1], "left_anti") if name in gone else rows for name, rows in tables.items()}
 
 

@@ -197,5 +197,5 @@ def append_turns(messages: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def transcript(messages: DataFrame, conversations: DataFrame) -> DataFrame:
-    """The messages of active conversations, in order."""
-    return messages.join(conversations.where("status = 'active'").select("conversation_id"), "conversation_id", "left_semi").orderBy("conversation_id", "seq")
+    """The messages of active conversations; each conversation's are in order within one partition."""
+    return messages.join(conversations.where("status = 'active'").select("conversation_id"), "conversation_id", "left_semi").repartition("conversation_id").sortWithinPartitions("conversation_id", "seq")

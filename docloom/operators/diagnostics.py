@@ -102,25 +102,56 @@ def sweep_k(rows: DataFrame, ks: list[int]) -> DataFrame:
     return out.withColumn("recommended", F.row_number().over(W.orderBy(F.desc("hit_rate"), "k")) == 1)
 
 
+def miss_labels(misses: DataFrame) -> DataFrame:
+    """question_id, labels (sorted): how the wording of a missed question departs. Misses: question_id, query, kind (of variant, or null), top_text, gold_text (null where not retrieved)."""
+    kind = lambda *names: F.coalesce(c("kind").isin(*names), F.lit(False))
+    q, top, gold = T.all_tokens("query"), F.array_distinct(T.all_tokens("top_text")), T.all_tokens("gold_text")
+    own = F.array_distinct(q)
+    apart = (F.size(own) > 0) & (F.size(top) > 0) & (F.size(F.array_intersect(own, top)) < F.greatest(F.lit(1), F.floor(F.size(own) / 4)))
+    turned = (F.size(gold) > 0) & (F.size(own) > 0) & (F.sort_array(own) == F.sort_array(F.array_distinct(gold))) & (q != gold)
+    labels = F.array_compact(F.array(
+        F.when(kind("synonym", "paraphrase", "formal", "informal"), "synonyms_or_paraphrase"), F.when(kind("spelling"), "morphology_or_spelling"),
+        F.when(F.contains("query", F.lit("اختصار")) | F.contains(F.lower("query"), F.lit("acronym")), "acronyms"),
+        F.when(kind("paraphrase", "formal", "informal") | F.coalesce(apart, F.lit(False)), "different_wording"), F.when(F.coalesce(turned, F.lit(False)), "word_order"),
+        F.when(kind("halfspace", "arabic_yeh_kaf", "digit_latin", "digit_persian", "digit_arabic_indic"), "surface_normalization")))
+    return misses.select("question_id", F.when(F.size(labels) > 0, F.sort_array(labels)).otherwise(F.array(F.lit("unspecified_semantic_gap"))).alias("labels"))
+
+
 def miss_gaps(misses: DataFrame) -> DataFrame:
-    """What the wording of missed questions lacks, with shares. Misses: query, gold_text."""
-    q, g = T.content_tokens("query"), T.content_tokens("gold_text")
-    shared = T.jaccard(q, g)
-    labels = F.array_compact(F.array(F.when(shared == 0, "no_shared_terms"), F.when((shared > 0) & (shared < 0.05), "few_shared_terms"), F.when(F.size(q) <= 2, "short_query"), F.when((F.size(T.short_numbers("query")) > 0) & ~F.arrays_overlap(T.short_numbers("query"), T.short_numbers("gold_text")), "number_mismatch")))
-    rows = misses.select(F.explode(F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("wording_close")))).alias("label"))
+    """Label, n, percent of the misses."""
+    labels = miss_labels(misses)
     total = misses.agg(F.count("*").alias("total"))
-    return rows.groupBy("label").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("label", "n", (100.0 * c("n") / c("total")).alias("percent"))
+    return labels.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("label", "n", (100.0 * c("n") / c("total")).alias("percent"))
 
 
 def root_causes(rows: DataFrame) -> DataFrame:
-    """Up to five hypotheses of a failure by confidence. Rows: hit, top_score, gold_rank, grounded, abstained, expect_abstention."""
-    h = lambda when, name, confidence: F.when(when, F.struct(F.lit(-confidence).alias("s"), F.lit(name).alias("cause")))
-    found = F.array_compact(F.array(
-        h(c("abstained") & ~c("expect_abstention") & c("hit"), "threshold_too_high", 0.9), h(~c("hit") & (F.coalesce("top_score", F.lit(0.0)) < 0.25), "no_relevant_content", 0.8),
-        h(~c("hit") & (c("top_score") >= 0.25), "ranking_or_wording", 0.7), h(c("hit") & (c("gold_rank") > 3), "weak_ranking", 0.6),
-        h(c("hit") & ~c("grounded") & ~c("abstained"), "generation_not_grounded", 0.75), h(~c("abstained") & c("expect_abstention"), "missed_abstention", 0.85)))
-    passed = c("hit") & c("grounded") & (c("abstained") == c("expect_abstention"))
-    return rows.select("question_id", F.transform(F.slice(F.array_sort(found), 1, 5), lambda x: x["cause"]).alias("causes"), passed.alias("passed"))
+    """question_id, causes (up to five structs of cause and confidence, the surest first), passed.
+
+    Rows: question_id, probe (made from the corpus), measured, expected_id, cohort, hit, correct_document, correct_chunk,
+    retrieved (number), mean_score, issues (number), answered, cited (the expected chunk), risk, abstained, has_gold_answer."""
+    robust = c("cohort") == "robustness"
+    miss = c("measured") & (F.coalesce("hit", F.lit(0.0)) < 1)
+    low = F.coalesce(c("mean_score") < 0.15, F.lit(False))
+    wrong_chunk, wrong_document = c("correct_document") & ~c("correct_chunk"), ~c("correct_document") & (c("retrieved") > 0)
+    cause = F.when(low, "LIKELY_LOW_RETRIEVAL_SCORE").when(wrong_chunk, "LIKELY_WRONG_CHUNK_OR_CHUNKING").when(wrong_document, "LIKELY_WRONG_DOCUMENT_OR_EMBEDDING").otherwise("RETRIEVAL_MISS")
+    sure = F.when(wrong_chunk, 0.65).when(wrong_document, 0.6).otherwise(0.55)
+    sure = F.round(F.least(F.when(low, F.greatest(sure, F.lit(0.7))).otherwise(sure) + F.when(robust, 0.1).otherwise(0.0), F.lit(1.0)), 6)
+    judged = c("answered") & c("measured")
+    hit = F.coalesce("hit", F.lit(0.0)) >= 1
+    found = [
+        (c("probe"), F.lit("AUTO_CORPUS_PROBE_NOT_MEASURED"), F.lit(1.0)), (miss, cause, sure),
+        (c("issues") > 0, F.lit("LIKELY_QUERY_SURFACE_NORMALIZATION_GAP"), F.when(robust, 0.45).otherwise(0.35)),
+        (judged & ~c("cited") & c("expected_id").isNotNull(), F.lit("LIKELY_CITATION_MISMATCH"), F.lit(0.75)), (judged & c("risk"), F.lit("LIKELY_GENERATION_DRIFT"), F.lit(0.4)),
+        (judged & c("abstained") & c("has_gold_answer"), F.when(hit, "FALSE_ABSTAIN_EVIDENCE_THRESHOLD").otherwise("LIKELY_ABSTENTION_POLICY"), F.when(hit, 0.85).otherwise(0.7))]
+    each = F.array_compact(F.array(*(F.when(when, F.struct((-confidence).alias("s"), F.lit(i).alias("i"), name.alias("cause"))) for i, (when, name, confidence) in enumerate(found))))
+    causes = F.transform(F.slice(F.array_sort(each), 1, 5), lambda x: F.struct(x["cause"].alias("cause"), (-x["s"]).alias("confidence")))
+    passed = F.when(~c("measured"), False).when(c("expected_id").isNull(), c("abstained") | ~c("answered")).when(~hit, False).when(~c("answered"), True).otherwise(~c("risk"))
+    return rows.select("question_id", causes.alias("causes"), passed.alias("passed"))
+
+
+def pass_rate(causes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Cohort, pass_rate of its measured questions."""
+    return rows.where("measured").select("question_id", "cohort").join(causes.select("question_id", "passed"), "question_id").groupBy("cohort").agg(F.avg(c("passed").cast("double")).alias("pass_rate"))
 
 
 def answer_scores(rows: DataFrame) -> DataFrame:
@@ -158,6 +189,27 @@ def trust_rows(metrics: DataFrame, limits: dict[str, float]) -> DataFrame:
     return rows.join(F.broadcast(table), "metric").withColumn("trusted", F.coalesce(c("value") >= c("least"), F.lit(False)))
 
 
+#: G19, fixed values: metrics of the trust report, how far each may be trusted, and of which table it is.
+TRUST = [("hit_at_k", "measured"), ("recall_at_k", "measured"), ("precision_at_k", "measured"), ("mrr", "measured"), ("pass_rate", "measured"), ("retrieval_score", "estimated"), ("exact_match", "measured"), ("citation_accuracy", "measured"), ("numeric_accuracy", "measured"), ("lexical_overlap", "estimated"), ("groundedness_estimate", "estimated")]
+#: G19, fixed values: scores of subsystems, a hundred times a metric.
+SUBSYSTEMS = {"retrieval_hit_at_k": "hit_at_k", "retrieval_mrr": "mrr", "citation_accuracy": "citation_accuracy"}
+
+
+def trust_report(by_cohort_: DataFrame) -> DataFrame:
+    """Metric, trust, baseline_value, robustness_value: a row for each metric that the table (cohort, metrics) holds."""
+    names = [(n, t) for n, t in TRUST if n in by_cohort_.columns]
+    tall = by_cohort_.select("cohort", *(c(n).cast("double").alias(n) for n, _ in names)).unpivot("cohort", [n for n, _ in names], "metric", "value")
+    value = lambda cohort: F.max(F.when(c("cohort") == cohort, c("value"))).alias(f"{cohort}_value")
+    table = by_cohort_.sparkSession.createDataFrame(names, "metric string, trust string")
+    return tall.groupBy("metric").agg(value("baseline"), value("robustness")).join(F.broadcast(table), "metric").select("metric", "trust", "baseline_value", "robustness_value")
+
+
+def subsystem_scores(by_cohort_: DataFrame) -> DataFrame:
+    """Cohort, name, score (0 to 100, null without the metric)."""
+    have = {k: v for k, v in SUBSYSTEMS.items() if v in by_cohort_.columns}
+    return by_cohort_.select("cohort", *((100.0 * c(v)).alias(k) for k, v in have.items())).unpivot("cohort", list(have), "name", "score")
+
+
 def compare_models(rows: DataFrame, current: str, gain: float = 0.05) -> DataFrame:
     """The model to use: another only if its hit rate is larger by `gain`. Rows: model, hit_rate."""
     now = F.max(F.when(c("model") == current, c("hit_rate")))

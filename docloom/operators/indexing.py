@@ -104,7 +104,7 @@ def supersede(versions: DataFrame, chunks: DataFrame, index: DataFrame, current:
     ids = v.where(gone).select("document_version_id").withColumn("_gone", F.lit(True))
     c = chunks.join(ids, "document_version_id", "left")
     out = c.withColumn("status", F.when(F.col("_gone"), "superseded").otherwise(F.col("status"))).drop("_gone")
-    dead = c.where("_gone").select("chunk_id").withColumn("_gone", F.lit(True))
+    dead = c.where("_gone").select("chunk_id").distinct().withColumn("_gone", F.lit(True))
     stale = index.join(dead, "chunk_id", "left").withColumn("index_status", F.when(F.col("_gone") & (F.col("index_status") == "indexed"), "stale").otherwise(F.col("index_status"))).drop("_gone")
     return marked, out, stale
 

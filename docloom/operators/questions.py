@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,15 +63,40 @@ def balanced(questions: DataFrame, target: int) -> DataFrame:
     return turn.orderBy("rn", "category", F.xxhash64("question"), "question").limit(target)
 
 
+#: Q05, fixed values: words for words, openings and spellings.
+SYNONYMS = [("کارکنان", "پرسنل"), ("پرسنل", "کارمندان"), ("کارمند", "پرسنل"), ("مرخصی", "مرخصی استحقاقی"), ("سازمان", "شرکت"), ("مدیر", "سرپرست"), ("روز کاری", "روز کاری اداری")]
+PARAPHRASES = [("چند", "چه تعداد"), ("چیست", "چه می‌باشد"), ("چگونه", "به چه صورت")]
+SPELLINGS = [("می‌", "مي‌"), ("ها", " های"), ("است", " هست")]
+FORMAL, PLEASE = "خواهشمند است مشخص فرمایید که ", "لطفاً توضیح دهید: "
+
+
+def _once(text: Column, wrong: str, right: str) -> Column:
+    """The first occurrence replaced."""
+    head = F.substring_index(text, wrong, 1)
+    return F.when(F.contains(text, F.lit(wrong)), F.concat(head, F.lit(right), F.substr(text, F.length(head) + len(wrong) + 1))).otherwise(text)
+
+
+def _chosen(key: Column, options: list[Column]) -> Column:
+    """One of the options by a hash of the key (the reference draws at random)."""
+    return F.get(F.array(*options), F.pmod(F.xxhash64(key), F.lit(len(options))).cast("int"))
+
+
 def variants(questions: DataFrame, keep: int = 8) -> DataFrame:
-    """Q05: question_id, kind, text: altered wordings that differ, at most `keep` of each question."""
+    """Q05: question_id, kind, text: thirteen kinds of altered wordings, those that differ, at most `keep` of each question."""
     q = c("question")
+    held = F.filter(F.array(*(F.when(F.contains(q, F.lit(w)), _once(q, w, r)) for w, r in SYNONYMS)), lambda x: x.isNotNull())
+    soft = F.replace(F.replace(q, F.lit("می‌باشد"), F.lit("هست")), F.lit("است؟"), F.lit("ه؟"))
     kinds = {
-        "arabic_letters": T.arabic_letters(q), "no_halfspace": T.without_half_spaces(q), "halfspace": T.with_half_spaces(q), "noisy_punctuation": T.noisy_punctuation(q), "no_punctuation": T.without_punctuation(q),
-        "latin_digits": T.to_latin_digits(q), "persian_digits": T.to_persian_digits(q), "arabic_digits": T.to_arabic_digits(q), "collapsed": T.collapse_spaces(q), "padded": F.concat(F.lit("  "), q, F.lit("  ")),
-        "lower": F.lower(q), "upper": F.upper(q), "keywords": F.array_join(F.slice(T.content_tokens(q), 1, 6), " "),
+        "paraphrase": _chosen(q, [*(_once(q, w, r) for w, r in PARAPHRASES), F.concat(F.lit(PLEASE), q)]),
+        "formal": F.concat(F.lit(FORMAL), F.rtrim(q, F.lit("؟")), F.lit("؟")),
+        "informal": F.when(F.endswith(soft, F.lit("؟")), soft).otherwise(F.concat(soft, F.lit("؟"))),
+        "synonym": F.when(F.size(held) > 0, F.get(held, F.pmod(F.xxhash64(q), F.greatest(F.size(held), F.lit(1))).cast("int"))),
+        "arabic_yeh_kaf": T.arabic_letters(q), "halfspace": T.with_half_spaces(T.without_half_spaces(q)),
+        "digit_latin": T.to_latin_digits(q), "digit_persian": T.to_persian_digits(q), "digit_arabic_indic": T.to_arabic_digits(q),
+        "punctuation": T.noisy_punctuation(q), "no_punctuation": T.without_punctuation(q), "whitespace": T.collapse_spaces(F.regexp_replace(q, r"\s", "  ")),
+        "spelling": _chosen(q, [F.when(F.contains(q, F.lit(w)), _once(q, w, r)) for w, r in SPELLINGS]),
     }
-    rows = questions.select("question_id", "question", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("text")) for k, v in kinds.items()))).alias("v")).select("question_id", "question", "v.*").where((c("text") != c("question")) & (c("text") != ""))
+    rows = questions.select("question_id", "question", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("text")) for k, v in kinds.items()))).alias("v")).select("question_id", "question", "v.*").where((F.trim("text") != F.trim("question")) & (c("text") != ""))
     order = W.partitionBy("question_id").orderBy(F.xxhash64("question_id", "kind"), "kind")
     return rows.withColumn("r", F.row_number().over(order)).where(c("r") <= keep).select("question_id", "kind", "text")
 

@@ -51,8 +51,8 @@ def live_corpus(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame,
 
 
 def lexical_corpus(live: DataFrame) -> DataFrame:
-    """What lexical search reads, in the order of documents and chunks."""
-    return live.select("document_id", "chunk_id", "chunk_index", "heading", "language", "text").orderBy("document_id", "chunk_index")
+    """What lexical search reads. Readers that need the order of documents and chunks sort by document_id, chunk_index."""
+    return live.select("document_id", "chunk_id", "chunk_index", "heading", "language", "text")
 
 
 def chunk_snapshot(chunks: DataFrame, documents: DataFrame) -> DataFrame:

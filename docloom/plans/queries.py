@@ -139,12 +139,13 @@ def text_margins(spark, sf_dir):
     return files.without_margins(pages, share=0.0).select("doc_id", "page", F.md5("text").alias("text_md5"))
 
 
-@query(r"""WITH n AS (SELECT doc_id, text, length(text) AS s, len(regexp_extract_all(text, '\p{L}')) AS e, len(regexp_extract_all(text, '[A-Za-z]')) AS l FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '')
-SELECT count(*) AS records, (SELECT count(*) FROM documents) - count(*) AS rejects FROM n""")
+@query(rf"""WITH n AS (SELECT doc_id, {_NORMAL} AS s FROM documents), k AS (SELECT doc_id, s, substring(trim(s), 1, 10000) AS p FROM n WHERE trim(s, ' ' || chr(10) || chr(9) || chr(13)) <> ''),
+m AS (SELECT doc_id, length(s) AS char_count, length(p) AS size, len(regexp_extract_all(p, '[A-Za-z]')) AS l, greatest(len(regexp_extract_all(p, '\p{{L}}')), 1) AS e FROM k)
+SELECT doc_id, char_count, CASE WHEN size >= 20 AND l / e >= 0.6 THEN 'en' ELSE 'unknown' END AS language, CASE WHEN size >= 20 AND l / e >= 0.6 THEN '' ELSE 'language_detection_uncertain' END AS warnings, (SELECT count(*) FROM documents) - (SELECT count(*) FROM k) AS rejects FROM m""")
 def text_extraction(spark, sf_dir):
-    """T05, T06"""
-    good, bad = files.extraction(table(spark, sf_dir, "documents"))
-    return good.agg(F.count("*").alias("records")).join(bad.agg(F.count("*").alias("rejects")))
+    """The record of each text, with the number of rejects beside it."""
+    good, bad = files.extraction(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return good.select("doc_id", "char_count", "language", F.array_join("warnings", ",").alias("warnings")).join(F.broadcast(bad.agg(F.count("*").alias("rejects"))))
 
 
 @query(f"""WITH b AS (SELECT item_id, {_CONTENT.format('text')} AS t FROM benchmark)
@@ -171,13 +172,20 @@ def block_kinds(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", chunking.block_kind(c("text")).alias("kind"))
 
 
-@query("SELECT doc_id, true AS slices, true AS within_limit, true AS ordered FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''")
+@query(r"""WITH t AS (SELECT doc_id, text, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS s, ltrim(text, ' ' || chr(10) || chr(9) || chr(13)) AS l FROM documents)
+SELECT doc_id, length(text) - length(l) AS first_start, length(text) - length(l) + length(s) AS last_end, length(regexp_replace(text, '[ \t\r\n]', '', 'g')) AS covered, true AS slices, true AS within_limit, true AS ordered FROM t WHERE s <> ''""")
 def chunk_invariants(spark, sf_dir):
-    """Every piece is the source's own slice, none is too long, and they follow each other."""
+    """The pieces begin and end where the text does and cover each of its characters but white space; every piece
+    is the source's own slice, none is too long, and they follow each other."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    p = chunking.pieces(docs).withColumn("before", F.lag("start").over(W.partitionBy("doc_id").orderBy("sequence_number")))
+    order = W.partitionBy("doc_id").orderBy("sequence_number")
+    p = chunking.pieces(docs).withColumns({"before": F.lag("start").over(order), "reach": F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))})
     joined = p.join(docs.withColumnRenamed("text", "source"), "doc_id")
-    return joined.groupBy("doc_id").agg(F.bool_and(c("text") == F.substr("source", c("start") + 1, c("end") - c("start"))).alias("slices"), F.bool_and(c("end") - c("start") <= chunking.MAX_CHARS).alias("within_limit"), F.bool_and(F.coalesce(c("start") >= c("before"), F.lit(True))).alias("ordered"))
+    new = F.greatest(c("start"), F.coalesce("reach", F.lit(0)))
+    fresh = F.length(F.regexp_replace(F.substr("source", new + 1, F.greatest(c("end") - new, F.lit(0))), r"[ \t\r\n]", ""))
+    return joined.groupBy("doc_id").agg(
+        F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.sum(fresh).alias("covered"), F.bool_and(c("text") == F.substr("source", c("start") + 1, c("end") - c("start"))).alias("slices"),
+        F.bool_and(c("end") - c("start") <= chunking.MAX_CHARS).alias("within_limit"), F.bool_and(F.coalesce(c("start") >= c("before"), F.lit(True))).alias("ordered"))
 
 
 @query()
@@ -303,11 +311,14 @@ def rrf_blended(spark, sf_dir):
     return rows.select("query_id", "chunk_id", r6(R.blend(c("cosine"), c("rrf"), c("max_rrf"))).alias("blended"))
 
 
-@query()
+@query(f"""WITH {_BM25}, {_DENSE}, {_RRF}, a AS (SELECT query_id, count(*) AS n, string_agg(chunk_id || ':' || CAST(round(round(score, 6) * 10000) AS INTEGER), ',' ORDER BY rank) FILTER (rank <= 10) AS t FROM den WHERE rank <= 30 GROUP BY 1),
+b AS (SELECT query_id, count(*) AS n, string_agg(chunk_id || ':' || CAST(round(round(score, 6) * 10000) AS INTEGER), ',' ORDER BY rank) FILTER (rank <= 10) AS t FROM lex WHERE rank <= 30 GROUP BY 1), r AS (SELECT query_id, string_agg(chunk_id || ':' || CAST(round(round(rrf, 6) * 10000) AS INTEGER), ',' ORDER BY rank) FILTER (rank <= 10) AS t FROM fr GROUP BY 1)
+SELECT query_id, a.n AS dense_pool, b.n AS bm25_pool, a.t AS dense_top, b.t AS bm25_top, r.t AS rrf_top FROM a FULL JOIN b USING (query_id) FULL JOIN r USING (query_id)""")
 def fusion_diagnostics(spark, sf_dir):
     """R08"""
     out = R.fusion_diagnostics(*_lists(spark, sf_dir))
-    return out.select("query_id", "dense_pool", "bm25_pool", F.to_json("dense_top").alias("dense_top"), F.to_json("bm25_top").alias("bm25_top"), F.to_json("rrf_top").alias("rrf_top"))
+    text = lambda name: F.array_join(F.transform(name, lambda x: F.concat(x["chunk_id"].cast("string"), F.lit(":"), F.round(x["score"] * 10000).cast("int").cast("string"))), ",").alias(name)
+    return out.select("query_id", "dense_pool", "bm25_pool", text("dense_top"), text("bm25_top"), text("rrf_top"))
 
 
 def searched(spark, sf_dir, k: int = 8) -> DataFrame:
@@ -549,11 +560,14 @@ def index_pending(spark, sf_dir):
     return indexing.pending(i.select("chunk_id", "content_hash"), i, "m").select("chunk_id")
 
 
-@query("""SELECT generation, index_status, count(*) AS n FROM (SELECT 1 AS generation, 'stale' AS index_status FROM embeddings UNION ALL SELECT 2, 'indexed' FROM embeddings) GROUP BY 1, 2""")
+@query("""SELECT vec_id AS chunk_id, 1 AS generation, CASE WHEN label % 2 = 0 OR vec_id % 3 = 0 THEN 'stale' ELSE 'indexed' END AS index_status, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings
+UNION ALL SELECT vec_id, 2, 'indexed', round(embedding[2]::DOUBLE, 6) FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id + 1000000, 1, 'indexed', round(embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id % 5 = 0""")
 def index_upsert(spark, sf_dir):
-    """X05"""
+    """Every third chunk with a new vector (its own, moved by one), and chunks that were not there."""
     i = index(spark, sf_dir)
-    return indexing.upsert(i, i.drop("generation", "index_status")).groupBy("generation", "index_status").agg(F.count("*").alias("n"))
+    new = i.drop("generation", "index_status")
+    again = new.where("chunk_id % 3 = 0").withColumn("vector", F.slice("vector", 2, 63)).unionByName(new.where("chunk_id % 5 = 0").withColumn("chunk_id", c("chunk_id") + 1_000_000))
+    return indexing.upsert(i, again).select("chunk_id", "generation", "index_status", r6(F.element_at("vector", 1).cast("double")).alias("first"))
 
 
 @query("""SELECT count(*) FILTER (label % 2 = 1) AS indexed FROM embeddings""")
@@ -568,12 +582,13 @@ def index_storage(spark, sf_dir):
     return indexing.storage_bytes(index(spark, sf_dir))
 
 
-@query("""SELECT doc_id AS chunk_id, 16 AS dimensions, 1.0 AS norm FROM documents""")
+@query("""WITH h AS (SELECT doc_id, sha256(text) AS a, sha256(unhex(sha256(text))) AS b FROM documents), w AS (SELECT doc_id, a || b AS x FROM h),
+n AS (SELECT doc_id, list_transform(range(0, 16), lambda i: ('0x' || substring(x, 1 + 8 * i, 8))::UBIGINT / 4294967295 * 2 - 1) AS v FROM w), u AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS s FROM n)
+SELECT doc_id AS chunk_id, array_to_string(list_transform(v, lambda y: CAST(CAST(round(y / s * 10000) AS INTEGER) AS VARCHAR)), ',') AS vector FROM u""")
 def hash_embeddings(spark, sf_dir):
-    """Every document embedded; size and length of the vectors."""
+    """Every document embedded; the vectors to four places."""
     out = indexing.embed(corpus(spark, sf_dir), lambda: indexing.hash_embedder(16))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    return out.select(c("chunk_id").cast("bigint").alias("chunk_id"), F.size("vector").alias("dimensions"), r6(norm).alias("norm"))
+    return out.select(c("chunk_id").cast("bigint").alias("chunk_id"), F.array_join(F.transform("vector", lambda x: F.round(x * 10000).cast("int").cast("string")), ",").alias("vector"))
 
 
 @query("""SELECT l.l_orderkey AS order_id, count(*) AS n FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer cu ON cu.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = cu.c_nationkey WHERE o.o_orderstatus = 'F' AND l.l_linestatus = 'F' AND n.n_regionkey = 1 GROUP BY 1""")

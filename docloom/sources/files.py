@@ -34,6 +34,13 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", suffix.alias("suffix"), F.try_element_at(table, suffix).alias("parser"), decoded(c("content")).alias("text"))
 
 
+def accepted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files with a parser that reads them here and text, rejects with an error code). PDF and DOCX have no reader here."""
+    code = F.when(c("parser").isNull() | c("parser").isin("pdf", "docx"), "unsupported_format").when(c("text").isNull(), "undecodable_text")
+    rows = files.withColumn("error_code", code)
+    return rows.where("error_code is null").drop("error_code"), rows.where("error_code is not null").select("path", "suffix", "error_code")
+
+
 class _Visible(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -115,9 +122,9 @@ def question_errors(rows: DataFrame) -> DataFrame:
 
 
 def write_experiment(path: str, **tables: DataFrame) -> None:
-    """Config, results, metrics and summary of experiments, partitioned by experiment_id."""
+    """Config, results, metrics and summary of experiments, partitioned by experiment_id; an experiment written again replaces its own."""
     for name, rows in tables.items():
-        rows.write.partitionBy("experiment_id").mode("append").json(f"{path}/{name}")
+        rows.write.partitionBy("experiment_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{path}/{name}")
 
 
 def runs(spark: SparkSession, path: str, limit: int = 50, **only: str) -> DataFrame:

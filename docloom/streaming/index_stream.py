@@ -4,36 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking, indexing
 from docloom.sources import files
+from docloom.sources.shared import settle
 
 VERSION = "doc_id long, document_id string, document_version_id string, text string"
 
 
-def process(versions: DataFrame, make: Callable, model: str, dimensions: int) -> tuple[DataFrame, DataFrame]:
-    """(embeddings with their chunks, outcome of each version): extract, chunk, embed; failures are rows."""
+def process(versions: DataFrame, make: Callable, model: str, dimensions: int, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(embeddings with their chunks, outcome of each version): extract, chunk, embed; failures are rows.
+
+    `held` (content_hash, embedding_model_id, vector) are embeddings made before: chunks of a content and model that it holds
+    take its vector, and only the others are embedded, each content once. Chunks and vectors are written once and read back."""
     records, rejects = files.extraction(versions)
     ids = versions.select("doc_id", "document_id", "document_version_id")
-    chunks = chunking.chunk_rows(records.select("doc_id", "text")).join(ids, "doc_id")
-    vectors = indexing.embed(chunks, make)
-    rows = chunks.join(vectors, "chunk_id").withColumn("embedding_model_id", F.lit(model))
+    chunks = settle(chunking.chunk_rows(records.select("doc_id", "text")).join(ids, "doc_id"), "chunks")
+    known = chunks.sparkSession.createDataFrame([], "content_hash string, vector array<double>")
+    if held is not None:
+        mine = held.where((F.col("embedding_model_id") == model) & (F.size("vector") == dimensions)).select("content_hash", "vector")
+        known = mine.join(chunks.select("content_hash").distinct(), "content_hash", "left_semi").dropDuplicates(["content_hash"])
+    new = chunks.select("content_hash", "text").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti").select(F.col("content_hash").alias("chunk_id"), "text")
+    made = indexing.embed(new, make).select(F.col("chunk_id").alias("content_hash"), "vector", "failure", F.lit(False).alias("skipped"))
+    vectors = settle(made.unionByName(known.select("content_hash", "vector", F.lit(None).cast("string").alias("failure"), F.lit(True).alias("skipped"))), "vectors")
+    rows = chunks.join(vectors, "content_hash").withColumn("embedding_model_id", F.lit(model))
     good = F.col("failure").isNull() & (F.size("vector") == dimensions)
-    counts = rows.groupBy("document_version_id").agg(F.count_if(good).alias("created"), F.count_if(~good).alias("failed"))
+    counts = rows.groupBy("document_version_id").agg(F.count_if(good & ~F.col("skipped")).alias("created"), F.count_if(good & F.col("skipped")).alias("skipped"), F.count_if(~good).alias("failed"))
     code = F.when(F.col("error_code").isNotNull(), F.col("error_code")).when(F.col("created").isNull(), "empty_chunk_list").when(F.col("failed") > 0, "partial_embedding_failure")
-    outcome = ids.join(rejects, "doc_id", "left").join(counts, "document_version_id", "left").select("document_id", "document_version_id", F.coalesce("created", F.lit(0)).alias("created"), F.coalesce("failed", F.lit(0)).alias("failed"), code.alias("failure_reason"), F.when(code.isNull(), "indexed").otherwise("failed").alias("processing_status"))
+    n = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    outcome = ids.join(rejects, "doc_id", "left").join(counts, "document_version_id", "left").select("document_id", "document_version_id", n("created"), n("skipped"), n("failed"), code.alias("failure_reason"), F.when(code.isNull(), "indexed").otherwise("failed").alias("processing_status"))
     return rows.where(good).select("document_id", "document_version_id", "chunk_id", "sequence_number", "text", "content_hash", "embedding_model_id", "vector"), outcome
 
 
+def _held(spark: SparkSession, index: str, number: int) -> DataFrame | None:
+    """The index as it was before a batch; None before the first."""
+    try:
+        return spark.read.parquet(f"{index}/embeddings").where(F.col("batch_id") < number)
+    except AnalysisException:
+        return None
+
+
 def run_stream(spark: SparkSession, source: str, index: str, checkpoint: str, make: Callable, model: str, dimensions: int) -> None:
     """Every micro-batch of new versions goes through X13 into its own folder of the index.
 
     A batch that is repeated writes over its own folder; chunks whose content the index holds are
     not embedded again; readers take the newest version of each document (see `current`)."""
     def batch(rows: DataFrame, number: int) -> None:
-        embeddings, outcome = process(rows, make, model, dimensions)
+        embeddings, outcome = process(rows, make, model, dimensions, _held(spark, index, number))
         embeddings.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{index}/embeddings/batch_id={number}")
         outcome.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{index}/versions/batch_id={number}")
 

@@ -141,3 +141,44 @@ def test_stream(spark, tmp_path):
     run()
     assert [(r["document_version_id"], r["text"]) for r in index_stream.current(spark, str(tmp_path / "ix")).collect()] == [("v3", "text one is new.")]
     assert {r["failure_reason"] for r in spark.read.parquet(str(tmp_path / "ix/versions")).collect()} == {None, "empty_content"}
+
+
+def test_stream_skips_content(spark, tmp_path):
+    """A batch whose contents the index holds calls the embedder for none of its texts; new contents are embedded once."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def embed(texts):
+            calls.add(len(texts))
+            return [indexing.hash_vector(t, 8) for t in texts]
+        return embed
+
+    put = lambda rows: spark.createDataFrame(rows, index_stream.VERSION).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: index_stream.run_stream(spark, str(tmp_path / "in"), str(tmp_path / "ix"), str(tmp_path / "cp"), make, "m", 8)
+    put([(1, "d1", "v1", "text one is here."), (2, "d2", "v2", "text two is here."), (3, "d3", "v3", "text two is here.")])
+    run()
+    assert calls.value == 2
+    put([(4, "d1", "v4", "text one is here."), (5, "d2", "v5", "text two is here.")])
+    run()
+    assert calls.value == 2
+    done = {r["document_version_id"]: (r["created"], r["skipped"]) for r in spark.read.parquet(str(tmp_path / "ix/versions")).collect()}
+    assert done["v4"] == done["v5"] == (0, 1) and done["v1"] == (1, 0)
+    rows = index_stream.current(spark, str(tmp_path / "ix")).collect()
+    assert sorted(r["document_version_id"] for r in rows) == ["v3", "v4", "v5"] and all(len(r["vector"]) == 8 for r in rows)
+
+
+def test_question_variants(spark):
+    q = "مدیر سازمان چند روز مرخصی است؟"
+    got = {r["kind"]: r["text"] for r in questions.variants(spark.createDataFrame([(1, q)], "question_id int, question string"), keep=13).collect()}
+    assert got["formal"] == questions.FORMAL + q and got["informal"] == "مدیر سازمان چند روز مرخصی ه؟"
+    assert got["synonym"] in {q.replace(a, b, 1) for a, b in questions.SYNONYMS if a in q} and got["punctuation"].endswith("؟؟!!")
+    assert got["paraphrase"] in {q.replace("چند", "چه تعداد"), questions.PLEASE + q} if "paraphrase" in got else True
+    assert "digit_latin" not in got and "whitespace" not in got and q not in got.values()
+
+
+def test_accepted_files(spark, tmp_path):
+    for name, data in (("a.TXT", "متن".encode()), ("b.md", "\ufefftext".encode("utf-16")), ("c.exe", b"x"), ("d.pdf", b"%PDF"), ("e.txt", b"\xff\x00\xfe")):
+        (tmp_path / name).write_bytes(data)
+    good, bad = files.accepted(files.text_files(spark, str(tmp_path)))
+    assert {r["text"] for r in good.collect()} == {"متن", "text"}
+    assert sorted((r["suffix"], r["error_code"]) for r in bad.collect()) == [("exe", "unsupported_format"), ("pdf", "unsupported_format"), ("txt", "undecodable_text")]
