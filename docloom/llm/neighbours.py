@@ -13,8 +13,8 @@ with a tree of its own. A query first visits the cell it lies in; the distance t
 neighbour there decides by the same test which other cells it visits. Equal vectors are one
 entry with their k + 1 smallest ids, and queries of equal vectors are one search.
 
-Results: null, empty or zero vectors, those with null or non-finite components, and those whose
-length is not the most frequent one take no part, nor do rows without id. Ties go to the
+Results: null, empty or zero vectors and those with null or non-finite components take no part,
+nor do rows without id. Vectors of different lengths are no candidates for each other. Ties go to the
 smaller id. Fewer candidates than k: all of them. Repeated rows of one id count once.
 """
 
@@ -111,11 +111,10 @@ class Tree:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array of double): what takes part."""
+    """vec_id, v (array of double): what takes part. Of rows that share an id the vector that sorts first counts."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return rows.where(F.size("v") == (size["d"] if size else 0)).dropDuplicates(["vec_id"])
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def entries(rows: DataFrame, k: int) -> DataFrame:
@@ -213,8 +212,21 @@ def _visit(points: DataFrame, visits: DataFrame, blocks: DataFrame, k: int, long
 
 
 def search(vectors: DataFrame, every: int, k: int, directions: int = DIRECTIONS, confidence: float = CONFIDENCE, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of all other rows for each row whose id `every` divides."""
+    """query_id, rank, vec_id, score: the k best of all other rows for each row whose id `every` divides.
+
+    A product needs vectors of one length; each length that occurs is searched by itself."""
     rows = settle(valid(vectors), "vectors")
+    lengths = [r["d"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()]  # a few
+    if len(lengths) < 2:
+        return _search(rows, every, k, directions, confidence, block, seed)
+    out = None
+    for d in lengths:
+        found = _search(rows.where(F.size("v") == d), every, k, directions, confidence, block, seed)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search(rows: DataFrame, every: int, k: int, directions: int, confidence: float, block: int, seed: int) -> DataFrame:
     found = settle(entries(rows, k), "entries")
     info = found.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("s"), F.max(F.size("v")).alias("d")).first()
     n, dim = info["n"], info["d"] or 1
