@@ -6,12 +6,13 @@ search may jump, a bucket per last block selects the patterns to try, and a dire
 of the words confirms each occurrence. The documents are scanned in place, without a shuffle;
 only the pattern tables travel, at most `max_pattern_bytes` of benchmark text at a time. A
 larger benchmark is cut into blocks of items, each block is searched over all documents, and
-the spans found are merged per document.
+the spans found are merged per document (the default keeps the tables of a block, about a hundred times its text, in the
+memory of a worker).
 
-Nulls: a null text has no words; a null item or an item without words has no patterns. Empty
-tables give empty results or documents without hits. Rows are judged one by one, so repeated
-rows and repeated ids are answered once per row while one block suffices; in blocks, rows that
-share a doc_id share the union of their spans.
+Nulls: a null text has no words; a null item or an item without words has no patterns; the words of an item without
+item_id are hit, but it is not listed. Empty tables give empty results or documents without hits. Texts are scanned
+whole. Rows are judged one by one, however many blocks there are: rows of one doc_id and other texts by their own words,
+repeated rows once per row. Columns of other names pass `decontaminate` unchanged.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 13
 BLOCK = 3
-MAX_PATTERN_BYTES = 32 << 20
+MAX_PATTERN_BYTES = 4 << 20
 
 #: A-Z become a-z; other ASCII but letters and digits separates words; bytes of other characters stay.
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
@@ -97,56 +98,64 @@ def _blocks(items: DataFrame, max_bytes: int) -> list[Column]:
 _FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
-def _scan(docs: DataFrame, searcher: WuManber, passed: list[str]) -> DataFrame:
+def _key() -> list[Column]:
+    return [F.col("doc_id"), F.xxhash64("text").alias("t")]
+
+
+def _scan(docs: DataFrame, searcher: WuManber) -> DataFrame:
+    """doc_id, t (the text's hash), _found."""
     shared = docs.sparkSession.sparkContext.broadcast(searcher)
+    rows = docs.select(*_key(), "text")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for batch in batches:
-            rows = []
-            for text in batch.column("_text"):
+            found_ = []
+            for text in batch.column("text"):
                 found = fold_words(text.as_py())
                 spans, items = tables.spans(found)
-                rows.append({"n_words": len(found), "spans": spans, "items": sorted(map(str, items))})
-            kept = [batch.column(c) for c in passed]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, type=_FOUND)], names=[*passed, "_found"])
+                found_.append({"n_words": len(found), "spans": spans, "items": sorted(str(x) for x in items if x is not None)})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(found_, type=_FOUND)], names=["doc_id", "t", "_found"])
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed] + ["_found struct<n_words: bigint, spans: array<array<bigint>>, items: array<string>>"])
-    return docs.select(*passed, F.col("text").alias("_text")).mapInArrow(search, schema)
+    return rows.mapInArrow(search, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, t bigint, _found struct<n_words: bigint, spans: array<array<bigint>>, items: array<string>>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, spans (word ranges of every occurrence), items (as sorted strings)."""
-    items = items.select("item_id", "text")
+    """Per document: doc_id, t (the text's hash), n_words, spans (word ranges of every occurrence), items (as sorted strings)."""
+    docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     parts = []
     for condition in _blocks(items, max_pattern_bytes):
-        rows = items.where(condition).collect()  # at most max_pattern_bytes, checked above
-        parts.append(_scan(docs, WuManber(((r["item_id"], r["text"]) for r in rows), window), ["doc_id"]))
+        rows = items.where(condition).collect()  # about max_pattern_bytes, see _blocks
+        parts.append(_scan(docs, WuManber(((r["item_id"], r["text"]) for r in rows), window)))
     if len(parts) == 1:
-        return parts[0].select("doc_id", "_found.*")
+        return parts[0].select("doc_id", "t", "_found.*")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("doc_id").agg(
+    merged = every.groupBy("doc_id", "t").agg(
         F.max("_found.n_words").alias("n_words"),
         F.flatten(F.collect_list("_found.spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_found.items")))).alias("items"),
     )
+    merged = merged.withColumnsRenamed({"doc_id": "_id", "t": "_t"})
+    return docs.select(*_key()).join(merged, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).drop("_id", "_t")
 
 
 def _n_hit(spans) -> int:
     return covered([tuple(x) for x in spans])
 
 
-def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Per document the hit words, the items found and the verdict."""
-    found = contamination(docs, items, **options)
-
+def _with_hits(found: DataFrame) -> DataFrame:
     @F.pandas_udf("bigint")
     def n_hit(spans):
         return spans.map(_n_hit)
 
-    out = found.withColumn("n_hit", n_hit("spans"))
+    return found.withColumn("n_hit", n_hit("spans"))
+
+
+def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """Per document the hit words, the items found and the verdict."""
+    out = _with_hits(contamination(docs, items, **options))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
@@ -159,8 +168,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_p
     items = items.select("item_id", "text")
     conditions = _blocks(items, max_pattern_bytes)
     if len(conditions) > 1:
-        bad = report(docs, items, window=window, max_pattern_bytes=max_pattern_bytes).where("contaminated").select("doc_id")
-        return docs.join(bad, "doc_id", "left_anti")
+        found = _with_hits(contamination(docs, items, window, max_pattern_bytes))
+        bad = found.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.struct(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).alias("_bad")).distinct()
+        own = F.struct(docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_t"))
+        return docs.join(bad, own.eqNullSafe(bad["_bad"]), "left_anti")
     rows = items.collect()  # at most max_pattern_bytes, checked above
     shared = docs.sparkSession.sparkContext.broadcast(WuManber(((r["item_id"], r["text"]) for r in rows), window))
 
