@@ -1,4 +1,9 @@
-"""The stages of the corpus pipeline; each takes (spark, docs, sf_dir)."""
+"""The stages of the corpus pipeline; each takes (spark, docs, sf_dir).
+
+All but the last return rows of docs in docs' own columns, whatever further columns it has. Null and empty texts, rows
+without doc_id and empty tables pass; repeated rows and texts of any length are worked on whole, as each operator's own
+docstring says. Each stage reads all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from .scratch import read
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the clause grammar rejects go. It learns from the labelled ones among docs."""
+    """Documents that the clause grammar rejects go, repeated rows alike. It learns from the labelled ones among docs."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
@@ -22,15 +27,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
+    """One document of each group of near copies stays, that of the smallest id, with all its rows. Texts without words are in no group."""
     return jaccard.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of the benchmark go."""
+    """Documents of which benchmark passages cover a word in 20 or more go. Texts without words stay."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, with their places in sequences."""
+    """The pieces of what is left, with their places in sequences; a null or empty text is a piece of its end id alone."""
     return packing.pack(docs, tokenizer_path())

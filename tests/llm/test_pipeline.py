@@ -37,3 +37,20 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
+
+
+MESSY = [(1, None), (2, ""), (3, "a b c d e f g"), (3, "a b c d e f g"), (None, "no id here at all"), (4, "line one\nline two"), (5, "line one\nline two"), (6, "you idiot, you moron " * 5), (7, "word " * 200_000)]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, rows without id, and columns with the operators' own names pass every stage."""
+    docs = spark.createDataFrame(MESSY, "doc_id bigint, text string").selectExpr("*", "'en' as lang", "'s' as source", "bigint(length(text)) as n_chars", "1 as n", "2 as digest", "3 as t", "4 as _gone", "5 as score", "6 as token", "7 as spans", "8 as items")
+    for (name, stage), gone in zip(corpus_pipeline.STAGES[:-1], ({6}, set(), {5}, set())):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in out.collect()} == gone, name
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+    assert {r["text"] for r in lines.dedup(docs).where("doc_id = 5").collect()} == {""}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("piece = 0").count() == len(MESSY)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), SF).count() == 0
