@@ -1,12 +1,13 @@
 """Substring dedup by bytes: suffix arrays made by two-stage sorting, over content-routed pieces.
 
-A text of 400 bytes that stands twice is found where its two places meet. Of every 369
-neighbouring 32-byte grams the one of the smallest hash is kept, so that each 400-byte string
-owns a gram that depends on its own bytes alone; equal strings own equal grams. For each gram
-that stands twice or more, the bytes of all strings that own it form a segment. Equal segments
-are counted and kept once, then the segments of a gram meet in one task, which sorts their
-suffixes in two stages: those smaller than their successor directly, the rest by bucket scans
-from their successors. Neighbours with a common prefix of 400 bytes stand twice.
+A string that stands twice is found where its two places meet. Of every 225 neighbouring 32-byte
+grams the one of the smallest hash is kept, so that each 256-byte string owns a gram that depends
+on its own bytes alone; equal strings own equal grams. For each gram that stands twice or more, the
+strings that own it, and what follows them to 400 bytes, form a segment. Equal segments are counted
+and kept once, then the segments of a gram meet in one task, which sorts their suffixes in two
+stages: those smaller than their successor directly, the rest by bucket scans from their successors.
+Neighbours with a common prefix of 400 bytes stand twice and are removed; those with one of 256 bytes
+(about 50 words) are reported as repeated and stay.
 
 A gram whose distinct segments exceed `GROUP_BYTES` does not go to one task: the digests of its
 strings are counted by Spark instead, which gives the same answer. Copies of a whole text are
@@ -31,6 +32,8 @@ from .scratch import settle
 from .substrings import _batch, spread
 
 LENGTH = 400
+#: Bytes of the strings that are reported as repeated, though they stay where they have fewer than LENGTH.
+NEAR = 256
 GRAM = 32
 BATCH_BYTES = 1 << 20
 GROUP_BYTES = 16 << 20
@@ -101,18 +104,21 @@ def common_prefixes(raw: bytes, order: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """For each segment, which of its strings of `length` bytes also begin elsewhere in the list."""
+def repeated_starts(segments: list[bytes], counts: list[int], near: int, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each segment, which of its first `counts` strings of `near` bytes also begin elsewhere in the list, and which of `length` bytes."""
     raw = b"".join(s + b"\0" for s in segments)
-    sizes = np.array([len(s) + 1 for s in segments])
+    sizes, counts = np.array([len(s) + 1 for s in segments]), np.array(counts)
     starts = np.cumsum(sizes) - sizes
-    counts = sizes - length
     order = suffix_order(raw, starts, counts, length)
-    equal = common_prefixes(raw, order, length)
-    flag = np.zeros(len(raw), bool)
-    flag[order[:-1][equal]] = True
-    flag[order[1:][equal]] = True
-    return [flag[s : s + c] for s, c in zip(starts, counts)]
+    reach = np.repeat(starts + sizes - 1, sizes)  # where the segment of each place ends
+    flags = []
+    for size, some in ((near, order), (length, order[order + length <= reach[order]])):
+        equal = common_prefixes(raw, some, size)
+        flag = np.zeros(len(raw), bool)
+        flag[some[:-1][equal]] = True
+        flag[some[1:][equal]] = True
+        flags.append(flag)
+    return [tuple(flag[s : s + c] for flag in flags) for s, c in zip(starts, counts)]
 
 
 def runs(flag: np.ndarray) -> list[tuple[int, int]]:
@@ -147,20 +153,20 @@ def fingerprints(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, whole binary, fps binary")
 
 
-_SEGMENT = {"fp": pa.int64(), "digest": pa.binary(), "doc_id": pa.int64(), "at": pa.int32(), "segment": pa.binary()}
-_FLAGGED = {"fp": pa.int64(), "digest": pa.binary(), "lo": pa.int32(), "hi": pa.int32()}
-_STRING = {"key": pa.binary(), "fp": pa.int64(), "digest": pa.binary(), "lo": pa.int32()}
+_SEGMENT = {"fp": pa.int64(), "digest": pa.binary(), "doc_id": pa.int64(), "at": pa.int32(), "starts": pa.int32(), "segment": pa.binary()}
+_FLAGGED = {"fp": pa.int64(), "digest": pa.binary(), "lo": pa.int32(), "hi": pa.int32(), "size": pa.int32()}
+_STRING = {"key": pa.binary(), "fp": pa.int64(), "digest": pa.binary(), "lo": pa.int32(), "size": pa.int32()}
 
 
-def segments(marked: DataFrame, length: int, gram: int) -> DataFrame:
-    """Documents with their repeated grams to the segments of strings that own one."""
+def segments(marked: DataFrame, near: int, length: int, gram: int) -> DataFrame:
+    """Documents with their repeated grams to the segments of strings that own one: `starts` strings begin in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.take(pa.array(np.flatnonzero(batch.column("fps").is_valid().to_numpy(zero_copy_only=False))))
             data, offsets = R.utf8(batch.column("text"))
             out, size = [[] for _ in _SEGMENT], 0
-            for i, g, own in _marks(data, offsets, length, gram):
+            for i, g, own in _marks(data, offsets, near, gram):
                 if not len(own):
                     continue
                 fps = np.sort(np.array(batch.column("fps")[i].as_py(), np.int64))
@@ -170,9 +176,9 @@ def segments(marked: DataFrame, length: int, gram: int) -> DataFrame:
                 hit = np.flatnonzero(fps[np.minimum(np.searchsorted(fps, mine), len(fps) - 1)] == mine)
                 doc = batch.column("doc_id")[i].as_py()
                 for k in hit.tolist():
-                    a = int(edge[k])
-                    s = data[offsets[i] + a : offsets[i] + int(upto[k]) - 1 + length].tobytes()
-                    for x, v in zip(out, (int(mine[k]), hashlib.blake2b(s, digest_size=16).digest(), doc, a, s)):
+                    a, b = int(edge[k]), int(upto[k])
+                    s = data[offsets[i] + a : min(offsets[i] + b - 1 + length, offsets[i + 1])].tobytes()
+                    for x, v in zip(out, (int(mine[k]), hashlib.blake2b(s, digest_size=16).digest(), doc, a, b - a, s)):
                         x.append(v)
                     size += len(s)
                 if size > 4 << 20:
@@ -181,103 +187,117 @@ def segments(marked: DataFrame, length: int, gram: int) -> DataFrame:
             if out[0]:
                 yield _batch(out, _SEGMENT)
 
-    return marked.mapInArrow(run, "fp bigint, digest binary, doc_id bigint, at int, segment binary")
+    return marked.mapInArrow(run, "fp bigint, digest binary, doc_id bigint, at int, starts int, segment binary")
 
 
-def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
-    """Distinct segments, sorted by fp, to the ranges of strings that stand in two of them."""
+def _sorted_groups(rows: DataFrame, near: int, length: int) -> DataFrame:
+    """Distinct segments, sorted by fp, to the ranges of strings of each size that stand in two of them."""
 
     def flagged(group: list) -> pa.RecordBatch:
         out: list[list] = [[] for _ in _FLAGGED]
-        for (fp, digest, _), flag in zip(group, repeated_starts([x[2] for x in group], length)):
-            for lo, hi in runs(flag):
-                for x, v in zip(out, (fp, digest, lo, hi)):
-                    x.append(v)
+        for (fp, digest, _, _), flags in zip(group, repeated_starts([x[3] for x in group], [x[2] for x in group], near, length)):
+            for size, flag in zip((near, length), flags):
+                for lo, hi in runs(flag):
+                    for x, v in zip(out, (fp, digest, lo, hi, size)):
+                        x.append(v)
         return _batch(out, _FLAGGED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size, last = [], 0, None
         for batch in batches:
-            for fp, digest, segment in zip(*(batch.column(c).to_pylist() for c in ("fp", "digest", "segment"))):
+            for fp, digest, starts, segment in zip(*(batch.column(c).to_pylist() for c in ("fp", "digest", "starts", "segment"))):
                 if size > BATCH_BYTES and fp != last:
                     yield flagged(group)
                     group, size = [], 0
-                group.append((fp, digest, segment))
+                group.append((fp, digest, starts, segment))
                 size += len(segment)
                 last = fp
         if group:
             yield flagged(group)
 
-    return rows.mapInArrow(run, "fp bigint, digest binary, lo int, hi int")
+    return rows.mapInArrow(run, "fp bigint, digest binary, lo int, hi int, size int")
 
 
-def _counted(rows: DataFrame, length: int) -> DataFrame:
+def _counted(rows: DataFrame, near: int, length: int) -> DataFrame:
     """The same ranges for grams with too many segments for one task, from counts of string digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for fp, digest, s in zip(*(batch.column(c).to_pylist() for c in ("fp", "digest", "segment"))):
-                n = len(s) - length + 1
-                yield _batch([[hashlib.blake2b(s[k : k + length], digest_size=16).digest() for k in range(n)], [fp] * n, [digest] * n, list(range(n))], _STRING)
+            for fp, digest, starts, s in zip(*(batch.column(c).to_pylist() for c in ("fp", "digest", "starts", "segment"))):
+                for size in (near, length):
+                    n = min(starts, max(0, len(s) - size + 1))
+                    yield _batch([[hashlib.blake2b(s[k : k + size], digest_size=16).digest() for k in range(n)], [fp] * n, [digest] * n, list(range(n)), [size] * n], _STRING)
 
-    strings = rows.mapInArrow(run, "key binary, fp bigint, digest binary, lo int")
+    strings = rows.mapInArrow(run, "key binary, fp bigint, digest binary, lo int, size int")
     twice = strings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return strings.join(twice, "key", "left_semi").select("fp", "digest", "lo", (F.col("lo") + 1).alias("hi"))
+    return strings.join(twice, "key", "left_semi").select("fp", "digest", "lo", (F.col("lo") + 1).alias("hi"), "size")
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, lo, hi: bytes lo..hi-1 are covered by strings that also begin elsewhere."""
+def repeated(docs: DataFrame, length: int = LENGTH, near: int = NEAR, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """doc_id, lo, hi, size: bytes lo..hi-1 are covered by strings of `size` bytes (near or length) that also begin elsewhere."""
     docs = docs.select("doc_id", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = docs.where("doc_id is not null")
-    firsts = settle(fingerprints(known, length, gram).groupBy("whole").agg(F.min(F.struct("doc_id", "fps")).alias("first"), F.count("*").alias("copies")).select("whole", "first.*", "copies"), "texts")
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    copied = (known.where(size >= length).select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("whole"))
-              .join(firsts.where("copies > 1").select("whole"), "whole").select("doc_id", F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi")))
+    firsts = settle(fingerprints(known, near, gram).groupBy("whole").agg(F.min(F.struct("doc_id", "fps")).alias("first"), F.count("*").alias("copies")).select("whole", "first.*", "copies"), "texts")
+    bytes_ = F.octet_length(F.coalesce("text", F.lit("")))
+    copied = (known.where(bytes_ >= near).select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("whole"), F.when(bytes_ >= length, length).otherwise(near).alias("size"))
+              .join(firsts.where("copies > 1").select("whole"), "whole").select("doc_id", F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi"), "size"))
     pairs = spread(firsts.where(F.length("fps") > 0).select("doc_id", "fps"))
     again = pairs.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
     wanted = pairs.join(again, "fp", "left_semi").groupBy("doc_id").agg(F.collect_list("fp").alias("fps"))
-    parts = settle(segments(docs.join(wanted, "doc_id", "left"), length, gram), "segments")
-    distinct = settle(parts.groupBy("fp", "digest").agg(F.count("*").alias("copies"), F.first("segment").alias("segment")), "distinct")
+    parts = settle(segments(docs.join(wanted, "doc_id", "left"), near, length, gram), "segments")
+    # equal bytes own equal grams, so equal segments have equally many starts
+    distinct = settle(parts.groupBy("fp", "digest").agg(F.count("*").alias("copies"), F.first("starts").alias("starts"), F.first("segment").alias("segment")), "distinct")
     sizes = distinct.groupBy("fp").agg(F.sum(F.length("segment")).alias("size"), F.count("*").alias("members")).where("members > 1")
     apart = distinct.join(sizes, "fp")
-    meet = apart.where(F.col("size") <= group_bytes).select("fp", "digest", "segment").repartition(n, "fp").sortWithinPartitions("fp")
-    many = apart.where(F.col("size") > group_bytes).select("fp", "digest", "segment")
-    same = distinct.where("copies > 1").select("fp", "digest", F.lit(0).alias("lo"), (F.length("segment") - length + 1).alias("hi"))
-    flagged = _sorted_groups(meet, length).unionByName(_counted(many, length)).unionByName(same)
+    columns = ["fp", "digest", "starts", "segment"]
+    meet = apart.where(F.col("size") <= group_bytes).select(columns).repartition(n, "fp").sortWithinPartitions("fp")
+    many = apart.where(F.col("size") > group_bytes).select(columns)
+    upto = lambda size: F.struct(F.lit(0).alias("lo"), F.least("starts", F.length("segment") - size + 1).alias("hi"), F.lit(size).alias("size"))
+    same = distinct.where("copies > 1").select("fp", "digest", F.inline(F.array(upto(near), upto(length)))).where("hi > 0")
+    flagged = _sorted_groups(meet, near, length).unionByName(_counted(many, near, length)).unionByName(same)
     found = parts.select("fp", "digest", "doc_id", "at").join(flagged, ["fp", "digest"])
-    return found.select("doc_id", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + length - 1).alias("hi")).unionByName(copied)
+    return found.select("doc_id", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + F.col("size") - 1).alias("hi"), "size").unionByName(copied)
+
+
+def _merged(ranges, end: int) -> list[list[int]]:
+    """Ranges cut at the end of the text, and joined where they meet."""
+    spans: list[list[int]] = []
+    for lo, hi in sorted((lo, min(hi, end)) for lo, hi in ranges):
+        if hi <= lo:
+            continue
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], hi)
+        else:
+            spans.append([lo, hi])
+    return spans
 
 
-def dedup(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+def dedup(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_repeated (bytes in repeated strings of `near` bytes at least), kept (the remaining bytes)."""
     docs = docs.select("doc_id", "text")
-    ranges = removed(docs, **options).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
+    ranges = repeated(docs, length, **options).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "size")).alias("ranges"))
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "n_repeated": pa.int64(), "kept": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
-            for doc, text, ranges in zip(*(batch.column(c) for c in ("doc_id", "text", "ranges"))):
-                raw, spans, kept, reach = (text.as_py() or "").encode("utf-8"), [], [], 0
-                for lo, hi in sorted((r["lo"], min(r["hi"], len(raw))) for r in ranges.as_py() or ()):
-                    if hi <= lo:
-                        continue
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], hi)
-                    else:
-                        spans.append([lo, hi])
+            for doc, text, found in zip(*(batch.column(c) for c in ("doc_id", "text", "ranges"))):
+                raw, kept, reach = (text.as_py() or "").encode("utf-8"), [], 0
+                found = found.as_py() or ()
+                spans = _merged(((r["lo"], r["hi"]) for r in found if r["size"] == length), len(raw))
                 for lo, hi in spans:
                     kept.append(raw[reach:lo])
                     reach = hi
                 kept.append(raw[reach:])
                 left = b"".join(kept)
-                for x, v in zip(out, (doc.as_py(), len(raw), len(raw) - len(left), len(spans), left)):
+                seen = sum(hi - lo for lo, hi in _merged(((r["lo"], r["hi"]) for r in found), len(raw)))
+                for x, v in zip(out, (doc.as_py(), len(raw), len(raw) - len(left), len(spans), seen, left)):
                     x.append(v)
             yield _batch(out, kinds)
 
-    return docs.join(ranges, "doc_id", "left").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return docs.join(ranges, "doc_id", "left").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, n_repeated bigint, kept binary")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    return dedup(docs, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup(docs, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")

@@ -9,7 +9,13 @@ from .brute import sha
 from .test_text_dedup import corpus, frame
 
 
-def brute(docs, length):
+def brute(docs, length, near):
+    """The contract's fields, and the bytes covered by strings of `near` bytes that stand twice."""
+    whole, covered = _brute(docs, length), _brute(docs, near)
+    return {d: (*v, covered[d][1]) for d, v in whole.items()}
+
+
+def _brute(docs, length):
     seen = {}
     raws = {d: (t or "").encode() for d, t in docs}
     for d, b in raws.items():
@@ -41,14 +47,14 @@ def test_two_stage_order(alphabet):
 def test_bytes(spark, group_bytes):
     rows = [x for x in corpus(5, 70) if len(x[1] or "") < 5000]
     rows += [(500, "xy" * 300), (501, "é" * 200 + "z"), (502, "q" * 399), (503, "\0" * 500), (504, "\0" * 400)]
-    got = {r[0]: tuple(r)[1:] for r in suffixes.report(frame(spark, rows), length=60, gram=8, group_bytes=group_bytes).collect()}
-    assert got == brute(rows, 60)
+    got = {r[0]: tuple(r)[1:] for r in suffixes.report(frame(spark, rows), length=60, near=40, gram=8, group_bytes=group_bytes).collect()}
+    assert got == brute(rows, 60, 40)
 
 
 def test_bytes_400(spark):
     rows = [x for x in corpus(6, 60) if len(x[1] or "") < 5000]
     got = {r[0]: tuple(r)[1:] for r in suffixes.report(frame(spark, rows)).collect()}
-    assert got == brute(rows, 400)
+    assert got == brute(rows, 400, suffixes.NEAR)
 
 
 def test_bytes_odd_rows(spark):
