@@ -128,8 +128,9 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUER
 
 
 def dense_approximate(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 1.0, tables: int = 6) -> DataFrame:
-    """Candidates by random projections of unit vectors, then exact scores."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y)))
+    """Candidates by random projections of unit vectors, then exact scores. Zero vectors are near nothing."""
+    unit = lambda v: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y))), F.lit(0.0)))
+    queries, corpus = (x.where(F.exists("vector", lambda v: v != 0)) for x in (queries, corpus))
     left = queries.select("query_id", F.col("vector").alias("qv"), array_to_vector(unit(F.col("vector"))).alias("features"))
     right = corpus.select("chunk_id", "document_id", "chunk_index", "vector", array_to_vector(unit(F.col("vector"))).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=11).fit(right)

@@ -416,7 +416,16 @@ def evidence_summary(spark, sf_dir):
     return out.select(*(r6(c(x)).alias(x) for x in ("gold_retained", "selected", "discarded", "reduction")))
 
 
-@query()
+#: The first eight hits of each item with their texts; each is a document, a version and so a block of its own.
+_TOP = f"""{_BM25}, tx AS (SELECT doc_id, {_NORMAL} AS t FROM documents), qx AS (SELECT item_id, {_NORMAL} AS q FROM benchmark), h AS (SELECT query_id, chunk_id, rank, score, t FROM lex JOIN tx ON doc_id = chunk_id WHERE rank <= 8)"""
+_DUP = """x[1].f <> '' AND k.f <> '' AND (x[1].f = k.f OR (contains(CASE WHEN length(x[1].f) <= length(k.f) THEN k.f ELSE x[1].f END, CASE WHEN length(x[1].f) <= length(k.f) THEN x[1].f ELSE k.f END) AND least(length(x[1].f), length(k.f)) / greatest(length(x[1].f), length(k.f)) >= 0.85)
+ OR len(list_intersect(string_split(x[1].f, ' '), string_split(k.f, ' '))) / len(list_distinct(list_concat(string_split(x[1].f, ' '), string_split(k.f, ' ')))) >= 0.92)"""
+_KEPT = f"""fo AS (SELECT query_id, list({{'rank': rank, 'f': replace(lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))), 'ß', 'ss')}} ORDER BY rank) AS l FROM h GROUP BY 1),
+ke AS (SELECT query_id, list_transform(list_reduce(list_transform(l, lambda y: [y]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {_DUP})) > 0 THEN acc ELSE list_concat(acc, x) END), lambda r: r.rank) AS kept FROM fo)"""
+
+
+@query(f"""WITH {_TOP}, {_KEPT}, g AS (SELECT query_id, count(*) AS original_chunks, count(*) FILTER (list_contains(kept, rank)) AS kept, count(*) FILTER (NOT list_contains(kept, rank)) AS removed, CAST(sum(CASE WHEN list_contains(kept, rank) THEN 0 ELSE length(trim(t)) END) AS BIGINT) AS removed_chars, CAST(sum(CASE WHEN list_contains(kept, rank) THEN length(trim(t)) ELSE 0 END) AS BIGINT) AS context_chars FROM h JOIN ke USING (query_id) GROUP BY 1)
+SELECT query_id, original_chunks, kept, removed, removed_chars, kept AS blocks, context_chars, CAST(floor((context_chars + 3) / 4) AS BIGINT) AS estimated_tokens FROM g""")
 def context_statistics(spark, sf_dir):
     """P01-P06"""
     d = context.deduplicate(hits_for_evidence(spark, sf_dir))
@@ -424,17 +433,24 @@ def context_statistics(spark, sf_dir):
     return out.select("query_id", "original_chunks", F.size("kept_ids").alias("kept"), F.size("removed_ids").alias("removed"), "removed_chars", "blocks", "context_chars", "estimated_tokens")
 
 
-@query()
+@query(f"""WITH {_TOP}, {_KEPT}, b AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS block, t FROM h JOIN ke USING (query_id) WHERE list_contains(kept, rank)),
+bl AS (SELECT *, '[' || block || '] (none)' || chr(10) || CASE WHEN length(trim(t)) > 1600 THEN substring(trim(t), 1, 1600) || '…' ELSE trim(t) END AS line FROM b),
+bs AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY block) AS size FROM bl), tu AS (SELECT conv_id AS query_id, turn, role || ': ' || trim(text) AS line FROM conversations WHERE role IN ('user', 'assistant') AND conv_id IN (SELECT item_id FROM benchmark)),
+ts AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY turn DESC) AS size FROM tu), ro AS (SELECT item_id AS query_id, q, 23600 - length(q) AS room, coalesce((SELECT max(size) FROM bs WHERE bs.query_id = item_id), 0) AS used FROM qx),
+ev AS (SELECT query_id, string_agg(line, chr(10) ORDER BY block) AS evidence, count(*) AS n FROM bs JOIN ro USING (query_id) WHERE size <= room OR block = 1 GROUP BY 1), hi AS (SELECT query_id, string_agg(line, chr(10) ORDER BY turn) AS history, count(*) AS n FROM ts JOIN ro USING (query_id) WHERE size <= room - used GROUP BY 1)
+SELECT query_id, length(concat_ws(chr(10) || chr(10), history, evidence, q)) AS chars, md5(concat_ws(chr(10) || chr(10), history, evidence, q)) AS prompt_md5, (SELECT count(*) FROM tu WHERE tu.query_id = ro.query_id) - coalesce(hi.n, 0) AS dropped_turns, (SELECT count(*) FROM b WHERE b.query_id = ro.query_id) - coalesce(ev.n, 0) AS dropped_blocks FROM ro LEFT JOIN ev USING (query_id) LEFT JOIN hi USING (query_id)""")
 def prompt_rows(spark, sf_dir):
     """P07-P10"""
     d = context.deduplicate(hits_for_evidence(spark, sf_dir))
     q = asked(spark, sf_dir)
     h = table(spark, sf_dir, "conversations").select(c("conv_id").alias("query_id"), c("turn").alias("seq"), "role", c("text").alias("content")).where(F.col("role").isin("user", "assistant"))
     out = context.prompts(q, h.join(q.select("query_id"), "query_id", "left_semi"), context.blocks(d.where(~c("duplicate"))))
-    return out.select("query_id", F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5"), "dropped_turns", "dropped_blocks", "error_code")
+    return out.select("query_id", F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5"), "dropped_turns", "dropped_blocks")
 
 
-@query()
+@query(f"""WITH {_TOP}, a AS (SELECT query_id, CASE query_id % 5 WHEN 0 THEN 'ABSTAIN: insufficient_evidence' WHEN 1 THEN substring(t, 1, 80) || ' [1] [2]' ELSE substring(t, 1, 80) END AS a, score / (score + 10) >= 0.25 AS enough FROM h WHERE rank = 1),
+m AS (SELECT query_id, list(chunk_id ORDER BY round(score, 9) DESC, chunk_id) AS ids FROM h GROUP BY 1), c AS (SELECT *, trim(a, ' ' || chr(10) || chr(9) || chr(13)) AS clean, CASE WHEN NOT enough OR query_id % 5 = 0 THEN 'insufficient_evidence' WHEN length(trim(regexp_replace(regexp_replace(a, '\\[\\d+\\]', ' ', 'g'), '\\s+', ' ', 'g'))) < 8 THEN 'empty_or_echo_answer' END AS reason FROM a JOIN m USING (query_id))
+SELECT query_id, CASE WHEN reason IS NULL THEN 'completed' ELSE 'abstained' END AS status, reason, CASE WHEN reason IS NULL THEN md5(trim(clean) || CASE WHEN query_id % 5 = 1 THEN '' ELSE ' [1]' END) END AS answer_md5, CASE WHEN reason IS NULL THEN CAST(ids[1] AS VARCHAR) || CASE WHEN query_id % 5 = 1 AND len(ids) > 1 THEN ',' || ids[2] ELSE '' END END AS cited FROM c""")
 def answer_outcomes(spark, sf_dir):
     """The first hit's opening as the answer."""
     d = hits_for_evidence(spark, sf_dir).withColumn("score", c("score") / (c("score") + 10))

@@ -137,3 +137,25 @@ def test_nearest_pairs_whole(spark):
     few = df.where("chunk_id >= 700")
     assert [tuple(x) for x in R.nearest_pairs(few, 5).collect()] == [(700, 701, 0.0), (700, 702, 0.0), (701, 702, 0.0)]
     assert R.nearest_pairs(df.where("false")).count() == 0
+
+
+def test_dense_blocks_and_recall(spark):
+    """Queries in several blocks give the exact lists of a plain computation; approximate lists hold nine tenths of them."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((400, 16))
+    x[7] = x[8]
+    held = spark.createDataFrame([(i, i // 2, i % 2, v.tolist()) for i, v in enumerate(x)], "chunk_id int, document_id int, chunk_index int, vector array<double>")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 400, 20)] + [(999, [0.0] * 16), (998, [1.0])], "query_id int, vector array<double>")
+    got = {}
+    for row in R.dense_top_k(q, held, 5, block=6).collect():
+        got.setdefault(row["query_id"], {})[row["rank"]] = (row["chunk_id"], round(row["score"], 9))
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    for i in range(0, 400, 20):
+        s = np.clip(unit @ unit[i], 0, 1)
+        want = sorted(range(400), key=lambda k: (-round(s[k], 12), k // 2, k % 2))[:5]
+        assert [got[i][n + 1][0] for n in range(5)] == want
+    assert [got[999][n + 1] for n in range(5)] == [(n, 0.0) for n in range(5)] == [got[998][n + 1] for n in range(5)]
+    same = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 400, 20)], "query_id int, vector array<double>")
+    near = R.dense_approximate(same, held, 5).select("query_id", "chunk_id").collect()
+    hit = sum((r_["query_id"], r_["chunk_id"]) in {(i, got[i][n + 1][0]) for i in range(0, 400, 20) for n in range(5)} for r_ in near)
+    assert hit >= 0.9 * 100
