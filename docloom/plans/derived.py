@@ -12,7 +12,7 @@ from docloom.functions import constants as K
 from docloom.functions import text as T
 from docloom.operators import catalog, context, diagnostics, indexing, metrics, questions
 from docloom.operators import retrieval as R
-from docloom.plans.queries import _OUT, asked, c, lexical_hits, outcomes, query, r6
+from docloom.plans.queries import _OUT, c, folders, outcomes, query, r6
 from docloom.sources import files
 from docloom.sources.shared import table
 from docloom.streaming import index_stream
@@ -225,17 +225,11 @@ def history_transcript(spark, sf_dir):
     return rows.select("conversation_id", F.size("t").alias("n"), F.md5(F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")).alias("turns_md5"))
 
 
-def _folders(spark, sf_dir) -> DataFrame:
-    from docloom.plans.queries import folders
-
-    return folders(spark, sf_dir)
-
-
 @query("""SELECT 'r' || r_regionkey AS folder_id, '/' || r_name AS path, 0 AS depth FROM region UNION ALL
 SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 AND n_regionkey <> 1 THEN (SELECT '/' || r_name FROM region WHERE r_regionkey = 1) ELSE '/' || r_name END || '/' || n_name, 1 FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def folder_moves(spark, sf_dir):
     """Every second nation moves to the second region."""
-    f = _folders(spark, sf_dir)
+    f = folders(spark, sf_dir)
     moves = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0 and n_regionkey <> 1").select(F.concat(F.lit("n"), "n_nationkey").alias("folder_id"), F.lit("r1").alias("target_id"))
     return catalog.move_folders(f, moves)[0].select("folder_id", "path", "depth")
 
@@ -243,7 +237,7 @@ def folder_moves(spark, sf_dir):
 @query("""SELECT 'r' || r_regionkey AS folder_id, 'cycle' AS error_code FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey)""")
 def folder_move_errors(spark, sf_dir):
     """Regions moved into a nation of their own."""
-    f = _folders(spark, sf_dir)
+    f = folders(spark, sf_dir)
     moves = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n")).select(F.concat(F.lit("r"), "n_regionkey").alias("folder_id"), F.concat(F.lit("n"), "n").alias("target_id"))
     return catalog.move_folders(f, moves)[1]
 
