@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, lines, neighbours, packing, substrings, suffixes, toxicity, warc
+from . import chat, decontaminate, jaccard, lines, neighbours, packing, pii, ranked, substrings, suffixes, toxicity, warc
 from .scratch import fresh_path, read
 
 
@@ -66,6 +66,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(read(spark, sf_dir, "documents"))
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -73,6 +81,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE>>|<<SAYS>>"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: Digits of a column with a sound Luhn sum; letters and digits with a remainder of 1 by 97.
+_LUHN = "(list_sum(list_transform(range(1, length({0}) + 1), lambda q: CASE WHEN q % 2 = 1 THEN ascii(reverse({0})[q]) - 48 ELSE (2 * (ascii(reverse({0})[q]) - 48)) // 10 + (2 * (ascii(reverse({0})[q]) - 48)) % 10 END)) % 10 = 0)"
+_MOD97 = """(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr({0}, 5) || substr({0}, 1, 4), ''), lambda q: CAST(CASE WHEN q <= '9' THEN ascii(q) - 48 ELSE ascii(q) - 55 END AS BIGINT))),
+  lambda x, y: (x * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1)"""
+_NEARBY = "CASE kind " + " ".join(f"WHEN {n} THEN regexp_matches({{0}}, '(?i)\\b(?:{pii.FOR[k]})\\b')" for n, k in enumerate(pii.KINDS)) + " END"
+_SPEAKS_AGAINST = "CASE kind " + " ".join(f"WHEN {pii.KINDS.index(k)} THEN regexp_matches({{0}}, '(?i)\\b(?:{v})\\b')" for k, v in pii.AGAINST.items()) + " ELSE false END"
 
 #: SQL for the answers that it can give over whole tables.
 SQL = {
@@ -117,6 +131,45 @@ t AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS word FROM d
 m AS (SELECT doc_id, t.i, word, coalesce(bool_or(gone) OVER (PARTITION BY doc_id ORDER BY t.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM t LEFT JOIN f USING (doc_id, i)),
 a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY i) AS kept FROM m GROUP BY 1)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
+    "op12_ranked_lexical_search": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+z AS (SELECT count(*) AS n, CAST(sum(len(l)) AS BIGINT) AS l FROM d WHERE len(l) > 0),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(l) AS n, unnest(l) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * z.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY term, z.n),
+s AS (SELECT q.item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * p.n * z.n) // z.l)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term), z GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
+    "op13_pii": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT r, 0 AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS m, regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS g FROM d
+  UNION ALL SELECT r, 1, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), regexp_split_to_array(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+  UNION ALL SELECT r, 2, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), regexp_split_to_array(t, '[0-9]([\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT r, 3, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+  UNION ALL SELECT r, 4, regexp_extract_all(t, '[A-Z][A-Z][0-9][0-9]( ?[A-Z0-9]){{11,30}}'), regexp_split_to_array(t, '[A-Z][A-Z][0-9][0-9]( ?[A-Z0-9]){{11,30}}') FROM d
+  UNION ALL SELECT r, 5, regexp_extract_all(t, '\(?[0-9][0-9][0-9]\)?[ .-][0-9][0-9][0-9][ .-][0-9][0-9][0-9][0-9]'), regexp_split_to_array(t, '\(?[0-9][0-9][0-9]\)?[ .-][0-9][0-9][0-9][ .-][0-9][0-9][0-9][0-9]') FROM d),
+a AS (SELECT r, kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')), 'x': m[i]}}), recursive := true) FROM c WHERE len(m) > 0),
+b AS (SELECT r, kind, s, s + length(x) AS e, x, regexp_replace(x, '[^0-9]', '', 'g') AS n FROM a),
+ok AS (SELECT *, CASE kind WHEN 0 THEN true WHEN 1 THEN regexp_full_match(x, '0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(\.0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5]))(\.0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5]))(\.0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5]))')
+  WHEN 2 THEN length(n) BETWEEN 13 AND 19 AND {_LUHN.format("n")} WHEN 3 THEN length(n) BETWEEN 9 AND 15 ELSE false END AS own FROM b),
+base AS (SELECT r, kind, s, e, CASE kind WHEN 0 THEN 0 WHEN 2 THEN 40 ELSE 20 END AS sure, true AS base FROM ok WHERE own),
+gl AS (SELECT r, s, regexp_split_to_array(x, '[ -]') AS l FROM ok WHERE kind = 2 AND NOT own AND length(n) >= 13),
+gi AS (SELECT r, s, l, unnest(range(1, len(l) + 1)) AS i FROM gl),
+gn AS (SELECT r, s, s + length(array_to_string(l[1:i - 1], '')) + i - 1 AS a, l[i] AS one, array_to_string(l[i:i + 3], '') AS four, list_transform(l[i:i + 3], lambda q: length(q)) AS sizes4, array_to_string(l[i:i + 2], '') AS three, list_transform(l[i:i + 2], lambda q: length(q)) AS sizes3 FROM gi),
+ge AS (SELECT r, s, a, a + CASE WHEN length(one) BETWEEN 13 AND 19 AND {_LUHN.format("one")} THEN length(one) WHEN sizes4 = [4, 4, 4, 4] AND {_LUHN.format("four")} THEN 19 WHEN sizes3 = [4, 6, 5] AND {_LUHN.format("three")} THEN 17 END AS e FROM gn),
+gc AS (SELECT r, a, e, coalesce(max(e) OVER (PARTITION BY r, s ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last_ FROM ge WHERE e IS NOT NULL),
+cards AS (SELECT r, 2 AS kind, a AS s, e, 40 AS sure, false AS base FROM gc WHERE a >= last_),
+lim AS (SELECT r, list(s) AS starts FROM (SELECT r, s FROM base WHERE kind IN (1, 2) UNION ALL SELECT r, s FROM cards) GROUP BY r),
+ph AS (SELECT ok.r, s, x, coalesce(list_min(list_filter(starts, lambda q: q > s)), s + length(x)) - s AS room FROM ok LEFT JOIN lim USING (r) WHERE kind = 3 AND length(n) > 15),
+phones AS (SELECT r, 3 AS kind, s, s + list_max(list_filter(range(1, length(x) + 1), lambda i: i <= room AND x[i] BETWEEN '0' AND '9' AND NOT (i < length(x) AND x[i + 1] BETWEEN '0' AND '9') AND length(regexp_replace(x[1:i], '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) AS e, 20 AS sure, false AS base FROM ph),
+ib AS (SELECT r, s, x, list_filter(range(1, length(x) + 1), lambda i: (i = length(x) OR x[i + 1] = ' ') AND length(replace(x[1:i], ' ', '')) BETWEEN 15 AND 34) AS ends FROM ok WHERE kind = 4),
+ie AS (SELECT r, s, q, replace(x[1:q], ' ', '') AS code FROM (SELECT r, s, x, unnest(ends) AS q FROM ib)),
+ibans AS (SELECT r, 4 AS kind, s, s + max(q) AS e, 40 AS sure, false AS base FROM ie WHERE {_MOD97.format("code")} GROUP BY r, s),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM cards UNION ALL SELECT * FROM phones WHERE e IS NOT NULL UNION ALL SELECT * FROM ibans),
+nat AS (SELECT ok.r, 3 AS kind, s, e, 0 AS sure, false AS base FROM ok JOIN d USING (r) WHERE kind = 5 AND NOT regexp_matches(substr(t, s, CASE WHEN s > 0 THEN 1 ELSE 0 END), '[+0-9]') AND NOT regexp_matches(substr(t, e + 1, 1), '[0-9]')
+  AND NOT EXISTS (SELECT 1 FROM found o WHERE o.r = ok.r AND o.s < ok.e AND ok.s < o.e)),
+w AS (SELECT r, kind, s, e, sure, base, CASE WHEN s > 40 THEN substr(t, s - 39, 40) ELSE substr(t, 1, s) END AS x1, substr(t, e + 1, 40) AS x2 FROM (SELECT * FROM found UNION ALL SELECT * FROM nat) JOIN d USING (r)),
+k AS (SELECT r, kind, base, concat(list_extract(['email', 'ip', 'card', 'phone', 'iban'], kind + 1), ':', s, ':', e) AS span, s, 40 + sure + CASE WHEN {_NEARBY.format("x1")} OR {_NEARBY.format("x2")} THEN 20 ELSE 0 END - CASE WHEN {_SPEAKS_AGAINST.format("x1")} OR {_SPEAKS_AGAINST.format("x2")} THEN 30 ELSE 0 END AS points FROM w),
+o AS (SELECT r, count(*) FILTER (base AND kind = 0) AS e, count(*) FILTER (base AND kind = 1) AS i, count(*) FILTER (base AND kind = 2) AS c, count(*) FILTER (base AND kind = 3) AS p,
+  string_agg(span, ',' ORDER BY kind, s) FILTER (base) AS b, string_agg(span, ',' ORDER BY kind, s) AS a FROM k WHERE base OR points >= 60 GROUP BY r)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN o USING (r)""",
 }
 
 
