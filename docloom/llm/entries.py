@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, lines, neighbours, packing, pii, ranked, substrings, suffixes, toxicity, warc
+from . import chat, decontaminate, jaccard, lines, neighbours, packing, pii, prefixes, ranked, substrings, suffixes, toxicity, warc
 from .scratch import fresh_path, read
 
 
@@ -66,6 +66,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.report(read(spark, sf_dir, "conversations"))
+
+
 def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -131,6 +135,19 @@ t AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS word FROM d
 m AS (SELECT doc_id, t.i, word, coalesce(bool_or(gone) OVER (PARTITION BY doc_id ORDER BY t.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM t LEFT JOIN f USING (doc_id, i)),
 a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY i) AS kept FROM m GROUP BY 1)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
+    "op11_conversation_prefix_trie": r"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id AS c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda q: CAST(ascii(q) AS BIGINT))),
+  lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda z, i: xor(z >> 1, (z & 1) * 3988292384))), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c, 0 AS part, p, role, text FROM c JOIN t ON conv_id = c - c % 5 AND p <= h UNION ALL SELECT c, 1, p, role, text FROM c JOIN t ON conv_id = c AND p > h),
+n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d, sha256(length(role) || ':' || role || text) AS x, octet_length(encode(text)) AS bytes FROM b),
+f AS (SELECT c, 0 AS d, '' AS k, 0 AS bytes FROM c UNION ALL SELECT c, d, string_agg(x, '') OVER (PARTITION BY c ORDER BY d), bytes FROM n),
+v AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saves FROM f GROUP BY k, d),
+e AS (SELECT DISTINCT a.k AS up, a.d AS up_d, z.k AS k, z.d AS d FROM f a JOIN f z ON a.c = z.c AND a.d <= z.d),
+g AS (SELECT up AS k, count(*) FILTER (d = up_d + 1) AS n_children FROM e GROUP BY 1),
+s AS (SELECT up AS k, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saves) AS BIGINT) AS saved_tokens FROM e JOIN g USING (k) JOIN v USING (k) GROUP BY 1),
+u AS (SELECT e.k, v.conv_id AS parent_conv_id FROM e JOIN v ON v.k = up WHERE e.d = up_d + 1),
+m AS (SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM f WHERE d = (SELECT max(o.d) FROM f o WHERE o.c = f.c) GROUP BY k)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM v JOIN g USING (k) JOIN s USING (k) LEFT JOIN u USING (k) LEFT JOIN m USING (k)""",
     "op12_ranked_lexical_search": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents),
 q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
 z AS (SELECT count(*) AS n, CAST(sum(len(l)) AS BIGINT) AS l FROM d WHERE len(l) > 0),
