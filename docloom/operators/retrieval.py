@@ -11,8 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,24 +125,12 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUER
     return ranked(every, F.desc("score"), F.asc("document_id"), F.asc("chunk_index"), limit=k)
 
 
-def dense_approximate(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 1.0, tables: int = 6) -> DataFrame:
-    """Candidates by random projections of unit vectors, then exact scores. Zero vectors are near nothing."""
-    unit = lambda v: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y))), F.lit(0.0)))
-    queries, corpus = (x.where(F.exists("vector", lambda v: v != 0)) for x in (queries, corpus))
-    left = queries.select("query_id", F.col("vector").alias("qv"), array_to_vector(unit(F.col("vector"))).alias("features"))
-    right = corpus.select("chunk_id", "document_id", "chunk_index", "vector", array_to_vector(unit(F.col("vector"))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=11).fit(right)
-    near = model.approxSimilarityJoin(left, right, 1.5, "distance")
-    scored = near.select("datasetA.query_id", "datasetB.chunk_id", "datasetB.document_id", "datasetB.chunk_index", cosine(F.col("datasetA.qv"), F.col("datasetB.vector")).alias("score")).dropDuplicates(["query_id", "chunk_id"])
-    return ranked(scored, F.desc("score"), F.asc("document_id"), F.asc("chunk_index"), limit=k)
-
-
-#: Vectors in a block of nearest_pairs, about, and those of it that are multiplied at a time.
+#: Vectors in a block of every_pair, about, and those of it that are multiplied at a time.
 PAIR_BLOCK, PAIR_ROWS = 8192, 512
 
 
-def nearest_pairs(vectors: DataFrame, k: int = 10, block: int = PAIR_BLOCK) -> DataFrame:
-    """The k most alike pairs of all vectors (a report), by products of blocks with the k best of a task.
+def every_pair(vectors: DataFrame, k: int = 10, block: int = PAIR_BLOCK) -> DataFrame:
+    """D04 for tables with fewer than k pairs above 0 (see vectors.nearest_pairs): all pairs, by products of blocks with the k best of a task.
 
     Products choose the pairs; the scores are then summed in the order of cosine()."""
     rows = vectors.where("chunk_id is not null").select("chunk_id", "vector")

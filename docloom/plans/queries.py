@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import catalog, chunking, context, diagnostics, evidence, indexing, metrics, questions, ranking
 from docloom.operators import retrieval as R
+from docloom.operators import vectors as V
 from docloom.sources import files
 from docloom.sources.shared import table
 
@@ -288,19 +289,26 @@ def dense_top(spark, sf_dir):
     return R.dense_top_k(dense_queries(spark, sf_dir), vectors(spark, sf_dir), 10).select("query_id", "chunk_id", "rank", r6(c("score")).alias("score"))
 
 
+@query(f"WITH {_DENSE} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM den WHERE rank <= 10")
+def dense_inverted_exact(spark, sf_dir):
+    """D03 without its approximation: the inverted file with every cell that its bounds leave open."""
+    v = vectors(spark, sf_dir)
+    return V.search(dense_queries(spark, sf_dir), V.inverted_file(v, 64), 10, scan=1.0)[0].select("query_id", "chunk_id", "rank", r6(c("score")).alias("score"))
+
+
 @query()
-def dense_lsh(spark, sf_dir):
-    """D03, with its recall of D02 per query."""
+def dense_inverted(spark, sf_dir):
+    """Per query its recall of D02, and the shares of vectors scanned by code and verified."""
     q, v = dense_queries(spark, sf_dir), vectors(spark, sf_dir)
-    near, exact = R.dense_approximate(q, v, 10), R.dense_top_k(q, v, 10)
-    hit = exact.select("query_id", "chunk_id").join(near.select("query_id", "chunk_id", F.lit(1).alias("found")), ["query_id", "chunk_id"], "left")
-    return hit.groupBy("query_id").agg(F.avg(F.coalesce("found", F.lit(0))).alias("recall"))
+    near, costs = V.search(q, V.inverted_file(v, 64), 10)
+    hit = R.dense_top_k(q, v, 10).select("query_id", "chunk_id").join(near.select("query_id", "chunk_id", F.lit(1).alias("found")), ["query_id", "chunk_id"], "left")
+    return hit.groupBy("query_id").agg(F.avg(F.coalesce("found", F.lit(0))).alias("recall")).join(costs, "query_id", "left")
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(greatest(0, least(1, list_cosine_similarity(a.e, b.e))), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, 1, 2 LIMIT 10""")
 def nearest_pairs(spark, sf_dir):
     """A top-k report."""
-    return R.nearest_pairs(vectors(spark, sf_dir), 10).withColumn("score", r6(c("score")))
+    return V.nearest_pairs(vectors(spark, sf_dir), 10).withColumn("score", r6(c("score")))
 
 
 _RRF = """both_ AS (SELECT query_id, chunk_id, rank FROM lex WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, rank FROM den WHERE rank <= 30), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM both_ GROUP BY 1, 2),
