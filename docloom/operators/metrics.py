@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import settle
+
 c = F.col
 E, R, C = "expected_ids", "retrieved_ids", "cited_ids"
 
@@ -56,25 +58,58 @@ def _share(good: Column, of: Column) -> Column:
     return F.try_divide(F.count_if(of & good), F.count_if(of))
 
 
-def nearest_rank(column: str, p: float) -> Column:
-    """The nearest-rank percentile."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").cast("double")
+def _octave(v: Column, parts: int = 256) -> Column:
+    """A bucket that never falls as v grows: the parts of octaves, those of negative numbers in reverse."""
+    log = lambda x: F.floor(F.log2(x) * parts) + 2000 * parts
+    return F.when(v > 0, log(v)).when(v < 0, -log(-v)).otherwise(0).cast("bigint")
+
+
+def nearest_ranks(rows: DataFrame, by: str, column: str, **ranks: float) -> DataFrame:
+    """Exact nearest-rank percentiles of a column per group, as the columns named by `ranks`.
+
+    Counts of buckets first, which tell the bucket that holds each rank; then the distinct values of those buckets alone.
+    Both counts are aggregated before they are shuffled, so a group of any size stays spread. Nulls do not count."""
+    values = rows.where(c(column).isNotNull()).select(by, c(column).cast("double").alias("v"))
+    buckets = values.groupBy(by, _octave(c("v")).alias("bucket")).agg(F.count("*").alias("n"))
+    upto = W.partitionBy(by).orderBy("bucket")
+    table = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in ranks.items()))
+    counted = buckets.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(W.partitionBy(by))})
+    wanted = counted.withColumn("r", F.explode(table)).where((c("upto") >= c("r.p") * c("total")) & (c("upto") - c("n") < F.greatest(c("r.p") * c("total"), F.lit(1e-300))))
+    wanted = wanted.select(by, "bucket", c("r.name").alias("name"), (c("r.p") * c("total")).alias("rank"), (c("upto") - c("n")).alias("before"))
+    inside = values.withColumn("bucket", _octave(c("v"))).join(wanted.select(by, "bucket").distinct(), [by, "bucket"], "left_semi").groupBy(by, "bucket", "v").agg(F.count("*").alias("n"))
+    placed = inside.withColumn("own", F.sum("n").over(W.partitionBy(by, "bucket").orderBy("v"))).join(wanted, [by, "bucket"])
+    found = placed.where(c("before") + c("own") >= c("rank")).groupBy(by).agg(*(F.min(F.when(c("name") == n, c("v"))).alias(n) for n in ranks))
+    return found
+
+
+def positions(rows: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """rows numbered from 1 in a global order: sorted in ranges, each of which adds the counts of the ranges before it."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = settle(sorted_.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "positions")
+    parts = held.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first")).orderBy("_part").collect()  # a row for each partition
+    before, table = 0, []
+    for r in parts:
+        table.append((r["_part"], before - r["first"] + 1))
+        before += r["n"]
+    offsets = rows.sparkSession.createDataFrame(table, "_part int, offset bigint")
+    return held.join(F.broadcast(offsets), "_part").withColumn(name, c("_at") + c("offset")).drop("_part", "_at", "offset")
 
 
 def report(outcomes: DataFrame, include_abstain: bool = False, by: str = "experiment_id") -> DataFrame:
-    """One row of metrics per experiment, from one aggregation over its outcomes that are ok."""
+    """One row of metrics per experiment over its outcomes that are ok: one aggregation, and the percentiles."""
     ok = outcomes.where("status = 'ok'")
     can = eligible(include_abstain)
     done = ~c("expect_abstention") & (c("generation_status") == "completed") & (F.size(E) > 0)
-    return ok.groupBy(by).agg(
+    whole = ok.groupBy(by).agg(
         _share(F.arrays_overlap(E, R), can).alias("recall_at_k"), F.avg(F.when(can, reciprocal_rank())).alias("mrr"), F.count_if(can).alias("n_retrieval"),
         F.try_divide(F.count_if(done & grounded()), F.count_if(~c("expect_abstention"))).alias("groundedness"),
         F.avg(F.when(done, citation_precision())).alias("citation_precision_mean"), F.avg(F.when(done, citation_accurate().cast("int"))).alias("citation_accuracy"),
         _share(c("expect_abstention"), _abstained()).alias("abstention_precision"), _share(_abstained(), c("expect_abstention")).alias("abstention_recall"),
         F.count_if(~c("expect_abstention")).alias("n_answerable"), F.count_if(c("expect_abstention")).alias("n_abstain_cases"),
-        nearest_rank("e2e_ms", 0.5).alias("e2e_p50"), nearest_rank("e2e_ms", 0.95).alias("e2e_p95"), F.avg("e2e_ms").alias("e2e_mean"),
+        F.avg("e2e_ms").alias("e2e_mean"),
         F.avg("retrieval_ms").alias("retrieval_mean"), F.avg("generation_ms").alias("generation_mean"),
         F.avg("total_tokens").alias("tokens_mean"), F.count_if(c("total_tokens").isNull()).alias("tokens_missing"))
+    return whole.join(nearest_ranks(ok, by, "e2e_ms", e2e_p50=0.5, e2e_p95=0.95), by, "left")
 
 
 def by_language(outcomes: DataFrame, questions: DataFrame) -> DataFrame:
@@ -153,4 +188,4 @@ def evidence_summary(diagnostics: DataFrame, gold: DataFrame) -> DataFrame:
 
 def trend(runs: DataFrame, metric: str) -> DataFrame:
     """A metric over the runs in order of time."""
-    return runs.select("experiment_id", "created_at", metric, F.row_number().over(W.orderBy("created_at", "experiment_id")).alias("position"))
+    return positions(runs.select("experiment_id", "created_at", metric), "created_at", "experiment_id")

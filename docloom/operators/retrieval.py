@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions import constants as K
 from docloom.functions import text as T
+from docloom.operators import lexical
 from docloom.sources.shared import settle
 
 #: Query tokens, and query vectors, that are sent to the tasks at once; more take a shuffle, or further passes.
@@ -238,22 +239,16 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25(found: DataFrame, queries: DataFrame, limit: int | None = K.POOL, k1: float = K.BM25_K1, b: float = K.BM25_B) -> DataFrame:
-    """Hits by the best segment of each chunk. Repeated query tokens count repeatedly.
-
-    Texts are tokenised once: what is kept of a segment is its length and its tokens that a query holds. Up to MANY
-    query tokens the table of (query, token, weight) is broadcast, so that no common token meets in one task."""
-    asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    few = asked.count() <= MANY
-    own = F.filter("tokens", lambda t: t.isin([r["token"] for r in asked.select("token").distinct().collect()])) if few else F.col("tokens")  # MANY at most
-    held = settle(found.select("chunk_id", "segment", F.size("tokens").alias("length"), own.alias("tokens")), "segments")
-    size = held.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    rows = held.select("chunk_id", "segment", "length", F.explode("tokens").alias("token")).groupBy("chunk_id", "segment", "length", "token").agg(F.count("*").alias("tf"))
-    wanted = asked.join(document_frequency(rows), "token").join(F.broadcast(size))
-    weighed = rows.join(F.broadcast(wanted) if few else wanted, "token")
-    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest("average", F.lit(1e-9))))
-    best = weighed.groupBy("query_id", "chunk_id", "segment").agg(F.sum(part * F.col("times")).alias("score")).where("score > 0")
-    best = best.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return ranked(best, F.desc(F.round("score", 9)), F.asc("chunk_id"), limit=limit)
+    """Hits by the best segment of each chunk, by an index of the tokens that the queries hold, made for these segments.
+
+    Texts are tokenised once; above MANY query tokens the index takes all tokens."""
+    asked = queries.select(F.explode("tokens").alias("token")).distinct()
+    held = settle(lexical.blocks(found, asked if asked.count() <= MANY else None), "blocks")
+    return ranked_hits(lexical.search(held, lexical.size(held), queries, limit, k1, b), limit)
+
+
+def ranked_hits(hits: DataFrame, limit: int | None) -> DataFrame:
+    return ranked(hits, F.desc(F.round("score", 9)), F.asc("chunk_id"), limit=limit)
 
 
 def _contains_any(parts: Column, text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Scans and sinks."""
+"""Scans and sinks (S01, S02, S05, S09, T02, T05, T06, T07); datasets and runs have modules of their own."""
 
 from __future__ import annotations
 
@@ -15,8 +15,6 @@ from docloom.functions import text as X
 
 c = F.col
 PARSERS = {"txt": "text", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "pdf": "pdf", "docx": "docx"}
-QUESTION = "id string, question string, expected_answer string, expected_citations array<struct<chunk_id:string,document_id:string,document_version_id:string,rank_hint:int>>, knowledge_base_id string, difficulty string, language string, tags array<string>, expect_abstention boolean, notes string"
-MANIFEST = "dataset_id string, dataset_version string, knowledge_base_id string, question_count int, languages array<string>, created_at string, notes string, language_default string"
 
 
 def decoded(content: Column) -> Column:
@@ -97,21 +95,6 @@ def without_margins(pages: DataFrame, near: int = 2, share: float = 0.6) -> Data
     return pages.select("doc_id", "page").join(text, ["doc_id", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(questions, bad lines with their file)."""
-    schema = T.StructType.fromDDL(QUESTION).add("_bad", T.StringType())
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("file", F.input_file_name())
-    return rows.where("_bad is null").drop("_bad", "file"), rows.where("_bad is not null").select("file", c("_bad").alias("line"))
-
-
-def manifest_errors(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
-    """What the manifest and the questions disagree on."""
-    m = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
-    n = found.agg(F.count("*").alias("n"), F.count_distinct("knowledge_base_id").alias("bases"), F.first("knowledge_base_id").alias("base"))
-    errors = F.array_compact(F.array(F.when(c("question_count").isNotNull() & (c("question_count") != c("n")), "question_count_mismatch"), F.when(c("bases") > 1, "several_knowledge_bases"), F.when(c("base") != c("knowledge_base_id"), "other_knowledge_base")))
-    return m.join(n).select("dataset_id", F.explode(errors).alias("error_code"))
-
-
 def question_errors(rows: DataFrame) -> DataFrame:
     """Id, error_code."""
     twice = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("duplicate_id").alias("error_code"))
@@ -121,53 +104,16 @@ def question_errors(rows: DataFrame) -> DataFrame:
     return twice.unionByName(rows.select("id", F.explode(each).alias("error_code")))
 
 
-def write_experiment(path: str, **tables: DataFrame) -> None:
-    """Config, results, metrics and summary of experiments, partitioned by experiment_id; an experiment written again replaces its own."""
-    for name, rows in tables.items():
-        rows.write.partitionBy("experiment_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{path}/{name}")
-
-
-def runs(spark: SparkSession, path: str, limit: int = 50, **only: str) -> DataFrame:
-    """The catalogue of runs, newest first."""
-    read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
-    config = read("config", "experiment_id string, workspace_id string, knowledge_base_id string, dataset_id string, created_at timestamp")
-    out = config.join(read("summary", "experiment_id string, passed boolean"), "experiment_id", "left").join(read("metrics", "experiment_id string, recall_at_k double, mrr double"), "experiment_id", "left")
-    for name, value in only.items():
-        out = out.where(c(name) == value)
-    return out.orderBy(F.desc("created_at"), "experiment_id").limit(limit)
-
-
-def dataset_ids(catalogue: DataFrame) -> DataFrame:
-    return catalogue.select("dataset_id").distinct()
-
-
-def write_lexical_index(postings: DataFrame, path: str) -> None:
-    """Postings by knowledge base and model, with a manifest of their number."""
-    postings.write.partitionBy("knowledge_base_id", "model").parquet(f"{path}/postings")
-    postings.groupBy("knowledge_base_id", "model").agg(F.count("*").alias("rows")).write.json(f"{path}/manifest")
-
-
-def read_lexical_index(spark: SparkSession, path: str, base: str, model: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, mismatch: a row if their number is not the manifest's)."""
-    mine = (c("knowledge_base_id") == base) & (c("model") == model)
-    rows = spark.read.parquet(f"{path}/postings").where(mine)
-    said = spark.read.schema("knowledge_base_id string, model string, rows long").json(f"{path}/manifest").where(mine)
-    return rows, said.join(rows.agg(F.count("*").alias("found"))).where(c("rows") != c("found")).select("rows", "found")
-
-
 def write_diagnostics(path: str, report: DataFrame, questions_: DataFrame, trust: DataFrame) -> None:
-    """JSON report, flat CSV with a row for each question, trust rows."""
+    """JSON report, flat CSV with a row for each question (lists joined by |, other nested columns as JSON), trust rows."""
     report.write.json(f"{path}/report")
-    flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else c(f.name) for f in questions_.schema]
-    questions_.select(flat).write.option("header", True).csv(f"{path}/questions")
+    def flat(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
+            return F.array_join(f.name, "|").alias(f.name)
+        return F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else c(f.name)
+    questions_.select([flat(f) for f in questions_.schema]).write.option("header", True).csv(f"{path}/questions")
     trust.write.json(f"{path}/trust")
 
 
-def write_dataset(path: str, rows: DataFrame, dataset_id: str) -> None:
-    """Questions as JSON lines and a manifest with the number that counts as measured."""
-    rows.write.json(f"{path}/questions")
-    rows.agg(F.lit(dataset_id).alias("dataset_id"), F.count("*").alias("question_count"), F.count_if("measured").alias("measured_eligible")).write.json(f"{path}/manifest")
-
-
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")

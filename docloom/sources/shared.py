@@ -22,17 +22,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder named by spark.checkpoint.dir and read it back, for steps that are read more than once.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder named by spark.checkpoint.dir.
 
     A folder of this machine is used only where Spark runs in one process and names none."""
-    spark = df.sparkSession
     context = spark.sparkContext
     at = context.getConf().get("spark.checkpoint.dir", None)
     if not at:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="docloom-")
-    path = f"{at}/docloom-{name}-{uuid.uuid4().hex}"
+    return f"{at}/docloom-{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back, for steps that are read more than once."""
+    path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

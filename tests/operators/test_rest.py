@@ -116,19 +116,6 @@ def test_files(spark, tmp_path):
         (tmp_path / "t" / name).write_bytes(raw)
     got = {r["path"][-5:]: (r["parser"], r["text"]) for r in files.text_files(spark, str(tmp_path / "t")).collect()}
     assert got["a.txt"] == ("text", "سلام") and got["b.md"[-5:] if len("b.md") > 4 else "/b.md"] == ("markdown", "x") and got["c.txt"] == ("text", "é") and got["d.zzz"] == (None, None)
-    (tmp_path / "q.jsonl").write_text('{"id": "1", "question": "q", "tags": ["t"], "expected_answer": "a", "knowledge_base_id": "k"}\nbroken\n{"id": "1", "question": " ", "tags": [], "knowledge_base_id": "k"}\n')
-    good, bad = files.questions(spark, str(tmp_path / "q.jsonl"))
-    good = good.cache()
-    assert good.count() == 2 and {r["error_code"] for r in files.question_errors(good).collect()} == {"duplicate_id", "blank_question", "empty_tags", "answer_or_citations_required"}
-    (tmp_path / "m.json").write_text('{"dataset_id": "d", "knowledge_base_id": "z", "question_count": 5}')
-    assert {r["error_code"] for r in files.manifest_errors(spark, str(tmp_path / "m.json"), good).collect()} == {"question_count_mismatch", "other_knowledge_base"}
-    post = spark.createDataFrame([("k", "m", "t", 1)], "knowledge_base_id string, model string, token string, tf int")
-    files.write_lexical_index(post, str(tmp_path / "ix"))
-    rows, wrong = files.read_lexical_index(spark, str(tmp_path / "ix"), "k", "m")
-    assert rows.count() == 1 and wrong.count() == 0
-    e = lambda **k: spark.createDataFrame([tuple(k.values())], list(k))
-    files.write_experiment(str(tmp_path / "ex"), config=e(experiment_id="1", workspace_id="w", knowledge_base_id="k", dataset_id="d", created_at="2024-01-01T00:00:00Z"), summary=e(experiment_id="1", passed=True), metrics=e(experiment_id="1", recall_at_k=0.5, mrr=0.5))
-    assert files.runs(spark, str(tmp_path / "ex"), dataset_id="d").first()["passed"] is True
 
 
 def test_stream(spark, tmp_path):
