@@ -266,6 +266,22 @@ def marker_key(c: ColumnOrName, words_only: bool = False) -> Column:
     return F.regexp_replace(x, r"[^\p{L}\p{N}_]+" if words_only else r"[\s\x{200C}]+", "")
 
 
+def _letters_and_digits(x: Column) -> Column:
+    x = F.translate(x, "يىك۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "ییک01234567890123456789")
+    return casefold(F.regexp_replace(x, r"[^\p{L}\p{N}]+", ""))
+
+
+def answer_key(c: ColumnOrName) -> Column:
+    """T24 for facts and echoes: letters and digits alone, in one form."""
+    return _letters_and_digits(nfkc(_col(c)))
+
+
+def answer_keys(c: ColumnOrName) -> Column:
+    """`answer_key` of each text of an array."""
+    joined = nfkc(F.array_join(F.transform(_col(c), lambda x: F.replace(x, F.lit("\x1f"), F.lit(" "))), "\x1f"))
+    return F.when(F.size(_col(c)) > 0, F.transform(F.split(joined, "\x1f"), _letters_and_digits)).otherwise(F.array().cast("array<string>"))
+
+
 def repair_glyphs(c: ColumnOrName, artifacts: dict[str, str] | None = None) -> Column:
     """Replace glyph artifacts standing between no letters, and set the spaces around right-to-left marks."""
     x = _col(c)

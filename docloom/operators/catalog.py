@@ -59,21 +59,32 @@ def subtree(folders: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def move_folders(folders: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(folders with paths and depths rewritten, violations). Moves: folder_id, target_id (null: the root)."""
-    f = folders.select("folder_id", "path", "depth", "name")
-    rows = moves.join(f, "folder_id").join(folders.select(c("folder_id").alias("target_id"), c("path").alias("target_path"), c("depth").alias("target_depth")), "target_id", "left")
-    deepest = subtree(folders, moves.join(f, "folder_id")).join(f, "folder_id").groupBy(c("root_id").alias("folder_id")).agg(F.max("depth").alias("deepest"))
-    names = visible(folders).select(c("parent_folder_id").alias("target_id"), "name", c("folder_id").alias("sibling"))
-    clash = rows.join(names, F.expr("1=1") & (rows.target_id.eqNullSafe(names.target_id)) & (rows.name == names.name) & (rows.folder_id != names.sibling), "left_semi").select("folder_id").withColumn("_clash", F.lit(True))
-    rows = rows.join(deepest, "folder_id").join(clash, "folder_id", "left")
+    """(folders with paths and depths rewritten, violations). Moves: folder_id, target_id (null: the root).
+
+    Folder and target must be there and active; a folder moves neither into itself nor below itself, no deeper than
+    MAX_DEPTH, and not beside a folder of its name. The first fault in that order is told."""
+    live = (visible(folders) if "deleted_at" in folders.columns else folders).withColumn("_live", c("status") == "active" if "status" in folders.columns else F.lit(True))
+    f = live.select("folder_id", "path", "depth", "name", "_live")
+    targets = live.select(c("folder_id").alias("target_id"), c("path").alias("target_path"), c("depth").alias("target_depth"), c("_live").alias("_target"))
+    rows = moves.select("folder_id", "target_id").join(f, "folder_id", "left").join(targets, "target_id", "left")
+    deepest = subtree(folders, f.join(moves.select("folder_id"), "folder_id", "left_semi")).join(folders.select("folder_id", "depth"), "folder_id").groupBy(c("root_id").alias("folder_id")).agg(F.max("depth").alias("deepest"))
+    names = visible(folders).select(F.coalesce("parent_folder_id", F.lit("")).alias("_at"), "name", c("folder_id").alias("sibling"))
+    near = rows.where("name is not null").withColumn("_at", F.coalesce("target_id", F.lit(""))).join(names, ["_at", "name"])
+    clash = near.where(c("folder_id") != c("sibling")).select("folder_id").distinct().withColumn("_clash", F.lit(True))
+    rows = rows.join(deepest, "folder_id", "left").join(clash, "folder_id", "left")
     shift = F.coalesce("target_depth", F.lit(-1)) + 1 - c("depth")
-    code = F.when(F.coalesce(under(c("target_path"), c("path")), F.lit(False)), "cycle").when(c("deepest") + shift >= MAX_DEPTH, "too_deep").when(c("_clash"), "name_conflict")
+    code = (F.when(~F.coalesce("_live", F.lit(False)), "folder_not_found").when(c("target_id") == c("folder_id"), "into_itself")
+            .when(c("target_id").isNotNull() & ~F.coalesce("_target", F.lit(False)), "target_not_found").when(F.coalesce(under(c("target_path"), c("path")), F.lit(False)), "cycle")
+            .when(c("deepest") + shift >= MAX_DEPTH, "too_deep").when(c("_clash"), "name_conflict"))
     checked = rows.withColumns({"error_code": code, "shift": shift, "new_path": F.concat(F.coalesce("target_path", F.lit("")), F.lit("/"), "name")})
     good = checked.where("error_code is null").select("folder_id", c("path").alias("_old"), "new_path", "shift", "target_id")
     inner = subtree(folders, good.select("folder_id", c("_old").alias("path"))).join(good.withColumnRenamed("folder_id", "root_id"), "root_id")
     moved = folders.join(inner, "folder_id", "left")
     is_root = c("root_id") == c("folder_id")
-    out = moved.withColumns({"path": F.when(c("root_id").isNotNull(), F.concat("new_path", F.substr("path", F.length("_old") + 1, F.length("path")))).otherwise(c("path")), "depth": c("depth") + F.coalesce("shift", F.lit(0)), "parent_folder_id": F.when(is_root, c("target_id")).otherwise(c("parent_folder_id"))})
+    rest = F.substr("path", F.length("_old") + 1, F.length("path"))
+    out = moved.withColumns({
+        "path": F.when(c("root_id").isNotNull(), F.concat("new_path", rest)).otherwise(c("path")), "depth": c("depth") + F.coalesce("shift", F.lit(0)),
+        "parent_folder_id": F.when(is_root, c("target_id")).otherwise(c("parent_folder_id"))})
     return out.select(folders.columns), checked.where("error_code is not null").select("folder_id", "error_code")
 
 
@@ -151,32 +162,74 @@ def recount(bases: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def admit(uploads: DataFrame, now: Column) -> DataFrame:
-    """Status of uploads. Uploads: file_name, size_bytes, declared_size, checksum, content, created_at."""
-    suffix = F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1))
-    code = (F.when(~suffix.isin(EXTENSIONS), "unsupported_format").when(c("size_bytes") > MAX_BYTES, "file_too_large").when(now > c("created_at") + F.expr(f"interval {UPLOAD_HOURS} hours"), "upload_expired")
-            .when(c("size_bytes") != c("declared_size"), "size_mismatch").when(F.sha2("content", 256) != F.lower("checksum"), "checksum_mismatch"))
-    return uploads.withColumns({"error_code": code, "status": F.when(code.isNull(), "completed").otherwise("rejected")})
+    """error_code and status of uploads. Uploads: file_name, declared_size, content (null: none came), checksum (null: none given), created_at.
+
+    A file is admitted by its declared size, over 0 and at most MAX_BYTES, and its suffix; it is completed in time, with as
+    many bytes as declared, and with the checksum, where one is given."""
+    suffix = F.lower(F.regexp_extract("file_name", r"\.([^.]*)$", 1))
+    size = c("declared_size")
+    code = (F.when(F.coalesce(size <= 0, F.lit(True)), "empty_file").when(size > MAX_BYTES, "file_too_large").when(~F.coalesce(suffix.isin(EXTENSIONS), F.lit(False)), "unsupported_format")
+            .when(now > c("created_at") + F.expr(f"interval {UPLOAD_HOURS} hours"), "upload_expired").when(c("content").isNull(), "content_required")
+            .when(F.length("content") != size, "size_mismatch").when((c("checksum") != "") & (F.sha2("content", 256) != c("checksum")), "checksum_mismatch"))
+    status = F.when(code.isNull(), "completed").when(code == "upload_expired", "expired").otherwise("rejected")
+    return uploads.withColumns({"error_code": code, "status": status})
 
 
 def bind_versions(versions: DataFrame, documents: DataFrame, uploads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(versions, documents, rejected uploads). Uploads: upload_session_id, document_id, document_version_id."""
-    used = versions.select("upload_session_id").where("upload_session_id is not null").distinct()
-    fresh = uploads.join(used, "upload_session_id", "left_anti")
+    """(versions, documents, rejected uploads with error_code). Uploads: upload_session_id, document_id, document_version_id, status, staging_key, checksum.
+
+    The document must be there, neither archived nor deleted; the upload completed, in no version yet, with its content.
+    Of several requests for one upload the first document_version_id has it."""
+    used = versions.select("upload_session_id").where("upload_session_id is not null").distinct().withColumn("_used", F.lit(True))
+    of = documents.select("document_id", c("status").alias("_status"))
+    rows = uploads.join(of, "document_id", "left").join(used, "upload_session_id", "left")
+    turn = F.row_number().over(W.partitionBy("upload_session_id").orderBy("document_version_id"))
+    code = (F.when(c("_status").isNull(), "document_not_found").when(c("_status").isin("archived", "deleted"), "document_not_mutable")
+            .when(F.coalesce(c("status") != "completed", F.lit(True)), "upload_not_completed").when(c("_used"), "upload_already_used")
+            .when(c("staging_key").isNull() | c("checksum").isNull(), "upload_without_content"))
+    checked = rows.withColumn("error_code", code)
+    fresh = checked.where("error_code is null").withColumn("_turn", turn)
+    twice = fresh.where("_turn > 1").withColumn("error_code", F.lit("upload_already_used")).drop("_turn")
+    rejected = checked.where("error_code is not null").unionByName(twice).select(*uploads.columns, "error_code")
     last = versions.groupBy("document_id").agg(F.max("version_number").alias("_last"))
     order = W.partitionBy("document_id").orderBy("upload_session_id")
-    new = fresh.join(last, "document_id", "left").withColumn("version_number", (F.coalesce("_last", F.lit(0)) + F.row_number().over(order)).cast("int")).drop("_last").withColumn("processing_status", F.lit("uploaded"))
+    number = (F.coalesce("_last", F.lit(0)) + F.row_number().over(order)).cast("int")
+    new = fresh.where("_turn = 1").join(last, "document_id", "left").withColumn("version_number", number)
+    new = new.select("document_id", "document_version_id", "upload_session_id", "version_number", c("checksum").alias("content_hash"), F.lit("uploaded").alias("processing_status"))
     current = new.groupBy("document_id").agg(F.max_by("document_version_id", "version_number").alias("_new"))
-    docs = documents.join(current, "document_id", "left").withColumns({"current_version_id": F.coalesce("_new", "current_version_id"), "status": F.when(c("_new").isNotNull() & (c("status") == "draft"), "active").otherwise(c("status"))}).select(documents.columns)
-    return versions.unionByName(new, allowMissingColumns=True), docs, uploads.join(used, "upload_session_id", "left_semi").withColumn("error_code", F.lit("upload_already_used"))
+    docs = documents.join(current, "document_id", "left").withColumns({"current_version_id": F.coalesce("_new", "current_version_id"), "status": F.when(c("_new").isNotNull() & (c("status") == "draft"), "active").otherwise(c("status"))})
+    return versions.unionByName(new, allowMissingColumns=True), docs.select(documents.columns), rejected
+
+
+MAX_NAME, MAX_TITLE, MAX_TAGS, MAX_METADATA = 200, 500, 50, 16 * 1024
+LANGUAGE = r"^[a-z]{2,3}(-[A-Za-z0-9]{2,8})*$"
+
+
+def _between(text: Column, most: int) -> Column:
+    return F.coalesce(F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).between(1, most), F.lit(False))
+
+
+def written_length(json: Column) -> Column:
+    """Characters of compact JSON whose letters beyond ASCII are escapes."""
+    astral = F.regexp_count(json, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return F.length(json) + 5 * F.regexp_count(json, F.lit(r"[^\x{00}-\x{7F}]")) + 6 * astral
 
 
 def metadata_errors(rows: DataFrame) -> DataFrame:
-    """document_id, errors."""
-    ok_language = c("declared_language").isNull() | c("declared_language").rlike(r"^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*$")
-    errors = F.array_compact(F.array(F.when(~ok_language, "invalid_language"), F.when(~F.length(F.trim("title")).between(1, 500), "invalid_title"), F.when(F.size("tags") > 50, "too_many_tags"), F.when(F.octet_length(F.to_json("metadata")) > 16 * 1024, "metadata_too_large")))
+    """document_id, errors of its language code, title, tags and metadata."""
+    language = c("declared_language").isNull() | c("declared_language").rlike(LANGUAGE)
+    tags = (F.size("tags") <= MAX_TAGS) & F.forall("tags", lambda t: F.coalesce(~t.rlike(r"(?U)^\s*$"), F.lit(False)))
+    errors = F.array_compact(F.array(
+        F.when(~language, "invalid_language"), F.when(~_between(c("title"), MAX_TITLE), "invalid_title"), F.when(~F.coalesce(tags, F.lit(True)), "invalid_tags"),
+        F.when(written_length(F.to_json("metadata")) > MAX_METADATA, "metadata_too_large")))
     return rows.select("document_id", errors.alias("errors")).where(F.size("errors") > 0)
 
 
+def name_errors(rows: DataFrame, key: str) -> DataFrame:
+    """B16 for knowledge bases and folders: key, error_code of names that are blank or too long."""
+    return rows.where(~_between(c("name"), MAX_NAME)).select(key, F.lit("invalid_name").alias("error_code"))
+
+
 def placement_errors(moves: DataFrame, folders: DataFrame) -> DataFrame:
     """Documents moved or restored to a folder that is absent or not active. Moves: document_id, folder_id."""
     rows = moves.where("folder_id is not null").join(folders.select("folder_id", "status"), "folder_id", "left")

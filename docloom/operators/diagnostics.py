@@ -79,27 +79,56 @@ def rank_histogram(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy(F.coalesce("gold_rank", F.lit(0)).alias("rank")).agg(F.count("*").alias("n"))
 
 
-def false_abstains(outcomes: DataFrame, tops: DataFrame) -> DataFrame:
-    """Answerable questions that were abstained, with the gold retrieved or not."""
-    rows = outcomes.where(c("abstained") & ~c("expect_abstention")).join(tops, "question_id", "left")
-    return rows.agg(F.count("*").alias("false_abstains"), F.count_if(F.arrays_overlap("expected_ids", "retrieved_ids")).alias("gold_was_retrieved"), F.avg("top_score").alias("mean_top_score"))
+def false_abstains(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(cases, one row with their count, rate over all rows and how many the threshold explains).
 
+    A case is a measured question whose expected chunk came (hit) and that was abstained all the same. Rows: question_id,
+    measured, expected_id, hit, abstained, top_score (null without hits)."""
+    top = F.coalesce("top_score", F.lit(0.0))
+    is_case = F.coalesce(c("measured") & (F.coalesce("expected_id", F.lit("")) != "") & c("hit") & c("abstained"), F.lit(False))
+    cases = rows.where(is_case).select("question_id", top.alias("max_score"), F.lit(least).alias("min_evidence_score"), (top < least).alias("threshold_triggered"))
+    return cases, rows.agg(F.count_if(is_case).alias("n"), F.coalesce(F.try_divide(F.count_if(is_case), F.count("*")), F.lit(0.0)).alias("rate"), F.count_if(is_case & (top < least)).alias("triggered"))
 
-def sweep_thresholds(rows: DataFrame, thresholds: list[float]) -> DataFrame:
-    """What each evidence threshold would answer and abstain. Rows: top_score, expect_abstention."""
-    t = rows.sparkSession.createDataFrame([(x,) for x in thresholds], "threshold double")
-    answered = F.coalesce(c("top_score"), F.lit(0.0)) >= c("threshold")
-    out = rows.join(F.broadcast(t)).groupBy("threshold").agg(F.count_if(answered & ~c("expect_abstention")).alias("answered"), F.count_if(~answered & ~c("expect_abstention")).alias("false_abstains"), F.count_if(answered & c("expect_abstention")).alias("false_answers"), F.count_if(~answered & c("expect_abstention")).alias("right_abstains"))
-    best = F.row_number().over(W.orderBy(c("false_abstains") + c("false_answers"), "threshold"))
-    return out.withColumn("recommended", best == 1)
 
+#: G10, fixed values: thresholds of the sweep, and the order in which a safe one is preferred.
+THRESHOLDS = [0.00, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30]
+PREFERRED = [0.25, 0.20, 0.15, 0.30, 0.10, 0.05, 0.00]
 
-def sweep_k(rows: DataFrame, ks: list[int]) -> DataFrame:
-    """Hit rate at each k, the smallest k of the best rate recommended."""
+
+def sweep_thresholds(rows: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """What each least evidence score would do, one of them recommended.
+
+    Rows: retrieved_ids, top_score, expected_id (null: none), hit, gold_answer, risk. Hits do not change with the
+    threshold; a false abstention is a hit with a gold answer that would be abstained; risks count among the answers.
+    Recommended is the first preferred threshold without false abstentions, or of all if every one has some."""
+    t = rows.sparkSession.createDataFrame([(x, PREFERRED.index(x) if x in PREFERRED else len(PREFERRED)) for x in thresholds], "min_evidence_score double, _order int")
+    top, ids = F.coalesce("top_score", F.lit(0.0)), F.coalesce("retrieved_ids", F.array().cast("array<string>"))
+    expected = F.coalesce("expected_id", F.lit("")) != ""
+    place = F.array_position(ids, c("expected_id"))
+    held = rows.select(top.alias("top"), (F.size(ids) == 0).alias("none"), expected.alias("expected"), F.when(expected, (place > 0).cast("double")).alias("hit"), F.when(expected, F.when(place > 0, 1.0 / place).otherwise(0.0)).alias("rr"),
+                       (expected & F.coalesce("hit", F.lit(False)) & (F.coalesce("gold_answer", F.lit("")) != "")).alias("answerable"), F.coalesce("risk", F.lit(False)).alias("risk"))
+    silent = (c("top") < c("min_evidence_score")) | c("none")
+    out = held.join(F.broadcast(t)).groupBy("min_evidence_score", "_order").agg(
+        F.avg("hit").alias("hit_at_k"), F.avg("rr").alias("mrr"), F.count_if(silent & c("answerable")).alias("false_abstain_count"), (F.count_if(silent & c("answerable")) / F.count("*")).alias("false_abstain_rate"),
+        F.count_if(~silent & c("risk")).alias("hallucination_count"), F.coalesce(F.try_divide(F.count_if(~silent & c("risk")), F.count_if(~silent)), F.lit(0.0)).alias("hallucination_rate"), F.count_if(~silent).alias("answer_count"))
+    rank = F.struct((c("false_abstain_count") > 0).cast("int"), c("_order"), c("false_abstain_rate"), c("hallucination_rate"), -c("min_evidence_score"))
+    best = out.agg(F.min_by("min_evidence_score", rank).alias("best"))
+    return out.join(F.broadcast(best)).withColumn("recommended", c("min_evidence_score") == c("best")).drop("best", "_order")
+
+
+#: G11, fixed values.
+TOP_KS = [1, 3, 5, 8, 10, 12]
+
+
+def sweep_k(rows: DataFrame, ks: list[int] = TOP_KS) -> DataFrame:
+    """Hits and mean reciprocal rank of the lists cut at each k, over rows that expect something; the smallest k of the best hit rate is recommended."""
     table = rows.sparkSession.createDataFrame([(k,) for k in ks], "k int")
-    hit = F.exists(F.slice("retrieved_ids", F.lit(1), c("k")), lambda x: F.array_contains("expected_ids", x))
-    out = rows.join(F.broadcast(table)).groupBy("k").agg(F.avg(hit.cast("double")).alias("hit_rate"))
-    return out.withColumn("recommended", F.row_number().over(W.orderBy(F.desc("hit_rate"), "k")) == 1)
+    places = F.filter(F.transform("expected_ids", lambda x: F.array_position("retrieved_ids", x)), lambda p: p > 0)
+    first = rows.where(F.size("expected_ids") > 0).select(F.array_min(places).alias("first"))
+    hit = F.coalesce(c("first") <= c("k"), F.lit(False))
+    out = first.join(F.broadcast(table)).groupBy("k").agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("hit_rate"), F.avg(F.when(hit, 1.0 / c("first")).otherwise(0.0)).alias("mrr"))
+    best = out.agg(F.min_by("k", F.struct(-c("hit_rate"), c("k"))).alias("best"))
+    return out.join(F.broadcast(best)).withColumn("recommended", c("k") == c("best")).drop("best")
 
 
 def miss_labels(misses: DataFrame) -> DataFrame:
@@ -155,18 +184,45 @@ def pass_rate(causes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def answer_scores(rows: DataFrame) -> DataFrame:
-    """Exact match, word overlap, groundedness, risk and number accuracy. Rows: question_id, answer, expected, evidence."""
-    key = lambda x: F.lower(T.collapse_spaces(x))
-    words = lambda x: T.content_tokens(x)
-    own = words("answer")
-    grounded = F.when(F.size(own) > 0, F.size(F.array_intersect(own, words("evidence"))) / F.size(own)).otherwise(0.0)
-    numbers, wanted = T.short_numbers("answer"), T.short_numbers("expected")
-    return rows.withColumns({"exact": (key("answer") == key("expected")).cast("double"), "lexical": T.jaccard(own, words("expected")), "groundedness": grounded, "risk": 1 - grounded, "numeric": F.when(F.size(wanted) > 0, F.size(F.array_intersect(numbers, wanted)) / F.size(wanted))})
-
-
-def means_by(rows: DataFrame, key: str, *names: str) -> DataFrame:
-    """Means of columns of each cohort."""
-    return rows.groupBy(key).agg(F.count("*").alias("n"), *(F.avg(n).alias(n) for n in names))
+    """Rows with exact_match, lexical_overlap, fluency, entity_match, procedure_match, grounded, risk, citation_accuracy, numeric_accuracy.
+
+    Rows: question_id, gold, predicted, expected_chunk_id, cited_ids, category. Words are those between white space, in lower
+    case, digits as Latin ones. An answer is grounded if it cites the chunk and shares 0.15 of the words, and a risk if it
+    does not cite it and shares less than 0.05. Without an answer nothing matches and the risk is there."""
+    key = lambda x: F.lower(F.regexp_replace(F.regexp_replace(T.to_latin_digits(x), r"(?U)\s+", " "), "^ | $", ""))
+    words = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda w: w != ""))
+    some = F.coalesce("predicted", F.lit("")) != ""
+    gold, said = key(F.coalesce("gold", F.lit(""))), key(c("predicted"))
+    lexical = T.jaccard(words(gold), words(said))
+    cites = F.coalesce((c("expected_chunk_id") != "") & F.array_contains("cited_ids", c("expected_chunk_id")), F.lit(False))
+    numbers = lambda x: F.array_distinct(F.transform(T.number_runs(x), T.to_latin_digits))
+    wanted = numbers(F.coalesce("gold", F.lit("")))
+    letters, persian = F.regexp_count("predicted", F.lit(r"[\p{L}\x{0600}-\x{06FF}]")), F.regexp_count("predicted", F.lit(r"[\x{0600}-\x{06FF}]"))
+    fluency = F.when(letters > 0, persian / letters).otherwise(0.0) * F.when(F.contains("predicted", F.lit("  ")), 0.7 + 0.3 * 0.4).otherwise(1.0)
+    known = rows.withColumns({"_some": some, "_lexical": F.when(some, lexical).otherwise(0.0), "_cites": some & cites})
+    only = lambda *names: F.when(c("_some") & c("category").isin(*names), c("_lexical"))
+    return known.withColumns({
+        "exact_match": F.coalesce(c("_some") & (gold == said), F.lit(False)), "lexical_overlap": c("_lexical"), "fluency": F.when(c("_some"), fluency).otherwise(0.0),
+        "entity_match": only("responsibility", "permission"), "procedure_match": only("procedure", "multi_step"),
+        "grounded": c("_cites") & (c("_lexical") >= 0.15), "risk": ~c("_some") | ((c("_lexical") < 0.05) & ~c("_cites")), "citation_accuracy": c("_cites"),
+        "numeric_accuracy": F.when(c("_some") & (F.size(wanted) > 0), F.size(F.array_intersect(wanted, numbers(c("predicted")))) / F.size(wanted)),
+    }).drop("_some", "_lexical", "_cites")
+
+
+def answers_by_cohort(scored: DataFrame, key: str = "cohort") -> DataFrame:
+    """Rates and means of `answer_scores` over the rows that have an answer (even an empty one), of each cohort."""
+    flag = lambda name, out: F.avg(F.coalesce(c(name), F.lit(False)).cast("double")).alias(out)
+    return scored.where("predicted is not null").groupBy(key).agg(
+        F.count("*").alias("n"), flag("exact_match", "exact_match_rate"), F.avg("lexical_overlap").alias("lexical_overlap_mean"), F.avg("fluency").alias("fluency_mean"), F.avg("entity_match").alias("entity_match_mean"),
+        F.avg("procedure_match").alias("procedure_match_mean"), flag("grounded", "groundedness_rate"), flag("citation_accuracy", "citation_accuracy_rate"), F.avg("numeric_accuracy").alias("numeric_accuracy_mean"), flag("abstained", "abstention_rate"))
+
+
+def context_averages(statistics: DataFrame) -> DataFrame:
+    """One row of means and totals over the assembled contexts."""
+    removed = F.size("removed_ids")
+    return statistics.agg(
+        F.count("*").alias("n"), F.avg("original_chunks").alias("avg_original_chunks"), F.avg("blocks").alias("avg_final_blocks"), F.avg(removed).alias("avg_duplicate_removals"), F.avg("removed_chars").alias("avg_duplicated_chars_removed"),
+        F.avg("context_chars").alias("avg_context_chars"), F.avg("estimated_tokens").alias("avg_estimated_tokens"), F.coalesce(F.sum(removed), F.lit(0)).alias("total_duplicate_removals"), F.coalesce(F.sum("removed_chars"), F.lit(0)).alias("total_duplicated_chars_removed"))
 
 
 def surface_report(texts: DataFrame) -> DataFrame:
@@ -176,9 +232,11 @@ def surface_report(texts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(total)).select("issue", "n", (c("n") / c("total")).alias("rate"))
 
 
-def per_document(rows: DataFrame, cohorts: list[str]) -> DataFrame:
-    """Hit rate of each document by cohort."""
-    return rows.groupBy("document_id").pivot("cohort", cohorts).agg(F.avg(c("hit").cast("double")))
+def per_document(rows: DataFrame, cohorts: tuple[str, ...] = ("baseline", "robustness")) -> DataFrame:
+    """document_id, and of each cohort the number of its measured questions and their hit rate. Rows: document_id (null: unknown), cohort, measured, hit (null: not known)."""
+    of = lambda name: c("cohort") == name
+    named = [x for n in cohorts for x in (F.count_if(of(n)).alias(f"{n}_n"), F.avg(F.when(of(n), c("hit").cast("double"))).alias(f"{n}_hit"))]
+    return rows.where("measured").groupBy(F.coalesce(c("document_id").cast("string"), F.lit("unknown")).alias("document_id")).agg(*named)
 
 
 def trust_rows(metrics: DataFrame, limits: dict[str, float]) -> DataFrame:
@@ -211,9 +269,14 @@ def subsystem_scores(by_cohort_: DataFrame) -> DataFrame:
 
 
 def compare_models(rows: DataFrame, current: str, gain: float = 0.05) -> DataFrame:
-    """The model to use: another only if its hit rate is larger by `gain`. Rows: model, hit_rate."""
-    now = F.max(F.when(c("model") == current, c("hit_rate")))
-    return rows.agg(F.max_by("model", F.struct("hit_rate", "model")).alias("best"), F.max("hit_rate").alias("best_rate"), now.alias("current_rate")).withColumn("recommended", F.when(c("best_rate") >= F.coalesce("current_rate", F.lit(0.0)) + gain, c("best")).otherwise(current))
+    """The model to use: the best by hit rate, then by mrr, if its hit rate is larger by `gain`. Rows: model, hit_rate, mrr (null: 0).
+
+    Without a row of the current model the best is recommended; without rows the current one."""
+    rate, order = F.coalesce("hit_rate", F.lit(0.0)), F.struct(F.coalesce("hit_rate", F.lit(0.0)), F.coalesce("mrr", F.lit(0.0)), "model")
+    now = F.max(F.when(c("model") == current, rate))
+    out = rows.agg(F.max_by("model", order).alias("best"), F.max(rate).alias("best_rate"), now.alias("current_rate"))
+    better = c("current_rate").isNull() | ((c("best") != current) & (c("best_rate") - c("current_rate") >= gain))
+    return out.withColumn("recommended", F.when(c("best").isNotNull() & better, c("best")).otherwise(current))
 
 
 def share_of(flag: Column) -> Column:

@@ -113,15 +113,28 @@ def incomplete(chunks: DataFrame, index: DataFrame, model: str) -> DataFrame:
     return pending(chunks, index, model).groupBy("document_version_id").agg(F.count("*").alias("remaining")).withColumn("failure_reason", F.lit("partial_embedding_failure"))
 
 
-#: X08, fixed values: what each request may start from and what it does there.
-TRANSITIONS = [("index", "chunked", "indexing"), ("index", "indexed", "already_indexed"), ("reindex", "indexed", "indexing"), ("reindex", "chunked", "indexing"), ("resume", "failed", "indexing"), ("resume", "indexing", "indexing")]
-
-
-def transitions(versions: DataFrame, requests: DataFrame) -> DataFrame:
-    """document_version_id, request, next status or an error code."""
-    table = versions.sparkSession.createDataFrame(TRANSITIONS, "request string, processing_status string, next string")
-    rows = requests.join(versions.select("document_version_id", "processing_status"), "document_version_id", "left").join(F.broadcast(table), ["request", "processing_status"], "left")
-    return rows.select("document_version_id", "request", "next", F.when(F.col("processing_status").isNull(), "version_not_found").when(F.col("next").isNull(), "version_not_indexable").alias("error_code"))
+#: X08, fixed values: states from which a version can be indexed or reindexed, and resumed.
+INDEXABLE = ["chunked", "indexing", "failed", "indexed"]
+RESUMABLE = ["failed", "indexing", "chunked"]
+
+
+def transitions(versions: DataFrame, requests: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """document_version_id, request (index, reindex, resume), next (state, or already_indexed), failure_reason, error_code.
+
+    What can be indexed goes on to indexing, from a failure or an interruption too; an indexed version is left as it is
+    unless it is to be reindexed, and cannot be resumed. With chunks given, a version without any fails as an empty_chunk_list."""
+    rows = requests.join(versions.select("document_version_id", "processing_status"), "document_version_id", "left")
+    have = F.lit(True)
+    if chunks is not None:
+        rows = rows.join(chunks.select("document_version_id").distinct().withColumn("_some", F.lit(True)), "document_version_id", "left")
+        have = F.coalesce(F.col("_some"), F.lit(False))
+    state, request = F.col("processing_status"), F.col("request")
+    code = (F.when(~request.isin("index", "reindex", "resume"), "unknown_request").when(state.isNull(), "version_not_found")
+            .when((request == "resume") & ~state.isin(RESUMABLE), "version_not_resumable").when(~state.isin(INDEXABLE), "version_not_indexable"))
+    held = (request == "index") & (state == "indexed")
+    after = F.when(code.isNotNull(), None).when(held, "already_indexed").when(have, "indexing").otherwise("failed")
+    reason = F.when(code.isNull() & ~held & ~have, "empty_chunk_list")
+    return rows.select("document_version_id", "request", after.alias("next"), reason.alias("failure_reason"), code.alias("error_code"))
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.sources.shared import settle
 
 c = F.col
@@ -151,32 +152,54 @@ def gold_ranks(hits: DataFrame, gold: DataFrame) -> DataFrame:
     return gold.select("query_id").distinct().join(best, "query_id", "left")
 
 
-def gold_summary(ranks: DataFrame) -> DataFrame:
+def gold_summary(ranks: DataFrame, answers: DataFrame | None = None, wrong: DataFrame | None = None) -> DataFrame:
+    """Hits and mean reciprocal rank; with answers (query_id, answer, abstained, marker) also passes, abstentions, wrong
+    answers and false abstentions; with `wrong` (query_id of those that got another question's passage) their number."""
     hit = lambda k: F.avg(F.coalesce((c("gold_rank") <= k).cast("int"), F.lit(0))).alias(f"hit_{k}")
-    return ranks.agg(F.count("*").alias("n"), hit(1), hit(3), hit(5), F.avg(F.coalesce(1.0 / c("gold_rank"), F.lit(0.0))).alias("mrr"))
+    named = [F.count("*").alias("n"), hit(1), hit(3), hit(5), F.avg(F.coalesce(1.0 / c("gold_rank"), F.lit(0.0))).alias("mrr")]
+    if wrong is not None:
+        ranks = ranks.join(wrong.select("query_id").distinct().withColumn("_wrong", F.lit(True)), "query_id", "left")
+        named.append(F.count_if(c("_wrong") & c("gold_rank").isNotNull()).alias("wrong_retrieval"))
+    if answers is not None:
+        verdict = F.when(c("abstained"), "abstain").when(F.contains(T.answer_key("answer"), T.answer_key("marker")), "pass").otherwise("wrong")
+        ranks = ranks.join(answers.select("query_id", "abstained", verdict.alias("verdict")), "query_id")
+        named += [F.count_if(c("verdict") == "pass").alias("passed"), F.count_if(c("verdict") == "abstain").alias("abstains"), F.count_if(c("verdict") == "wrong").alias("wrong_answers"), F.count_if(c("abstained") & c("gold_rank").isNotNull()).alias("false_abstains")]
+    return ranks.agg(*named)
 
 
 def completeness(rows: DataFrame) -> DataFrame:
-    """Share of the facts (array) that an answer holds, and the verdict."""
-    found = F.size(F.filter("facts", lambda f: F.contains("answer", f)))
-    share = F.when(F.size("facts") > 0, found / F.size("facts")).otherwise(0.0)
-    return rows.select("query_id", share.alias("completeness"), F.when(share >= 1, "pass").when(share > 0, "partial").otherwise("fail").alias("verdict"))
+    """Share of the facts (array) that an answer holds, letters and digits compared alone, and the verdict. An abstention fails."""
+    keyed = rows.withColumns({"_answer": T.answer_key(F.coalesce("answer", F.lit(""))), "_facts": T.answer_keys("facts")})
+    share = F.when(F.size("facts") > 0, F.size(F.filter("_facts", lambda f: F.contains("_answer", f))) / F.size("facts")).otherwise(0.0)
+    verdict = F.when(F.coalesce("abstained", F.lit(False)) | (share == 0), "fail").when(share == 1, "pass").otherwise("partial")
+    return keyed.select("query_id", F.round(share, 4).alias("completeness"), verdict.alias("verdict"))
 
 
-#: Openings of an answer that sound like a machine.
-ROBOTIC = r"(?i)^\s*(as an ai|according to the (provided|given) (context|documents)|based on the (provided|given)|بر اساس (متن|اسناد|اطلاعات) (ارائه|داده)\s*شده)"
+#: Openings of an answer that sound like a machine; the first two are fit for a grounded answer.
+ROBOTIC = ["براساس اطلاعات موجود", "بر اساس اطلاعات موجود", "پرسش شما", "سؤال درباره", "سوال درباره"]
+CITATION = r"\[(\d+)\]"
 
 
 def style(rows: DataFrame) -> DataFrame:
-    """Valid markers, citation coverage of paragraphs, echo, robotic opening, script share, numbered steps."""
-    a = c("answer")
-    paragraphs = F.filter(F.transform(F.split(a, r"\n\s*\n|\n"), F.trim), lambda p: F.length(p) >= 20)
-    cited = F.size(F.filter(paragraphs, lambda p: p.rlike(r"\[\d+\]"))) / F.greatest(F.size(paragraphs), F.lit(1))
-    persian, letters = F.regexp_count(a, F.lit(r"[\x{0600}-\x{06FF}]")), F.regexp_count(a, F.lit(r"[\p{L}]"))
-    marks = F.transform(F.array_distinct(F.regexp_extract_all(a, F.lit(r"\[(\d+)\]"), F.lit(1))), lambda x: x.cast("int"))
+    """query_id, markers_valid, paragraph_coverage, echo, robotic, fluent_script, numbered_steps. Rows: query_id, query, answer, abstained, markers (those of its citations, as [1]).
+
+    Paragraphs end at blank lines and before numbered items, and count from 8 characters without their markers."""
+    a = F.coalesce("answer", F.lit(""))
+    trim = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    bare = F.regexp_replace(a, CITATION, "")
+    paragraphs = F.filter(F.split(a, r"(?dmU)\n\s*\n|(?=^\s*[۱-۹1-9][.)]\s+)"), lambda p: F.length(trim(F.regexp_replace(p, CITATION, ""))) >= 8)
+    cited = F.round(F.size(F.filter(paragraphs, lambda p: p.rlike(CITATION))) / F.size(paragraphs), 4)
+    start = T.casefold(trim(a))
+    begins = lambda prefixes: F.exists(T.words(prefixes), lambda p: F.startswith(start, T.casefold(p)))
+    rows = rows.withColumns({"_q": T.answer_key("query"), "_a": T.answer_key(bare)})
+    echo = ((c("_q") != "") & F.startswith("_a", "_q")) | begins(ROBOTIC[2:])
+    persian, letters = F.regexp_count(a, F.lit(r"[\x{0600}-\x{06FF}]")), F.regexp_count(a, F.lit(r"[\p{L}\p{Nl}\p{No}]"))
+    fluent = ~F.coalesce("abstained", F.lit(False)) & ~echo & ~F.contains(a, F.lit("\ufffd")) & (letters > 0) & (persian >= 0.55 * letters)
+    marks = F.array_distinct(F.regexp_extract_all(a, F.lit(r"\[\d+\]"), F.lit(0)))
     return rows.select(
-        "query_id", (F.size(F.filter(marks, lambda m: (m >= 1) & (m <= c("markers")))) == F.size(marks)).alias("markers_valid"), F.when(F.size(paragraphs) > 0, cited).alias("paragraph_coverage"),
-        F.startswith(F.lower(F.trim(a)), F.lower(F.trim("query"))).alias("echo"), a.rlike(ROBOTIC).alias("robotic"), (persian / F.greatest(letters, F.lit(1)) >= 0.55).alias("fluent_script"), F.regexp_count(a, F.lit(r"(?m)^\s*[0-9۰-۹]+[.)]\s")).alias("steps"))
+        "query_id", ((F.size(marks) > 0) & (F.size(F.array_except(marks, F.coalesce("markers", F.array().cast("array<string>")))) == 0)).alias("markers_valid"),
+        F.when(F.size(paragraphs) > 0, cited).otherwise(0.0).alias("paragraph_coverage"), F.coalesce(echo, F.lit(False)).alias("echo"), begins(ROBOTIC).alias("robotic"),
+        F.coalesce(fluent, F.lit(False)).alias("fluent_script"), a.rlike(r"(?dmU)^\s*[۱-۹1-9][.)]\s+\S").alias("numbered_steps"))
 
 
 def evidence_summary(diagnostics: DataFrame, gold: DataFrame) -> DataFrame:

@@ -29,38 +29,135 @@ def bind_gold(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return questions.select("question_id").join(best, "question_id", "left").withColumn("expect_abstention", c("chunk_id").isNull())
 
 
-def category(rows: DataFrame, names: dict[str, str], default: str = "direct_fact") -> DataFrame:
-    """Q02: the category of the first tag that has one."""
+#: Q02, fixed values: the category of a tag.
+TAG_CATEGORIES = {"leave": "policy_lookup", "remote": "policy_lookup", "travel": "policy_lookup", "handbook": "factual", "abstain": "factual"}
+
+
+def category(rows: DataFrame, names: dict[str, str] = TAG_CATEGORIES, default: str = "factual") -> DataFrame:
+    """Q02: the category of the first tag that has one; tags are compared as they are."""
     table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    found = F.filter(F.transform("tags", lambda t: F.try_element_at(table, F.lower(t))), lambda x: x.isNotNull())
+    found = F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull())
     return rows.withColumn("category", F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(default)))
 
 
-#: Q03, fixed values: category, what a sentence must hold, and how the question is asked.
-PROBES = [
-    ("direct_fact", r"\S", "%s؟"), ("numeric", r"[0-9۰-۹]", "چه مقدار: %s؟"), ("yes_no", r"(?i)\b(is|are|can|must)\b|است|هست", "آیا %s؟"),
-    ("date", r"[0-9۰-۹]{4}", "چه زمانی %s؟"), ("definition", r":|یعنی|means", "%s چیست؟"), ("condition", r"(?i)\bif\b|اگر|در صورت", "در چه شرایطی %s؟"),
-    ("negation", r"(?i)\bnot\b|نیست|نمی", "چه چیزی %s؟"), ("list", r"[،,].*[،,]", "کدام موارد: %s؟"), ("comparison", r"(?i)\bthan\b|بیشتر|کمتر", "مقایسه: %s؟"),
-    ("procedure", r"(?i)\bthen\b|سپس|ابتدا", "چگونه %s؟"), ("reason", r"(?i)\bbecause\b|زیرا|چون", "چرا %s؟"), ("location", r"(?i)\bin\b|در ", "کجا %s؟"),
-    ("person", r"(?i)\bwho\b|مدیر|استاد", "چه کسی %s؟"), ("quote", r"[«»\"]", "نقل: %s؟"), ("url", r"http|www", "نشانی: %s؟"), ("long", r"^.{120,}", "شرح: %s؟"), ("short", r"^.{1,40}$", "بگو: %s؟"),
+#: Q03, fixed values: categories in the order of their rotation, with difficulty, the words of which one must stand in the sentence
+#: (none: always asked) and the question about «topic».
+ASKED = [
+    ("factual", "easy", [], None),
+    ("policy_lookup", "easy", [], None),
+    ("numerical", "easy", [], "طبق متن، مقدار عددی مرتبط با «{topic}» چقدر است؟"),
+    ("date", "medium", ["روز", "ماه", "سال", "مهلت", "تاریخ", "شنب", "جمعه"], "زمان‌بندی یا مهلت مربوط به «{topic}» در سند چگونه بیان شده است؟"),
+    ("definition", "easy", [], "سند «{topic}» را چگونه توصیف می‌کند؟"),
+    ("procedure", "medium", [], "مراحل انجام «{topic}» طبق سند چیست؟"),
+    ("exception", "hard", ["استثنا", "مگر", "فقط", "حداکثر", "ممنوع", "نباید"], "چه محدودیت یا استثنایی دربارهٔ «{topic}» آمده است؟"),
+    ("comparison", "hard", ["نسبت", "در مقایسه", "یا"], "تفاوت یا مقایسهٔ بیان‌شده دربارهٔ «{topic}» چیست؟"),
+    ("yes_no", "medium", ["نمی", "نیست", "مجاز", "الزامی"], "آیا طبق سند، «{topic}» مجاز یا الزامی است؟"),
+    ("list", "medium", ["،", "و"], "فهرست موارد مرتبط با «{topic}» در سند چیست؟"),
+    ("responsibility", "medium", ["مسئول", "مدیر", "منابع انسانی", "کارمند", "واحد"], "مسئولیت مرتبط با «{topic}» بر عهده کیست؟"),
+    ("permission", "medium", ["مجاز", "اجازه", "می‌توان", "اختیار"], "چه مجوزهایی برای «{topic}» در سند ذکر شده است؟"),
+    ("restriction", "hard", ["استثنا", "مگر", "فقط", "حداکثر", "ممنوع", "نباید"], "چه محدودیت یا استثنایی دربارهٔ «{topic}» آمده است؟"),
+    ("deadline", "easy", ["حداکثر", "مهلت", "ظرف", "روز کاری", "موعد"], "مهلت مربوط به «{topic}» چقدر است؟"),
+    ("multi_step", "hard", ["باید", "لازم", "مراحل", "ابتدا", "سپس"], "مراحل انجام «{topic}» طبق سند چیست؟"),
+    ("multi_hop", "hard", [], "با توجه به بخش‌های مرتبط سند، دربارهٔ «{topic}» چه نتیجه‌ای گرفته می‌شود؟"),
+    ("cross_section", "hard", [], "با توجه به بخش‌های مرتبط سند، دربارهٔ «{topic}» چه نتیجه‌ای گرفته می‌شود؟"),
 ]
-
-
-def probes(chunks: DataFrame) -> DataFrame:
-    """Q03: a question for each sentence and category whose cue it holds; with the sentence behind it as context."""
-    s = chunks.select("document_id", "chunk_id", F.posexplode(T.sentences("text")).alias("at", "sentence"))
-    s = s.withColumn("next_sentence", F.lead("sentence").over(W.partitionBy("chunk_id").orderBy("at")))
-    table = chunks.sparkSession.createDataFrame(PROBES, "category string, cue string, form string")
-    rows = s.join(F.broadcast(table)).where(F.expr("rlike(sentence, cue)"))
-    asked = F.replace("form", F.lit("%s"), F.regexp_replace("sentence", r"[.!?؟۔\s]+$", ""))
-    return rows.select("document_id", "chunk_id", "at", "category", asked.alias("question"), "sentence", "next_sentence")
-
-
-def balanced(questions: DataFrame, target: int) -> DataFrame:
-    """Q04: distinct questions, the same number of each document and category in turn; order by a seeded hash."""
-    once = questions.dropDuplicates(["question"])
-    turn = once.withColumn("rn", F.row_number().over(W.partitionBy("document_id", "category").orderBy(F.xxhash64("question"), "question")))
-    return turn.orderBy("rn", "category", F.xxhash64("question"), "question").limit(target)
+#: The questions of the first two categories, of which one is drawn; openings of padded questions; other texts.
+GENERAL = ["طبق سند، دربارهٔ «{topic}» چه مطلبی آمده است؟", "سیاست مرتبط با «{topic}» چگونه بیان شده است؟", "متن سیاست در مورد «{topic}» چه می‌گوید؟"]
+DEFINED, DEFINES = "تعریف «{topic}» در این سند چیست؟", ["عبارت است", "به معنای", "تعریف"]
+OPENINGS = ["بر اساس سند، ", "طبق سیاست، ", "با توجه به متن، "]
+NO_TOPIC, DENIED = "این موضوع", ["نیست", "نمی", "ممنوع"]
+NUMBER_ANSWER = "بر اساس سند، مقدار ذکرشده {number} است."
+HEAD_QUESTION = "بر اساس سند، دربارهٔ موضوع زیر چه اطلاعاتی آمده است: {head}…؟"
+
+
+def _fill(form: str, **parts: Column) -> Column:
+    out = F.lit(form)
+    for name, x in parts.items():
+        out = F.replace(out, F.lit("{" + name + "}"), x)
+    return out
+
+
+def _any(text: Column, words: list[str]) -> Column:
+    return F.exists(T.words(words), lambda w: F.contains(text, w)) if words else F.lit(True)
+
+
+def _draw(n: int, *key: Column | str) -> Column:
+    """0 to n - 1 by a checksum of the key (the reference draws at random)."""
+    return (F.crc32(F.concat_ws("|", *key).cast("binary")) % n).cast("int")
+
+
+def probes(chunks: DataFrame, seed: int = 42) -> DataFrame:
+    """Q03: the questions that each sentence of 25 characters or more gives rise to, one for each category whose words it holds.
+
+    Chunks: document_id, chunk_id, chunk_index, text. Result: document_id, chunk_id, chunk_index, at (of the sentence), turn (of the
+    category), category, difficulty, question, answer, passage, citation, notes. Questions over two sections take the next chunk of
+    the document, of which only the beginning travels."""
+    after = W.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
+    heads = chunks.select("document_id", "chunk_id", "chunk_index", F.substring("text", 1, 220).alias("head"))
+    following = heads.select("document_id", "chunk_id", F.lead("chunk_id").over(after).cast("string").alias("next_id"), F.lead("head").over(after).alias("next_head"))
+    s = chunks.select("document_id", "chunk_id", "chunk_index", F.substring("text", 1, 400).alias("opening"), F.posexplode(T.sentences("text")).alias("at", "sentence")).where(F.length("sentence") >= 25)
+    s = s.join(following, ["document_id", "chunk_id"])
+    x = c("sentence")
+    topic = F.coalesce(F.try_element_at(T.keywords(x), F.lit(1)), F.lit(NO_TOPIC))
+    number = F.try_element_at(T.number_runs(x), F.lit(1))
+    passage = F.when(F.length(x) >= 40, x).otherwise(c("opening"))
+    s = s.withColumns({"topic": topic, "number": number, "passage": passage})
+    two = F.concat("passage", F.lit("\n"), "next_head")
+    each = []
+    for turn, (name, difficulty, words, form) in enumerate(ASKED):
+        question, answer, whole, citation, notes, fits = _fill(form or "", topic=c("topic")), c("passage"), c("passage"), F.substring("passage", 1, 220), F.lit(None).cast("string"), _any(x, words)
+        if form is None:
+            drawn = _draw(len(GENERAL), F.lit(str(seed)), c("document_id").cast("string"), c("chunk_id").cast("string"), c("at").cast("string"), F.lit(name))
+            question = F.get(F.array(*(_fill(g, topic=c("topic")) for g in GENERAL)), drawn)
+        elif name == "numerical":
+            fits, answer = c("number").isNotNull(), _fill(NUMBER_ANSWER, number=c("number"))
+        elif name == "definition":
+            question = F.when(_any(x, DEFINES), _fill(DEFINED, topic=c("topic"))).otherwise(question)
+        elif name == "yes_no":
+            answer = F.concat(F.when(_any(x, DENIED), "خیر").otherwise("بله"), F.lit(". "), "passage")
+        elif name in ("multi_hop", "cross_section"):
+            fits, answer, whole, citation = c("next_id").isNotNull(), two, two, F.substring("passage", 1, 180)
+            notes = F.concat(F.lit("multi_section_with_chunk="), "next_id")
+        each.append(F.when(fits, F.struct(F.lit(turn).alias("turn"), F.lit(name).alias("category"), F.lit(difficulty).alias("difficulty"), question.alias("question"), T.strip(answer).alias("answer"), T.strip(whole).alias("passage"), T.strip(citation).alias("citation"), notes.alias("notes"))))
+    return s.select("document_id", "chunk_id", "chunk_index", "at", F.inline(F.array_compact(F.array(*each))))
+
+
+_PAYLOAD = ["category", "difficulty", "question", "answer", "passage", "citation", "notes"]
+
+
+def ground_truth(chunks: DataFrame, least: int = 40, most: int = 60, seed: int = 42) -> DataFrame:
+    """Q03, Q04: questions of each document, as many as a draw between `least` and `most` says: id, document_id, chunk_id, ordinal, tags and what `probes` gives.
+
+    Equal questions of a document count once, the first. Of more than its number a document keeps, in rotation over the
+    categories, one of each as long as there are some, in an order by checksum; fewer are padded by the same questions
+    with an opening. A document whose sentences give nothing is asked about the heads of its chunks. Of a large document only
+    `most` of each category meet."""
+    key = ["document_id", "chunk_index", "chunk_id", "at", "turn"]
+    found = probes(chunks, seed)
+    head = T.strip(F.substring("text", 1, 280))
+    plain = chunks.select("document_id", "chunk_index", "chunk_id", F.lit(0).alias("at"), F.lit(0).alias("turn"), head.alias("h")).where(F.length("h") >= 20)
+    plain = plain.join(found.select("document_id").distinct(), "document_id", "left_anti").select(*key, F.lit("factual").alias("category"), F.lit("easy").alias("difficulty"), _fill(HEAD_QUESTION, head=F.substring("h", 1, 48)).alias("question"), c("h").alias("answer"), c("h").alias("passage"), T.strip(F.substring("h", 1, 220)).alias("citation"), F.lit(None).cast("string").alias("notes"))
+    first = F.min(F.struct(*key[1:], *_PAYLOAD)).alias("q")
+    once = found.select(*key, *_PAYLOAD).groupBy("document_id", F.trim("question").alias("_key")).agg(first).select("document_id", "q.*").unionByName(plain.select(*key, *_PAYLOAD))
+    want = least + _draw(most - least + 1, F.lit(str(seed)), c("document_id").cast("string"))
+    n = once.groupBy("document_id").agg(F.count("*").alias("n")).withColumn("target", want)
+    order = F.crc32(c("question").cast("binary"))
+    place = F.row_number().over(W.partitionBy("document_id", "category").orderBy(order, "question", "chunk_index", "chunk_id", "at"))
+    kept = once.withColumn("round", place).where(c("round") <= most).join(n, "document_id")
+    sampled = c("n") > c("target")
+    turn = F.row_number().over(W.partitionBy("document_id").orderBy(F.when(sampled, c("round")), F.when(sampled, c("turn")), "chunk_index", "chunk_id", "at", "turn"))
+    chosen = kept.withColumn("ordinal", turn).where(c("ordinal") <= c("target"))
+    few = chosen.where(~sampled)
+    pads = few.where("ordinal = 1").select("document_id", "n", F.explode(F.when(c("n") < c("target"), F.sequence(c("n") + 1, c("target").cast("bigint")))).alias("ordinal"))
+    pads = pads.withColumn("of", _draw(1 << 30, F.lit(str(seed)), c("document_id").cast("string"), c("ordinal").cast("string")) % c("n") + 1)
+    opening = F.get(F.array(*map(F.lit, OPENINGS)), _draw(len(OPENINGS), F.lit("opening"), c("p.document_id").cast("string"), c("p.ordinal").cast("string")))
+    opened = F.exists(T.words(OPENINGS), lambda o: F.startswith(c("f.question"), o))
+    padded = pads.alias("p").join(few.alias("f"), (c("p.document_id") == c("f.document_id")) & (c("p.of") == c("f.ordinal"))).select(
+        "f.document_id", "f.chunk_id", c("p.ordinal").alias("ordinal"), "f.category", F.lit("medium").alias("difficulty"), F.when(opened, c("f.question")).otherwise(F.concat(opening, F.ltrim("f.question"))).alias("question"),
+        "f.answer", "f.passage", "f.citation", F.concat(F.coalesce("f.notes", F.lit("")), F.lit(";padded")).alias("notes"))
+    out = chosen.select("document_id", "chunk_id", c("ordinal").cast("bigint").alias("ordinal"), *_PAYLOAD).unionByName(padded)
+    number = F.concat(F.lit("fa-"), F.substring(c("document_id").cast("string"), 1, 8), F.lit("-"), F.when(c("ordinal") < 1000, F.lpad(c("ordinal").cast("string"), 3, "0")).otherwise(c("ordinal").cast("string")))
+    return out.withColumns({"id": number, "tags": F.array_sort(F.array_distinct(F.array(c("category"), F.lit("fa"), F.lit("auto_corpus_probe"), F.lit("persian_benchmark"))))})
 
 
 #: Q05, fixed values: words for words, openings and spellings.

@@ -234,14 +234,6 @@ def folder_moves(spark, sf_dir):
     return catalog.move_folders(f, moves)[0].select("folder_id", "path", "depth")
 
 
-@query("""SELECT 'r' || r_regionkey AS folder_id, 'cycle' AS error_code FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey)""")
-def folder_move_errors(spark, sf_dir):
-    """Regions moved into a nation of their own."""
-    f = folders(spark, sf_dir)
-    moves = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n")).select(F.concat(F.lit("r"), "n_regionkey").alias("folder_id"), F.concat(F.lit("n"), "n").alias("target_id"))
-    return catalog.move_folders(f, moves)[1]
-
-
 @query("""SELECT 'bases' AS entity, CASE WHEN r_regionkey IN (0, 2) THEN 'archived' ELSE 'active' END AS status, count(*) AS n FROM region GROUP BY 1, 2 UNION ALL
 SELECT 'folders', CASE WHEN n_regionkey IN (0, 2) THEN 'archived' ELSE 'active' END, count(*) FROM nation GROUP BY 1, 2 UNION ALL
 SELECT 'documents', CASE WHEN c_mktsegment = 'BUILDING' THEN 'draft' WHEN n_regionkey IN (0, 2) THEN 'archived' ELSE 'active' END, count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2""")
@@ -287,21 +279,6 @@ def orphaned_keys(spark, sf_dir):
     return catalog.orphaned_keys(v, uploads, o.where("o_orderstatus = 'P'").select(c("o_orderkey").alias("document_id"))).agg(F.count("*").alias("keys"))
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)
-SELECT o_custkey AS document_id, count(*) AS versions, max(o_orderkey) AS current_version_id, 'active' AS status FROM o GROUP BY 1""")
-def version_binding(spark, sf_dir):
-    """A customer's first order is bound already, the others are uploads, the first one once more."""
-    o = table(spark, sf_dir, "orders").select(c("o_custkey").alias("document_id"), c("o_orderkey").alias("document_version_id"), c("o_orderkey").alias("upload_session_id"))
-    first = o.groupBy("document_id").agg(F.min("document_version_id").alias("document_version_id"))
-    versions = first.select("document_id", "document_version_id", c("document_version_id").alias("upload_session_id"), F.lit(1).alias("version_number"))
-    docs = first.select("document_id", F.lit("draft").alias("status"), c("document_version_id").alias("current_version_id"))
-    alone = o.groupBy("document_id").agg(F.count("*").alias("n")).where("n = 1").select("document_id")
-    bound, now, _ = catalog.bind_versions(versions, docs, o)
-    n = bound.groupBy("document_id").agg(F.count("*").alias("versions"), F.max("version_number").alias("last")).where(c("versions") == c("last"))
-    now = now.join(alone.withColumn("alone", F.lit(True)), "document_id", "left").withColumn("status", F.when(c("alone"), "active").otherwise(c("status")))
-    return now.join(n, "document_id").select("document_id", "versions", "current_version_id", "status")
-
-
 @query("""SELECT CASE WHEN n_nationkey IS NULL THEN 'folder_not_found' ELSE 'folder_not_active' END AS error_code, count(*) AS n FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20 WHERE n_nationkey IS NULL OR n_regionkey = 2 GROUP BY 1""")
 def placement_errors(spark, sf_dir):
     """Nations up to 19 as folders, those of one region archived; customers move to their nation."""
@@ -322,30 +299,6 @@ def experiment_run(spark, sf_dir):
     return metrics.experiment(q, hits, answers).groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("retrieved_ids")).alias("retrieved"), F.count_if("abstained").alias("abstained"))
 
 
-_FACTS = "CASE WHEN len(string_split(b.text, ' ')) > 3 THEN string_split(b.text, ' ')[1:3] ELSE [] END"
-
-
-@query(f"""WITH x AS (SELECT item_id, {_FACTS} AS facts, d.text AS answer FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
-y AS (SELECT item_id, CASE WHEN len(facts) > 0 THEN len(list_filter(facts, lambda f: contains(answer, f))) / len(facts) ELSE 0 END AS s FROM x)
-SELECT item_id AS query_id, round(s, 6) AS completeness, CASE WHEN s >= 1 THEN 'pass' WHEN s > 0 THEN 'partial' ELSE 'fail' END AS verdict FROM y""")
-def fact_completeness(spark, sf_dir):
-    """An item's first words as facts, the document of its number as the answer."""
-    b = table(spark, sf_dir, "benchmark").select(c("item_id").alias("query_id"), F.split("text", " ").alias("w"))
-    facts = b.select("query_id", F.when(F.size("w") > 3, F.slice("w", 1, 3)).otherwise(F.array().cast("array<string>")).alias("facts"))
-    rows = facts.join(table(spark, sf_dir, "documents").select(c("doc_id").alias("query_id"), c("text").alias("answer")), "query_id")
-    return metrics.completeness(rows).withColumn("completeness", r6(c("completeness")))
-
-
-@query(rf"""WITH a AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'As an AI, ' ELSE '' END || {_FA.format('text')} || ' [' || (doc_id % 4) || ']' AS a, doc_id % 2 = 0 AS e, {_FA.format('text')} AS t FROM documents),
-p AS (SELECT *, list_filter(list_transform(regexp_split_to_array(a, '\n\s*\n|\n'), lambda x: trim(x)), lambda x: length(x) >= 20) AS p FROM a)
-SELECT doc_id AS query_id, doc_id % 4 BETWEEN 1 AND 2 AS markers_valid, round(CASE WHEN len(p) > 0 THEN len(list_filter(p, lambda x: regexp_matches(x, '\[\d+\]'))) / len(p) END, 6) AS paragraph_coverage, doc_id % 3 = 0 AS robotic,
- len(regexp_extract_all(a, '[\x{{0600}}-\x{{06FF}}]')) / greatest(len(regexp_extract_all(a, '\p{{L}}')), 1) >= 0.55 AS fluent_script FROM p WHERE NOT regexp_matches(t, '\[\d+\]')""")
-def answer_style(spark, sf_dir):
-    """Documents as answers in Persian letters, with a marker at the end and, for some, a robotic opening."""
-    d = table(spark, sf_dir, "documents").where(~c("text").rlike(r"\[\d+\]"))
-    a = F.concat(F.when(c("doc_id") % 3 == 0, "As an AI, ").otherwise(""), fa("text"), F.lit(" ["), (c("doc_id") % 4).cast("string"), F.lit("]"))
-    rows = d.select(c("doc_id").alias("query_id"), a.alias("answer"), F.lit("x y z q").alias("query"), F.lit(2).alias("markers"))
-    return metrics.style(rows).select("query_id", "markers_valid", r6(c("paragraph_coverage")).alias("paragraph_coverage"), "robotic", "fluent_script")
 
 
 @query("""WITH r AS (SELECT user_id AS id, min(ts) AS t, round(avg(value), 6) AS v FROM events GROUP BY 1) SELECT CAST(id AS VARCHAR) AS experiment_id, v AS mrr, row_number() OVER (ORDER BY t, CAST(id AS VARCHAR)) AS position FROM r""")
@@ -444,37 +397,6 @@ def subsystem_scores(spark, sf_dir):
 _CONTENT = "list_distinct(list_filter(" + _ALL + ", lambda x: length(x) > 1 and not list_contains(['the','a','an','is','are','of','to','in','for','and','or','on'], x)))"
 
 
-@query(f"""WITH x AS (SELECT b.item_id, {_CONTENT.format('b.text')} AS a, {_CONTENT.format('d.text')} AS e, lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))) AS same FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
-SELECT item_id AS question_id, CASE WHEN same THEN 1.0 ELSE 0.0 END AS exact, round(CASE WHEN len(a) > 0 AND len(e) > 0 THEN len(list_intersect(a, e)) / len(list_distinct(list_concat(a, e))) ELSE 0 END, 6) AS lexical,
- round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, e)) / len(a) ELSE 0 END, 6) AS groundedness FROM x""")
-def answer_scores(spark, sf_dir):
-    """Items as answers, the document of their number as what was expected and as evidence."""
-    rows = table(spark, sf_dir, "benchmark").select(c("item_id").alias("question_id"), c("text").alias("answer")).join(table(spark, sf_dir, "documents").select(c("doc_id").alias("question_id"), c("text").alias("expected"), c("text").alias("evidence")), "question_id")
-    return diagnostics.answer_scores(rows).select("question_id", "exact", r6(c("lexical")).alias("lexical"), r6(c("groundedness")).alias("groundedness"))
-
-
-@query("""SELECT lang AS cohort, count(*) AS n, round(avg(n_chars), 4) AS n_chars, round(avg(doc_id % 10), 4) AS score FROM documents GROUP BY 1""")
-def cohort_means(spark, sf_dir):
-    """G15, G17"""
-    rows = table(spark, sf_dir, "documents").select(c("lang").alias("cohort"), "n_chars", (c("doc_id") % 10).alias("score"))
-    return diagnostics.means_by(rows, "cohort", "n_chars", "score").select("cohort", "n", F.round("n_chars", 4).alias("n_chars"), F.round("score", 4).alias("score"))
-
-
-@query("""WITH r AS (SELECT event_type AS m, avg(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS h FROM events GROUP BY 1), b AS (SELECT max_by(m, (h, m)) AS best, max(h) AS best_rate, max(h) FILTER (m = 'view') AS cur FROM r)
-SELECT best, round(best_rate, 6) AS best_rate, CASE WHEN best_rate >= coalesce(cur, 0) + 0.05 THEN best ELSE 'view' END AS recommended FROM b""")
-def model_choice(spark, sf_dir):
-    """Event types as embedding models."""
-    rows = table(spark, sf_dir, "events").groupBy(c("event_type").alias("model")).agg(F.avg(F.coalesce(c("value") > 20, F.lit(False)).cast("double")).alias("hit_rate"))
-    return diagnostics.compare_models(rows, "view").select("best", r6(c("best_rate")).alias("best_rate"), "recommended")
-
-
-@query("""SELECT doc_id AS question_id, CASE WHEN source = 'web' THEN 'numeric' WHEN lang = 'en' THEN 'yes_no' ELSE 'direct_fact' END AS category FROM documents""")
-def question_categories(spark, sf_dir):
-    """Q02: sources and languages as tags."""
-    rows = table(spark, sf_dir, "documents").select(c("doc_id").alias("question_id"), F.array("source", F.upper("lang")).alias("tags"))
-    return questions.category(rows, {"web": "numeric", "en": "yes_no"}).select("question_id", "category")
-
-
 @query("""SELECT CASE WHEN item_id % 3 = 0 THEN 'baseline' ELSE 'robustness' END AS cohort, count(*) FILTER (item_id % 4 > 0 AND item_id % 5 > 0) AS measured, count(*) AS n FROM benchmark GROUP BY 1""")
 def question_cohorts(spark, sf_dir):
     """Q06"""

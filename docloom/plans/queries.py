@@ -571,12 +571,6 @@ def gold_binding(spark, sf_dir):
     return out.select("question_id", F.when(c("bound_by") == "passage", c("chunk_id")).alias("chunk_id"))
 
 
-@query()
-def question_probes(spark, sf_dir):
-    """Q03, Q04"""
-    return questions.balanced(questions.probes(corpus(spark, sf_dir)), 200).select("document_id", "chunk_id", "category", F.md5("question").alias("question_md5"))
-
-
 @query()
 def question_variants(spark, sf_dir):
     """Q05"""
@@ -606,20 +600,6 @@ def vector_statistics(spark, sf_dir):
     return out.select("n", *(r6(c(x)).alias(x) for x in ("mean", "stdev", "least", "most")), "outliers", r6(c("duplicate_rate")).alias("duplicate_rate"))
 
 
-@query(f"""WITH {_OUT}, t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7])::DOUBLE AS threshold), x AS (SELECT expect_abstention AS ea, value / 100 AS top FROM o)
-SELECT threshold, count(*) FILTER (top >= threshold AND NOT ea) AS answered, count(*) FILTER (top < threshold AND NOT ea) AS false_abstains, count(*) FILTER (top >= threshold AND ea) AS false_answers, count(*) FILTER (top < threshold AND ea) AS right_abstains FROM x, t GROUP BY 1""")
-def threshold_sweep(spark, sf_dir):
-    """G10"""
-    rows = outcomes(spark, sf_dir).withColumn("top_score", c("e2e_ms") / 100)
-    return diagnostics.sweep_thresholds(rows, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]).drop("recommended")
-
-
-@query(f"""WITH {_OUT}, k AS (SELECT unnest([1, 2, 3, 5]) AS k) SELECT k, round(avg(CASE WHEN len(list_intersect(r[1:k], e)) > 0 THEN 1 ELSE 0 END), 6) AS hit_rate FROM o, k GROUP BY 1""")
-def k_sweep(spark, sf_dir):
-    """G11"""
-    return diagnostics.sweep_k(outcomes(spark, sf_dir), [1, 2, 3, 5]).select("k", r6(c("hit_rate")).alias("hit_rate"))
-
-
 @query(f"""WITH {_OUT}, x AS (SELECT e.event_type AS cohort, len(list_intersect(r[1:3], o.e)) AS h, len(o.e) AS n FROM o JOIN events e ON CAST(e.event_id AS VARCHAR) = question_id) SELECT cohort, count(*) AS n, round(avg(CASE WHEN h > 0 THEN 1 ELSE 0 END), 6) AS hit_at_k, count(*) FILTER (h > 0) AS successes FROM x GROUP BY 1""")
 def cohort_metrics(spark, sf_dir):
     """G07"""
@@ -771,31 +751,6 @@ def catalogue_folder(spark, sf_dir):
     return catalog.folder_contents(folders(spark, sf_dir), f, "n3")
 
 
-@query("""SELECT CASE WHEN page_id % 7 = 0 THEN 'unsupported_format' WHEN page_id % 5 = 0 THEN 'size_mismatch' WHEN page_id % 3 = 0 THEN 'checksum_mismatch' END AS error_code, count(*) AS n FROM pages GROUP BY 1""")
-def upload_admission(spark, sf_dir):
-    """Pages as uploads, some with a wrong suffix, size or checksum."""
-    p = table(spark, sf_dir, "pages")
-    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
-    content = F.encode("html", "UTF-8")
-    rows = p.select(F.when(c("page_id") % 7 == 0, "a.exe").otherwise("a.HTML").alias("file_name"), F.length(content).alias("size_bytes"), (F.length(content) + F.when(c("page_id") % 5 == 0, 1).otherwise(0)).alias("declared_size"), F.when(c("page_id") % 3 == 0, "00").otherwise(F.sha2(content, 256)).alias("checksum"), content.alias("content"), now.alias("created_at"))
-    return catalog.admit(rows, now).groupBy("error_code").agg(F.count("*").alias("n"))
-
-
-@query("""SELECT doc_id AS document_id, 'invalid_title' AS errors FROM documents WHERE length(trim(text)) > 500 OR length(trim(text)) < 1""")
-def metadata_errors(spark, sf_dir):
-    """Whole texts as titles."""
-    rows = table(spark, sf_dir, "documents").select(c("doc_id").alias("document_id"), c("lang").alias("declared_language"), c("text").alias("title"), F.array("source").alias("tags"), F.create_map("source", "lang").alias("metadata"))
-    return catalog.metadata_errors(rows).select("document_id", F.array_join("errors", ",").alias("errors"))
-
-
-@query("""SELECT CASE o_orderstatus WHEN 'F' THEN 'indexing' WHEN 'O' THEN 'already_indexed' END AS next, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'version_not_indexable' END AS error_code, count(*) AS n FROM orders GROUP BY 1, 2""")
-def index_transitions(spark, sf_dir):
-    """Orders as versions of three states, all asked to be indexed."""
-    v = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("document_version_id"), F.when(c("o_orderstatus") == "F", "chunked").when(c("o_orderstatus") == "O", "indexed").otherwise("uploaded").alias("processing_status"))
-    asked_ = v.select("document_version_id", F.lit("index").alias("request"))
-    return indexing.transitions(v, asked_).groupBy("next", "error_code").agg(F.count("*").alias("n"))
-
-
 @query("""SELECT user_id AS document_version_id, count(*) FILTER (event_type IN ('signup', 'view')) AS created, count(*) FILTER (event_type IN ('click', 'purchase')) AS skipped, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1""")
 def index_summary(spark, sf_dir):
     """X09"""
@@ -810,13 +765,6 @@ def chunk_status(spark, sf_dir):
     return chunking.chunk_status(docs, chunking.pieces(docs)).select("doc_id", "processing_status")
 
 
-@query(f"WITH {_OUT} SELECT count(*) AS false_abstains, count(*) FILTER (len(list_intersect(e, r)) > 0) AS gold_was_retrieved, round(avg(value / 100), 6) AS mean_top_score FROM o WHERE abstained AND NOT expect_abstention")
-def false_abstains(spark, sf_dir):
-    """G09"""
-    o = outcomes(spark, sf_dir)
-    return diagnostics.false_abstains(o, o.select("question_id", (c("e2e_ms") / 100).alias("top_score"))).withColumn("mean_top_score", r6(c("mean_top_score")))
-
-
 @query(f"WITH {_BM25} SELECT chunk_id AS parent_id, count(*) AS variants, count(DISTINCT query_id % 3) AS tops FROM lex WHERE rank = 1 GROUP BY 1")
 def top_instability(spark, sf_dir):
     """Documents that come first, as questions; their queries, in three kinds, as what came first."""
@@ -832,13 +780,6 @@ def trust_rows(spark, sf_dir):
     return out.select("experiment_id", "metric", r6(c("value")).alias("value"), "trusted")
 
 
-@query("""SELECT source AS document_id, round(avg(CASE WHEN lang = 'en' THEN CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END END), 6) AS en, round(avg(CASE WHEN lang = 'de' THEN CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END END), 6) AS de FROM documents GROUP BY 1""")
-def per_document_rates(spark, sf_dir):
-    """Sources as documents, languages as cohorts, long texts as hits."""
-    rows = table(spark, sf_dir, "documents").select(c("source").alias("document_id"), c("lang").alias("cohort"), (c("n_chars") > 1000).alias("hit"))
-    return diagnostics.per_document(rows, ["en", "de"]).select("document_id", r6(c("en")).alias("en"), r6(c("de")).alias("de"))
-
-
 @query(f"WITH {_BM25}, t AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score / (score + 10) END) AS top FROM lex WHERE rank <= 8 GROUP BY 1) SELECT query_id FROM t WHERE top >= 0.9")
 def sufficient_queries(spark, sf_dir):
     """A01"""
