@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docloom.functions import constants as K
 from docloom.functions import text as T
@@ -34,13 +38,34 @@ def presentation(hits: DataFrame) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(order))
 
 
-def join_overlapping(left: Column, right: Column) -> Column:
+def overlap(left: str, right: str) -> int:
+    """Length of the longest end of left that right begins with, by the prefix function of right: in time linear in both."""
+    n = min(len(left), len(right))
+    fall, k = [0] * n, 0
+    for i in range(1, n):
+        while k and right[i] != right[k]:
+            k = fall[k - 1]
+        k += right[i] == right[k]
+        fall[i] = k
+    k = 0
+    for x in left[len(left) - n :]:
+        while k and (k == n or x != right[k]):
+            k = fall[k - 1]
+        k += n > 0 and x == right[k]
+    return k
+
+
+def join_adjacent(left: str, right: str) -> str:
     """Right behind left without the longest overlap; a line break if there is none."""
-    most = F.least(F.length(left), F.length(right))
-    sizes = F.when(most > 0, F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda n: F.endswith(left, F.substr(right, F.lit(1), n)))).otherwise(F.array().cast("array<int>"))
-    overlap = F.coalesce(F.try_element_at(sizes, F.lit(1)), F.lit(0))
-    return (F.when(left == "", right).when(right == "", left).when(overlap > 0, F.concat(left, F.substr(right, overlap + 1, F.length(right))))
-            .otherwise(F.concat_ws("\n", left, right)))
+    if not left or not right:
+        return left or right
+    n = overlap(left, right)
+    return left + right[n:] if n else f"{left}\n{right}"
+
+
+@F.pandas_udf(StringType())
+def _merged(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda own: reduce(join_adjacent, own))
 
 
 def blocks(kept: DataFrame) -> DataFrame:
@@ -48,8 +73,7 @@ def blocks(kept: DataFrame) -> DataFrame:
     run = F.col("chunk_index") - F.row_number().over(W.partitionBy("query_id", "document_version_id").orderBy("chunk_index", "chunk_id"))
     member = F.struct("chunk_index", "chunk_id", F.trim("text").alias("text"), "score", "heading", "document_id")
     made = kept.withColumn("_run", run).groupBy("query_id", "document_version_id", "_run").agg(F.array_sort(F.collect_list(member)).alias("members"))
-    first = F.element_at(F.transform("members", lambda m: m["text"]), 1)
-    merged = F.aggregate(F.slice(F.transform("members", lambda m: m["text"]), F.lit(2), F.size("members")), first, join_overlapping)
+    merged = _merged(F.transform("members", lambda m: F.coalesce(m["text"], F.lit(""))))
     best = F.array_max(F.transform("members", lambda m: F.struct(m["score"].alias("score"), (-m["chunk_index"]).alias("i"), m["chunk_id"].alias("chunk_id"), m["heading"].alias("heading"), m["document_id"].alias("document_id"))))
     same = F.size(F.array_distinct(F.transform("members", lambda m: T.casefold(F.trim(F.coalesce(m["heading"], F.lit(""))))))) == 1
     shared = F.try_element_at(F.filter(F.transform("members", lambda m: m["heading"]), lambda h: h.isNotNull() & (h != "")), F.lit(1))

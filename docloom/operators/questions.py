@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.sources.shared import settle
 
 c = F.col
 
@@ -14,15 +15,16 @@ c = F.col
 def bind_gold(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Q01: question_id, chunk_id (null: abstention expected), bound_by.
 
-    The first live chunk that holds the passage, digits alike; else the first with its first six
-    tokens. Chunks are looked up by the rarest token of the passage, not by trying all pairs."""
+    The first live chunk that holds the passage, digits alike; else the first with its first six tokens. A question meets
+    the chunks of the rarest of those tokens alone, which are then asked for the others."""
     q = questions.select("question_id", T.to_latin_digits(T.normalize("passage")).alias("passage")).withColumn("need", F.slice(F.array_distinct(T.all_tokens("passage")), 1, 6)).where(F.size("need") > 0)
     k = chunks.select("chunk_id", "document_id", "chunk_index", T.to_latin_digits(T.normalize("text")).alias("text")).withColumn("tokens", F.array_distinct(T.all_tokens("text")))
     wanted = q.select("question_id", F.explode("need").alias("token"))
-    posting = k.select("chunk_id", F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
-    # all the first tokens must be there, for the passage as for the soft match
-    counts = posting.join(wanted, "token").groupBy("question_id", "chunk_id").agg(F.count("*").alias("n"))
-    possible = counts.join(q, "question_id").where(c("n") == F.size("need")).join(k.drop("tokens"), "chunk_id")
+    posting = settle(k.select("chunk_id", F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi"), "postings")
+    df = posting.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = wanted.join(df, "token", "left").groupBy("question_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), F.col("token"))).alias("token"))
+    near = rarest.join(posting, "token").select("question_id", "chunk_id")
+    possible = near.join(q, "question_id").join(k, "chunk_id").where(F.size(F.array_except("need", "tokens")) == 0)
     exact = F.contains("text", "passage")
     order = W.partitionBy("question_id").orderBy((~exact).cast("int"), "document_id", "chunk_index", "chunk_id")
     best = possible.withColumns({"r": F.row_number().over(order), "bound_by": F.when(exact, "passage").otherwise("tokens")}).where("r = 1").select("question_id", "chunk_id", "bound_by")

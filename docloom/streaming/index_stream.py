@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docloom.functions import text as T
 from docloom.operators import chunking, indexing
 from docloom.sources import files
 from docloom.sources.shared import settle
@@ -39,32 +42,95 @@ def process(versions: DataFrame, make: Callable, model: str, dimensions: int, he
     return rows.where(good).select("document_id", "document_version_id", "chunk_id", "sequence_number", "text", "content_hash", "embedding_model_id", "vector"), outcome
 
 
-def _held(spark: SparkSession, index: str, number: int) -> DataFrame | None:
-    """The index as it was before a batch; None before the first."""
+IDS = ["doc_id", "document_id", "document_version_id"]
+_CHUNK = "doc_id long, document_id string, document_version_id string, chunk_id string, sequence_number int, text string, content_hash string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def chunk_stream(versions: DataFrame) -> DataFrame:
+    """Versions as chunks, row by row: the columns of _CHUNK; a version without chunks is a row with the hash of an empty or a blank text."""
+    records = versions.withColumn("text", T.normalize("text"))
+    blank = F.coalesce(T.strip("text"), F.lit("")) == ""
+    keyed = records.select(F.struct(*IDS, blank.alias("blank")).alias("doc_id"), F.when(~blank, F.col("text")).otherwise("").alias("text"))
+    rows = chunking.pieces(keyed, outer=True)
+    number = F.concat_ws("-", "doc_id.doc_id", "sequence_number")
+    code = F.when(F.col("doc_id.blank"), "empty_content").otherwise("empty_chunk_list")
+    return rows.select(*(f"doc_id.{c}" for c in IDS), F.when(F.col("text").isNotNull(), number).alias("chunk_id"), "sequence_number", "text", F.when(F.col("text").isNotNull(), F.sha2("text", 256)).otherwise(code).alias("content_hash"))
+
+
+def _mark(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rows of one content; the first that was ever seen is new."""
+    new = not state.exists
+    for frame in frames:
+        frame = frame.drop(columns=["key"])
+        frame["is_new"] = False
+        if new and len(frame) and frame["chunk_id"].notna().iloc[0]:
+            frame.iloc[0, frame.columns.get_loc("is_new")] = True
+            state.update((True,))
+            new = False
+        yield frame
+
+
+def marked(chunks: DataFrame) -> DataFrame:
+    """Chunks with is_new, by keyed state: what a batch looks up are its own contents, whatever the index holds."""
+    key = F.when(F.col("chunk_id").isNull(), F.concat(F.lit("version:"), "document_version_id")).otherwise(F.col("content_hash"))
+    return chunks.withColumn("key", key).groupBy("key").applyInPandasWithState(_mark, f"{_CHUNK}, is_new boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """A table of the index as it was before a batch; None where there is none yet."""
     try:
-        return spark.read.parquet(f"{index}/embeddings").where(F.col("batch_id") < number)
+        return spark.read.parquet(path).where(F.col("batch_id") < number)
     except AnalysisException:
         return None
 
 
 def run_stream(spark: SparkSession, source: str, index: str, checkpoint: str, make: Callable, model: str, dimensions: int) -> None:
-    """Every micro-batch of new versions goes through X13 into its own folder of the index.
+    """New versions, as they come, become chunks; contents seen for the first time are embedded, each once.
 
-    A batch that is repeated writes over its own folder; chunks whose content the index holds are
-    not embedded again; readers take the newest version of each document (see `current`)."""
+    The index is four tables by batch: chunks (of versions, by content), vectors (of contents), failures and versions. Which
+    contents are new is the stream's keyed state (RocksDB), so a batch reads no earlier chunks or vectors, only earlier
+    failures of contents that came again, which are tried again. A batch that is repeated after a crash sees the state it
+    saw before, and writes over its own folders."""
     def batch(rows: DataFrame, number: int) -> None:
-        embeddings, outcome = process(rows, make, model, dimensions, _held(spark, index, number))
-        embeddings.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{index}/embeddings/batch_id={number}")
-        outcome.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{index}/versions/batch_id={number}")
-
-    stream = spark.readStream.schema(VERSION).parquet(source)
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+        at = lambda table: f"{index}/{table}/batch_id={number}"
+        rows.write.mode("overwrite").parquet(at("chunks"))
+        own = spark.read.parquet(at("chunks"))
+        chunks = own.where("chunk_id is not null")
+        todo = chunks.where("is_new").select("content_hash", "text")
+        failed = _before(spark, f"{index}/failures", number)
+        if failed is not None:
+            todo = todo.unionByName(chunks.where("not is_new").join(failed.select("content_hash").distinct(), "content_hash", "left_semi").select("content_hash", "text"))
+        made = indexing.embed(todo.dropDuplicates(["content_hash"]).select(F.col("content_hash").alias("chunk_id"), "text"), make)
+        good = F.col("failure").isNull() & (F.size("vector") == dimensions)
+        made.select(F.col("chunk_id").alias("content_hash"), F.lit(model).alias("embedding_model_id"), "vector", F.when(good, None).otherwise(F.coalesce("failure", F.lit("dimension_mismatch"))).alias("failure")).write.mode("overwrite").parquet(at("made"))
+        done = spark.read.parquet(at("made"))
+        done.where("failure is null").drop("failure").write.mode("overwrite").parquet(at("vectors"))
+        done.where("failure is not null").select("content_hash", "failure").write.mode("overwrite").parquet(at("failures"))
+        results = own.join(done.select("content_hash", "failure", F.lit(True).alias("tried")), "content_hash", "left")
+        lost, some = F.col("failure").isNotNull(), F.col("chunk_id").isNotNull()
+        n = lambda when, name: F.count_if(when).alias(name)
+        counts = results.groupBy(*IDS[1:]).agg(n(some & F.col("is_new") & ~lost, "created"), n(some & ~F.col("is_new") & ~lost, "skipped"), n(some & lost, "failed"), F.max(F.when(~some, F.col("content_hash"))).alias("empty"))
+        code = F.coalesce("empty", F.when(F.col("failed") > 0, "partial_embedding_failure"))
+        outcome = counts.select(*IDS[1:], "created", "skipped", "failed", code.alias("failure_reason"), F.when(code.isNull(), "indexed").otherwise("failed").alias("processing_status"))
+        outcome.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(at("versions"))
+
+    stream = marked(chunk_stream(spark.readStream.schema(VERSION).parquet(source)))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def current(spark: SparkSession, index: str) -> DataFrame:
     """The embeddings of the newest indexed version of each document; older versions are superseded."""
     done = spark.read.parquet(f"{index}/versions").where("processing_status = 'indexed'")
     newest = done.groupBy("document_id").agg(F.max_by("document_version_id", F.struct("batch", "document_version_id")).alias("document_version_id"))
-    rows = spark.read.parquet(f"{index}/embeddings").join(newest, ["document_id", "document_version_id"], "left_semi")
-    return files.latest(rows.withColumn("_key", F.concat_ws("/", "document_version_id", "chunk_id")), "_key", "batch").drop("_key")
+    rows = spark.read.parquet(f"{index}/chunks").where("chunk_id is not null").join(newest, ["document_id", "document_version_id"], "left_semi").drop("is_new")
+    once = files.latest(rows.withColumn("_key", F.concat_ws("/", "document_version_id", "chunk_id")), "_key", "batch_id").drop("_key")
+    vectors = spark.read.parquet(f"{index}/vectors").drop("batch_id").dropDuplicates(["content_hash"])
+    return once.join(vectors, "content_hash")

@@ -1,9 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import catalog, chunking, diagnostics, indexing, metrics, questions
+from docloom.operators import catalog, chunking, context, diagnostics, indexing, metrics, questions
 from docloom.sources import files
 from docloom.streaming import index_stream
 
@@ -74,7 +75,7 @@ def test_supersede(spark):
     assert {r["document_version_id"]: r["processing_status"] for r in a.collect()} == {"v1": "superseded", "v2": "indexing", "v3": "indexed"}
     assert {r["chunk_id"]: r["status"] for r in b.collect()} == {"c1": "superseded", "c3": "indexed"} and {r["chunk_id"]: r["index_status"] for r in i.collect()} == {"c1": "stale", "c3": "indexed"}
     t = indexing.transitions(v, spark.createDataFrame([("v3", "index"), ("v1", "resume"), ("v9", "index")], "document_version_id string, request string"))
-    assert {r["document_version_id"]: (r["next"], r["error_code"]) for r in t.collect()} == {"v3": ("already_indexed", None), "v1": (None, "version_not_indexable"), "v9": (None, "version_not_found")}
+    assert {r["document_version_id"]: (r["next"], r["error_code"]) for r in t.collect()} == {"v3": ("already_indexed", None), "v1": (None, "version_not_resumable"), "v9": (None, "version_not_found")}
 
 
 def test_folders(spark):
@@ -154,6 +155,80 @@ def test_stream_skips_content(spark, tmp_path):
     assert sorted(r["document_version_id"] for r in rows) == ["v3", "v4", "v5"] and all(len(r["vector"]) == 8 for r in rows)
 
 
+def stream_of(spark, tmp_path, make):
+    put = lambda rows: spark.createDataFrame(rows, index_stream.VERSION).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return put, lambda how=make: index_stream.run_stream(spark, str(tmp_path / "in"), str(tmp_path / "ix"), str(tmp_path / "cp"), how, "m", 8)
+
+
+def test_stream_reads_no_earlier_chunks_or_vectors(spark, tmp_path):
+    """With the earlier chunks and vectors out of reach, a batch still knows which contents are new."""
+    put, run = stream_of(spark, tmp_path, lambda: indexing.hash_embedder(8))
+    put([(n, f"d{n}", f"v{n}", f"text number {n} is here.") for n in range(30)])
+    run()
+    for table in ("chunks", "vectors", "versions"):
+        (tmp_path / "ix" / table).rename(tmp_path / f"away-{table}")
+    put([(n, f"d{n}", f"w{n}", f"text number {n} is here.") for n in range(27, 33)])
+    run()
+    done = {r["document_version_id"]: (r["created"], r["skipped"], r["failed"]) for r in spark.read.parquet(str(tmp_path / "ix/versions")).collect()}
+    assert done == {f"w{n}": ((0, 1, 0) if n < 30 else (1, 0, 0)) for n in range(27, 33)}
+    assert spark.read.parquet(str(tmp_path / "ix/vectors")).count() == 3
+
+
+def test_stream_restarts_after_a_crash(spark, tmp_path):
+    """A batch that died half way is repeated: the same contents are new, and nothing stands twice."""
+    put, run = stream_of(spark, tmp_path, lambda: indexing.hash_embedder(8))
+
+    def dies():
+        raise RuntimeError("lost")
+
+    put([(1, "d1", "v1", "text one is here."), (2, "d2", "v2", "text one is here.")])
+    run()
+    put([(3, "d3", "v3", "text one is here."), (4, "d4", "v4", "text two is here."), (5, "d5", "v5", None)])
+    with pytest.raises(Exception):
+        run(dies)
+    run()
+    done = {r["document_version_id"]: (r["created"], r["skipped"], r["failure_reason"]) for r in spark.read.parquet(str(tmp_path / "ix/versions")).collect()}
+    assert done["v3"] == (0, 1, None) and done["v4"] == (1, 0, None) and done["v5"] == (0, 0, "empty_content") and sorted([done["v1"][:2], done["v2"][:2]]) == [(0, 1), (1, 0)]
+    rows = index_stream.current(spark, str(tmp_path / "ix")).collect()
+    assert sorted(r["document_version_id"] for r in rows) == ["v1", "v2", "v3", "v4"] and spark.read.parquet(str(tmp_path / "ix/vectors")).count() == 2
+    run()  # nothing new
+    assert spark.read.parquet(str(tmp_path / "ix/versions")).count() == 5
+
+
+def test_stream_tries_failed_contents_again(spark, tmp_path):
+    def failing():
+        def embed(texts):
+            if any("two" in t for t in texts):
+                raise ValueError("refused")
+            return [indexing.hash_vector(t, 8) for t in texts]
+        return embed
+
+    put, run = stream_of(spark, tmp_path, failing)
+    put([(1, "d1", "v1", "text one is here."), (2, "d2", "v2", "text two is here.")])
+    run()
+    put([(3, "d3", "v3", "text two is here.")])
+    run(lambda: indexing.hash_embedder(8))
+    done = {r["document_version_id"]: (r["created"], r["skipped"], r["failed"], r["failure_reason"]) for r in spark.read.parquet(str(tmp_path / "ix/versions")).collect()}
+    assert done == {"v1": (1, 0, 0, None), "v2": (0, 0, 1, "partial_embedding_failure"), "v3": (0, 1, 0, None)}
+    assert sorted(r["document_version_id"] for r in index_stream.current(spark, str(tmp_path / "ix")).collect()) == ["v1", "v3"]
+
+
+def test_overlap_in_linear_time():
+    import time
+
+    cases = [("abcabc", "abcx", 3), ("aaaa", "aaa", 3), ("ab", "cd", 0), ("", "a", 0), ("xaba", "ababa", 3), ("é1é", "é1é2", 3)]
+    assert [context.overlap(a, b) for a, b, _ in cases] == [n for *_, n in cases]
+    left, right = "x" + "ab" * 50_000, "ab" * 49_000 + "c" * 2000
+    began = time.time()
+    assert context.overlap(left, right) == 98_000 and context.overlap(left, "b" + right) == 98_001 and context.overlap(left, "c" + right) == 0 and context.overlap("a" * 100_000 + "b", "a" * 100_000) == 0 and context.overlap("q" + "a" * 100_000, "a" * 100_000 + "z") == 100_000
+    assert time.time() - began < 3
+    brute = lambda a, b: next((n for n in range(min(len(a), len(b)), 0, -1) if a.endswith(b[:n])), 0)
+    r = random.Random(2)
+    for _ in range(500):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randrange(9))) for _ in range(2))
+        assert context.overlap(a, b) == brute(a, b)
+
+
 def test_question_variants(spark):
     q = "مدیر سازمان چند روز مرخصی است؟"
     got = {r["kind"]: r["text"] for r in questions.variants(spark.createDataFrame([(1, q)], "question_id int, question string"), keep=13).collect()}
