@@ -83,9 +83,8 @@ def strip_markdown(c: ColumnOrName) -> Column:
         (r"`([^`]+)`", "$1"), (r"(\*\*|__|\*|_)(.*?)\1", "$2"), (r"(?md)^#{1,6}\s+", "")]))
 
 
-def language(c: ColumnOrName, share: float = 0.6, first: int | None = 10_000) -> Column:
-    """Fa, en or unknown by the share of Arabic or Latin letters among the `first` characters, None for the whole text.
-    The default is the reference's rule.
+def language(c: ColumnOrName, share: float = 0.6, first: int | None = None) -> Column:
+    """Fa, en or unknown by the share of Arabic or Latin letters of the whole text, or of its `first` characters.
 
     The thresholds are our own: under 20 characters, or without a share of `share`, unknown."""
     s = F.trim(_col(c))

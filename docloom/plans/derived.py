@@ -14,7 +14,7 @@ from docloom.operators import catalog, context, diagnostics, indexing, metrics,
 from docloom.operators import retrieval as R
 from docloom.plans.queries import _OUT, c, folders, outcomes, query, r6
 from docloom.sources import files
-from docloom.sources.shared import table
+from docloom.sources.shared import fresh_path, settle, table
 from docloom.streaming import index_stream
 
 LATIN, PERSIAN = "abcdefghijklmnopqrstuvwxyz", "ابپتثجچحخدذرزژسشصضطظعغفقکگ"
@@ -180,13 +180,19 @@ def index_incomplete(spark, sf_dir):
     return indexing.incomplete(e, e.where("chunk_id % 4 <> 0"), "m")
 
 
-@query("""SELECT 'm' AS models, 16 AS dimensions, 1.0 AS least_cosine, false AS reindex_required FROM (SELECT count(*) AS n FROM documents) WHERE n > 0""")
+@query("""SELECT unnest(['as it was', 'a second model', 'other vectors', 'other dimensions']) AS index, unnest(['m', 'm,n', 'm', 'm']) AS models, unnest(['16', '16', '16', '8,16']) AS dimensions, unnest([1.0, 1.0, 0.0, 0.0]::DOUBLE[]) AS least_cosine, unnest([false, true, true, true]) AS reindex_required FROM (SELECT count(*) AS n FROM documents) WHERE n > 0""")
 def index_alignment(spark, sf_dir):
-    """X11: an index of hash vectors, a sample of it embedded again."""
+    """X11: an index of hash vectors, a sample of it embedded again: sound, and with each fault that asks for a new index."""
     docs = table(spark, sf_dir, "documents").select(c("doc_id").cast("string").alias("chunk_id"), "text")
-    made = indexing.embed(docs, lambda: indexing.hash_embedder(16)).select("chunk_id", "vector", F.lit("m").alias("embedding_model_id"), F.lit("indexed").alias("index_status"))
-    out = indexing.alignment(made, docs, lambda: indexing.hash_embedder(16), 16)
-    return out.select(F.array_join("models", ",").alias("models"), F.element_at("dimensions", 1).alias("dimensions"), r6(c("least_cosine")).alias("least_cosine"), "reindex_required")
+    make, turned = lambda: indexing.hash_embedder(16), F.transform("vector", lambda x: -x)
+    made = settle(indexing.embed(docs, make).select("chunk_id", "vector", F.lit("m").alias("embedding_model_id"), F.lit("indexed").alias("index_status")), "index")
+    other = F.when(F.xxhash64("chunk_id") % 2 == 0, "n").otherwise("m")
+    out = None
+    for name, index in (("as it was", made), ("a second model", made.withColumn("embedding_model_id", other)), ("other vectors", made.withColumn("vector", turned)), ("other dimensions", made.withColumn("vector", F.when(F.xxhash64("chunk_id") % 2 == 0, F.slice("vector", 1, 8)).otherwise(c("vector"))))):
+        one = indexing.alignment(index, docs, make, 16).withColumn("index", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    sizes = F.array_join(F.transform(F.array_sort("dimensions"), lambda d: d.cast("string")), ",")
+    return out.select("index", F.array_join("models", ",").alias("models"), sizes.alias("dimensions"), r6(c("least_cosine")).alias("least_cosine"), "reindex_required")
 
 
 @query(rf"""WITH d AS (SELECT doc_id, {_STRIP.format('text')} = '' AS blank FROM documents)
@@ -198,14 +204,51 @@ def process_and_index(spark, sf_dir):
     return outcome.groupBy("processing_status", "failure_reason").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT count(*) FILTER (trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '') AS versions, 0 AS created, count(*) FILTER (trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '') AS skipping FROM documents""")
+_AGAIN = """d AS (SELECT doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) = '' OR text IS NULL AS blank FROM documents)"""
+
+
+def _versions(spark, sf_dir, second: bool = False):
+    """Documents as versions; the second ones of even documents hold other words at the end."""
+    d, i = table(spark, sf_dir, "documents"), c("doc_id")
+    name = i.cast("string")
+    text = F.when(F.lit(second) & (i % 2 == 0) & (T.strip("text") != ""), F.concat("text", F.lit("\n\nSecond version of "), name, F.lit("."))).otherwise(c("text"))
+    return d.select("doc_id", name.alias("document_id"), F.concat(F.lit("w" if second else "v"), name).alias("document_version_id"), text.alias("text"))
+
+
+@query(f"""WITH {_AGAIN} SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN blank THEN 'failed' ELSE 'indexed' END AS processing_status, NOT blank AND doc_id % 2 = 0 AS embeds FROM d""")
 def index_skip(spark, sf_dir):
-    """The same versions a second time: every chunk is skipped by its content."""
-    v = table(spark, sf_dir, "documents").select("doc_id", c("doc_id").cast("string").alias("document_id"), c("doc_id").cast("string").alias("document_version_id"), "text")
+    """Second versions against the vectors of the first: only documents whose words changed are embedded."""
     make = lambda: indexing.hash_embedder(8)
-    rows, _ = index_stream.process(v, make, "m", 8)
-    _, again = index_stream.process(v, make, "m", 8, rows.select("content_hash", "embedding_model_id", "vector"))
-    return again.where("processing_status = 'indexed'").agg(F.count("*").alias("versions"), F.sum("created").alias("created"), F.count_if(c("skipped") > 0).alias("skipping"))
+    rows, _ = index_stream.process(_versions(spark, sf_dir), make, "m", 8)
+    _, again = index_stream.process(_versions(spark, sf_dir, True), make, "m", 8, rows.select("content_hash", "embedding_model_id", "vector"))
+    return again.select("document_id", "processing_status", (c("created") > 0).alias("embeds"))
+
+
+@query(f"""WITH {_AGAIN} SELECT 'v' || doc_id AS document_version_id, CASE WHEN blank THEN 'failed' ELSE 'indexed' END AS processing_status, CASE WHEN blank THEN 'empty_content' END AS failure_reason, NULL AS embeds FROM d
+UNION ALL SELECT 'w' || doc_id, CASE WHEN blank THEN 'failed' ELSE 'indexed' END, CASE WHEN blank THEN 'empty_content' END, NOT blank AND doc_id % 2 = 0 FROM d""")
+def index_stream_versions(spark, sf_dir):
+    """All documents through the stream, then their second versions through the stream started anew."""
+    at = fresh_path(spark, "stream")
+    for second in (False, True):
+        _versions(spark, sf_dir, second).write.mode("append").parquet(f"{at}/in")
+        index_stream.run_stream(spark, f"{at}/in", f"{at}/index", f"{at}/checkpoint", lambda: indexing.hash_embedder(8), "m", 8)
+    done = spark.read.parquet(f"{at}/index/versions")
+    return done.select("document_version_id", "processing_status", "failure_reason", F.when(F.startswith("document_version_id", F.lit("w")), c("created") > 0).alias("embeds"))
+
+
+@query("""WITH d AS (SELECT doc_id, replace(text, ' ', '_') AS t, length(text) AS n FROM documents WHERE length(text) >= 40)
+SELECT doc_id, 1 AS blocks, md5(t[1:n // 4] || '<1>' || t[n // 4 + 1:n // 2] || '<2>' || t[n // 2 + 1:n]) AS text_md5 FROM d""")
+def context_neighbours(spark, sf_dir):
+    """Documents cut into three chunks that share some text, from a mark on, with the next, put together again."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") >= 40).withColumn("t", F.replace("text", F.lit(" "), F.lit("_")))
+    n, at = F.length("t"), lambda k: F.floor(F.length("t") / k).cast("int")
+    part = lambda a, b: F.substr("t", a + 1, b - a)
+    cut = lambda i, *x: F.struct(F.lit(i).alias("chunk_index"), F.concat(*x).alias("text"))
+    one, two = F.concat(F.lit("<1>"), part(at(4), at(3))), F.concat(F.lit("<2>"), part(at(2), F.floor(n * 2 / 3).cast("int")))
+    parts = d.select(c("doc_id").alias("query_id"), F.inline(F.array(cut(0, part(F.lit(0), at(4)), one), cut(1, one, part(at(3), at(2)), two), cut(2, two, part(F.floor(n * 2 / 3).cast("int"), n)))))
+    rows = parts.select("query_id", "chunk_index", "text", F.concat_ws("-", "query_id", "chunk_index").alias("chunk_id"), c("query_id").alias("document_id"), c("query_id").alias("document_version_id"), F.lit("").alias("heading"), F.lit(0.5).alias("score"))
+    made = context.blocks(rows)
+    return made.groupBy(c("query_id").alias("doc_id")).agg(F.count("*").alias("blocks"), F.md5(F.max("text")).alias("text_md5"))
 
 
 @query("""SELECT p_size AS k, max(greatest(p_size, least(50, greatest(2 * p_size, p_size + 8)))) AS pool FROM part GROUP BY 1""")

@@ -95,7 +95,7 @@ def text_estimates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate("text").alias("tokens"), T.looks_like_list("text").alias("list_like"), T.looks_like_table("text").alias("table_like"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, substring(trim(text), 1, 10000) AS s FROM documents), n AS (SELECT doc_id, length(s) AS size, len(regexp_extract_all(s, '[\x{0600}-\x{06FF}]')) AS a, len(regexp_extract_all(s, '[A-Za-z]')) AS l, greatest(len(regexp_extract_all(s, '\p{L}')), 1) AS e FROM s)
+@query(r"""WITH s AS (SELECT doc_id, trim(text) AS s FROM documents), n AS (SELECT doc_id, length(s) AS size, len(regexp_extract_all(s, '[\x{0600}-\x{06FF}]')) AS a, len(regexp_extract_all(s, '[A-Za-z]')) AS l, greatest(len(regexp_extract_all(s, '\p{L}')), 1) AS e FROM s)
 SELECT doc_id, CASE WHEN size < 20 THEN 'unknown' WHEN a / e >= 0.6 THEN 'fa' WHEN l / e >= 0.6 THEN 'en' ELSE 'unknown' END AS language FROM n""")
 def text_language(spark, sf_dir):
     """T04"""
@@ -109,18 +109,24 @@ def text_variants(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.arabic_letters("text").alias("arabic_letters"), T.to_persian_digits("text").alias("persian_digits"), T.collapse_spaces("text").alias("collapsed"), T.without_punctuation("text").alias("bare"), T.noisy_punctuation("text").alias("noisy"))
 
 
-@query(r"""SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) AS blank_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) LIKE '%?')) AS question_lines,
-  len(regexp_extract_all(text, '(?:[۰-۹٠-٩0-9][٬,]?)+')) AS numbers, len(regexp_extract_all(text, '\x{FFFD}')) AS replacement_chars, 0 AS presentation_forms, 0 AS letter_variants, len(regexp_extract_all(text, ' {2,}| [،؛؟.,]')) AS spacing_anomalies FROM documents""")
+@query(r"""WITH d AS (SELECT doc_id, replace(translate(text, 'ayk', 'ﺍيك'), 'or', 'o' || chr(65533)) AS text FROM documents)
+SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) AS blank_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) LIKE '%?')) AS question_lines,
+  len(regexp_extract_all(text, '(?:[۰-۹٠-٩0-9][٬,]?)+')) AS numbers, length(text) - length(replace(text, chr(65533), '')) AS replacement_chars, length(text) - length(replace(text, 'ﺍ', '')) AS presentation_forms, length(text) - length(translate(text, 'يك', '')) AS letter_variants, len(regexp_extract_all(text, ' {2,}| [،؛؟.,]')) AS spacing_anomalies FROM d""")
 def text_quality(spark, sf_dir):
-    """T10"""
-    return table(spark, sf_dir, "documents").select("doc_id", *(v.alias(k) for k, v in T.quality("text").items()))
+    """With some letters as presentation forms, Arabic variants and replacement characters."""
+    x = F.replace(F.translate("text", "ayk", "ﺍيك"), F.lit("or"), F.lit("o\ufffd"))
+    return table(spark, sf_dir, "documents").withColumn("text", x).select("doc_id", *(v.alias(k) for k, v in T.quality("text").items()))
 
 
-@query(f"""WITH i AS (SELECT unnest(list_filter([CASE WHEN text <> nfc_normalize(text) THEN 'not_nfc' END, CASE WHEN contains(text, '  ') OR contains(text, chr(9)) THEN 'whitespace' END, CASE WHEN text <> {_NORMAL} THEN 'differs_from_production_normalize' END], lambda x: x IS NOT NULL)) AS issue FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN translate(text, 'yk', 'يك') WHEN 1 THEN text || ' ۱ 2' WHEN 2 THEN text || ' ٣' WHEN 3 THEN text || ' ﬁ' ELSE text END AS text FROM documents),
+i AS (SELECT unnest(list_filter([CASE WHEN text <> nfc_normalize(text) THEN 'not_nfc' END, CASE WHEN text <> nfc_normalize(text) OR doc_id % 5 = 3 THEN 'needs_nfkc' END, CASE WHEN regexp_matches(text, '[يك]') THEN 'arabic_yeh_or_kaf' END, CASE WHEN contains(text, '  ') OR contains(text, chr(9)) THEN 'whitespace' END,
+ CASE WHEN regexp_matches(text, '[٠-٩]') THEN 'arabic_indic_digits' END, CASE WHEN regexp_matches(text, '[۰-۹]') AND regexp_matches(text, '[0-9]') THEN 'mixed_digits' END, CASE WHEN doc_id % 5 IN (1, 2) OR (doc_id % 5 = 0 AND regexp_matches(text, '[يك]')) OR text <> {_NORMAL} THEN 'differs_from_production_normalize' END], lambda x: x IS NOT NULL)) AS issue FROM d)
 SELECT issue, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS rate FROM i GROUP BY 1""")
 def text_issues(spark, sf_dir):
-    """T11, G16; compatibility forms, which SQL has no function for, are left to the tests."""
-    return diagnostics.surface_report(table(spark, sf_dir, "documents")).where("issue <> 'needs_nfkc'").withColumn("rate", r6(c("rate")))
+    """Some texts with Arabic letters, digits of two scripts, Arabic digits, or a ligature; compatibility forms are the ligature's alone."""
+    i = c("doc_id") % 5
+    x = F.when(i == 0, F.translate("text", "yk", "يك")).when(i == 1, F.concat("text", F.lit(" ۱ 2"))).when(i == 2, F.concat("text", F.lit(" ٣"))).when(i == 3, F.concat("text", F.lit(" ﬁ"))).otherwise(c("text"))
+    return diagnostics.surface_report(table(spark, sf_dir, "documents").withColumn("text", x)).withColumn("rate", r6(c("rate")))
 
 
 @query()
@@ -141,7 +147,7 @@ def text_margins(spark, sf_dir):
     return files.without_margins(pages, share=0.0).select("doc_id", "page", F.md5("text").alias("text_md5"))
 
 
-@query(rf"""WITH n AS (SELECT doc_id, {_NORMAL} AS s FROM documents), k AS (SELECT doc_id, s, substring(trim(s), 1, 10000) AS p FROM n WHERE trim(s, ' ' || chr(10) || chr(9) || chr(13)) <> ''),
+@query(rf"""WITH n AS (SELECT doc_id, {_NORMAL} AS s FROM documents), k AS (SELECT doc_id, s, trim(s) AS p FROM n WHERE trim(s, ' ' || chr(10) || chr(9) || chr(13)) <> ''),
 m AS (SELECT doc_id, length(s) AS char_count, length(p) AS size, len(regexp_extract_all(p, '[A-Za-z]')) AS l, greatest(len(regexp_extract_all(p, '\p{{L}}')), 1) AS e FROM k)
 SELECT doc_id, char_count, CASE WHEN size >= 20 AND l / e >= 0.6 THEN 'en' ELSE 'unknown' END AS language, CASE WHEN size >= 20 AND l / e >= 0.6 THEN '' ELSE 'language_detection_uncertain' END AS warnings, (SELECT count(*) FROM documents) - (SELECT count(*) FROM k) AS rejects FROM m""")
 def text_extraction(spark, sf_dir):
@@ -347,14 +353,20 @@ def fusion_diagnostics(spark, sf_dir):
 
 
 def searched(spark, sf_dir, k: int = 8) -> DataFrame:
-    chunks = corpus(spark, sf_dir).join(vectors(spark, sf_dir).select("chunk_id", "vector"), "chunk_id")
+    """Hybrid search over all documents; a document has the vector whose place, by id, is its number modulo their count."""
+    v = vectors(spark, sf_dir).select(c("chunk_id").alias("vec_id"), "vector")
+    n = v.agg(F.count("*").alias("n"))
+    placed = metrics.positions(v, "vec_id").withColumn("at", c("position") - 1).drop("position", "vec_id")
+    chunks = corpus(spark, sf_dir).join(F.broadcast(n)).withColumn("at", F.pmod("chunk_id", "n")).join(placed, "at").drop("at", "n")
     return ranking.hybrid_search(dense_queries(spark, sf_dir), chunks, k)
 
 
-_WITH_VECTORS = "WHERE doc_id IN (SELECT vec_id FROM embeddings)"
-_HYBRID = f"""{_BM25.replace("FROM documents)", f"FROM documents {_WITH_VECTORS})", 1)}, {_boosted(_WITH_VECTORS)},
-{_DENSE.replace("q.vec_id = b.item_id, v)", "q.vec_id = b.item_id, v WHERE v.vec_id IN (SELECT doc_id FROM documents))")}, {_RRF.replace("FROM lex WHERE rank <= 30", "FROM bo")},
-bl AS (SELECT query_id, chunk_id, greatest(0, least(1, 0.72 * greatest(0, least(1, coalesce(list_cosine_similarity(q.e, v2.e), 0))) + 0.28 * rrf / m)) AS score FROM (SELECT * FROM fr WHERE rank <= 24) fr LEFT JOIN v q ON q.vec_id = query_id LEFT JOIN v v2 ON v2.vec_id = chunk_id),
+#: The vectors of `searched`: dv (doc_id, e).
+_OWN = "vp AS (SELECT embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings), dv AS (SELECT doc_id, e FROM documents JOIN vp ON place = doc_id % (SELECT count(*) FROM embeddings))"
+_OWN_DENSE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), dn AS (SELECT b.item_id AS query_id, dv.doc_id AS chunk_id, greatest(0, least(1, list_cosine_similarity(q.e, dv.e))) AS score FROM benchmark b JOIN v q ON q.vec_id = b.item_id, dv),
+den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn)"""
+_HYBRID = f"""{_BM25}, {_boosted()}, {_OWN}, {_OWN_DENSE}, {_RRF.replace("FROM lex WHERE rank <= 30", "FROM bo")},
+bl AS (SELECT query_id, chunk_id, greatest(0, least(1, 0.72 * greatest(0, least(1, coalesce(list_cosine_similarity(q.e, v2.e), 0))) + 0.28 * rrf / m)) AS score FROM (SELECT * FROM fr WHERE rank <= 24) fr LEFT JOIN v q ON q.vec_id = query_id LEFT JOIN dv v2 ON v2.doc_id = chunk_id),
 cs AS (SELECT query_id, chunk_id, score, {_CONTENT.format("q")} AS qc, {_CONTENT.format("t")} AS tc, qw, tw, len(list_filter(phrases, lambda p: contains(t, p))) > 0 AS phrase FROM bl JOIN qx ON qx.item_id = query_id JOIN ph ON ph.item_id = query_id JOIN tx ON doc_id = chunk_id),
 ca AS (SELECT *, CASE WHEN phrase THEN 0.1::DOUBLE ELSE 0 END AS b1, CASE WHEN len(qc) > 0 AND len(tc) > 0 THEN 0.06::DOUBLE * len(list_intersect(qc, tc)) / len(list_distinct(list_concat(qc, tc))) ELSE 0 END AS b2,
  CASE WHEN len(qc) > 0 AND len(list_intersect(qc, tc)) = 0 AND len(list_intersect(qw, tw)) > 0 THEN 0.05::DOUBLE ELSE 0 END AS p1 FROM cs),
@@ -362,14 +374,14 @@ hy AS (SELECT *, greatest(0, least(1, score + least(0.18, b1 + b2) - least(0.1,
 
 
 @query(f"""WITH {_HYBRID}, hf AS (SELECT *, first_value(adjusted) OVER w AS a1, first_value(b1) OVER w AS f1, first_value(b2) OVER w AS f2 FROM hr WHERE rank <= 8 WINDOW w AS (PARTITION BY query_id ORDER BY rank))
-SELECT query_id, chunk_id, rank, round(score, 6) AS blended, round(adjusted, 6) AS adjusted, round(b1, 6) AS exact_phrase, round(b2, 5) AS body_token_overlap, round(p1, 6) AS generic_only_overlap,
+SELECT query_id, chunk_id, rank, round(score, 6) AS blended, round(adjusted, 6) AS adjusted, round(b1, 6) AS exact_phrase, round(b2, 12) AS body_token_overlap, round(p1, 6) AS generic_only_overlap,
  CASE WHEN rank = 1 THEN 'highest_adjusted_score; ' || CASE WHEN b1 > 0 AND b1 >= b2 THEN 'top_bonus=exact_phrase:' || printf('%.3f', b1) WHEN b2 > 0 THEN 'top_bonus=body_token_overlap:' || printf('%.3f', b2) ELSE 'cosine_led' END ELSE '' END AS won,
  CASE WHEN rank > 1 THEN array_to_string(list_filter([CASE WHEN f1 > b1 + 0.01 THEN 'exact_phrase' END, CASE WHEN f2 > b2 + 0.01 THEN 'body_token_overlap' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS weaker FROM hf""")
 def hybrid_search(spark, sf_dir):
     """R04-R07, R10"""
     out = ranking.reasons(searched(spark, sf_dir))
     of = lambda m, k: r6(F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0.0))).alias(k)
-    return out.select("query_id", "chunk_id", "rank", r6(c("score")).alias("blended"), r6(c("adjusted")).alias("adjusted"), of("bonuses", "exact_phrase"), F.round(F.coalesce(F.try_element_at("bonuses", F.lit("body_token_overlap")), F.lit(0.0)), 5).alias("body_token_overlap"), of("penalties", "generic_only_overlap"),
+    return out.select("query_id", "chunk_id", "rank", r6(c("score")).alias("blended"), r6(c("adjusted")).alias("adjusted"), of("bonuses", "exact_phrase"), F.round(F.coalesce(F.try_element_at("bonuses", F.lit("body_token_overlap")), F.lit(0.0)), 12).alias("body_token_overlap"), of("penalties", "generic_only_overlap"),
                       F.array_join("reasons_won", " | ").alias("won"), F.regexp_extract(F.array_join("reasons_lost", " | "), r"weaker_bonuses=([a-z_,]*)", 1).alias("weaker"))
 
 
