@@ -13,17 +13,42 @@ from . import metrics as M
 c = F.col
 
 
+def quality_flags(text: Column) -> Column:
+    """What is odd about a chunk, in a fixed order."""
+    lines = F.filter(F.split(text, r"\R"), lambda x: F.length(T.strip(x)) > 0)
+    short = F.size(F.filter(lines, lambda x: F.length(x) < 12))
+    return F.array_compact(F.array(
+        F.when((F.size(lines) > 0) & (short > 0.45 * F.size(lines)), "fragmented_short_lines"), F.when(F.contains(text, F.lit("  ")), "double_spaces"), F.when(T.looks_like_table(text), "table_like"), F.when(T.looks_like_list(text), "list_like"),
+        F.when(F.length(text) < 80, "very_short"), F.when(F.length(text) > 2500, "very_long")))
+
+
 def chunk_stats(chunks: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """Sizes, overlap with the chunk before, flags and how often it was retrieved."""
+    """Sizes, overlap with the chunk before, flags and, with hits (chunk_id), how often a chunk was retrieved."""
     before = F.lag("end").over(W.partitionBy("doc_id").orderBy("sequence_number"))
-    size = F.length("text")
-    flags = F.array_compact(F.array(F.when(size < 50, "too_short"), F.when(size > 1200, "too_long"), F.when(T.looks_like_list("text"), "list_like"), F.when(T.looks_like_table("text"), "table_like")))
-    out = chunks.withColumns({"chars": size, "tokens": T.token_estimate("text"), "sentences": F.size(T.sentences("text")), "paragraphs": F.size(F.filter(F.split("text", r"\n\s*\n"), lambda p: F.trim(p) != "")), "overlap_previous": F.greatest(F.coalesce(before - c("start"), F.lit(0)), F.lit(0)), "flags": flags})
+    paragraphs = F.greatest(F.size(F.filter(F.split("text", "\n\n"), lambda p: F.length(T.strip(p)) > 0)), F.lit(1))
+    out = chunks.withColumns({"chars": F.length("text"), "tokens": T.token_estimate("text"), "sentences": F.size(T.sentences("text")), "paragraphs": paragraphs, "overlap_previous": F.greatest(F.coalesce(before - c("start"), F.lit(0)), F.lit(0)), "flags": quality_flags(c("text"))})
     if hits is None:
         return out
     return out.join(hits.groupBy("chunk_id").agg(F.count("*").alias("retrieved")), "chunk_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.lit(0)))
 
 
+#: G02, fixed values: edges of the histograms.
+SIZE_EDGES, OVERLAP_EDGES, SENTENCE_EDGES = [0, 200, 400, 600, 800, 1000, 1200, 1500, 10_000], [0, 1, 50, 100, 125, 150, 200, 10_000], [0, 1, 2, 3, 5, 8, 13, 100]
+
+
+def corpus_summary(stats: DataFrame) -> DataFrame:
+    """One row of counts and means over the chunks (of `chunk_stats` with hits), 0 where there are none."""
+    mean = lambda name, out: F.coalesce(F.avg(name), F.lit(0.0)).alias(out)
+    per = stats.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("documents"), mean("n", "avg_chunks_per_document"))
+    own = stats.agg(F.count("*").alias("chunks"), mean("chars", "avg_chunk_chars"), mean("tokens", "avg_estimated_tokens"), mean("sentences", "avg_sentence_count"), mean("paragraphs", "avg_paragraph_count"), mean("overlap_previous", "avg_overlap_size"), F.count_if(c("retrieved") == 0).alias("never_retrieved"))
+    return own.join(per)
+
+
+def frequently_retrieved(hits: DataFrame, limit: int = 10) -> DataFrame:
+    """The chunks that come most often (a report); ties by id."""
+    return hits.groupBy("chunk_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "chunk_id").limit(limit)
+
+
 def histogram(values: DataFrame, column: str, edges: list[float]) -> DataFrame:
     """Counts between fixed edges; what lies beyond falls in the last bucket."""
     bucket = F.lit(len(edges) - 2)

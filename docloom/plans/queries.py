@@ -421,9 +421,11 @@ def evidence_diagnostics(spark, sf_dir):
     return out.select("query_id", F.array_join("primary_ids", ",").alias("primary_ids"), F.array_join("support_ids", ",").alias("support_ids"), "prompt_chars", "original_chars", r6(c("reduction")).alias("reduction"))
 
 
-@query()
+@query(f"""WITH {_EVIDENCE}, pr AS (SELECT query_id, count(*) AS p, list(list_sort(tn) ORDER BY r DESC, rank) FILTER (len(tn) > 0) AS ns, any_value(qn) AS qn FROM ev WHERE label = 'PRIMARY' GROUP BY 1),
+co AS (SELECT query_id, coalesce(p >= 2 AND len(qn) > 0 AND len(ns) >= 2 AND len(list_intersect(qn, list_reduce(ns, lambda x, y: list_intersect(x, y)))) = 0 AND len(list_distinct(ns)) > 1, false) AS conflict FROM pr)
+SELECT query_id, conflict, CASE WHEN conflict THEN 'numeric_disagreement_among_primary' END AS conflict_reason FROM co""")
 def evidence_conflicts(spark, sf_dir):
-    """V09"""
+    """V09; the documents hold no questions, so answers after them are left to the tests."""
     return evidence.conflicts(evidence.select(hits_for_evidence(spark, sf_dir)))
 
 

@@ -263,3 +263,58 @@ def question_probes(spark, sf_dir):
     k = d.where(F.trim("text") != "").withColumn("chunk_id", F.concat_ws("-", "document_id", "chunk_index"))
     out = questions.ground_truth(k)
     return out.select("id", "document_id", "chunk_id", "ordinal", "category", "difficulty", F.md5("question").alias("question_md5"), F.md5("passage").alias("passage_md5"))
+
+
+# --- chunks
+
+#: Documents as chunks of a line (empty ones too) with the places of their characters; those of odd documents begin five characters earlier.
+_LINES = r"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+p AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
+k AS (SELECT doc_id, i, text, pos - CASE WHEN doc_id % 2 = 1 AND i > 0 THEN 5 ELSE 0 END AS s, pos + length(text) AS e FROM p),
+st AS (SELECT doc_id, i, length(text) AS chars, greatest(1, len(regexp_extract_all(text, '\S+'))) AS tokens, CASE WHEN length(trim(text)) = 0 THEN 0 ELSE len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?؟。\n])\s+', '\1' || chr(30), 'g'), chr(30)), lambda x: trim(x)), lambda x: x <> '')) END AS sentences, 1 AS paragraphs,
+ greatest(0, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY i) - s, 0)) AS overlap_previous, array_to_string(list_filter([CASE WHEN length(trim(text)) > 0 AND length(text) < 12 THEN 'fragmented_short_lines' END, CASE WHEN contains(text, '  ') THEN 'double_spaces' END,
+ CASE WHEN (len(text) - len(replace(text, '|', ''))) >= 3 OR (len(text) - len(replace(text, chr(9), ''))) >= 3 THEN 'table_like' END, CASE WHEN regexp_matches(text, '(^|\n)\s*([0-9۰-۹]+[.)-]|[-•▪])\s+') THEN 'list_like' END, CASE WHEN length(text) < 80 THEN 'very_short' END, CASE WHEN length(text) > 2500 THEN 'very_long' END], lambda x: x IS NOT NULL), ',') AS flags,
+ CASE WHEN i = 0 AND doc_id % 3 = 0 THEN doc_id % 4 ELSE 0 END AS retrieved FROM k)"""
+
+
+def _line_chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    ends = F.transform("l", lambda x, i: F.aggregate(F.slice("l", F.lit(1), i), F.lit(0), lambda s, y: s + F.length(y) + 1))
+    rows = d.select("doc_id", F.posexplode(F.arrays_zip(c("l").alias("text"), ends.alias("at"))).alias("sequence_number", "x")).select("doc_id", "sequence_number", "x.text", c("x.at").alias("at"))
+    chunks = rows.select("doc_id", "sequence_number", F.concat_ws("-", "doc_id", "sequence_number").alias("chunk_id"), "text", (c("at") - F.when((c("doc_id") % 2 == 1) & (c("sequence_number") > 0), 5).otherwise(0)).alias("start"), (c("at") + F.length("text")).alias("end"))
+    hits = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat_ws("-", "doc_id", F.lit(0)).alias("chunk_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n"), "doc_id").where(c("n") < c("doc_id") % 4)
+    return chunks, hits
+
+
+@query(f"WITH {_LINES} SELECT doc_id, i AS sequence_number, chars, tokens, sentences, paragraphs, CAST(overlap_previous AS BIGINT) AS overlap_previous, flags, retrieved FROM st")
+def chunk_statistics(spark, sf_dir):
+    """G01"""
+    out = diagnostics.chunk_stats(*_line_chunks(spark, sf_dir))
+    return out.select("doc_id", "sequence_number", "chars", "tokens", "sentences", "paragraphs", "overlap_previous", F.array_join("flags", ",").alias("flags"), "retrieved")
+
+
+@query(f"""WITH {_LINES} SELECT count(*) AS chunks, round(avg(chars), 6) AS avg_chunk_chars, round(avg(tokens), 6) AS avg_estimated_tokens, round(avg(sentences), 6) AS avg_sentence_count, round(avg(paragraphs), 6) AS avg_paragraph_count, round(avg(overlap_previous), 6) AS avg_overlap_size,
+ count(*) FILTER (retrieved = 0) AS never_retrieved, count(DISTINCT doc_id) AS documents, round(count(*) / count(DISTINCT doc_id), 6) AS avg_chunks_per_document FROM st""")
+def corpus_summary(spark, sf_dir):
+    """G02"""
+    out = diagnostics.corpus_summary(diagnostics.chunk_stats(*_line_chunks(spark, sf_dir)))
+    return out.select(*(r6(c(n)).alias(n) if n.startswith("avg") else c(n) for n in out.columns))
+
+
+@query(f"""WITH {_LINES}, b AS (SELECT 'size' AS of, CASE WHEN chars < 200 THEN 0 WHEN chars < 400 THEN 1 WHEN chars < 600 THEN 2 WHEN chars < 800 THEN 3 WHEN chars < 1000 THEN 4 WHEN chars < 1200 THEN 5 WHEN chars < 1500 THEN 6 ELSE 7 END AS bucket FROM st
+UNION ALL SELECT 'overlap', CASE WHEN overlap_previous < 1 THEN 0 WHEN overlap_previous < 50 THEN 1 ELSE 9 END FROM st UNION ALL SELECT 'sentences', CASE WHEN sentences < 1 THEN 0 WHEN sentences < 2 THEN 1 WHEN sentences < 3 THEN 2 WHEN sentences < 5 THEN 3 WHEN sentences < 8 THEN 4 WHEN sentences < 13 THEN 5 ELSE 6 END FROM st)
+SELECT of, bucket, count(*) AS n FROM b GROUP BY 1, 2""")
+def chunk_histograms(spark, sf_dir):
+    """G02"""
+    stats = diagnostics.chunk_stats(*_line_chunks(spark, sf_dir))
+    out = None
+    for name, column, edges in (("size", "chars", diagnostics.SIZE_EDGES), ("overlap", "overlap_previous", diagnostics.OVERLAP_EDGES), ("sentences", "sentences", diagnostics.SENTENCE_EDGES)):
+        one = diagnostics.histogram(stats, column, edges).withColumn("of", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT doc_id || '-0' AS chunk_id, doc_id % 4 AS n FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 > 0 ORDER BY 2 DESC, 1 LIMIT 10""")
+def frequently_retrieved(spark, sf_dir):
+    """A top-10 report."""
+    return diagnostics.frequently_retrieved(_line_chunks(spark, sf_dir)[1])

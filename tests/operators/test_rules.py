@@ -166,3 +166,20 @@ def test_models_and_documents(spark):
     assert t(("now", 0.5, 0.1), ("a", 0.54, 0.9)) == "now" and t(("now", 0.5, 0.1), ("a", 0.5625, 0.1), ("b", 0.5625, 0.2)) == "b" and t(("a", 0.1, 0.1)) == "a" and t(("now", None, None)) == "now"
     d = spark.createDataFrame([("d", "baseline", True, True), ("d", "baseline", True, None), ("d", "robustness", False, True), (None, "robustness", True, False)], "document_id string, cohort string, measured boolean, hit boolean")
     assert rows(diagnostics.per_document(d), "document_id", "baseline_n", "baseline_hit", "robustness_n", "robustness_hit") == [("d", 2, 1.0, 0, None), ("unknown", 0, None, 1, 0.0)]
+
+
+def test_chunk_flags_and_stats(spark):
+    rows_ = [("d", 0, "d0", "a short\nline\n\n" + "x" * 100, 0, 120), ("d", 1, "d1", "1. item\n2. item", 100, 115), ("d", 2, "d2", "a|b|c|d  " + "y" * 2500, 130, 2640), ("e", 0, "e0", "", 0, 0), ("e", 1, "e1", "z" * 80, 0, 80)]
+    chunks = spark.createDataFrame(rows_, "doc_id string, sequence_number int, chunk_id string, text string, start int, end int")
+    hits = spark.createDataFrame([("d0",), ("d0",), ("e1",), ("gone",)], "chunk_id string")
+    out = diagnostics.chunk_stats(chunks, hits)
+    got = {r["chunk_id"]: r for r in out.collect()}
+    assert [got[k]["flags"] for k in ("d0", "d1", "d2", "e0", "e1")] == [["fragmented_short_lines"], ["fragmented_short_lines", "list_like", "very_short"], ["double_spaces", "table_like", "very_long"], ["very_short"], []]
+    assert [got[k]["overlap_previous"] for k in ("d0", "d1", "d2", "e0", "e1")] == [0, 20, 0, 0, 0] and [got[k]["retrieved"] for k in ("d0", "d1", "e1")] == [2, 0, 1]
+    assert [got[k]["paragraphs"] for k in ("d0", "e0")] == [2, 1] and got["e0"]["sentences"] == 0
+    r = diagnostics.corpus_summary(out).first()
+    assert (r["chunks"], r["documents"], r["avg_chunks_per_document"], r["never_retrieved"], r["avg_overlap_size"]) == (5, 2, 2.5, 3, 4.0)
+    assert tuple(diagnostics.corpus_summary(out.where("false")).first())[:2] == (0, 0.0)
+    assert rows(diagnostics.frequently_retrieved(hits, 2), "chunk_id", "n") == [("d0", 2), ("e1", 1)]
+    h = spark.createDataFrame([(0,), (199,), (200,), (1500,), (99_999,)], "v int")
+    assert rows(diagnostics.histogram(h, "v", diagnostics.SIZE_EDGES), "bucket", "n") == [(0, 2), (1, 1), (7, 2)]
