@@ -204,23 +204,32 @@ def cosine_backfill(fused: DataFrame, dense: DataFrame, queries: DataFrame, corp
 
 # Lexical retrieval
 
+def _let(x: Column, f) -> Column:
+    """f of x, which is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def faq_segments(text: Column, is_question=T.ends_in_question) -> Column:
-    """Question-led segments of normalised text, and the whole text too if there are several."""
-    lines = T.text_lines(text)
-    def step(acc: Column, line: Column) -> Column:
-        more = F.concat(acc, F.array(line))
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws("\n", F.element_at(acc, -1), line)))
-        return F.when((F.size(acc) == 0) | is_question(line), more).otherwise(joined)
-    parts = F.aggregate(lines, F.array().cast("array<string>"), step)
-    return F.when(F.size(parts) > 1, F.concat(parts, F.array(text))).otherwise(parts)
+    """Question-led segments of normalised text, and the whole text too if there are several.
+
+    A segment is the lines from one question, or the first line, to the next: each line is joined once."""
+    def parts(lines: Column) -> Column:
+        last = F.size(lines) - 1
+        leads = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | is_question(F.get(lines, i)))
+        return _let(leads, lambda own: F.transform(own, lambda i, n: F.array_join(F.slice(lines, i + 1, F.coalesce(F.get(own, n + 1), last + 1) - i), "\n")))
+
+    found = _let(T.text_lines(text), lambda lines: F.when(F.size(lines) > 0, parts(lines)).otherwise(F.array().cast("array<string>")))
+    return _let(found, lambda own: F.when(F.size(own) > 1, F.concat(own, F.array(text))).otherwise(own))
 
 
 def segments(chunks: DataFrame, normal: bool = False, is_question=T.ends_in_question) -> DataFrame:
-    """chunk_id, segment, tokens of each segment of a chunk's heading and text."""
+    """chunk_id, segment, tokens of each segment of a chunk's heading and text. Segments without tokens go."""
     source = F.when(F.coalesce("heading", F.lit("")) != "", F.concat_ws("\n", "heading", "text")).otherwise(F.col("text"))
     whole = source if normal else T.strip(T.normalize(source))
     rows = chunks.select("chunk_id", whole.alias("text")).select("chunk_id", F.posexplode(faq_segments(F.col("text"), is_question)).alias("segment", "text"))
-    return rows.select("chunk_id", "segment", T.lexical_tokens("text", normal=True).alias("tokens")).where(F.size("tokens") > 0)
+    # A generator of one row or none, not a filter: a filter would be pushed below the tokeniser and run it twice.
+    tokens = F.array(T.lexical_tokens("text", normal=True))
+    return rows.select("chunk_id", "segment", F.explode(tokens).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def postings(found: DataFrame) -> DataFrame:
