@@ -88,78 +88,98 @@ def _draw(n: int, *key: Column | str) -> Column:
     return (F.crc32(F.concat_ws("|", *key).cast("binary")) % n).cast("int")
 
 
+def _sentences(chunks: DataFrame) -> DataFrame:
+    """document_id, chunk_id, chunk_index, at, sentence (of 25 characters or more), opening (of the chunk's text, for short ones)."""
+    rows = chunks.select("document_id", "chunk_id", "chunk_index", F.substring("text", 1, 400).alias("opening"), F.posexplode(T.sentences("text")).alias("at", "sentence"))
+    return rows.where(F.length("sentence") >= 25).withColumn("opening", F.when(F.length("sentence") < 40, c("opening")))
+
+
+def _following(chunks: DataFrame, head: bool) -> DataFrame:
+    """document_id, chunk_id, next_id and, if asked for, the beginning of the next chunk of the document."""
+    after = W.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
+    own = chunks.select("document_id", "chunk_id", "chunk_index", *([F.substring("text", 1, 220).alias("head")] if head else []))
+    return own.select("document_id", "chunk_id", F.lead("chunk_id").over(after).cast("string").alias("next_id"), *([F.lead("head").over(after).alias("next_head")] if head else []))
+
+
 def probes(chunks: DataFrame, seed: int = 42) -> DataFrame:
     """Q03: the questions that each sentence of 25 characters or more gives rise to, one for each category whose words it holds.
 
     Chunks: document_id, chunk_id, chunk_index, text. Result: document_id, chunk_id, chunk_index, at (of the sentence), turn (of the
-    category), category, difficulty, question, answer, passage, citation, notes. Questions over two sections take the next chunk of
-    the document, of which only the beginning travels."""
-    after = W.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
-    heads = chunks.select("document_id", "chunk_id", "chunk_index", F.substring("text", 1, 220).alias("head"))
-    following = heads.select("document_id", "chunk_id", F.lead("chunk_id").over(after).cast("string").alias("next_id"), F.lead("head").over(after).alias("next_head"))
-    s = chunks.select("document_id", "chunk_id", "chunk_index", F.substring("text", 1, 400).alias("opening"), F.posexplode(T.sentences("text")).alias("at", "sentence")).where(F.length("sentence") >= 25)
-    s = s.join(following, ["document_id", "chunk_id"])
+    category), category, question; `answered` adds the rest. Questions over two sections need a next chunk in the document."""
+    s = _sentences(chunks).drop("opening").join(_following(chunks, False), ["document_id", "chunk_id"])
     x = c("sentence")
-    topic = F.coalesce(F.try_element_at(T.keywords(x), F.lit(1)), F.lit(NO_TOPIC))
-    number = F.try_element_at(T.number_runs(x), F.lit(1))
-    passage = F.when(F.length(x) >= 40, x).otherwise(c("opening"))
-    s = s.withColumns({"topic": topic, "number": number, "passage": passage})
-    two = F.concat("passage", F.lit("\n"), "next_head")
+    s = s.withColumns({"topic": F.coalesce(F.try_element_at(T.keywords(x), F.lit(1)), F.lit(NO_TOPIC)), "numbers": F.size(T.number_runs(x)) > 0})
     each = []
-    for turn, (name, difficulty, words, form) in enumerate(ASKED):
-        question, answer, whole, citation, notes, fits = _fill(form or "", topic=c("topic")), c("passage"), c("passage"), F.substring("passage", 1, 220), F.lit(None).cast("string"), _any(x, words)
+    for turn, (name, _, words, form) in enumerate(ASKED):
+        question, fits = _fill(form or "", topic=c("topic")), _any(x, words)
         if form is None:
             drawn = _draw(len(GENERAL), F.lit(str(seed)), c("document_id").cast("string"), c("chunk_id").cast("string"), c("at").cast("string"), F.lit(name))
             question = F.get(F.array(*(_fill(g, topic=c("topic")) for g in GENERAL)), drawn)
         elif name == "numerical":
-            fits, answer = c("number").isNotNull(), _fill(NUMBER_ANSWER, number=c("number"))
+            fits = c("numbers")
         elif name == "definition":
             question = F.when(_any(x, DEFINES), _fill(DEFINED, topic=c("topic"))).otherwise(question)
-        elif name == "yes_no":
-            answer = F.concat(F.when(_any(x, DENIED), "خیر").otherwise("بله"), F.lit(". "), "passage")
         elif name in ("multi_hop", "cross_section"):
-            fits, answer, whole, citation = c("next_id").isNotNull(), two, two, F.substring("passage", 1, 180)
-            notes = F.concat(F.lit("multi_section_with_chunk="), "next_id")
-        each.append(F.when(fits, F.struct(F.lit(turn).alias("turn"), F.lit(name).alias("category"), F.lit(difficulty).alias("difficulty"), question.alias("question"), T.strip(answer).alias("answer"), T.strip(whole).alias("passage"), T.strip(citation).alias("citation"), notes.alias("notes"))))
+            fits = c("next_id").isNotNull()
+        each.append(F.when(fits, F.struct(F.lit(turn).alias("turn"), F.lit(name).alias("category"), question.alias("question"))))
     return s.select("document_id", "chunk_id", "chunk_index", "at", F.inline(F.array_compact(F.array(*each))))
 
 
-_PAYLOAD = ["category", "difficulty", "question", "answer", "passage", "citation", "notes"]
+def answered(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows of `probes`, some of them, with difficulty, answer, passage, citation and notes. Rows with at = -1 ask about the head of their chunk."""
+    key = ["document_id", "chunk_id"]
+    x, turn = c("sentence"), c("turn")
+    rows = asked.where("at >= 0").join(_sentences(chunks).drop("chunk_index"), [*key, "at"]).join(_following(chunks, True), key)
+    of = lambda *names: turn.isin([n for n, a in enumerate(ASKED) if a[0] in names])
+    passage = F.when(F.length(x) >= 40, x).otherwise(c("opening"))
+    two = of("multi_hop", "cross_section")
+    whole = F.when(two, F.concat(passage, F.lit("\n"), "next_head")).otherwise(passage)
+    answer = (F.when(of("numerical"), _fill(NUMBER_ANSWER, number=F.try_element_at(T.number_runs(x), F.lit(1))))
+              .when(of("yes_no"), F.concat(F.when(_any(x, DENIED), "خیر").otherwise("بله"), F.lit(". "), passage)).otherwise(whole))
+    parts = {
+        "difficulty": F.get(F.array(*(F.lit(a[1]) for a in ASKED)), turn), "answer": T.strip(answer), "passage": T.strip(whole),
+        "citation": T.strip(F.when(two, F.substring(passage, 1, 180)).otherwise(F.substring(passage, 1, 220))), "notes": F.when(two, F.concat(F.lit("multi_section_with_chunk="), "next_id"))}
+    full = rows.select(*asked.columns, *(v.alias(n) for n, v in parts.items()))
+    head = T.strip(F.substring("text", 1, 280))
+    heads = asked.where("at < 0").join(chunks.select(*key, head.alias("h")), key)
+    return full.unionByName(heads.select(*asked.columns, F.lit("easy").alias("difficulty"), c("h").alias("answer"), c("h").alias("passage"), T.strip(F.substring("h", 1, 220)).alias("citation"), F.lit(None).cast("string").alias("notes")))
 
 
 def ground_truth(chunks: DataFrame, least: int = 40, most: int = 60, seed: int = 42) -> DataFrame:
-    """Q03, Q04: questions of each document, as many as a draw between `least` and `most` says: id, document_id, chunk_id, ordinal, tags and what `probes` gives.
+    """Q03, Q04: questions of each document, as many as a draw between `least` and `most` says: id, document_id, chunk_id, ordinal, tags and what `answered` gives.
 
     Equal questions of a document count once, the first. Of more than its number a document keeps, in rotation over the
     categories, one of each as long as there are some, in an order by checksum; fewer are padded by the same questions
-    with an opening. A document whose sentences give nothing is asked about the heads of its chunks. Of a large document only
-    `most` of each category meet."""
-    key = ["document_id", "chunk_index", "chunk_id", "at", "turn"]
+    with an opening. A document whose sentences give nothing is asked about the heads of its chunks. Questions are chosen without
+    their passages, which are fetched for those chosen. Of a large document only `most` of each category meet."""
+    key = ["chunk_index", "chunk_id", "at", "turn", "category", "question"]
     found = probes(chunks, seed)
+    once = settle(found.groupBy("document_id", F.trim("question").alias("_key")).agg(F.min(F.struct(*key)).alias("q")).select("document_id", "q.*"), "questions")
     head = T.strip(F.substring("text", 1, 280))
-    plain = chunks.select("document_id", "chunk_index", "chunk_id", F.lit(0).alias("at"), F.lit(0).alias("turn"), head.alias("h")).where(F.length("h") >= 20)
-    plain = plain.join(found.select("document_id").distinct(), "document_id", "left_anti").select(*key, F.lit("factual").alias("category"), F.lit("easy").alias("difficulty"), _fill(HEAD_QUESTION, head=F.substring("h", 1, 48)).alias("question"), c("h").alias("answer"), c("h").alias("passage"), T.strip(F.substring("h", 1, 220)).alias("citation"), F.lit(None).cast("string").alias("notes"))
-    first = F.min(F.struct(*key[1:], *_PAYLOAD)).alias("q")
-    once = found.select(*key, *_PAYLOAD).groupBy("document_id", F.trim("question").alias("_key")).agg(first).select("document_id", "q.*").unionByName(plain.select(*key, *_PAYLOAD))
+    heads = chunks.join(once.select("document_id").distinct(), "document_id", "left_anti").where(F.length(head) >= 20)
+    heads = heads.select("document_id", "chunk_index", "chunk_id", F.lit(-1).alias("at"), F.lit(0).alias("turn"), F.lit("factual").alias("category"), _fill(HEAD_QUESTION, head=F.substring(head, 1, 48)).alias("question"))
+    every = once.select("document_id", *key).unionByName(heads.select("document_id", *key))
     want = least + _draw(most - least + 1, F.lit(str(seed)), c("document_id").cast("string"))
-    n = once.groupBy("document_id").agg(F.count("*").alias("n")).withColumn("target", want)
+    n = every.groupBy("document_id").agg(F.count("*").alias("n")).withColumn("target", want)
     order = F.crc32(c("question").cast("binary"))
     place = F.row_number().over(W.partitionBy("document_id", "category").orderBy(order, "question", "chunk_index", "chunk_id", "at"))
-    kept = once.withColumn("round", place).where(c("round") <= most).join(n, "document_id")
+    kept = every.withColumn("round", place).where(c("round") <= most).join(n, "document_id")
     sampled = c("n") > c("target")
-    turn = F.row_number().over(W.partitionBy("document_id").orderBy(F.when(sampled, c("round")), F.when(sampled, c("turn")), "chunk_index", "chunk_id", "at", "turn"))
-    chosen = kept.withColumn("ordinal", turn).where(c("ordinal") <= c("target"))
-    few = chosen.where(~sampled)
-    pads = few.where("ordinal = 1").select("document_id", "n", F.explode(F.when(c("n") < c("target"), F.sequence(c("n") + 1, c("target").cast("bigint")))).alias("ordinal"))
+    ordinal = F.row_number().over(W.partitionBy("document_id").orderBy(F.when(sampled, c("round")), F.when(sampled, c("turn")), "chunk_index", "chunk_id", "at", "turn"))
+    chosen = settle(kept.withColumn("ordinal", ordinal.cast("bigint")).where(c("ordinal") <= c("target")).select("document_id", *key, "ordinal", "n", "target"), "chosen")
+    few = chosen.where(c("n") < c("target"))
+    pads = few.where("ordinal = 1").select("document_id", "n", F.explode(F.sequence(c("n") + 1, c("target").cast("bigint"))).alias("ordinal"))
     pads = pads.withColumn("of", _draw(1 << 30, F.lit(str(seed)), c("document_id").cast("string"), c("ordinal").cast("string")) % c("n") + 1)
-    opening = F.get(F.array(*map(F.lit, OPENINGS)), _draw(len(OPENINGS), F.lit("opening"), c("p.document_id").cast("string"), c("p.ordinal").cast("string")))
-    opened = F.exists(T.words(OPENINGS), lambda o: F.startswith(c("f.question"), o))
-    padded = pads.alias("p").join(few.alias("f"), (c("p.document_id") == c("f.document_id")) & (c("p.of") == c("f.ordinal"))).select(
-        "f.document_id", "f.chunk_id", c("p.ordinal").alias("ordinal"), "f.category", F.lit("medium").alias("difficulty"), F.when(opened, c("f.question")).otherwise(F.concat(opening, F.ltrim("f.question"))).alias("question"),
-        "f.answer", "f.passage", "f.citation", F.concat(F.coalesce("f.notes", F.lit("")), F.lit(";padded")).alias("notes"))
-    out = chosen.select("document_id", "chunk_id", c("ordinal").cast("bigint").alias("ordinal"), *_PAYLOAD).unionByName(padded)
+    opening = F.get(F.array(*map(F.lit, OPENINGS)), _draw(len(OPENINGS), F.lit("opening"), c("document_id").cast("string"), c("ordinal").cast("string")))
+    opened = F.exists(T.words(OPENINGS), lambda o: F.startswith("question", o))
+    padded = pads.select("document_id", "ordinal", "of").join(few.drop("n", "target").withColumnRenamed("ordinal", "of"), ["document_id", "of"])
+    padded = padded.withColumn("question", F.when(opened, c("question")).otherwise(F.concat(opening, F.ltrim("question"))))
+    columns = ["document_id", *key, "ordinal", "padded"]
+    asked = chosen.withColumn("padded", F.lit(False)).select(columns).unionByName(padded.withColumn("padded", F.lit(True)).select(columns))
+    out = answered(asked, chunks).withColumns({"difficulty": F.when(c("padded"), "medium").otherwise(c("difficulty")), "notes": F.when(c("padded"), F.concat(F.coalesce("notes", F.lit("")), F.lit(";padded"))).otherwise(c("notes"))})
     number = F.concat(F.lit("fa-"), F.substring(c("document_id").cast("string"), 1, 8), F.lit("-"), F.when(c("ordinal") < 1000, F.lpad(c("ordinal").cast("string"), 3, "0")).otherwise(c("ordinal").cast("string")))
-    return out.withColumns({"id": number, "tags": F.array_sort(F.array_distinct(F.array(c("category"), F.lit("fa"), F.lit("auto_corpus_probe"), F.lit("persian_benchmark"))))})
+    out = out.withColumns({"id": number, "tags": F.array_sort(F.array_distinct(F.array(c("category"), F.lit("fa"), F.lit("auto_corpus_probe"), F.lit("persian_benchmark"))))})
+    return out.select("id", "document_id", "chunk_id", "ordinal", "category", "difficulty", "question", "answer", "passage", "citation", "notes", "tags")
 
 
 #: Q05, fixed values: words for words, openings and spellings.
