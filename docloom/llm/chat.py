@@ -13,9 +13,11 @@ too. An escape puts U+241B after the first character of a control string; an esc
 of the text is doubled as U+241B U+241B in a turn that is marked by U+241B behind its opening.
 
 Turns stream through sorted partitions, one conversation after the other, so memory does not
-grow with a conversation. Results: null text and null role count as empty; a null turn comes
-first; turns of equal number come in the order of role and text, repeated rows stay. A null
-conv_id is a conversation of its own name.
+grow with a conversation; one conversation (and all rows without conv_id) is one task, as its running digest demands.
+
+Results: null text and null role count as empty; a null turn comes first; turns of equal number come in the order of role
+and text, repeated rows stay. A null conv_id is a conversation of its own name. Texts of any length are rendered whole. An
+empty table gives an empty result. Other columns are left behind, so none can clash.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ entry with their k + 1 smallest ids, and queries of equal vectors are one search
 
 Results: null, empty or zero vectors and those with null or non-finite components take no part,
 nor do rows without id. Vectors of different lengths are no candidates for each other. Ties go to the
-smaller id. Fewer candidates than k: all of them. Repeated rows of one id count once.
+smaller id. Fewer candidates than k: all of them. Repeated rows of one id count once. An empty table gives an empty
+result. Other columns of the table are left behind, so none can clash.
 """
 
 from __future__ import annotations

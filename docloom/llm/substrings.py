@@ -10,7 +10,8 @@ removed. Copies of a whole text are answered from the text's digest and are not
 
 Results: windows are judged on the input, not on what is left. Null texts have no words. A row
 without doc_id takes no part and is returned whole. Rows sharing a doc_id share what is removed
-from that id. Fewer than 20 words: nothing is removed.
+from that id. Fewer than 20 words: nothing is removed. Texts of any length are read whole, each in one task. An
+empty table gives an empty result. Other columns are left behind, so none can clash.
 """
 
 from __future__ import annotations

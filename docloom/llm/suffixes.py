@@ -14,7 +14,8 @@ strings are counted by Spark instead, which gives the same answer. Copies of a w
 answered from its digest; one of them takes part in the search.
 
 Results: strings are judged on the input. Null texts count as empty. Rows without doc_id take
-no part and stay whole; rows that share a doc_id share what is removed from that id.
+no part and stay whole; rows that share a doc_id share what is removed from that id. Texts of any length are cut
+into segments whole, each in one task. An empty table gives an empty result. Other columns are left behind, so none can clash.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ each payload against the digest that names it; `reconstruct` gives the bytes of
 Results: null html is an empty payload; a null url is an empty target. Control characters of a
 url are percent-encoded in the header. A record without page_id has an empty number and never
 stands for others; if all of a payload's records are such, all are responses. Records that share
-a page_id are written each.
+a page_id are written each. Payloads of any length are stored whole. An empty table gives an empty archive and result.
+Other columns of pages are left behind, so none can clash.
 """
 
 from __future__ import annotations
