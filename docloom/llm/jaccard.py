@@ -22,7 +22,7 @@ Results: null or empty texts and texts without words have no shingles and link w
 Rows without doc_id have no component (null). Rows that share a doc_id share a component. Texts of any length
 are cut into shingles whole, each in one task. An empty table gives an empty result. `classes` leaves other columns behind;
 `keep_one` gives back docs' own columns, whatever their names. A set holds 64-bit hashes of shingles, never compared as
-words: a link needs many equal ones, so a chance collision cannot make one.
+words; a link needs many equal ones, so a chance collision alone makes none.
 """
 
 from __future__ import annotations
