@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import constants as K
 from docloom.functions import text as T
+from docloom.sources.shared import settle
 
 from . import retrieval as R
 
@@ -102,10 +103,14 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 8, pool: int =
     Dense and lexical pools, fusion, missing cosines, blend, calibration, the k best."""
     k = min(50, max(1, k))
     asked = queries.withColumn("query", T.strip(T.normalize("query"))).withColumn("tokens", T.lexical_tokens("query", normal=True))
-    held = chunks.withColumns({"text": T.normalize("text"), "heading": T.normalize(F.coalesce("heading", F.lit("")))})
-    dense = R.dense_top_k(asked, chunks, pool).select("query_id", "chunk_id", "rank", "score")
-    lexical = R.boost(R.bm25(R.segments(held, normal=True), asked, pool), asked, held)
-    fused = R.cosine_backfill(R.fuse_limited(dense, lexical).drop("rank"), dense, asked, chunks)
+    normal = lambda rows: rows.withColumns({"text": T.normalize("text"), "heading": T.normalize(F.coalesce("heading", F.lit("")))})
+    dense = settle(R.dense_top_k(asked, chunks, pool).select("query_id", "chunk_id", "rank", "score"), "dense")
+    found = settle(R.bm25(R.segments(normal(chunks), normal=True), asked, pool), "lexical")
+    # What follows reads the chunks of the two pools alone, normalised once.
+    pooled = dense.select("chunk_id").unionByName(found.select("chunk_id")).distinct()
+    held = settle(normal(chunks.join(pooled, "chunk_id", "left_semi")), "pool")
+    lexical = R.boost(found, asked, held)
+    fused = R.cosine_backfill(R.fuse_limited(dense, lexical).drop("rank"), dense, asked, held)
     rows = fused.withColumn("score", R.blend(F.col("cosine"), F.col("rrf"), F.col("max_rrf"))).join(asked.select("query_id", "query"), "query_id").join(held.drop("vector"), "chunk_id")
     return final_order(calibrate(rows), k)
 

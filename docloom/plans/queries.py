@@ -13,7 +13,7 @@ from docloom.operators import catalog, chunking, context, diagnostics, evidence,
 from docloom.operators import retrieval as R
 from docloom.operators import vectors as V
 from docloom.sources import files
-from docloom.sources.shared import table
+from docloom.sources.shared import settle, table
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,8 +272,10 @@ bo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 @query(f"WITH {_BM25}, {_boosted()} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bo")
 def bm25_boosted(spark, sf_dir):
     """L07, L08"""
-    k = corpus(spark, sf_dir).withColumn("text", T.normalize("text"))
-    out = R.boost(R.bm25(R.segments(k, normal=True), asked(spark, sf_dir), 30), asked(spark, sf_dir), k)
+    k = corpus(spark, sf_dir)
+    found = settle(R.bm25(R.segments(k), asked(spark, sf_dir), 30), "hits")
+    near = k.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").withColumn("text", T.normalize("text"))
+    out = R.boost(found, asked(spark, sf_dir), near)
     return out.select("query_id", "chunk_id", "rank", r6(c("score")).alias("score"))
 
 
@@ -386,8 +388,9 @@ def hybrid_search(spark, sf_dir):
 
 
 def hits_for_evidence(spark, sf_dir) -> DataFrame:
-    top = lexical_hits(spark, sf_dir, 8).join(asked(spark, sf_dir).select("query_id", "query"), "query_id")
-    k = corpus(spark, sf_dir).select("chunk_id", "document_id", "chunk_index", T.normalize("text").alias("text"), F.lit("").alias("heading"), c("document_id").alias("document_version_id"))
+    top = settle(lexical_hits(spark, sf_dir, 8).join(asked(spark, sf_dir).select("query_id", "query"), "query_id"), "hits")
+    near = corpus(spark, sf_dir).join(top.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    k = near.select("chunk_id", "document_id", "chunk_index", T.normalize("text").alias("text"), F.lit("").alias("heading"), c("document_id").alias("document_version_id"))
     return top.join(k, "chunk_id")
 
 
