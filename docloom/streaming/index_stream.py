@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.functions import text as T
 from docloom.operators import chunking, indexing
@@ -58,23 +56,12 @@ def chunk_stream(versions: DataFrame) -> DataFrame:
     return rows.select(*(f"doc_id.{c}" for c in IDS), F.when(F.col("text").isNotNull(), number).alias("chunk_id"), "sequence_number", "text", F.when(F.col("text").isNotNull(), F.sha2("text", 256)).otherwise(code).alias("content_hash"))
 
 
-def _mark(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows of one content; the first that was ever seen is new."""
-    new = not state.exists
-    for frame in frames:
-        frame = frame.drop(columns=["key"])
-        frame["is_new"] = False
-        if new and len(frame) and frame["chunk_id"].notna().iloc[0]:
-            frame.iloc[0, frame.columns.get_loc("is_new")] = True
-            state.update((True,))
-            new = False
-        yield frame
-
-
 def marked(chunks: DataFrame) -> DataFrame:
-    """Chunks with is_new, by keyed state: what a batch looks up are its own contents, whatever the index holds."""
-    key = F.when(F.col("chunk_id").isNull(), F.concat(F.lit("version:"), "document_version_id")).otherwise(F.col("content_hash"))
-    return chunks.withColumn("key", key).groupBy("key").applyInPandasWithState(_mark, f"{_CHUNK}, is_new boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    """Every chunk as a row with first=false, and once more, with first=true, where its content was never seen before.
+
+    Which contents were seen is the keyed state of the stream: a batch looks up its own contents, whatever the index holds."""
+    seen = chunks.where("chunk_id is not null").dropDuplicates(["content_hash"])
+    return chunks.withColumn("first", F.lit(False)).unionByName(seen.withColumn("first", F.lit(True)))
 
 
 def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
@@ -88,13 +75,18 @@ def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
 def run_stream(spark: SparkSession, source: str, index: str, checkpoint: str, make: Callable, model: str, dimensions: int) -> None:
     """New versions, as they come, become chunks; contents seen for the first time are embedded, each once.
 
-    The index is four tables by batch: chunks (of versions, by content), vectors (of contents), failures and versions. Which
-    contents are new is the stream's keyed state (RocksDB), so a batch reads no earlier chunks or vectors, only earlier
-    failures of contents that came again, which are tried again. A batch that is repeated after a crash sees the state it
-    saw before, and writes over its own folders."""
+    The index is four tables by batch: chunks (of versions, by content), vectors (of contents), failures and versions; what a
+    batch brought, and what was embedded for it, lie beside them (batches, made). Which contents are new
+    is the stream's keyed state (RocksDB), so a batch reads no earlier chunks or vectors, only earlier failures of contents
+    that came again, which are tried again. A batch that is repeated after a crash sees the state it saw before, and writes
+    over its own folders."""
     def batch(rows: DataFrame, number: int) -> None:
         at = lambda table: f"{index}/{table}/batch_id={number}"
-        rows.write.mode("overwrite").parquet(at("chunks"))
+        rows.write.mode("overwrite").partitionBy("first").parquet(at("batches"))
+        both = spark.read.schema(_CHUNK + ", first boolean").parquet(at("batches"))
+        new = both.where("first").select("document_version_id", "chunk_id", "content_hash", F.lit(True).alias("is_new"))
+        marks = both.where("not first").drop("first").join(new.dropDuplicates(), ["document_version_id", "chunk_id", "content_hash"], "left")
+        marks.withColumn("is_new", F.coalesce("is_new", F.lit(False))).write.mode("overwrite").parquet(at("chunks"))
         own = spark.read.parquet(at("chunks"))
         chunks = own.where("chunk_id is not null")
         todo = chunks.where("is_new").select("content_hash", "text")
