@@ -75,24 +75,22 @@ def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
 def run_stream(spark: SparkSession, source: str, index: str, checkpoint: str, make: Callable, model: str, dimensions: int) -> None:
     """New versions, as they come, become chunks; contents seen for the first time are embedded, each once.
 
-    The index is four tables by batch: chunks (of versions, by content), vectors (of contents), failures and versions; what a
-    batch brought, and what was embedded for it, lie beside them (batches, made). Which contents are new
-    is the stream's keyed state (RocksDB), so a batch reads no earlier chunks or vectors, only earlier failures of contents
+    The index is four tables by batch: chunks (of versions; once more, under first, for new contents), vectors (of contents),
+    failures and versions; what was embedded for a batch lies beside them (made). Which contents are new is the stream's keyed state (RocksDB), so a batch reads no earlier chunks or vectors, only earlier failures of contents
     that came again, which are tried again. A batch that is repeated after a crash sees the state it saw before, and writes
     over its own folders."""
     def batch(rows: DataFrame, number: int) -> None:
         at = lambda table: f"{index}/{table}/batch_id={number}"
-        rows.write.mode("overwrite").partitionBy("first").parquet(at("batches"))
-        both = spark.read.schema(_CHUNK + ", first boolean").parquet(at("batches"))
-        new = both.where("first").select("document_version_id", "chunk_id", "content_hash", F.lit(True).alias("is_new"))
-        marks = both.where("not first").drop("first").join(new.dropDuplicates(), ["document_version_id", "chunk_id", "content_hash"], "left")
-        marks.withColumn("is_new", F.coalesce("is_new", F.lit(False))).write.mode("overwrite").parquet(at("chunks"))
-        own = spark.read.parquet(at("chunks"))
-        chunks = own.where("chunk_id is not null")
-        todo = chunks.where("is_new").select("content_hash", "text")
+        rows.write.mode("overwrite").partitionBy("first").option("compression", "zstd").parquet(at("chunks"))
+        both = spark.read.schema(_CHUNK + ", first boolean").parquet(at("chunks"))
+        key = ["document_version_id", "chunk_id", "content_hash"]
+        new = both.where("first").select(*key, F.lit(True).alias("is_new")).dropDuplicates()
+        own = both.where("not first").select(*IDS, "chunk_id", "content_hash").join(new, key, "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+        todo = both.where("first").select("content_hash", "text")
         failed = _before(spark, f"{index}/failures", number)
         if failed is not None:
-            todo = todo.unionByName(chunks.where("not is_new").join(failed.select("content_hash").distinct(), "content_hash", "left_semi").select("content_hash", "text"))
+            again = both.where("not first and chunk_id is not null").join(todo.select("content_hash"), "content_hash", "left_anti")
+            todo = todo.unionByName(again.join(failed.select("content_hash").distinct(), "content_hash", "left_semi").select("content_hash", "text"))
         made = indexing.embed(todo.dropDuplicates(["content_hash"]).select(F.col("content_hash").alias("chunk_id"), "text"), make)
         good = F.col("failure").isNull() & (F.size("vector") == dimensions)
         made.select(F.col("chunk_id").alias("content_hash"), F.lit(model).alias("embedding_model_id"), "vector", F.when(good, None).otherwise(F.coalesce("failure", F.lit("dimension_mismatch"))).alias("failure")).write.mode("overwrite").parquet(at("made"))
@@ -122,7 +120,7 @@ def current(spark: SparkSession, index: str) -> DataFrame:
     """The embeddings of the newest indexed version of each document; older versions are superseded."""
     done = spark.read.parquet(f"{index}/versions").where("processing_status = 'indexed'")
     newest = done.groupBy("document_id").agg(F.max_by("document_version_id", F.struct("batch", "document_version_id")).alias("document_version_id"))
-    rows = spark.read.parquet(f"{index}/chunks").where("chunk_id is not null").join(newest, ["document_id", "document_version_id"], "left_semi").drop("is_new")
+    rows = spark.read.parquet(f"{index}/chunks").where("not first and chunk_id is not null").drop("first").join(newest, ["document_id", "document_version_id"], "left_semi")
     once = files.latest(rows.withColumn("_key", F.concat_ws("/", "document_version_id", "chunk_id")), "_key", "batch_id").drop("_key")
     vectors = spark.read.parquet(f"{index}/vectors").drop("batch_id").dropDuplicates(["content_hash"])
     return once.join(vectors, "content_hash")
