@@ -33,8 +33,8 @@ def deduplicate(hits: DataFrame) -> DataFrame:
 
 
 def presentation(hits: DataFrame) -> DataFrame:
-    """Place in the order of presentation."""
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), T.casefold(F.coalesce("heading", F.lit(""))), "document_version_id", "chunk_index", "chunk_id")
+    """Place in the order of presentation; scores are compared to nine places, as search ranks them."""
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), T.casefold(F.coalesce("heading", F.lit(""))), "document_version_id", "chunk_index", "chunk_id")
     return hits.withColumn("place", F.row_number().over(order))
 
 
@@ -69,16 +69,17 @@ def _merged(texts: pd.Series) -> pd.Series:
 
 
 def blocks(kept: DataFrame) -> DataFrame:
-    """Runs of neighbouring chunks of a version as blocks, in their order per query."""
+    """Runs of neighbouring chunks of a version as blocks, in their order per query; scores are compared to nine places, as search ranks them."""
     run = F.col("chunk_index") - F.row_number().over(W.partitionBy("query_id", "document_version_id").orderBy("chunk_index", "chunk_id"))
     member = F.struct("chunk_index", "chunk_id", F.trim("text").alias("text"), "score", "heading", "document_id")
     made = kept.withColumn("_run", run).groupBy("query_id", "document_version_id", "_run").agg(F.array_sort(F.collect_list(member)).alias("members"))
     merged = _merged(F.transform("members", lambda m: F.coalesce(m["text"], F.lit(""))))
-    best = F.array_max(F.transform("members", lambda m: F.struct(m["score"].alias("score"), (-m["chunk_index"]).alias("i"), m["chunk_id"].alias("chunk_id"), m["heading"].alias("heading"), m["document_id"].alias("document_id"))))
+    best = F.array_max(F.transform("members", lambda m: F.struct(F.round(m["score"], 9).alias("rounded"), (-m["chunk_index"]).alias("i"), m["chunk_id"].alias("chunk_id"), m["heading"].alias("heading"), m["document_id"].alias("document_id"))))
+    most = F.array_max(F.transform("members", lambda m: m["score"]))
     same = F.size(F.array_distinct(F.transform("members", lambda m: T.casefold(F.trim(F.coalesce(m["heading"], F.lit(""))))))) == 1
     shared = F.try_element_at(F.filter(F.transform("members", lambda m: m["heading"]), lambda h: h.isNotNull() & (h != "")), F.lit(1))
-    out = made.withColumns({"text": merged, "best": best}).withColumns({"heading": F.when(same, shared).otherwise(F.col("best.heading")), "primary_id": F.col("best.chunk_id"), "max_score": F.col("best.score"), "min_index": F.col("members")[0]["chunk_index"], "document_id": F.col("best.document_id"), "chunk_ids": F.transform("members", lambda m: m["chunk_id"])})
-    order = W.partitionBy("query_id").orderBy(F.desc("max_score"), T.casefold(F.coalesce("heading", F.lit(""))), "document_version_id", "min_index", "primary_id")
+    out = made.withColumns({"text": merged, "best": best}).withColumns({"heading": F.when(same, shared).otherwise(F.col("best.heading")), "primary_id": F.col("best.chunk_id"), "max_score": most, "min_index": F.col("members")[0]["chunk_index"], "document_id": F.col("best.document_id"), "chunk_ids": F.transform("members", lambda m: m["chunk_id"])})
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("max_score", 9)), T.casefold(F.coalesce("heading", F.lit(""))), "document_version_id", "min_index", "primary_id")
     return out.withColumn("block", F.row_number().over(order)).select("query_id", "block", "document_version_id", "document_id", "heading", "primary_id", "max_score", "min_index", "chunk_ids", "text")
 
 
