@@ -265,11 +265,11 @@ def per_document(rows: DataFrame, cohorts: tuple[str, ...] = ("baseline", "robus
 
 
 def trust_rows(metrics: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """experiment_id, metric, value, limit, trusted: one row for each metric."""
+    """experiment_id, metric, value, limit, trusted: one row for each metric. Values are compared to nine places (see metrics.settled)."""
     wide = metrics.select("experiment_id", *(c(n).cast("double").alias(n) for n in limits))
     rows = wide.unpivot("experiment_id", list(limits), "metric", "value")
     table = metrics.sparkSession.createDataFrame(list(limits.items()), "metric string, least double")
-    return rows.join(F.broadcast(table), "metric").withColumn("trusted", F.coalesce(c("value") >= c("least"), F.lit(False)))
+    return rows.join(F.broadcast(table), "metric").withColumn("trusted", F.coalesce(M.settled(c("value")) >= c("least"), F.lit(False)))
 
 
 #: G19, fixed values: metrics of the trust report, how far each may be trusted, and of which table it is.
