@@ -204,11 +204,6 @@ def cosine_backfill(fused: DataFrame, dense: DataFrame, queries: DataFrame, corp
 
 # Lexical retrieval
 
-def _let(x: Column, f) -> Column:
-    """f of x, which is computed once."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def faq_segments(text: Column, is_question=T.ends_in_question) -> Column:
     """Question-led segments of normalised text, and the whole text too if there are several.
 
@@ -216,10 +211,10 @@ def faq_segments(text: Column, is_question=T.ends_in_question) -> Column:
     def parts(lines: Column) -> Column:
         last = F.size(lines) - 1
         leads = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | is_question(F.get(lines, i)))
-        return _let(leads, lambda own: F.transform(own, lambda i, n: F.array_join(F.slice(lines, i + 1, F.coalesce(F.get(own, n + 1), last + 1) - i), "\n")))
+        return T.let(leads, lambda own: F.transform(own, lambda i, n: F.array_join(F.slice(lines, i + 1, F.coalesce(F.get(own, n + 1), last + 1) - i), "\n")))
 
-    found = _let(T.text_lines(text), lambda lines: F.when(F.size(lines) > 0, parts(lines)).otherwise(F.array().cast("array<string>")))
-    return _let(found, lambda own: F.when(F.size(own) > 1, F.concat(own, F.array(text))).otherwise(own))
+    found = T.let(T.text_lines(text), lambda lines: F.when(F.size(lines) > 0, parts(lines)).otherwise(F.array().cast("array<string>")))
+    return T.let(found, lambda own: F.when(F.size(own) > 1, F.concat(own, F.array(text))).otherwise(own))
 
 
 def segments(chunks: DataFrame, normal: bool = False, is_question=T.ends_in_question) -> DataFrame:
