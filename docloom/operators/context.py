@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,9 +63,9 @@ def join_adjacent(left: str, right: str) -> str:
     return left + right[n:] if n else f"{left}\n{right}"
 
 
-@F.pandas_udf(StringType())
-def _merged(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda own: reduce(join_adjacent, own))
+@F.arrow_udf(StringType())
+def _merged(texts: pa.Array) -> pa.Array:
+    return T.each(texts, lambda own: reduce(join_adjacent, own))
 
 
 def blocks(kept: DataFrame) -> DataFrame:
