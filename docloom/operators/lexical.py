@@ -1,6 +1,7 @@
 """A lexical index of posting blocks, stored and added to, and MaxScore search over it.
 
-A shard is some twenty thousand neighbouring segments. Of each of its tokens a block holds the places of the segments in
+A shard is at most about twenty thousand neighbouring segments and a million tokens, so that building one takes the same
+memory for any size of the corpus. Of each of its tokens a block holds the places of the segments in
 the shard and the token's counts there; the block of the empty token is the shard's head: chunk and length of each place,
 and the chunk ids in order. Blocks are written by the tasks that read the texts, without a shuffle.
 
@@ -29,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from docloom.functions import constants as K
 
 #: Segments, and tokens, of a shard, about; segments that are scored at a time; entries of queries that are sent at once.
-SHARD, SHARD_TOKENS, STEP, MANY = 20_000, 4_000_000, 4096, 50_000
+SHARD, SHARD_TOKENS, STEP, MANY = 20_000, 1_000_000, 4096, 50_000
 #: Scores are ranked to nine places, so bounds are left this much room.
 ROOM = 2e-9
 
@@ -62,7 +63,7 @@ def _blocks_of(batches: list[pa.RecordBatch], shard: int, vocabulary: pa.Array |
     return pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds)], names=names)
 
 
-def blocks(found: DataFrame, vocabulary: DataFrame | None = None, shard: int = SHARD) -> DataFrame:
+def blocks(found: DataFrame, vocabulary: DataFrame | None = None, shard: int = SHARD, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """shard, token, places, counts, chunk_ids (heads alone), of segments: chunk_id, segment, tokens (all or those of `vocabulary`, a bounded table).
 
     The segments of a chunk are those that stand together, as `segments` gives them. Segments without tokens and rows
@@ -76,17 +77,19 @@ def blocks(found: DataFrame, vocabulary: DataFrame | None = None, shard: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held, rows, tokens = TaskContext.get().partitionId(), 0, [], 0, 0
         for batch in batches:
-            while batch.num_rows:
-                cut = batch.num_rows
-                if rows + cut >= shard or tokens >= SHARD_TOKENS:  # the shard ends where a chunk does
-                    ids = batch.column("chunk_id")
-                    changes = np.nonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False))[0] + 1
-                    after = changes[changes >= max(0, shard - rows)] if tokens < SHARD_TOKENS else changes
-                    cut = int(after[0]) if len(after) else batch.num_rows
-                held.append(batch.slice(0, cut))
-                rows, tokens = rows + cut, tokens + len(held[-1].column("tokens").flatten())
-                batch = batch.slice(cut)
-                if batch.num_rows:
+            ids, at, many = batch.column("chunk_id"), 0, batch.num_rows
+            upto = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            starts = np.nonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False))[0] + 1  # a shard ends where a chunk does
+            if held and many and held[-1].column("chunk_id")[-1] != ids[0]:
+                starts = np.concatenate([[0], starts])
+            while at < many:
+                full = max(at, min(at + shard - rows, int(np.searchsorted(upto, upto[at] + shard_tokens - tokens))))
+                after = starts[np.searchsorted(starts, full) :]
+                cut = int(after[0]) if len(after) else many
+                if cut > at:
+                    held.append(batch.slice(at, cut - at))
+                rows, tokens, at = rows + cut - at, tokens + int(upto[cut] - upto[at]), cut
+                if len(after):
                     yield _blocks_of(held, (task << 24) + made, sent.value, names, kinds)
                     made, held, rows, tokens = made + 1, [], 0, 0
         if held:
