@@ -68,8 +68,8 @@ def embed(chunks: DataFrame, make: Callable[[], Callable[[list[str]], list[list[
         embedder = make()
         for frame in frames:
             rows = list(zip(frame["chunk_id"], frame["text"].fillna("")))
-            done = [x for b in _batches(rows) for x in _embedded(b, embedder)]
-            yield pd.DataFrame(done, columns=["chunk_id", "vector", "failure"])
+            for b in _batches(rows):  # the vectors of few texts are Python's at a time
+                yield pd.DataFrame(_embedded(b, embedder), columns=["chunk_id", "vector", "failure"])
 
     return chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text").mapInPandas(run, "chunk_id string, vector array<double>, failure string")
 
