@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -88,61 +90,114 @@ def _draw(n: int, *key: Column | str) -> Column:
     return (F.crc32(F.concat_ws("|", *key).cast("binary")) % n).cast("int")
 
 
-def _sentences(chunks: DataFrame) -> DataFrame:
-    """document_id, chunk_id, chunk_index, at, sentence (of 25 characters or more), opening (of the chunk's text, for short ones)."""
-    rows = chunks.select("document_id", "chunk_id", "chunk_index", F.substring("text", 1, 400).alias("opening"), F.posexplode(T.sentences("text")).alias("at", "sentence"))
-    return rows.where(F.length("sentence") >= 25).withColumn("opening", F.when(F.length("sentence") < 40, c("opening")))
+#: What can be asked of a sentence, by the bit of `probes`: the turn of its category and the form of its question.
+FORMS = [*dict.fromkeys([*GENERAL, DEFINED, *(a[3] for a in ASKED if a[3]), HEAD_QUESTION.replace("{head}", "{topic}")])]
+HEAD, HEAD_FORM, TWO = len(ASKED), len(FORMS) - 1, [n for n, a in enumerate(ASKED) if a[0] in ("multi_hop", "cross_section")]
+OPTIONS = [(n, FORMS.index(f)) for n, a in enumerate(ASKED) for f in (GENERAL if a[3] is None else [a[3], DEFINED] if a[0] == "definition" else [a[3]])] + [(HEAD, HEAD_FORM)]
+#: A question's place in its document, in one number: chunk (counted from the last), sentence of the chunk, turn.
+_CHUNK, _AT = 1 << 32, 1 << 5
+
+
+def _from_last() -> WindowSpec:
+    return W.partitionBy("document_id").orderBy(F.desc("chunk_index"), F.desc("chunk_id"))
 
 
-def _following(chunks: DataFrame, head: bool) -> DataFrame:
-    """document_id, chunk_id, next_id and, if asked for, the beginning of the next chunk of the document."""
-    after = W.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
-    own = chunks.select("document_id", "chunk_id", "chunk_index", *([F.substring("text", 1, 220).alias("head")] if head else []))
-    return own.select("document_id", "chunk_id", F.lead("chunk_id").over(after).cast("string").alias("next_id"), *([F.lead("head").over(after).alias("next_head")] if head else []))
+def _by_document(rows: DataFrame) -> DataFrame:
+    """The rows of a document together, for all that follows: in a number of tasks that is given, as each row becomes many."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "document_id")
 
 
 def probes(chunks: DataFrame, seed: int = 42) -> DataFrame:
     """Q03: the questions that each sentence of 25 characters or more gives rise to, one for each category whose words it holds.
 
-    Chunks: document_id, chunk_id, chunk_index, text. Result: document_id, chunk_id, chunk_index, at (of the sentence), turn (of the
-    category), category, question; `answered` adds the rest. Questions over two sections need a next chunk in the document."""
-    s = _sentences(chunks).drop("opening").join(_following(chunks, False), ["document_id", "chunk_id"])
-    x = c("sentence")
-    s = s.withColumns({"topic": F.coalesce(F.try_element_at(T.keywords(x), F.lit(1)), F.lit(NO_TOPIC)), "numbers": F.size(T.number_runs(x)) > 0})
-    each = []
+    Chunks: document_id, chunk_id, chunk_index, text. Result: document_id, chunk_id, chunk_index, at (of the sentence), topic, options
+    (bits of OPTIONS); questions over two sections need a next chunk too. A chunk without such sentences is one row, with the beginning of its text as the topic where it can be asked about."""
+    found = F.filter(F.transform(T.sentences("text"), lambda x, i: F.struct(i.alias("at"), x.alias("sentence"))), lambda s: F.length(s["sentence"]) >= 25)
+    head = T.strip(F.substring("text", 1, 280))
+    rows = chunks.select("document_id", "chunk_id", "chunk_index", "text", found.alias("found"))
+    rows = rows.select("document_id", "chunk_id", "chunk_index", F.when((F.coalesce(F.size("found"), F.lit(0)) <= 0) & (F.length(head) >= 20), F.substring(head, 1, 48)).alias("head"), "found")
+    rows = rows.select("document_id", "chunk_id", "chunk_index", "head", F.explode_outer("found").alias("s")).select("document_id", "chunk_id", "chunk_index", "head", "s.at", "s.sentence")
+    x, fits, before = c("sentence"), {}, {}
     for turn, (name, _, words, form) in enumerate(ASKED):
-        question, fits = _fill(form or "", topic=c("topic")), _any(x, words)
+        if form and any(w in ([], words) for w in before.setdefault(form, [])):
+            continue  # the same question as that of a turn before, of the same sentence
+        before.setdefault(form, []).append(words)
+        here = F.size(T.number_runs(x)) > 0 if name == "numerical" else _any(x, words)
         if form is None:
             drawn = _draw(len(GENERAL), F.lit(str(seed)), c("document_id").cast("string"), c("chunk_id").cast("string"), c("at").cast("string"), F.lit(name))
-            question = F.get(F.array(*(_fill(g, topic=c("topic")) for g in GENERAL)), drawn)
-        elif name == "numerical":
-            fits = c("numbers")
+            fits |= {(turn, n): here & (drawn == n) for n in range(len(GENERAL))}
         elif name == "definition":
-            question = F.when(_any(x, DEFINES), _fill(DEFINED, topic=c("topic"))).otherwise(question)
-        elif name in ("multi_hop", "cross_section"):
-            fits = c("next_id").isNotNull()
-        each.append(F.when(fits, F.struct(F.lit(turn).alias("turn"), F.lit(name).alias("category"), question.alias("question"))))
-    return s.select("document_id", "chunk_id", "chunk_index", "at", F.inline(F.array_compact(F.array(*each))))
+            fits |= {(turn, FORMS.index(DEFINED)): _any(x, DEFINES), (turn, FORMS.index(form)): ~_any(x, DEFINES)}
+        else:
+            fits[turn, FORMS.index(form)] = here
+    bits = reduce(Column.bitwiseOR, (F.when(fit, F.lit(1 << OPTIONS.index(option))).otherwise(0) for option, fit in fits.items()))
+    topic = F.coalesce(F.try_element_at(T.keywords(x), F.lit(1)), F.lit(NO_TOPIC))
+    options = F.when(x.isNotNull(), bits).when(c("head").isNotNull(), 1 << len(OPTIONS) - 1).otherwise(0)
+    return rows.select("document_id", "chunk_id", "chunk_index", "at", F.when(x.isNotNull(), topic).otherwise(c("head")).alias("topic"), options.alias("options"))
+
+
+def _chosen_of(found: DataFrame, least: int, most: int, seed: int) -> DataFrame:
+    """document_id, asked: of each document its questions (ordinal, padded, left: chunks from its own to the last, at, turn, form, topic), `most` or fewer."""
+    of = lambda n: F.get(F.array(*(F.lit(o[n]) for o in OPTIONS)), c("option"))
+    only_two = sum(1 << n for n, (turn, _) in enumerate(OPTIONS) if turn in TWO)
+    rows = _by_document(found).withColumn("left", F.dense_rank().over(_from_last()))
+    own = F.when(c("left") == 1, c("options").bitwiseAND(~only_two)).otherwise(c("options"))
+    rows = rows.select("document_id", "topic", "left", "at", own.alias("options"))
+    rows = rows.select("document_id", "topic", "left", "at", F.explode(F.array_compact(F.array(*(F.when(c("options").bitwiseAND(1 << n) != 0, n) for n in range(len(OPTIONS)))))).alias("option"))
+    place = (F.lit((1 << 31) - 1) - c("left")).cast("bigint") * _CHUNK + F.coalesce("at", F.lit(0)).cast("bigint") * _AT + of(0)
+    rows = rows.select("document_id", "topic", of(1).alias("form"), place.alias("place"))
+    once = rows.groupBy("document_id", "topic", "form", F.when(c("form") == HEAD_FORM, c("place")).alias("head")).agg(F.min("place").alias("place"))
+    once = once.select("document_id", "topic", "form", "place", (c("place") % _AT).cast("int").alias("turn")).withColumn("question", _question())
+    order = W.partitionBy("document_id", "turn").orderBy(F.crc32(c("question").cast("binary")), "question", "place")
+    kept = once.withColumn("round", F.row_number().over(order)).where(c("round") <= most + 1)  # one more tells that there are more
+    rows = kept.groupBy("document_id").agg(F.collect_list(F.struct("round", "turn", "place", "form", "topic")).alias("q"))
+    rows = rows.withColumn("q", F.when(F.exists("q", lambda q: q["turn"] < HEAD), F.filter("q", lambda q: q["turn"] < HEAD)).otherwise(c("q")))
+    document = c("document_id").cast("string")
+    rows = rows.withColumns({"target": least + _draw(most - least + 1, F.lit(str(seed)), document), "n": F.size("q")})
+    sampled = lambda x: F.when(c("n") > c("target"), x).otherwise(0)
+    place = lambda q: F.struct(sampled(q["round"]).alias("round"), sampled(q["turn"]).alias("rotation"), q["place"].alias("place"), q["turn"].alias("turn"), q["form"].alias("form"), q["topic"].alias("topic"))
+    rows = rows.select("document_id", "n", "target", F.slice(F.array_sort(F.transform("q", place)), F.lit(1), c("target")).alias("q"))
+    asked = lambda q, ordinal, padded: F.struct(
+        ordinal.cast("bigint").alias("ordinal"), F.lit(padded).alias("padded"), (F.lit((1 << 31) - 1) - F.shiftright(q["place"], 32)).cast("int").alias("left"),
+        F.shiftright(q["place"].bitwiseAND(_CHUNK - 1), 5).cast("int").alias("at"), q["turn"].alias("turn"), q["form"].alias("form"), q["topic"].alias("topic"))
+    pick = lambda o: F.get("q", (_draw(1 << 30, F.lit(str(seed)), document, o.cast("string")) % c("n")).cast("int"))
+    more = F.when(c("n") < c("target"), F.sequence(c("n") + 1, c("target"))).otherwise(F.array().cast("array<int>"))
+    return rows.select("document_id", F.concat(F.transform("q", lambda q, i: asked(q, i + 1, False)), F.transform(more, lambda o: asked(pick(o), o, True))).alias("asked"))
+
+
+def _question() -> Column:
+    return _fill(F.get(F.array(*map(F.lit, FORMS)), c("form")), topic=c("topic"))
 
 
 def answered(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Rows of `probes`, some of them, with difficulty, answer, passage, citation and notes. Rows with at = -1 ask about the head of their chunk."""
-    key = ["document_id", "chunk_id"]
+    """The questions of `_chosen_of`, one a row, with chunk_id, category, question, difficulty, answer, passage, citation and notes.
+
+    The chunks of a document meet its list of questions, and leave with their own."""
+    rows = _by_document(chunks.select("document_id", "chunk_id", "chunk_index", "text"))
+    rows = rows.withColumns({"left": F.dense_rank().over(_from_last()), "next_id": F.lag("chunk_id").over(_from_last()).cast("string"), "next_head": F.lag(F.substring("text", 1, 220)).over(_from_last())})
+    rows = rows.join(asked, "document_id").withColumn("asked", F.filter("asked", lambda q: q["left"] == c("left"))).where(F.size("asked") > 0)
+    two = lambda turn: turn.isin(TWO)
+    opening = lambda turn, x: F.when(turn == HEAD, T.strip(F.substring("text", 1, 280))).when(F.length(x) < 40, F.substring("text", 1, 400))
+    held = lambda q, x: F.struct(q.alias("q"), F.when(q["turn"] < HEAD, x).alias("sentence"), opening(q["turn"], x).alias("opening"), F.when(two(q["turn"]), c("next_head")).alias("next_head"))
+    own = T.let(T.sentences("text"), lambda parts: F.transform("asked", lambda q: held(q, F.get(parts, q["at"]))))
+    rows = rows.select("document_id", "chunk_id", "next_id", own.alias("own")).select("document_id", "chunk_id", "next_id", F.explode("own").alias("s"))
+    rows = rows.select("document_id", "chunk_id", "next_id", "s.q.*", "s.sentence", "s.opening", "s.next_head")
     x, turn = c("sentence"), c("turn")
-    rows = asked.where("at >= 0").join(_sentences(chunks).drop("chunk_index"), [*key, "at"]).join(_following(chunks, True), key)
     of = lambda *names: turn.isin([n for n, a in enumerate(ASKED) if a[0] in names])
-    passage = F.when(F.length(x) >= 40, x).otherwise(c("opening"))
-    two = of("multi_hop", "cross_section")
-    whole = F.when(two, F.concat(passage, F.lit("\n"), "next_head")).otherwise(passage)
+    passage = F.coalesce("opening", x)
+    whole = F.when(two(turn), F.concat(passage, F.lit("\n"), "next_head")).otherwise(passage)
     answer = (F.when(of("numerical"), _fill(NUMBER_ANSWER, number=F.try_element_at(T.number_runs(x), F.lit(1))))
               .when(of("yes_no"), F.concat(F.when(_any(x, DENIED), "خیر").otherwise("بله"), F.lit(". "), passage)).otherwise(whole))
-    parts = {
-        "difficulty": F.get(F.array(*(F.lit(a[1]) for a in ASKED)), turn), "answer": T.strip(answer), "passage": T.strip(whole),
-        "citation": T.strip(F.when(two, F.substring(passage, 1, 180)).otherwise(F.substring(passage, 1, 220))), "notes": F.when(two, F.concat(F.lit("multi_section_with_chunk="), "next_id"))}
-    full = rows.select(*asked.columns, *(v.alias(n) for n, v in parts.items()))
-    head = T.strip(F.substring("text", 1, 280))
-    heads = asked.where("at < 0").join(chunks.select(*key, head.alias("h")), key)
-    return full.unionByName(heads.select(*asked.columns, F.lit("easy").alias("difficulty"), c("h").alias("answer"), c("h").alias("passage"), T.strip(F.substring("h", 1, 220)).alias("citation"), F.lit(None).cast("string").alias("notes")))
+    opening = F.get(F.array(*map(F.lit, OPENINGS)), _draw(len(OPENINGS), F.lit("opening"), c("document_id").cast("string"), c("ordinal").cast("string")))
+    opened = F.exists(T.words(OPENINGS), lambda o: F.startswith("question", o))
+    rows = rows.withColumn("question", _question())
+    notes = F.when(two(turn), F.concat(F.lit("multi_section_with_chunk="), "next_id"))
+    return rows.select(
+        "document_id", "chunk_id", "ordinal", F.get(F.array(*(F.lit(a[0]) for a in ASKED), F.lit("factual")), turn).alias("category"),
+        F.when(c("padded") & ~opened, F.concat(opening, F.ltrim("question"))).otherwise(c("question")).alias("question"),
+        F.when(c("padded"), "medium").otherwise(F.get(F.array(*(F.lit(a[1]) for a in ASKED), F.lit("easy")), turn)).alias("difficulty"),
+        T.strip(answer).alias("answer"), T.strip(whole).alias("passage"), T.strip(F.when(two(turn), F.substring(passage, 1, 180)).otherwise(F.substring(passage, 1, 220))).alias("citation"),
+        F.when(c("padded"), F.concat(F.coalesce(notes, F.lit("")), F.lit(";padded"))).otherwise(notes).alias("notes"))
 
 
 def ground_truth(chunks: DataFrame, least: int = 40, most: int = 60, seed: int = 42) -> DataFrame:
@@ -150,33 +205,9 @@ def ground_truth(chunks: DataFrame, least: int = 40, most: int = 60, seed: int =
 
     Equal questions of a document count once, the first. Of more than its number a document keeps, in rotation over the
     categories, one of each as long as there are some, in an order by checksum; fewer are padded by the same questions
-    with an opening. A document whose sentences give nothing is asked about the heads of its chunks. Questions are chosen without
-    their passages, which are fetched for those chosen. Of a large document only `most` of each category meet."""
-    key = ["chunk_index", "chunk_id", "at", "turn", "category", "question"]
-    found = probes(chunks, seed)
-    once = settle(found.groupBy("document_id", F.trim("question").alias("_key")).agg(F.min(F.struct(*key)).alias("q")).select("document_id", "q.*"), "questions")
-    head = T.strip(F.substring("text", 1, 280))
-    heads = chunks.join(once.select("document_id").distinct(), "document_id", "left_anti").where(F.length(head) >= 20)
-    heads = heads.select("document_id", "chunk_index", "chunk_id", F.lit(-1).alias("at"), F.lit(0).alias("turn"), F.lit("factual").alias("category"), _fill(HEAD_QUESTION, head=F.substring(head, 1, 48)).alias("question"))
-    every = once.select("document_id", *key).unionByName(heads.select("document_id", *key))
-    want = least + _draw(most - least + 1, F.lit(str(seed)), c("document_id").cast("string"))
-    n = every.groupBy("document_id").agg(F.count("*").alias("n")).withColumn("target", want)
-    order = F.crc32(c("question").cast("binary"))
-    place = F.row_number().over(W.partitionBy("document_id", "category").orderBy(order, "question", "chunk_index", "chunk_id", "at"))
-    kept = every.withColumn("round", place).where(c("round") <= most).join(n, "document_id")
-    sampled = c("n") > c("target")
-    ordinal = F.row_number().over(W.partitionBy("document_id").orderBy(F.when(sampled, c("round")), F.when(sampled, c("turn")), "chunk_index", "chunk_id", "at", "turn"))
-    chosen = settle(kept.withColumn("ordinal", ordinal.cast("bigint")).where(c("ordinal") <= c("target")).select("document_id", *key, "ordinal", "n", "target"), "chosen")
-    few = chosen.where(c("n") < c("target"))
-    pads = few.where("ordinal = 1").select("document_id", "n", F.explode(F.sequence(c("n") + 1, c("target").cast("bigint"))).alias("ordinal"))
-    pads = pads.withColumn("of", _draw(1 << 30, F.lit(str(seed)), c("document_id").cast("string"), c("ordinal").cast("string")) % c("n") + 1)
-    opening = F.get(F.array(*map(F.lit, OPENINGS)), _draw(len(OPENINGS), F.lit("opening"), c("document_id").cast("string"), c("ordinal").cast("string")))
-    opened = F.exists(T.words(OPENINGS), lambda o: F.startswith("question", o))
-    padded = pads.select("document_id", "ordinal", "of").join(few.drop("n", "target").withColumnRenamed("ordinal", "of"), ["document_id", "of"])
-    padded = padded.withColumn("question", F.when(opened, c("question")).otherwise(F.concat(opening, F.ltrim("question"))))
-    columns = ["document_id", *key, "ordinal", "padded"]
-    asked = chosen.withColumn("padded", F.lit(False)).select(columns).unionByName(padded.withColumn("padded", F.lit(True)).select(columns))
-    out = answered(asked, chunks).withColumns({"difficulty": F.when(c("padded"), "medium").otherwise(c("difficulty")), "notes": F.when(c("padded"), F.concat(F.coalesce("notes", F.lit("")), F.lit(";padded"))).otherwise(c("notes"))})
+    with an opening. A document whose sentences give nothing is asked about the heads of its chunks. Questions are chosen as
+    topics and forms of their sentences: two shuffles, one of a short row a sentence and one of the chunks, which are read twice. Of a large document only `most` and one of each category meet."""
+    out = answered(_chosen_of(probes(chunks, seed), least, most, seed), chunks)
     number = F.concat(F.lit("fa-"), F.substring(c("document_id").cast("string"), 1, 8), F.lit("-"), F.when(c("ordinal") < 1000, F.lpad(c("ordinal").cast("string"), 3, "0")).otherwise(c("ordinal").cast("string")))
     out = out.withColumns({"id": number, "tags": F.array_sort(F.array_distinct(F.array(c("category"), F.lit("fa"), F.lit("auto_corpus_probe"), F.lit("persian_benchmark"))))})
     return out.select("id", "document_id", "chunk_id", "ordinal", "category", "difficulty", "question", "answer", "passage", "citation", "notes", "tags")
