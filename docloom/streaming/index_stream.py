@@ -20,24 +20,26 @@ def process(versions: DataFrame, make: Callable, model: str, dimensions: int, he
     """(embeddings with their chunks, outcome of each version): extract, chunk, embed; failures are rows.
 
     `held` (content_hash, embedding_model_id, vector) are embeddings made before: chunks of a content and model that it holds
-    take its vector, and only the others are embedded, each content once. Chunks and vectors are written once and read back."""
-    records, rejects = files.extraction(versions)
-    ids = versions.select("doc_id", "document_id", "document_version_id")
-    chunks = settle(chunking.chunk_rows(records.select("doc_id", "text")).join(ids, "doc_id"), "chunks")
+    take its vector, and only the others are embedded, each content once. Texts are read once: chunks, with a row for each version
+    without any, are written as they are made, and vectors once; counts need no texts and no vectors."""
+    every = settle(chunk_stream(versions), "chunks")
+    chunks = every.where("chunk_id is not null")
     known = chunks.sparkSession.createDataFrame([], "content_hash string, vector array<double>")
     if held is not None:
         mine = held.where((F.col("embedding_model_id") == model) & (F.size("vector") == dimensions)).select("content_hash", "vector")
         known = mine.join(chunks.select("content_hash").distinct(), "content_hash", "left_semi").dropDuplicates(["content_hash"])
-    new = chunks.select("content_hash", "text").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti").select(F.col("content_hash").alias("chunk_id"), "text")
+    new = chunks.select("content_hash", "text").join(known.select("content_hash"), "content_hash", "left_anti") if held is not None else chunks.select("content_hash", "text").repartition("content_hash")
+    new = new.dropDuplicates(["content_hash"]).select(F.col("content_hash").alias("chunk_id"), "text")
     made = indexing.embed(new, make).select(F.col("chunk_id").alias("content_hash"), "vector", "failure", F.lit(False).alias("skipped"))
-    vectors = settle(made.unionByName(known.select("content_hash", "vector", F.lit(None).cast("string").alias("failure"), F.lit(True).alias("skipped"))), "vectors")
-    rows = chunks.join(vectors, "content_hash").withColumn("embedding_model_id", F.lit(model))
-    good = F.col("failure").isNull() & (F.size("vector") == dimensions)
-    counts = rows.groupBy("document_version_id").agg(F.count_if(good & ~F.col("skipped")).alias("created"), F.count_if(good & F.col("skipped")).alias("skipped"), F.count_if(~good).alias("failed"))
-    code = F.when(F.col("error_code").isNotNull(), F.col("error_code")).when(F.col("created").isNull(), "empty_chunk_list").when(F.col("failed") > 0, "partial_embedding_failure")
-    n = lambda name: F.coalesce(name, F.lit(0)).alias(name)
-    outcome = ids.join(rejects, "doc_id", "left").join(counts, "document_version_id", "left").select("document_id", "document_version_id", n("created"), n("skipped"), n("failed"), code.alias("failure_reason"), F.when(code.isNull(), "indexed").otherwise("failed").alias("processing_status"))
-    return rows.where(good).select("document_id", "document_version_id", "chunk_id", "sequence_number", "text", "content_hash", "embedding_model_id", "vector"), outcome
+    vectors = made.unionByName(known.select("content_hash", "vector", F.lit(None).cast("string").alias("failure"), F.lit(True).alias("skipped")))
+    vectors = settle(vectors.withColumn("good", F.col("failure").isNull() & F.coalesce(F.size("vector") == dimensions, F.lit(False))), "vectors")
+    counted = chunks.select("document_id", "document_version_id", "content_hash").join(vectors.select("content_hash", "good", "skipped"), "content_hash")
+    counts = counted.groupBy("document_id", "document_version_id").agg(F.count_if(F.expr("good and not skipped")).alias("created"), F.count_if(F.expr("good and skipped")).alias("skipped"), F.count_if(F.expr("not good")).alias("failed"))
+    done = counts.withColumn("failure_reason", F.when(F.col("failed") > 0, "partial_embedding_failure"))
+    none = every.where("chunk_id is null").select("document_id", "document_version_id", *(F.lit(0).cast("bigint").alias(n) for n in ("created", "skipped", "failed")), F.col("content_hash").alias("failure_reason"))
+    outcome = done.unionByName(none).withColumn("processing_status", F.when(F.col("failure_reason").isNull(), "indexed").otherwise("failed"))
+    rows = chunks.join(vectors.where("good").select("content_hash", "vector"), "content_hash").withColumn("embedding_model_id", F.lit(model))
+    return rows.select("document_id", "document_version_id", "chunk_id", "sequence_number", "text", "content_hash", "embedding_model_id", "vector"), outcome
 
 
 IDS = ["doc_id", "document_id", "document_version_id"]
@@ -48,8 +50,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def chunk_stream(versions: DataFrame) -> DataFrame:
     """Versions as chunks, row by row: the columns of _CHUNK; a version without chunks is a row with the hash of an empty or a blank text."""
     records = versions.withColumn("text", T.normalize("text"))
-    blank = F.coalesce(T.strip("text"), F.lit("")) == ""
-    keyed = records.select(F.struct(*IDS, blank.alias("blank")).alias("doc_id"), F.when(~blank, F.col("text")).otherwise("").alias("text"))
+    keyed = records.select(F.struct(*IDS, T.blank("text").alias("blank")).alias("doc_id"), F.when(~T.blank("text"), F.col("text")).otherwise("").alias("text"))
     rows = chunking.pieces(keyed, outer=True)
     number = F.concat_ws("-", "doc_id.doc_id", "sequence_number")
     code = F.when(F.col("doc_id.blank"), "empty_content").otherwise("empty_chunk_list")
