@@ -220,8 +220,13 @@ def faq_segments(text: Column, is_question=T.ends_in_question) -> Column:
 def segments(chunks: DataFrame, normal: bool = False, is_question=T.ends_in_question) -> DataFrame:
     """chunk_id, segment, tokens of each segment of a chunk's heading and text. Segments without tokens go."""
     source = F.when(F.coalesce("heading", F.lit("")) != "", F.concat_ws("\n", "heading", "text")).otherwise(F.col("text"))
-    whole = source if normal else T.strip(T.normalize(source))
-    rows = chunks.select("chunk_id", whole.alias("text")).select("chunk_id", F.posexplode(faq_segments(F.col("text"), is_question)).alias("segment", "text"))
+    whole = source if normal else T.normalize(source)
+    rows = chunks.select("chunk_id", whole.alias("text"))
+    if is_question is T.ends_in_question:  # lines of a text without question marks are one segment, whose tokens are the text's
+        own = F.when(F.col("text").rlike("[؟?]"), faq_segments(F.col("text") if normal else T.strip("text"))).otherwise(F.array("text"))
+    else:
+        own = faq_segments(F.col("text") if normal else T.strip("text"), is_question)
+    rows = rows.select("chunk_id", F.posexplode(own).alias("segment", "text"))
     # A generator of one row or none, not a filter: a filter would be pushed below the tokeniser and run it twice.
     tokens = F.array(T.lexical_tokens("text", normal=True))
     return rows.select("chunk_id", "segment", F.explode(tokens).alias("tokens")).where(F.size("tokens") > 0)
@@ -233,8 +238,9 @@ def postings(found: DataFrame) -> DataFrame:
     return rows.groupBy("chunk_id", "segment", "length", "token").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(rows: DataFrame) -> DataFrame:
-    """Token, df over segments."""
+def document_frequency(found: DataFrame) -> DataFrame:
+    """Token, df: the segments that hold it, counted where they are read; of the empty token the number of all segments."""
+    rows = found.select(F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("df"))
 
 
