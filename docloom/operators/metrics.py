@@ -190,20 +190,26 @@ def style(rows: DataFrame) -> DataFrame:
 
     Paragraphs end at blank lines and before numbered items, and count from 8 characters without their markers."""
     a = F.coalesce("answer", F.lit(""))
-    trim = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    bare = F.regexp_replace(a, CITATION, "")
-    paragraphs = F.filter(F.split(a, r"(?dmU)\n\s*\n|(?=^\s*[۱-۹1-9][.)]\s+)"), lambda p: F.length(trim(F.regexp_replace(p, CITATION, ""))) >= 8)
-    cited = F.round(F.size(F.filter(paragraphs, lambda p: p.rlike(CITATION))) / F.size(paragraphs), 4)
-    start = T.casefold(trim(a))
+    bare = lambda x: F.when(F.contains(x, F.lit("[")), F.regexp_replace(x, CITATION, "")).otherwise(x)
+    long = lambda x: x.rlike(r"(?Us)\S.{6,}\S")  # noqa: E731  8 characters or more between white space
+    parts = F.split(a, r"(?dmU)\n\s*\n|(?=^\s*[۱-۹1-9][.)]\s+)")
+    cites = T.let(parts, lambda own: F.transform(F.filter(own, lambda p: long(bare(p))), lambda p: p.rlike(CITATION)))
+    coverage = T.let(cites, lambda own: F.when(F.size(own) > 0, F.round(F.size(F.filter(own, lambda p: p)) / F.size(own), 4)).otherwise(0.0))
+    start = T.casefold(F.regexp_extract(a, r"(?Us)^\s*(.{0,60})", 1))  # longer than any opening
     begins = lambda prefixes: F.exists(T.words(prefixes), lambda p: F.startswith(start, T.casefold(p)))
-    rows = rows.withColumns({"_q": T.answer_key("query"), "_a": T.answer_key(bare)})
-    echo = ((c("_q") != "") & F.startswith("_a", "_q")) | begins(ROBOTIC[2:])
-    persian, letters = F.regexp_count(a, F.lit(r"[\x{0600}-\x{06FF}]")), F.regexp_count(a, F.lit(r"[\p{L}\p{Nl}\p{No}]"))
+    # An answer begins with its question only if its first words, cut before a space, do, or are the question's own; others need no key.
+    rows = rows.withColumns({"_q": T.answer_key("query"), "_h": T.answer_key(bare(F.substring_index(a, " ", 8)))})
+    q, h = (F.translate(x, "ς", "σ") for x in ("_q", "_h"))  # lower case tells the last sigma of a word
+    rows = rows.withColumn("_may", (c("_q") != "") & (F.startswith(h, q) | F.startswith(q, h)))
+    rows = rows.withColumn("_a", T.answer_key(F.when(F.coalesce("_may", F.lit(True)), bare(a))))
+    echo = F.when(~c("_may"), False).otherwise(F.startswith("_a", "_q")) | begins(ROBOTIC[2:])
+    persian = F.length(a) - F.length(F.regexp_replace(a, r"[\x{0600}-\x{06FF}]+", ""))
+    letters = F.length(F.regexp_replace(a, r"[^\p{L}\p{Nl}\p{No}]+", ""))
     fluent = ~F.coalesce("abstained", F.lit(False)) & ~echo & ~F.contains(a, F.lit("\ufffd")) & (letters > 0) & (persian >= 0.55 * letters)
     marks = F.array_distinct(F.regexp_extract_all(a, F.lit(r"\[\d+\]"), F.lit(0)))
     return rows.select(
         "query_id", ((F.size(marks) > 0) & (F.size(F.array_except(marks, F.coalesce("markers", F.array().cast("array<string>")))) == 0)).alias("markers_valid"),
-        F.when(F.size(paragraphs) > 0, cited).otherwise(0.0).alias("paragraph_coverage"), F.coalesce(echo, F.lit(False)).alias("echo"), begins(ROBOTIC).alias("robotic"),
+        coverage.alias("paragraph_coverage"), F.coalesce(echo, F.lit(False)).alias("echo"), begins(ROBOTIC).alias("robotic"),
         F.coalesce(fluent, F.lit(False)).alias("fluent_script"), a.rlike(r"(?dmU)^\s*[۱-۹1-9][.)]\s+\S").alias("numbered_steps"))
 
 
